@@ -1,6 +1,8 @@
 """Queries of this package, one for each numbered operator."""
 
+from .minhash import op3_minhash
+from .mixing import op5_cube_mix
 from .simhash import op4_simhash
 
-QUERIES = {"op4_simhash": op4_simhash}
+QUERIES = {"op3_minhash": op3_minhash, "op4_simhash": op4_simhash, "op5_cube_mix": op5_cube_mix}
 ORACLE = {}
