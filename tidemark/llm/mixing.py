@@ -62,59 +62,71 @@ def flight(p: np.ndarray, x: np.ndarray, rng) -> np.ndarray:
     return np.array(p)
 
 
-def landing(p: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Rounds the (at most two) fractional units so that the total of x moves least; of equals, the fewest units."""
+def landing(p: np.ndarray, x: np.ndarray, carry: float = 0.0) -> np.ndarray:
+    """0 or 1 for each of a few fractional units: the choice whose totals of size (with `carry`, tokens already over target) and count move least.
+
+    All choices are compared; the units number at most a dozen or so.
+    """
     open_ = np.flatnonzero((p > 0) & (p < 1))
     if not len(open_):
         return p
-    best = min(range(1 << len(open_)), key=lambda m: (abs(sum(((m >> i & 1) - p[k]) * x[k] for i, k in enumerate(open_))), m.bit_count(), m))
+    picks = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
+    off = np.abs((picks - p[open_]) @ x[open_] + carry) + np.abs((picks - p[open_]).sum(axis=1)) * max(1.0, float(x[open_].min()))
     out = p.copy()
-    out[open_] = [best >> i & 1 for i in range(len(open_))]
+    out[open_] = picks[int(np.argmin(off))]
     return out
 
 
-def _flight_of_block(seed: int, level: int, final: bool, names: list[str]):
-    def run(key: tuple, tab: pa.Table) -> pa.Table:
-        tab = tab.sort_by([("size", "descending"), ("unit_id", "ascending")])  # so that what stays fractional is small
-        x = tab["size"].to_numpy().astype(float)
-        own = repr((seed, level, key[0].as_py(), key[1].as_py()))
-        p = flight(tab["p"].to_numpy(), x, np.random.default_rng(int.from_bytes(hashlib.sha256(own.encode()).digest()[:8], "big")))
-        p = landing(p, x) if final else p
-        return tab.set_column(tab.schema.get_field_index("p"), "p", pa.array(p)).select(names)
+def sample(p: np.ndarray, x: np.ndarray, rng, small: int = 12) -> np.ndarray:
+    """Balanced sample of a block: flights from the largest half of its units to the smallest few, which land.
 
-    return run
+    A flight leaves two of its units fractional. These are rounded, and the tokens this moves are given back by an equal shift of the probabilities of
+    all smaller units, so that the next flight balances them; the last `small` units, the smallest, make up what is left.
+    """
+    order = np.lexsort((np.arange(len(x)), -x))
+    q, y = p[order].astype(float), x[order].astype(float)
+    at, carry = 0, 0.0
+    while len(q) - at > small:
+        to = at + (len(q) - at + 1) // 2
+        aim = float(q[at:to] @ y[at:to])
+        mix = rng.permutation(to - at)
+        flown = np.empty(to - at)
+        flown[mix] = flight(q[at:to][mix], y[at:to][mix], rng)
+        q[at:to] = landing(flown, y[at:to], carry)
+        carry += float(q[at:to] @ y[at:to]) - aim
+        rest = y[to:]
+        free = (q[to:] > 0) & (q[to:] < 1)
+        if carry and rest[free].sum() > 0:
+            moved = np.clip(q[to:][free] - carry / rest[free].sum(), 0.02, 0.98)
+            carry += float((moved - q[to:][free]) @ rest[free])
+            q[np.flatnonzero(free) + to] = moved
+        at = to
+    q[at:] = landing(q[at:], y[at:], carry)
+    out = np.empty(len(p))
+    out[order] = q
+    return out
 
 
 def balanced(units: DataFrame, strata: dict[str | None, int], seed: int = 0, block: int = 1000) -> DataFrame:
-    """units (unit_id, source, size, p, ...) with p moved to 0 or 1 for each, balanced on count and size within each source.
+    """units (unit_id, source, size, p, ...) with p moved to 0 or 1 for each, balanced on count and size within blocks of each source.
 
-    Blocks of about `block` units, dealt by a hash of the id, fly on their own and leave two units at most; these meet in blocks again, level by level,
-    until a source is a single block, which lands. `strata`: number of units of each source. A hot source so spreads over many tasks.
+    Blocks of about `block` units are dealt by a hash of the id, so a hot source spreads over many tasks; each keeps its own totals, so their sums do.
+    `strata`: number of units of each source.
     """
     schema = units.schema
     names = [f.name for f in schema]
-    done, rest, n, level = [], units, dict(strata), 0
-    while True:
-        parts = {s: -(-k // block) for s, k in n.items()}
-        final = all(k <= 1 for k in parts.values())
-        known = [(s, k) for s, k in parts.items()]
-        kinds = T.StructType([T.StructField("of", T.StringType()), T.StructField("parts", T.LongType())])
-        spread = units.sparkSession.createDataFrame(known, kinds)
-        dealt = rest.join(F.broadcast(spread), F.col("source").eqNullSafe(F.col("of")), "left").withColumn("block", F.pmod(F.xxhash64(F.lit(level), "unit_id", "size"), F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1)))).drop("of", "parts")
-
-        flown = dealt.groupBy("source", "block").applyInArrow(_flight_of_block(seed, level, final, names), schema)
-        if final:
-            done.append(flown)
-            break
-        flown = written(flown, "flight")
-        done.append(flown.where((F.col("p") <= 0) | (F.col("p") >= 1)))
-        rest = flown.where((F.col("p") > 0) & (F.col("p") < 1))
-        n = {s: 2 * k for s, k in parts.items()}
-        level += 1
-    out = done[0]
-    for x in done[1:]:
-        out = out.unionByName(x)
-    return out
+    kinds = T.StructType([T.StructField("of", T.StringType()), T.StructField("parts", T.LongType())])
+    spread = units.sparkSession.createDataFrame([(s, -(-k // block)) for s, k in strata.items()], kinds)
+    dealt = units.join(F.broadcast(spread), F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("unit_id", "size"), "parts"))
+
+    def run(key: tuple, tab: pa.Table) -> pa.Table:
+        tab = tab.sort_by([("unit_id", "ascending"), ("size", "ascending")])
+        own = repr((seed, key[0].as_py(), key[1].as_py()))
+        rng = np.random.default_rng(int.from_bytes(hashlib.sha256(own.encode()).digest()[:8], "big"))
+        p = sample(tab["p"].to_numpy(), tab["size"].to_numpy().astype(float), rng)
+        return tab.set_column(tab.schema.get_field_index("p"), "p", pa.array(p)).select(names)
+
+    return dealt.groupBy("source", "block").applyInArrow(run, schema)
 
 
 def mix_sources(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 0, id_col: str = "doc_id", max_sources: int = 100_000) -> DataFrame:
