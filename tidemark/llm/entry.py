@@ -3,6 +3,7 @@
 from .minhash import op3_minhash
 from .mixing import op5_cube_mix
 from .simhash import op4_simhash
+from .tokens import op7_bitpack
 
-QUERIES = {"op3_minhash": op3_minhash, "op4_simhash": op4_simhash, "op5_cube_mix": op5_cube_mix}
+QUERIES = {"op3_minhash": op3_minhash, "op4_simhash": op4_simhash, "op5_cube_mix": op5_cube_mix, "op7_bitpack": op7_bitpack}
 ORACLE = {}
