@@ -2,8 +2,17 @@
 
 from .minhash import op3_minhash
 from .mixing import op5_cube_mix
+from .pii import op1_pii
 from .simhash import op4_simhash
 from .tokens import op7_bitpack
+from .warc import op6_warc
 
-QUERIES = {"op3_minhash": op3_minhash, "op4_simhash": op4_simhash, "op5_cube_mix": op5_cube_mix, "op7_bitpack": op7_bitpack}
+QUERIES = {
+    "op1_pii": op1_pii,
+    "op3_minhash": op3_minhash,
+    "op4_simhash": op4_simhash,
+    "op5_cube_mix": op5_cube_mix,
+    "op6_warc": op6_warc,
+    "op7_bitpack": op7_bitpack,
+}
 ORACLE = {}
