@@ -18,13 +18,15 @@ from .common import Words, buffers, clean_text, mix, pieces, shingles, table, va
 
 BINS, KEEP = 256, 4
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: For each bin, all bins in an order of its own.
+_TURNS = np.argsort(mix(np.arange(1, BINS * BINS + 1, dtype=np.uint64)).reshape(BINS, BINS), axis=1)
 
 
 def sketch(data: np.ndarray, offs: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """Low-order KEEP bits of each bin's minimum, rows x BINS, and whether a row has any shingle.
 
     Each shingle is hashed once: its high bits name the bin, its low bits compete for the bin's minimum. An empty bin takes the value of the first
-    filled bin in a sequence of bins drawn for it alone, the same for all texts (optimal densification).
+    filled bin in an order of bins drawn for it alone, the same for all texts (optimal densification).
     """
     words = Words(data, offs)
     hashes, row = shingles(words, words.hashes(), n)
@@ -35,15 +37,16 @@ def sketch(data: np.ndarray, offs: np.ndarray, n: int = 5) -> tuple[np.ndarray,
     low = low.reshape(rows, BINS)
     filled = low != _NONE
     some = filled.any(axis=1)
-    out, todo = low.copy(), ~filled & some[:, None]
-    t = 0
-    while todo.any():
-        t += 1
-        r, b = np.nonzero(todo)
-        to = (mix(b.astype(np.uint64) * np.uint64(0x10001) + np.uint64(t)) % np.uint64(BINS)).astype(np.int64)
-        ok = filled[r, to]
-        out[r[ok], b[ok]] = low[r[ok], to[ok]]
-        todo[r[ok], b[ok]] = False
+    out = low.copy()
+    r, b = np.nonzero(~filled & some[:, None])
+    for t in range(12):  # most bins find a filled one soon
+        ok = filled[r, _TURNS[b, t]]
+        out[r[ok], b[ok]] = low[r[ok], _TURNS[b[ok], t]]
+        r, b = r[~ok], b[~ok]
+    for at in range(0, len(r), 1 << 15):
+        x, y = r[at : at + (1 << 15)], b[at : at + (1 << 15)]
+        to = _TURNS[y, np.argmax(filled[x[:, None], _TURNS[y]], axis=1)]
+        out[x, y] = low[x, to]
     bits = (mix(out) & np.uint64((1 << KEEP) - 1)).astype(np.uint8)
     bits[~some] = 0
     return bits, some
