@@ -1,8 +1,10 @@
 """Queries of this package, one for each numbered operator."""
 
+from .decontaminate import op10_latent
 from .minhash import op3_minhash
 from .mixing import op5_cube_mix
 from .pii import op1_pii
+from .quality import op8_cotraining
 from .simhash import op4_simhash
 from .tokens import op7_bitpack
 from .warc import op6_warc
@@ -14,5 +16,7 @@ QUERIES = {
     "op5_cube_mix": op5_cube_mix,
     "op6_warc": op6_warc,
     "op7_bitpack": op7_bitpack,
+    "op8_cotraining": op8_cotraining,
+    "op10_latent": op10_latent,
 }
 ORACLE = {}

@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -22,6 +23,7 @@ from .files import attempt_name, opened
 
 MAGIC = b"TMBITS1\n"
 _FOOT = struct.Struct("<8sIIQQQQ")  # magic, bits, ids per block, ids, documents, where the block offsets and the document starts stand
+_NO_ID = np.iinfo(np.int64).min
 
 
 def pack(ids: np.ndarray, bits: int) -> bytes:
@@ -41,11 +43,11 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
 
 
 class Writer:
-    """Blocks of `block` ids, then their byte offsets, the documents' starts and a footer."""
+    """Blocks of `block` ids, then their byte offsets, the documents' starts and ids, and a footer."""
 
     def __init__(self, out, bits: int, block: int = 8192):
         self.out, self.bits, self.block = out, bits, block
-        self.at, self.n, self.offsets, self.starts = 0, 0, [], [0]
+        self.at, self.n, self.offsets, self.starts, self.names = 0, 0, [], [0], []
         self.held: list[np.ndarray] = []
         self.rows = 0
 
@@ -55,16 +57,15 @@ class Writer:
         self.out.write(data)
         self.at += len(data)
 
-    def add(self, ids: np.ndarray) -> int:
-        """Appends a document; its first id's place in the file."""
-        start = self.n
+    def add(self, name: int | None, ids: np.ndarray) -> None:
+        """Appends a document."""
+        self.names.append(_NO_ID if name is None else name)
         self.n += len(ids)
         self.starts.append(self.n)
         self.held.append(ids)
         self.rows += len(ids)
         if self.rows >= 16 * self.block:
             self._flush(False)
-        return start
 
     def _flush(self, all_: bool) -> None:
         ids = np.concatenate(self.held) if self.held else np.zeros(0, np.uint32)
@@ -79,7 +80,7 @@ class Writer:
     def close(self) -> None:
         self._flush(True)
         where = self.at
-        offsets, starts = np.array([*self.offsets, self.at], "<u8").tobytes(), np.array(self.starts, "<u8").tobytes()
+        offsets, starts = np.array([*self.offsets, self.at], "<u8").tobytes(), np.array([*self.starts, *self.names], "<i8").tobytes()
         self.out.write(offsets + starts + _FOOT.pack(MAGIC, self.bits, self.block, self.n, len(self.starts) - 1, where, where + len(offsets)))
         self.out.close()
 
@@ -94,7 +95,9 @@ class Reader:
         if magic != MAGIC:
             raise ValueError("not a token file")
         self.offsets = np.frombuffer(source.read_at(b - a, a), "<u8")
-        self.starts = np.frombuffer(source.read_at(8 * (self.docs + 1), b), "<u8")
+        tail = np.frombuffer(source.read_at(8 * (2 * self.docs + 1), b), "<i8")
+        self.starts = tail[: self.docs + 1]
+        self.names = [None if x == _NO_ID else x for x in tail[self.docs + 1 :].tolist()]
 
     def ids(self, start: int, end: int) -> np.ndarray:
         if end <= start:
@@ -113,7 +116,7 @@ class Reader:
         """(index, ids) of all documents in order, read in runs of about `batch` ids."""
         k = 0
         while k < self.docs:
-            to = max(k + 1, int(np.searchsorted(self.starts, self.starts[k] + np.uint64(batch), "right")) - 1)
+            to = max(k + 1, int(np.searchsorted(self.starts, self.starts[k] + batch, "right")) - 1)
             to = min(to, self.docs)
             base = int(self.starts[k])
             got = self.ids(base, int(self.starts[to]))
@@ -127,37 +130,64 @@ _CUT = re.compile(r"(?= [!-~¡-ʯ])")
 _OTHER = re.compile(r" (?![!-~¡-ʯ])")
 
 
+# Latin letters, then ASCII punctuation but the apostrophe: two pre-tokens (or one).
+_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ɏ]+)([!-&(-/:-@\[-`{-~]*)")
+
+
+class _Memory(dict):
+    """Values by piece from `fn`, kept in two generations: what is met again moves to the young one, and the old one goes when that is full."""
+
+    def __init__(self, fn, most: int):
+        super().__init__()
+        self.fn, self.most, self.old = fn, most, {}
+
+    def __missing__(self, piece: str) -> bytes:
+        got = self.old.get(piece)
+        if got is None:
+            got = self.fn(piece)
+        if len(piece) <= 64:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[piece] = got
+        return got
+
+
 class Encoder:
     """Ids of a text by a tokenizers file, exact, with a bounded memory of pieces that were encoded before.
 
-    Byte-level BPE files only are taken apart, at spaces that begin a pre-token; other tokenizers encode each text whole.
+    Byte-level BPE files only are taken apart, at spaces that begin a pre-token, and a plain word there is given to the file's BPE model as such; other
+    tokenizers encode each text whole.
     """
 
-    def __init__(self, path: str, memory: int = 400_000):
+    def __init__(self, path: str, memory: int = 200_000):
         import tokenizers
 
         self.tok = tokenizers.Tokenizer.from_file(path)
         self.bits = max(1, (self.tok.get_vocab_size(with_added_tokens=True) - 1).bit_length())
-        self.memory = memory
         self.apart = '"pre_tokenizer":{"type":"ByteLevel","add_prefix_space":false' in self.tok.to_str() and self.tok.normalizer is None
-        outer = self
-
-        class Memory(dict):
-            """By what follows the space."""
-
-            def __missing__(self, piece: str) -> bytes:
-                ids = outer.whole(" " + piece)
-                if len(piece) <= 64:
-                    if len(self) >= outer.memory:
-                        self.clear()
-                    self[piece] = ids
-                return ids
-
-        self.after_space = Memory()
+        self.model = self.tok.model
+        # byte-level letters: printable bytes stand for themselves, the others follow from 256 on
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in set(plain)]
+        self.letters = {b: 256 + i for i, b in enumerate(rest)}
+        self.words = _Memory(self._word, memory)
+        self.marks = _Memory(self.whole, memory)
+        self.after_space = _Memory(self._piece, memory)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def _word(self, word: str) -> bytes:
+        """Of a space and letters, which are one pre-token."""
+        return array("I", [t.id for t in self.model.tokenize((" " + word).encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        m = _PLAIN.fullmatch(piece)
+        if m is None:
+            return self.whole(" " + piece)
+        return self.words[m[1]] + (self.marks[m[2]] if m[2] else b"")
+
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         if not self.apart:
@@ -165,8 +195,6 @@ class Encoder:
         if _OTHER.search(text):
             first, *rest = _CUT.split(text)
             rest = [p[1:] for p in rest]
-            if first[:1] == " " and rest == [] and len(first) > 1:
-                return self.whole(text)
         else:
             first, *rest = text.split(" ")
         return (self.whole(first) if first else b"") + b"".join(map(self.after_space.__getitem__, rest))
@@ -179,12 +207,11 @@ def encoder(path: str) -> Encoder:
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, id_col: str = "doc_id") -> DataFrame:
-    """Writes the documents' ids to files in `folder`; (id, part, path, index, n_tokens) of each document, from the attempts that succeeded.
+    """Writes the documents' ids to files in `folder`; (part, path, documents, n) of each file, from the attempts that succeeded.
 
     One range shuffle orders the texts by id; each task encodes its sorted rows as they stream by and appends them to its file. `tokenizer` is a path
-    that every executor has. Parts ascend with the ids.
+    that every executor has. Parts ascend with the ids; document ids are integers.
     """
-    kind = dict(docs.dtypes)[id_col]
 
     def run(batches):
         enc, w, path = None, None, None
@@ -197,32 +224,24 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
                 system, at = opened(path)
                 system.create_dir(at.rpartition("/")[0], recursive=True)
                 w = Writer(system.open_output_stream(at), enc.bits)
-            index, count = [], []
-            for text in values(b, "text"):
-                ids = np.frombuffer(enc(text.as_py()) + tail, "<u4")
-                index.append(len(w.starts) - 1)
-                w.add(ids)
-                count.append(len(ids))
-            n = b.num_rows
-            yield pa.RecordBatch.from_arrays([values(b, id_col), pa.array([part] * n, pa.int32()), pa.array([path] * n), pa.array(index, pa.int64()), pa.array(count, pa.int64())], names=[id_col, "part", "path", "index", "n_tokens"])
+            for name, text in zip(values(b, id_col), values(b, "text"), strict=True):
+                w.add(name.as_py(), np.frombuffer(enc(text.as_py()) + tail, "<u4"))
         if w:
             w.close()
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(w.names)], pa.int64()), pa.array([w.n], pa.int64())], names=["part", "path", "documents", "n"])
 
-    rows = clean_text(docs, id_col)
+    rows = clean_text(docs, id_col).withColumn(id_col, F.col(id_col).cast("long"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(parts, id_col).sortWithinPartitions(id_col, "text").mapInArrow(run, f"{id_col} {kind}, part int, path string, index long, n_tokens long")
+    return rows.repartitionByRange(parts, id_col).sortWithinPartitions(id_col, "text").mapInArrow(run, "part int, path string, documents long, n long")
 
 
 def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", fn=None, extra: str = "") -> DataFrame:
     """Writes the token files and reads them back: (id, start, n_tokens, and what `fn(ids)` returns, a tuple as in the schema `extra`) of each document.
 
-    start counts the ids of all documents before it.
+    start counts the ids of all documents before it. Nothing but one row a file is joined or ordered after the files are written.
     """
-    spark = docs.sparkSession
-    wrote = written(write_tokens(docs, tokenizer, new_path(spark, "tokens"), end_id, id_col), "token-rows")
-    files = wrote.groupBy("part", "path").agg(F.sum("n_tokens").alias("n"))
-    # one row a file, so this window is small: as many rows as files
-    before = written(files.select("part", "path", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")), "token-files")
+    files = written(write_tokens(docs, tokenizer, new_path(docs.sparkSession, "tokens"), end_id, id_col), "token-files")
+    before = files.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     names = [f.strip().split()[0] for f in extra.split(",") if f.strip()]
 
     def read(batches):
@@ -233,13 +252,12 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_c
                     r = Reader(source)
                     rows = []
                     for i, ids in r.documents():
-                        rows.append((path, i, base + int(r.starts[i]), len(ids), *(fn(ids) if fn else ())))
+                        rows.append((r.names[i], base + int(r.starts[i]), len(ids), *(fn(ids) if fn else ())))
                         if len(rows) == 20_000 or i == r.docs - 1:
-                            yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["path", "index", "start", "n", *names])
+                            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), *(pa.array(x) for x in list(zip(*rows, strict=True))[1:])], names=[id_col, "start", "n_tokens", *names])
                             rows = []
 
-    back = before.repartition("path").mapInArrow(read, "path string, index long, start long, n long" + (", " + extra if extra else ""))
-    return wrote.select(id_col, "path", "index").join(back, ["path", "index"]).select(id_col, "start", F.col("n").alias("n_tokens"), *names)
+    return before.repartition("path").mapInArrow(read, f"{id_col} long, start long, n_tokens long" + (", " + extra if extra else ""))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
