@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-W = Window.partitionBy("symbol").orderBy("date")
+def w() -> Window:
+    return Window.partitionBy("symbol").orderBy("date")
+
 
 
 def rows(n: int, back: int = 0) -> Window:
-    return W.rowsBetween(-(n - 1) - back, -back)
+    return w().rowsBetween(-(n - 1) - back, -back)
 
 
 def full(agg: Callable[[Column], Column], c: str, n: int, frame=None) -> Column:
@@ -25,7 +27,7 @@ def full(agg: Callable[[Column], Column], c: str, n: int, frame=None) -> Column:
 
 
 def change(n: int) -> Column:
-    return F.try_divide("p", F.lag("p", n).over(W)) - 1
+    return F.try_divide("p", F.lag("p", n).over(w())) - 1
 
 
 def mean(c: str, n: int) -> Column:
@@ -61,16 +63,16 @@ def money_flow(n: int) -> Column:
 FIRST: dict[str, Callable[[], Column]] = {
     "r1": lambda: change(1),
     "r5": lambda: change(5),
-    "dp": lambda: F.col("p") - F.lag("p").over(W),
+    "dp": lambda: F.col("p") - F.lag("p").over(w()),
     "tp": lambda: (F.col("high") + F.col("low") + F.col("p")) / 3,
-    "pc": lambda: F.lag("p").over(W),
+    "pc": lambda: F.lag("p").over(w()),
 }
 SECOND: dict[str, Callable[[], Column]] = {
     "log_r": lambda: F.when((F.col("p") > 0) & (F.col("pc") > 0), F.log(F.col("p") / F.col("pc"))),
     "down": lambda: F.when(F.col("r1") < 0, F.col("r1")).otherwise(0.0),
-    "r5_before": lambda: F.lag("r5").over(W),
-    "flow_up": lambda: F.when(F.col("tp") > F.lag("tp").over(W), F.col("tp") * F.col("volume")).otherwise(0.0),
-    "flow_down": lambda: F.when(F.col("tp") < F.lag("tp").over(W), F.col("tp") * F.col("volume")).otherwise(0.0),
+    "r5_before": lambda: F.lag("r5").over(w()),
+    "flow_up": lambda: F.when(F.col("tp") > F.lag("tp").over(w()), F.col("tp") * F.col("volume")).otherwise(0.0),
+    "flow_down": lambda: F.when(F.col("tp") < F.lag("tp").over(w()), F.col("tp") * F.col("volume")).otherwise(0.0),
     "low14": lambda: full(F.min, "low", 14),
     "high14": lambda: full(F.max, "high", 14),
     "tpv": lambda: F.col("tp") * F.col("volume"),
@@ -94,7 +96,7 @@ FEATURES: dict[str, Callable[[], Column]] = {
     "stoch_k_14d": lambda: F.col("k14"),
     "stoch_d_14d": lambda: mean("k14", 3),
     "williams_r_14d": lambda: -100 * F.try_divide(F.col("high14") - F.col("p"), F.col("high14") - F.col("low14")),
-    "obv": lambda: F.sum(F.signum("dp") * F.col("volume")).over(W.rowsBetween(Window.unboundedPreceding, 0)),
+    "obv": lambda: F.sum(F.signum("dp") * F.col("volume")).over(w().rowsBetween(Window.unboundedPreceding, 0)),
     "vwap_20d": lambda: F.try_divide(full(F.sum, "tpv", 20), full(F.sum, "volume", 20)),
     "mfi_14d": lambda: money_flow(14),
     "cci_20d": lambda: mad_deviation(20),

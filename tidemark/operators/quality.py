@@ -8,7 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("date")
+def by_symbol() -> Window:
+    return Window.partitionBy("symbol").orderBy("date")
+
 
 
 def issues(df: DataFrame, check: str, severity: Column, date: str = "date", detail: Column | None = None) -> DataFrame:
@@ -17,7 +19,7 @@ def issues(df: DataFrame, check: str, severity: Column, date: str = "date", deta
 
 def price_anomalies(prices: DataFrame, actions: DataFrame, threshold: float = 0.5, critical: float = 0.9) -> DataFrame:
     """Q01: day-on-day moves beyond the threshold without a corporate action that day. Actions are an anti join after the lag, so two on a day add no rows."""
-    moved = prices.withColumn("pct", F.try_divide("close", F.lag("close").over(BY_SYMBOL)) - 1).where(F.abs("pct") > threshold)
+    moved = prices.withColumn("pct", F.try_divide("close", F.lag("close").over(by_symbol())) - 1).where(F.abs("pct") > threshold)
     moved = moved.join(actions.select("symbol", "date").distinct(), ["symbol", "date"], "left_anti")
     return issues(moved, "price_anomaly", F.when(F.abs("pct") > critical, "critical").otherwise("warning"), detail=F.col("pct"))
 
@@ -50,7 +52,7 @@ def stale(active: DataFrame, prices: DataFrame, day: str, days: int = 3, critica
 
 def volume_anomalies(prices: DataFrame, factor: float = 10.0) -> DataFrame:
     """Q05: no volume (warning), or more than `factor` times the mean of the 20 rows before (info)."""
-    mean = F.avg("volume").over(BY_SYMBOL.rowsBetween(-20, -1))
+    mean = F.avg("volume").over(by_symbol().rowsBetween(-20, -1))
     v = prices.withColumn("mean", mean)
     kind = F.when(F.col("volume").isNull() | (F.col("volume") == 0), "warning").when(F.col("volume") > factor * F.col("mean"), "info")
     return issues(v.withColumn("kind", kind).where("kind is not null"), "volume_anomaly", F.col("kind"), detail=F.col("volume"))

@@ -7,12 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BY_SYMBOL = Window.partitionBy("symbol").orderBy("date")
+def by_symbol() -> Window:
+    return Window.partitionBy("symbol").orderBy("date")
+
 
 
 def forward_return(h: int, price: str = "close") -> Column:
     """The price h rows on, against this one."""
-    return F.try_divide(F.lead(price, h).over(BY_SYMBOL), price) - 1
+    return F.try_divide(F.lead(price, h).over(by_symbol()), price) - 1
 
 
 def average_rank(value: Column, *partition: str) -> Column:

@@ -171,7 +171,7 @@ SELECT symbol, date, {sql_r('a')} AS returns_20d, {sql_r('b', 2)} AS sma_20d, {s
 def momentum_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Top 25 by 20-day momentum on the latest date, of symbols that traded in the week before; the flagship query."""
     b = bars(spark, sf_dir)
-    f = features.window_features(b, ["momentum_20d", "sma_20d", "volatility_20d"]).withColumn("before", F.lag("date").over(features.W))
+    f = features.window_features(b, ["momentum_20d", "sma_20d", "volatility_20d"]).withColumn("before", F.lag("date").over(features.w()))
     last = b.agg(F.max("date").alias("last"))
     # each symbol's newest row stands for it on the latest date, if it isn't older than 30 days
     newest = f.withColumn("rn", F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))).where("rn = 1").crossJoin(F.broadcast(last)).where("date >= date_sub(last, 30) and date_diff(date, before) <= 7 and momentum_20d is not null")
