@@ -5,7 +5,7 @@ import zlib
 
 import pytest
 
-from tidemark.llm import mixing, simhash, substrings, tokens, warc
+from tidemark.llm import mixing, simhash, tokens, warc
 from tidemark.llm.entry import QUERIES
 
 
@@ -111,4 +111,3 @@ def test_pipeline_stages_take_effect(spark, data):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns
         docs, have = out, ids
-    assert substrings.ANCHOR < 20

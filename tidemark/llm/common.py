@@ -214,7 +214,3 @@ def shingles(words: Words, hashes: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     at = first[row] + (np.arange(len(row)) - np.repeat(np.cumsum(each) - each, each))
     end = at + np.where(short, count, n)[row]
     return span_hash(hashes, at, end), row
-
-
-def crc_bytes(ids: np.ndarray) -> bytes:
-    return ids.astype("<u4").tobytes()

@@ -1,7 +1,7 @@
 """Quality classifier by co-training: a text view and a page-metadata view teach each other, then both score every document.
 
 Nulls: a null text is empty, a null language or source is a value of its own, null labels are left out. Without labels of both classes a target
-cannot be learned and scores 0.5 less than nothing: everything is kept. Repeated rows score alike; extra columns pass through.
+cannot be learned: its probability is constant, and it rejects nothing. Repeated rows score alike; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import Words, buffers, mix, pieces, span_hash, table, values, written
 
@@ -224,8 +225,6 @@ def score(docs: DataFrame, model: QualityModel) -> DataFrame:
                 cols += [pa.array(np.asarray(v, np.float64)) for v in z]
             yield pa.RecordBatch.from_arrays([*b.columns, *cols, pa.array(keep)], names=[*b.schema.names, *added, "keep"])
 
-    from pyspark.sql import types as T
-
     out = T.StructType([*schema.fields, *[T.StructField(c, T.DoubleType()) for c in added], T.StructField("keep", T.BooleanType())])
     return docs.mapInArrow(run, out)
 
