@@ -1,7 +1,11 @@
 """The corpus queries against brute force on the smallest tables."""
 
 import hashlib
+import math
+import random
+import re
 import zlib
+from collections import Counter, defaultdict
 
 import pytest
 
@@ -111,3 +115,77 @@ def test_pipeline_stages_take_effect(spark, data):
         if name != corpus_pipeline.STAGES[-1][0]:
             assert out.columns == docs.columns
         docs, have = out, ids
+
+
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def base_spans(text):
+    out = []
+    for kind, pattern in PII.items():
+        for m in re.finditer(pattern, text):
+            d = [int(c) for c in m[0] if c.isdigit()]
+            luhn = sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(reversed(d))) % 10 == 0
+            ok = {"email": True, "ip": kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")), "card": 13 <= len(d) <= 19 and luhn, "phone": 9 <= len(d) <= 15}[kind]
+            if ok:
+                out.append(f"{kind}:{m.start()}:{m.end()}")
+    return out
+
+
+def test_base_spans(spark, data, texts):
+    rows = QUERIES["op1_pii"](spark, data).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = base_spans(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(s.startswith(k) for s in want) for k in PII)
+        assert set(want) <= set(r.spans.split(","))
+
+
+def test_base_spans_of_random_texts(spark):
+    from tidemark.llm import pii
+
+    rng = random.Random(3)
+    marks = [*"0123456789" * 2, *"..--  +()@@", "a", "é", "_", "😀", "\n", "4111111111111111", "192.168.0.1", "x@y.zz", "+1 (222) 333-4444", "000255", "256"]
+    texts = ["".join(rng.choices(marks, k=rng.randint(0, 40))) for _ in range(3000)] + ["a." * 1000 + "@", "1." * 1000, "1 " * 1000, "+1" + "-" * 1000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.detect(docs).collect():
+        assert [f"{s['kind']}:{s['start']}:{s['end']}" for s in r.base] == base_spans(texts[r.doc_id])
+
+
+def test_language_model(spark, data, texts):
+    tokens_of = {d: [*t.encode().lower().split(), None] for d, t in texts.items()}
+    held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in texts}
+    words, pairs = Counter(), Counter()
+    for d, k in tokens_of.items():
+        if not held[d]:
+            words.update(k)
+            pairs.update(zip([0, *k], k))
+    n, v, docs = sum(words.values()), len(words), sum(not h for h in held.values())
+    size = lambda c: docs if c == 0 else words[c]
+    left = defaultdict(lambda: 1.0)
+    for (a, _), c in pairs.items():
+        if c >= 2:
+            left[a] -= (c - 0.75) / size(a)
+    for r in QUERIES["op9_elias_fano"](spark, data).collect():
+        k = tokens_of[r.doc_id]
+        p = [(words[w] + 0.1) / (n + 0.1 * (v + 1)) for w in k]
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(k), sum(words[w] > 0 for w in k), n)
+        assert abs(r.base_score - sum(map(math.log10, p))) < 1e-6 * abs(r.base_score)
+        full = sum(math.log10(((pairs[a, w] - 0.75) / size(a) if pairs[a, w] >= 2 else 0) + (max(1e-4, left[a]) if size(a) else 1) * x) for a, w, x in zip([0, *k], k, p))
+        assert abs(r.score - full) < 0.05 * len(k)  # probabilities are quantised
+
+
+def test_decontamination_finds_every_planted_item(spark, data, texts):
+    plain = {d: " ".join(t.split()) for d, t in texts.items()}
+    want = {(d, b.item_id) for b in spark.read.parquet(f"{data}/benchmark.parquet").collect() for d, t in plain.items() if " ".join(b.text.split()) in t}
+    rows = QUERIES["op10_latent"](spark, data).collect()
+    assert len(rows) == len(texts)
+    assert want <= {(r.doc_id, i) for r in rows for i in r["items"]}
+    assert all(r.contaminated == bool(r.n_items) for r in rows)
+
+
+def test_classifier_scores_every_document(spark, data, texts):
+    rows = QUERIES["op8_cotraining"](spark, data).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(texts)
+    assert all(0 <= r.quality_p <= 1 and 0 <= r.toxic_p <= 1 for r in rows)
