@@ -48,7 +48,7 @@ def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids in bit-packed files; what they hold of each document."""
-    return tokens.token_files(docs.select("doc_id", "text"), tokens.tokenizer_path(), end_id=2, fn=lambda ids: (zlib.crc32(ids.astype("<u4").tobytes()),), extra="ids_crc32 long")
+    return tokens.token_files(docs.select("doc_id", "text"), tokens.tokenizer_path(), end_id=2, fn=lambda ids: (zlib.crc32(ids.astype("<u4").tobytes()),), extra="ids_crc32 long", memory=60_000)  # workers that all stages share have less room
 
 
 STAGES = [

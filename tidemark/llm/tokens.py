@@ -160,7 +160,7 @@ class Encoder:
     tokenizers encode each text whole.
     """
 
-    def __init__(self, path: str, memory: int = 200_000):
+    def __init__(self, path: str, memory: int = 350_000):
         import tokenizers
 
         self.tok = tokenizers.Tokenizer.from_file(path)
@@ -201,16 +201,16 @@ class Encoder:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
+def encoder(path: str, memory: int) -> Encoder:
     """One for all tasks of a Python worker, so that pieces it has met stay known."""
-    return Encoder(path)
+    return Encoder(path, memory)
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, id_col: str = "doc_id") -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | None = None, id_col: str = "doc_id", memory: int = 350_000) -> DataFrame:
     """Writes the documents' ids to files in `folder`; (part, path, documents, n) of each file, from the attempts that succeeded.
 
     One range shuffle orders the texts by id; each task encodes its sorted rows as they stream by and appends them to its file. `tokenizer` is a path
-    that every executor has. Parts ascend with the ids; document ids are integers.
+    that every executor has. Parts ascend with the ids; document ids are integers. `memory` bounds how many encoded pieces a Python worker keeps.
     """
 
     def run(batches):
@@ -219,7 +219,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
         tail = np.array([end_id], "<u4").tobytes() if end_id is not None else b""
         for b in pieces(batches, limit=4_000_000):
             if w is None:
-                enc = encoder(tokenizer)
+                enc = encoder(tokenizer, memory)
                 path = f"{folder}/{attempt_name('tokens', '.bits')}"
                 system, at = opened(path)
                 system.create_dir(at.rpartition("/")[0], recursive=True)
@@ -235,12 +235,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int | Non
     return rows.repartitionByRange(parts, id_col).sortWithinPartitions(id_col, "text").mapInArrow(run, "part int, path string, documents long, n long")
 
 
-def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", fn=None, extra: str = "") -> DataFrame:
+def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_col: str = "doc_id", fn=None, extra: str = "", memory: int = 350_000) -> DataFrame:
     """Writes the token files and reads them back: (id, start, n_tokens, and what `fn(ids)` returns, a tuple as in the schema `extra`) of each document.
 
     start counts the ids of all documents before it. Nothing but one row a file is joined or ordered after the files are written.
     """
-    files = written(write_tokens(docs, tokenizer, new_path(docs.sparkSession, "tokens"), end_id, id_col), "token-files")
+    files = written(write_tokens(docs, tokenizer, new_path(docs.sparkSession, "tokens"), end_id, id_col, memory), "token-files")
     before = files.withColumn("base", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     names = [f.strip().split()[0] for f in extra.split(",") if f.strip()]
 
