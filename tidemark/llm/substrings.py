@@ -113,8 +113,9 @@ def runs_of(flags: list[bool]) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", window: int = 20, hot: int = 2000) -> DataFrame:
     """(d, t, start, end): words covered by windows that start earlier in the corpus; d is the id, t a hash of the text.
 
-    Shards of more than `hot` stretches are cut to single windows, counted by content: their first is found by an aggregate that combines before it
-    shuffles, and a join that can be split; as exact, for a passage that any share of the documents may hold.
+    In shards of more than `hot` stretches equal ones are found first, by an aggregate that combines before it shuffles and a join that can be split;
+    only the earliest of each goes to the automaton. A shard of more than 3 x `hot` different stretches is cut to single windows, by content: as exact, for
+    a passage that any share of the documents may hold.
     """
     rows = clean_text(docs, id_col).select(F.col(id_col).alias("d"), F.xxhash64("text").alias("t"), "text")
     kind = dict(docs.dtypes)[id_col]
@@ -140,26 +141,25 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", window: int = 20, ho
     texts = rows.mapInArrow(small, f"d {kind}, t long, packed binary, size long")
 
     def cut(batches):
-        """The words of each stretch; of hot anchors, each window by itself."""
+        """The words of each stretch."""
         for b in batches:
             for i in range(0, b.num_rows, 64):
-                a, d, t, start, words, is_hot = [], [], [], [], [], []
+                a, d, t, start, n, words, is_hot = [], [], [], [], [], [], []
                 part = b.slice(i, 64)
                 for doc, th, packed, size, spans in zip(*(values(part, c).to_pylist() for c in ("d", "t", "packed", "size", "s")), strict=True):
                     own = pa.decompress(packed, decompressed_size=size, codec="zstd", asbytes=True).split()
                     for s in spans:
-                        for k, n in ((j, 1) for j in range(s["n"])) if s["is_hot"] else ((0, s["n"]),):
-                            at = s["start"] + k
-                            a.append(s["a"])
-                            d.append(doc)
-                            t.append(th)
-                            start.append(at)
-                            words.append(b" ".join(own[at : at + n + window - 1]))
-                            is_hot.append(s["is_hot"])
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(d, part.schema.field("d").type), pa.array(t, pa.int64()), pa.array(start, pa.int32()), pa.array(words, pa.binary()), pa.array(is_hot, pa.bool_())], names=["a", "d", "t", "start", "words", "is_hot"])
+                        a.append(s["a"])
+                        d.append(doc)
+                        t.append(th)
+                        start.append(s["start"])
+                        n.append(s["n"])
+                        words.append(b" ".join(own[s["start"] : s["start"] + s["n"] + window - 1]))
+                        is_hot.append(s["is_hot"])
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(d, part.schema.field("d").type), pa.array(t, pa.int64()), pa.array(start, pa.int32()), pa.array(n, pa.int32()), pa.array(words, pa.binary()), pa.array(is_hot, pa.bool_())], names=["a", "d", "t", "start", "n", "words", "is_hot"])
 
     stretches = per.join(texts.hint("merge"), per["d"].eqNullSafe(texts["d"]) & (per["t"] == texts["t"])).select(per["d"], per["t"], "packed", "size", "s")
-    stretches = written(stretches.mapInArrow(cut, f"a long, d {kind}, t long, start int, words binary, is_hot boolean"), "stretches")
+    stretches = written(stretches.mapInArrow(cut, f"a long, d {kind}, t long, start int, n int, words binary, is_hot boolean"), "stretches")
 
     def stream(batches):
         for tab in key_runs(batches, ["a"], 50_000):
@@ -194,11 +194,34 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", window: int = 20, ho
                     out_e.append(start + j)
             yield pa.RecordBatch.from_arrays([pa.array(out_d, tab.schema.field("d").type), pa.array(out_t, pa.int64()), pa.array(out_s, pa.int32()), pa.array(out_e, pa.int32())], names=["d", "t", "start", "end"])
 
-    cool = stretches.where(~F.col("is_hot")).repartition("a").sortWithinPartitions("a", "d", "t", "start").mapInArrow(stream, f"d {kind}, t long, start int, end int")
-    single = stretches.where("is_hot").select("d", "t", "start", F.sha2("words", 256).alias("w"))
-    first = single.groupBy("w").agg(F.min(F.struct("d", "t", "start")).alias("f"))
-    again = single.join(first.hint("merge"), "w").where(~F.struct("d", "t", "start").eqNullSafe(F.col("f"))).select("d", "t", "start", (F.col("start") + window).alias("end"))
-    return cool.unionByName(again)
+    cool = stretches.where(~F.col("is_hot")).select("a", "d", "t", "start", "words")
+    # hot shards: equal stretches first, of which all but the earliest go whole
+    many = stretches.where("is_hot").withColumn("h", F.xxhash64("words"))
+    first = written(many.groupBy("a", "h").agg(F.min(F.struct("d", "t", "start", "words")).alias("f")), "first-stretches")
+    place = F.struct("d", "t", "start")
+    copies = many.drop("words").join(first.select("a", "h", F.struct("f.d", "f.t", "f.start").alias("f")).hint("merge"), ["a", "h"]).where(~place.eqNullSafe(F.col("f"))).select("d", "t", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
+    size = first.groupBy("a").agg(F.count("*").alias("c")).where(F.col("c") > 3 * hot).select("a", F.lit(True).alias("still"))
+    distinct = first.select("a", "f.*").join(size.hint("merge"), "a", "left")
+    cool = cool.unionByName(distinct.where("still is null").drop("still"))
+
+    def windows(batches):
+        for b in batches:
+            d, t, start, w = [], [], [], []
+            for doc, th, at, raw in zip(*(values(b, c).to_pylist() for c in ("d", "t", "start", "words")), strict=True):
+                own = raw.split()
+                for k in range(len(own) - window + 1):
+                    d.append(doc)
+                    t.append(th)
+                    start.append(at + k)
+                    w.append(hashlib.blake2b(b" ".join(own[k : k + window]), digest_size=16).digest())
+            yield pa.RecordBatch.from_arrays([pa.array(d, b.schema.field("d").type), pa.array(t, pa.int64()), pa.array(start, pa.int32()), pa.array(w, pa.binary())], names=["d", "t", "start", "w"])
+
+    # what is hot even so: single windows, by content
+    single = distinct.where("still").select("d", "t", "start", "words").mapInArrow(windows, f"d {kind}, t long, start int, w binary")
+    earliest = single.groupBy("w").agg(F.min(place).alias("f"))
+    again = single.join(earliest.hint("merge"), "w").where(~place.eqNullSafe(F.col("f"))).select("d", "t", "start", (F.col("start") + window).alias("end"))
+    streamed = cool.repartition("a").sortWithinPartitions("a", "d", "t", "start").mapInArrow(stream, f"d {kind}, t long, start int, end int")
+    return streamed.unionByName(copies).unionByName(again)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", window: int = 20) -> DataFrame:
