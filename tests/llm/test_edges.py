@@ -136,3 +136,12 @@ def test_trie_join_is_exact():
     label = simhash._labels(len(x), np.array([pos[int(v)] for v in a], int), np.array([pos[int(v)] for v in b], int))
     i, j = np.nonzero((np.bitwise_count(x[:, None] ^ x[None, :]) <= 4) & (key[:, None] == key[None, :]))
     assert (label == simhash._labels(len(x), i, j)).all()
+
+
+def test_a_long_benchmark_item_hides_no_short_one(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(n))
+    items = [(i, say(20 + i)) for i in range(20)] + [(99, say(500))]
+    docs = [(i, f"{say(600)} {t} {say(600)}") for i, t in items]
+    hits = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((h.doc_id, h.item_id) for h in hits) == [(i, i) for i, _ in items]
