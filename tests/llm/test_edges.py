@@ -145,3 +145,14 @@ def test_a_long_benchmark_item_hides_no_short_one(spark):
     docs = [(i, f"{say(600)} {t} {say(600)}") for i, t in items]
     hits = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((h.doc_id, h.item_id) for h in hits) == [(i, i) for i, _ in items]
+
+
+@pytest.mark.parametrize("n", [1_009, 2_000])
+def test_decontamination_by_a_large_benchmark(spark, n):
+    rng = random.Random(6)
+    vocab = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(4000)]
+    say = lambda k: " ".join(rng.choices(vocab, k=k))
+    items = [(i, say(20)) for i in range(n)]
+    docs = [(i, f"{say(30)} {t} {say(30)}") for i, t in items]
+    hits = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(i, i) for i, _ in items} == {(h.doc_id, h.item_id) for h in hits}
