@@ -156,3 +156,20 @@ def test_decontamination_by_a_large_benchmark(spark, n):
     docs = [(i, f"{say(30)} {t} {say(30)}") for i, t in items]
     hits = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert {(i, i) for i, _ in items} == {(h.doc_id, h.item_id) for h in hits}
+
+
+@pytest.mark.parametrize("size", [40, 600])
+def test_edited_benchmark_items_in_corpora_of_several_sizes(spark, size):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(7)) for _ in range(500)]
+    rare, common = words[:300], words[300:]
+    say = lambda k: [rng.choice(rare if rng.random() < 0.11 else common) for _ in range(k)]
+    items = [rng.sample(rare, 17) for _ in range(30)]
+    docs = [(100 + i, " ".join(say(1000))) for i in range(size)]
+    for i, t in enumerate(items):
+        t = list(t)
+        for at in rng.sample(range(12), 5):
+            t[at] = rng.choice(common)
+        docs.append((i, " ".join(say(100) + t + say(100))))
+    hits = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()
+    assert {(h.doc_id, h.item_id) for h in hits} == {(i, i) for i in range(30)}
