@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import ewm, features
-from tidemark.operators import asof, portfolio, quality, research
+from tidemark.operators import asof, drift, portfolio, quality, research
 from tidemark.sources import ingest
 
 
@@ -147,3 +147,16 @@ def test_drop_correlated_is_greedy(spark):
     s = spark.createDataFrame([("A", 4.0), ("B", 3.0), ("C", 2.0), ("D", 1.0)], "symbol string, strength double")
     e = spark.createDataFrame([("A", "B", 0.9), ("B", "C", 0.9), ("C", "D", 0.9)], "a string, b string, corr double")
     assert sorted(r.symbol for r in portfolio.drop_correlated(s, e).collect()) == ["A", "C"]
+
+
+def test_dependencies_beyond_the_depth_are_refused(spark):
+    edges = lambda n: spark.createDataFrame([(f"f{i}", f"f{i + 1}") for i in range(n)], "feature string, input string")
+    assert drift.closure(spark, edges(16)).count() == 16 * 17 // 2
+    ring = edges(3).union(spark.createDataFrame([("f3", "f0")], "feature string, input string"))
+    assert drift.closure(spark, ring).count() == 16
+    with pytest.raises(Exception, match="beyond a depth of 16"):
+        drift.closure(spark, edges(20)).count()
+    log = spark.createDataFrame([(i, i - 1, i) for i in range(100)], "lineage_id long, parent_id long, hypothesis_id long")
+    assert drift.event_chain(spark, log, 50).count() == 51
+    with pytest.raises(Exception, match="beyond a depth of 64"):
+        drift.event_chain(spark, log, 99).count()

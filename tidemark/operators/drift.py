@@ -34,13 +34,19 @@ def concept_drift(df: DataFrame, y: str, p: str, reference_ic: DataFrame, *by: s
     return now.join(reference_ic.select(*by, F.col("ic").alias("reference_ic")), list(by)).withColumn("change", F.try_divide(F.abs(F.col("reference_ic") - F.col("ic")), F.abs("reference_ic")))
 
 
+def whole(steps: DataFrame, limit: int) -> DataFrame:
+    """The rows of a recursion that was let go one step beyond its limit, or an error if anything new stands there."""
+    return steps.where(F.when(F.col("depth") > limit, F.raise_error(F.lit(f"the steps go on beyond a depth of {limit}; raise it")).cast("boolean")).otherwise(True))
+
+
 def event_chain(spark, lineage: DataFrame, hypothesis: int, depth: int = 64) -> DataFrame:
-    """Events of a hypothesis and all their ancestors, distinct, by a recursive query over the log's (id, parent) columns."""
+    """Events of a hypothesis and all their ancestors, distinct, by a recursive query over the log's (id, parent) columns; an error where they go on beyond `depth`."""
     lineage.select("lineage_id", "parent_id", "hypothesis_id").createOrReplaceTempView("tidemark_lineage")
-    return spark.sql(f"""WITH RECURSIVE chain(lineage_id, parent_id, depth) AS (
+    depth, limit = depth + 1, depth
+    return whole(spark.sql(f"""WITH RECURSIVE chain(lineage_id, parent_id, depth) AS (
       SELECT lineage_id, parent_id, 0 FROM tidemark_lineage WHERE hypothesis_id = {int(hypothesis)}
       UNION ALL SELECT l.lineage_id, l.parent_id, c.depth + 1 FROM chain c JOIN tidemark_lineage l ON l.lineage_id = c.parent_id WHERE c.depth < {depth})
-      SELECT lineage_id, min(depth) AS depth FROM chain GROUP BY lineage_id""")
+      SELECT lineage_id, min(depth) AS depth FROM chain GROUP BY lineage_id"""), limit)
 
 
 def dependency_edges(definitions: DataFrame) -> DataFrame:
@@ -49,8 +55,9 @@ def dependency_edges(definitions: DataFrame) -> DataFrame:
 
 
 def closure(spark, edges: DataFrame, depth: int = 16) -> DataFrame:
-    """(feature, input, depth) over all steps."""
+    """(feature, input, depth) over all steps; an error where they go on beyond `depth`."""
     edges.createOrReplaceTempView("tidemark_edges")
-    return spark.sql(f"""WITH RECURSIVE up(feature, input, depth) AS (
+    depth, limit = depth + 1, depth
+    return whole(spark.sql(f"""WITH RECURSIVE up(feature, input, depth) AS (
       SELECT feature, input, 1 FROM tidemark_edges UNION ALL SELECT u.feature, e.input, u.depth + 1 FROM up u JOIN tidemark_edges e ON e.feature = u.input WHERE u.depth < {depth})
-      SELECT feature, input, min(depth) AS depth FROM up GROUP BY feature, input""")
+      SELECT feature, input, min(depth) AS depth FROM up GROUP BY feature, input"""), limit)
