@@ -11,11 +11,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import rolling
+
+
 def w() -> Window:
     return Window.partitionBy("symbol").orderBy("date")
 
 
-
 def rows(n: int, back: int = 0) -> Window:
     return w().rowsBetween(-(n - 1) - back, -back)
 
@@ -38,15 +40,6 @@ def std(c: str, n: int) -> Column:
     return full(F.stddev_samp, c, n)
 
 
-def skewness(n: int) -> Column:
-    """Bias-adjusted, from the population value."""
-    return full(F.skewness, "r1", n) * (n * (n - 1)) ** 0.5 / (n - 2)
-
-
-def kurtosis(n: int) -> Column:
-    return ((n + 1) * full(F.kurtosis, "r1", n) + 6) * (n - 1) / ((n - 2) * (n - 3))
-
-
 def mad_deviation(n: int) -> Column:
     """CCI: typical price against the window's own mean, in units of its mean absolute deviation."""
     xs, m = F.collect_list("tp").over(rows(n)), F.avg("tp").over(rows(n))
@@ -100,24 +93,24 @@ FEATURES: dict[str, Callable[[], Column]] = {
     "vwap_20d": lambda: F.try_divide(full(F.sum, "tpv", 20), full(F.sum, "volume", 20)),
     "mfi_14d": lambda: money_flow(14),
     "cci_20d": lambda: mad_deviation(20),
-    "skewness_60d": lambda: skewness(60),
-    "kurtosis_60d": lambda: kurtosis(60),
-    "downside_vol_60d": lambda: std("down", 60) * 252**0.5,
-    "autocorrelation_5d": lambda: F.when(F.count("r5").over(rows(60)) == 60, F.corr("r5", "r5_before").over(rows(59))),
 }
 
 #: Risk: parametric value at risk and expected shortfall of 252 returns (constants: normal quantile and density there).
 Z = {95: (1.6448536269514722, 0.10313564037537128), 99: (2.3263478740408408, 0.026652142203457714)}
 
 
-def parametric(level: int, days: int, shortfall: bool = False) -> Column:
-    z, density = Z[level]
-    mu, sigma = mean("r1", 252), std("r1", 252)
-    root = days**0.5
-    return -mu * days + sigma * root * density / (1 - level / 100) if shortfall else -(mu * days - z * sigma * root)
-
-
-FEATURES |= {"var_95_1d": lambda: parametric(95, 1), "cvar_95_1d": lambda: parametric(95, 1, True), "var_99_1d": lambda: parametric(99, 1), "var_95_10d": lambda: parametric(95, 10)}
+#: Features of wide frames, from a symbol's whole series (functions/rolling.py); what they read is in SERIES.
+GROUPED: dict[str, Callable] = {
+    "skewness_60d": lambda x: rolling.frames(x["r1"], 60, rolling.skewness),
+    "kurtosis_60d": lambda x: rolling.frames(x["r1"], 60, rolling.kurtosis),
+    "downside_vol_60d": lambda x: rolling.frames(x["down"], 60, rolling.deviation) * 252**0.5,
+    "autocorrelation_5d": lambda x: rolling.autocorrelation(x["r5"], x["r5_before"]),
+    "var_95_1d": lambda x: rolling.value_at_risk(x["r1"], *Z[95], 95, 1),
+    "cvar_95_1d": lambda x: rolling.value_at_risk(x["r1"], *Z[95], 95, 1, True),
+    "var_99_1d": lambda x: rolling.value_at_risk(x["r1"], *Z[99], 99, 1),
+    "var_95_10d": lambda x: rolling.value_at_risk(x["r1"], *Z[95], 95, 10),
+}
+SERIES = ["r1", "r5", "r5_before", "down"]
 
 
 def register(name: str, builder: Callable[[], Column]) -> None:
@@ -127,11 +120,13 @@ def register(name: str, builder: Callable[[], Column]) -> None:
 
 def window_features(prices: DataFrame, names: list[str] | None = None) -> DataFrame:
     """symbol, date, p and the named features (all by default): one shuffle by symbol, one sort, however many features."""
-    names = list(FEATURES) if names is None else names
+    names = [*FEATURES, *GROUPED] if names is None else names
     base = prices.withColumn("p", F.coalesce("adj_close", "close")).where("p is not null")
     for stage in (FIRST, SECOND, THIRD):
         base = base.select("*", *[b().alias(k) for k, b in stage.items()])
-    return base.select("symbol", "date", "p", *[FEATURES[n]().alias(n) for n in names])
+    grouped = {n: GROUPED[n] for n in names if n in GROUPED}
+    out = base.select("symbol", "date", "p", *[FEATURES[n]().alias(n) for n in names if n not in grouped], *(SERIES if grouped else []))
+    return rolling.by_symbol(out, grouped, SERIES).select("symbol", "date", "p", *names) if grouped else out
 
 
 def run(prices: DataFrame, names: list[str], start: str, end: str, lookback_days: int = 400, least_rows: int = 60, version: str = "v1") -> tuple[DataFrame, DataFrame]:

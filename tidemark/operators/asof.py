@@ -69,7 +69,20 @@ def sentiment_category(score: Column) -> Column:
 
 
 def snap(dates: DataFrame, calendar: DataFrame, days: int = 10) -> DataFrame:
-    """Each date with the session at or before and at or after it, at most `days` away. The calendar has one row a session."""
-    c = F.broadcast(calendar.select(F.col("date").alias("__s")).distinct())
-    near = dates.join(c, (F.col("__s") >= F.date_sub("date", days)) & (F.col("__s") <= F.date_add("date", days)), "left")
-    return near.groupBy(*dates.columns).agg(F.max(F.when(F.col("__s") <= F.col("date"), F.col("__s"))).alias("previous_session"), F.min(F.when(F.col("__s") >= F.col("date"), F.col("__s"))).alias("next_session"))
+    """Each row (date, ...) with the session at or before its date and at or after it, at most `days` away; a null date has none.
+
+    Distinct dates and sessions, one row a day each, take the last and next session by a running value; rows then join their date.
+    """
+    own = dates.select("date").where("date is not null").distinct().select("date", F.lit(None).cast("date").alias("__s"))
+    days_of = own.unionByName(calendar.select("date", F.col("date").alias("__s")).distinct()).groupBy("date").agg(F.max("__s").alias("__s"))
+    w = Window.orderBy("date")  # one row a day
+    before, after = F.last("__s", ignorenulls=True).over(w), F.first("__s", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    near = days_of.select(F.col("date").alias("__d"), before.alias("__p"), after.alias("__n"))
+    near = near.select("__d", F.when(F.date_diff("__d", "__p") <= days, F.col("__p")).alias("previous_session"), F.when(F.date_diff("__n", "__d") <= days, F.col("__n")).alias("next_session"))
+    return dates.join(near, dates["date"] == near["__d"], "left").drop("__d")
+
+
+def in_range(calendar: DataFrame, start: str, end: str) -> DataFrame:
+    """The first and last session of a range, and how many it has."""
+    own = calendar.where(F.col("date").between(F.lit(start).cast("date"), F.lit(end).cast("date"))).select("date").distinct()
+    return own.agg(F.min("date").alias("first_session"), F.max("date").alias("last_session"), F.count("*").alias("sessions"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .research import spearman
 
 
@@ -34,19 +35,52 @@ def concept_drift(df: DataFrame, y: str, p: str, reference_ic: DataFrame, *by: s
     return now.join(reference_ic.select(*by, F.col("ic").alias("reference_ic")), list(by)).withColumn("change", F.try_divide(F.abs(F.col("reference_ic") - F.col("ic")), F.abs("reference_ic")))
 
 
-def whole(steps: DataFrame, limit: int) -> DataFrame:
-    """The rows of a recursion that was let go one step beyond its limit, or an error if anything new stands there."""
-    return steps.where(F.when(F.col("depth") > limit, F.raise_error(F.lit(f"the steps go on beyond a depth of {limit}; raise it")).cast("boolean")).otherwise(True))
+def reached(start: DataFrame, edges: DataFrame) -> DataFrame:
+    """(origin, node, depth): nodes that each origin reaches over `edges` (node, to), at their least depth; `start` has (origin, node) at depth 0.
+
+    Rounds of a join from the newest rows only, less what is known, until a round finds nothing: any depth, cycles and diamonds included, no path twice.
+    Each round's rows are a written table.
+    """
+    fresh = known = written(start.distinct().withColumn("depth", F.lit(0)), "reached")
+    k = 0
+    while not fresh.isEmpty():
+        k += 1
+        to = fresh.join(edges, "node").select("origin", F.col("to").alias("node")).where("node is not null").distinct()
+        fresh = written(to.join(known.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(k)), "reached")
+        known = known.unionByName(fresh) if k % 8 else written(known.unionByName(fresh), "reached")
+    return known
+
+
+def event_chain(lineage: DataFrame, hypothesis: int) -> DataFrame:
+    """(lineage_id, depth) of a hypothesis' events and all their ancestors."""
+    events = lineage.where(F.col("hypothesis_id") == hypothesis).select(F.lit(0).alias("origin"), F.col("lineage_id").alias("node"))
+    parents = lineage.where("parent_id is not null").select(F.col("lineage_id").alias("node"), F.col("parent_id").alias("to"))
+    known = lineage.select(F.col("lineage_id").alias("node"))
+    return reached(events, parents).join(known, "node", "left_semi").groupBy(F.col("node").alias("lineage_id")).agg(F.min("depth").alias("depth"))
+
+
+def deployment_trace(lineage: DataFrame, hypothesis: int, kinds: list[str]) -> DataFrame:
+    """The chain's events of the kinds that a deployment decision rests on, in order of time."""
+    chain = event_chain(lineage, hypothesis)
+    return lineage.where(F.col("event_type").isin(kinds)).join(chain.select("lineage_id"), "lineage_id", "left_semi")
+
+
+def events_between(lineage: DataFrame, first: int, last: int) -> DataFrame:
+    """Events from one event's time to another's, both included, whichever is earlier; none where one is missing."""
+    ends = lineage.where(F.col("lineage_id").isin(first, last)).agg(F.min("ts").alias("__lo"), F.max("ts").alias("__hi"), F.countDistinct("lineage_id").alias("__n"))
+    return lineage.join(F.broadcast(ends), F.col("ts").between(F.col("__lo"), F.col("__hi"))).where(F.col("__n") == len({first, last})).drop("__lo", "__hi", "__n")  # one row
+
+
+def appended(history: Column, kind: Column, params: Column, at: Column) -> Column:
+    """A JSON array of steps with one more."""
+    step = "array<struct<type:string,params:map<string,string>,timestamp:string>>"
+    return F.to_json(F.concat(F.coalesce(F.from_json(history, step), F.array().cast(step)), F.array(F.struct(kind.alias("type"), params.alias("params"), at.alias("timestamp")))))
 
 
-def event_chain(spark, lineage: DataFrame, hypothesis: int, depth: int = 64) -> DataFrame:
-    """Events of a hypothesis and all their ancestors, distinct, by a recursive query over the log's (id, parent) columns; an error where they go on beyond `depth`."""
-    lineage.select("lineage_id", "parent_id", "hypothesis_id").createOrReplaceTempView("tidemark_lineage")
-    depth, limit = depth + 1, depth
-    return whole(spark.sql(f"""WITH RECURSIVE chain(lineage_id, parent_id, depth) AS (
-      SELECT lineage_id, parent_id, 0 FROM tidemark_lineage WHERE hypothesis_id = {int(hypothesis)}
-      UNION ALL SELECT l.lineage_id, l.parent_id, c.depth + 1 FROM chain c JOIN tidemark_lineage l ON l.lineage_id = c.parent_id WHERE c.depth < {depth})
-      SELECT lineage_id, min(depth) AS depth FROM chain GROUP BY lineage_id"""), limit)
+def key_set(checks: Column, name: Column, value: Column) -> Column:
+    """A JSON map with one key set, new or not."""
+    old = F.coalesce(F.from_json(checks, "map<string,string>"), F.create_map().cast("map<string,string>"))
+    return F.to_json(F.map_concat(F.map_filter(old, lambda k, v: k != name), F.create_map(name, value)))
 
 
 def dependency_edges(definitions: DataFrame) -> DataFrame:
@@ -54,10 +88,9 @@ def dependency_edges(definitions: DataFrame) -> DataFrame:
     return definitions.select("feature", F.explode(F.from_json("inputs", "array<string>")).alias("input"))
 
 
-def closure(spark, edges: DataFrame, depth: int = 16) -> DataFrame:
-    """(feature, input, depth) over all steps; an error where they go on beyond `depth`."""
-    edges.createOrReplaceTempView("tidemark_edges")
-    depth, limit = depth + 1, depth
-    return whole(spark.sql(f"""WITH RECURSIVE up(feature, input, depth) AS (
-      SELECT feature, input, 1 FROM tidemark_edges UNION ALL SELECT u.feature, e.input, u.depth + 1 FROM up u JOIN tidemark_edges e ON e.feature = u.input WHERE u.depth < {depth})
-      SELECT feature, input, min(depth) AS depth FROM up GROUP BY feature, input"""), limit)
+def closure(edges: DataFrame) -> DataFrame:
+    """(feature, input, depth) over all steps of `edges` (feature, input)."""
+    steps = edges.where("feature is not null and input is not null")
+    start = steps.select(F.col("feature").alias("origin"), F.col("input").alias("node"))
+    found = reached(start, steps.select(F.col("feature").alias("node"), F.col("input").alias("to")))
+    return found.select(F.col("origin").alias("feature"), F.col("node").alias("input"), (F.col("depth") + 1).alias("depth"))

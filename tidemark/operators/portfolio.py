@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import hashlib
 import math
 from statistics import NormalDist
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
+
 YEAR = 252
 
 
@@ -80,6 +79,28 @@ def limited(weights: DataFrame, min_value: float = 1e6, most: float = 0.05, leas
 LIMITS = {"liquidity": ("weight", "w0"), "max_position": ("w0", "w1"), "min_position": ("w1", "w2"), "sector": ("w2", "w3"), "concentration": ("w3", "w4"), "gross": ("w4", "w5")}
 
 
+def warned(weights: DataFrame, min_value: float = 1e6, most: float = 0.05, least: float = 0.01, sector_limit: float = 0.25, unknown_limit: float = 0.10, top: int = 5, top_limit: float = 0.40, gross: float = 1.0) -> DataFrame:
+    """K12 in warn mode: weights stay, and each limit is held against them as they are: (date, symbol, limit, limit_value, actual).
+
+    Position limits name a symbol; of a sector, the largest names or a whole date that exceed a limit each member gives a row with the sum.
+    """
+    day, name = Window.partitionBy("date"), F.coalesce("sector", F.lit("Unknown"))
+    rank = F.row_number().over(day.orderBy(F.desc(F.round("weight", 12)), "symbol"))
+    cap = F.when(name == "Unknown", unknown_limit).otherwise(sector_limit)
+    d = weights.withColumn("__rn", rank).withColumn("__sector", F.sum("weight").over(Window.partitionBy("date", name))).withColumn("__gross", F.sum("weight").over(day))
+    d = d.withColumn("__top", F.sum(F.when(F.col("__rn") <= top, F.col("weight"))).over(day))
+    checks = {
+        "liquidity": (F.lit(min_value), F.coalesce("value_traded", F.lit(0.0)), (F.coalesce("value_traded", F.lit(0.0)) < min_value) & (F.col("weight") != 0)),
+        "max_position": (F.lit(most), F.col("weight"), F.col("weight") > most),
+        "min_position": (F.lit(least), F.col("weight"), (F.col("weight") > 0) & (F.col("weight") < least)),
+        "sector": (cap, F.col("__sector"), F.col("__sector") > cap),
+        "concentration": (F.lit(top_limit), F.col("__top"), (F.col("__rn") <= top) & (F.col("__top") > top_limit)),
+        "gross": (F.lit(gross), F.col("__gross"), F.col("__gross") > gross),
+    }
+    each = F.array_compact(F.array(*[F.when(broken, F.struct(F.lit(k).alias("limit"), limit.cast("double").alias("limit_value"), actual.cast("double").alias("actual"))) for k, (limit, actual, broken) in checks.items()]))
+    return d.select("date", "symbol", F.explode(each).alias("v")).select("date", "symbol", "v.*")
+
+
 def violations(limited_: DataFrame) -> DataFrame:
     """One row for each weight that a limit changed."""
     each = F.array(*[F.struct(F.lit(k).alias("limit"), F.col(a).alias("before"), F.col(b).alias("after")) for k, (a, b) in LIMITS.items()])
@@ -96,131 +117,282 @@ def impact_cost(shares: Column, price: Column, adv: Column, sigma: Column, per_s
 # --- helpers that keep state ----------------------------------------------------------------------------------------------------
 
 
-def stop_exits(df: DataFrame, level: float = 0.05) -> DataFrame:
-    """Trailing-stop exits of long positions per symbol: (symbol, entry_date, exit_date, entry_price, exit_price, days, pnl).
+STOPS = ("atr_trailing", "fixed_pct", "volatility_scaled")
+
+
+def stop_level(kind: str, multiple: float = 2.0, pct: float = 0.05, width: float = 2.0) -> Column:
+    """A bar's stop below its close: by the average true range (column atr), by a share, or by `width` times the daily volatility of 20 days (column vol20)."""
+    return {"atr_trailing": F.col("close") - multiple * F.col("atr"), "fixed_pct": F.col("close") * (1 - pct), "volatility_scaled": F.col("close") * (1 - width * F.col("vol20"))}[kind]
 
-    A position opens when the signal is on and none is open, closes when the close falls below the stop, which trails the highest close, and opens again
-    only after the signal was off. The state needs the days in order, so a group is one symbol's.
+
+def stop_scan(df: DataFrame, level: str = "stop_level", by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Every bar (by, date, low, signal, level) with trade (number of the position, by series), is_entry, is_exit and signal_after, the signal with stopped bars at 0.
+
+    A position opens on a bar whose signal is on while none is open, and is not checked on that bar. On later bars it is stopped where the low is at or
+    below the stop, and ends where the signal is off; after a stop the next bar with the signal on opens another. So within bars of one signal, of
+    neighbouring bars at their stop every other one is an exit: the state is a count of rows, and windows find it without a loop over bars.
+    """
+    w = Window.partitionBy(*by).orderBy("date")
+    on, before = F.col("signal") > 0, F.coalesce(F.lag(F.col("signal") > 0).over(w), F.lit(False))
+    d = df.withColumn("__on", F.coalesce(on, F.lit(False))).withColumn("__was", before).withColumn("__i", F.row_number().over(w))
+    start = F.col("__on") & ~F.col("__was")
+    hit = (F.col("__on") | F.col("__was")) & ~start & F.coalesce(F.col("low") <= F.col(level), F.lit(False))
+    d = d.withColumn("__start", start).withColumn("__hit", hit)
+    d = d.withColumn("__free", F.coalesce(F.max(F.when(~F.col("__hit"), F.col("__i"))).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)))
+    d = d.withColumn("is_exit", F.col("__hit") & ((F.col("__i") - F.col("__free")) % 2 == 1))
+    d = d.withColumn("is_entry", F.col("__start") | (F.col("__on") & F.coalesce(F.lag("is_exit").over(w), F.lit(False))))
+    d = d.withColumn("trade", F.sum(F.col("is_entry").cast("long")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return d.withColumn("signal_after", F.when(F.col("is_exit"), 0.0).otherwise(F.col("signal").cast("double"))).drop("__on", "__was", "__i", "__start", "__hit", "__free")
+
+
+def stop_exits(scanned: DataFrame, level: str = "stop_level", by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The stop events of `stop_scan`: (by, entry_date, exit_date, entry_price, exit_price, stop_level, trailing_high, pnl). Prices are the lows that are checked."""
+    w = Window.partitionBy(*by, "trade").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    e = scanned.withColumn("entry_date", F.first("date").over(w)).withColumn("entry_price", F.first("low").over(w)).withColumn("trailing_high", F.max("low").over(w)).where("is_exit")
+    return e.select(*by, "entry_date", F.col("date").alias("exit_date"), "entry_price", F.col("low").alias("exit_price"), F.col(level).alias("stop_level"), "trailing_high", (F.try_divide("low", "entry_price") - 1).alias("pnl"))
+
+
+def stop_statistics(scanned: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """Per series, stops, positions, their ratio, mean and summed result of stops, and mean holding time in calendar days; zeroes without a stop."""
+    events = stop_exits(scanned, by=by).groupBy(*by).agg(F.count("*").alias("n_stops"), F.avg("pnl").alias("mean_pnl"), F.sum("pnl").alias("sum_pnl"), F.avg(F.date_diff("exit_date", "entry_date")).alias("mean_days"))
+    trades = scanned.groupBy(*by).agg(F.count_if("is_entry").alias("n_trades"))
+    return trades.join(events, list(by), "left").fillna(0, ["n_stops", "mean_pnl", "sum_pnl", "mean_days"]).withColumn("stop_rate", F.coalesce(F.try_divide("n_stops", "n_trades"), F.lit(0.0)))
+
+
+def simulated_var(returns: DataFrame, key: str, draws: int = 10_000, level: float = 0.95, days: int = 1, heavy: bool = False) -> DataFrame:
+    """Value at risk and shortfall of simulated losses over `days`, fitted per group; normal, or `heavy`: Student's t fitted by its fourth moment.
+
+    The fit is one aggregation; draws are rows (group x draws) that Spark makes, hashes of group and number, so reruns agree and any executor can
+    make them again. t draws are a normal over the root of a mean of squared normals.
     """
-    kind = dict(df.dtypes)["symbol"]
-
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("date")
-        out, entry, blocked = [], None, False
-        for i, (day, close, on) in enumerate(zip(g["date"], g["close"], g["signal"] > 0, strict=True)):
-            if entry is not None:
-                if close < entry[3]:
-                    out.append((entry[0], day, entry[1], close, i - entry[2], close / entry[1] - 1))
-                    entry, blocked = None, True
-                elif not on:
-                    entry = None
-                else:
-                    entry[3] = max(entry[3], close * (1 - level))
-            elif on and not blocked:
-                entry = [day, close, i, close * (1 - level)]
-            blocked = blocked and on
-        res = pd.DataFrame(out, columns=["entry_date", "exit_date", "entry_price", "exit_price", "days", "pnl"])
-        res.insert(0, "symbol", g["symbol"].iloc[0])
-        return res
-
-    return df.select("symbol", "date", "close", "signal").groupBy("symbol").applyInPandas(run, f"symbol {kind}, entry_date date, exit_date date, entry_price double, exit_price double, days int, pnl double")
-
-
-def simulated_var(returns: DataFrame, key: str, draws: int = 10_000, level: float = 0.95) -> DataFrame:
-    """Value at risk of normal draws fitted per group; the seed follows from the key, so reruns agree."""
-    kind = dict(returns.dtypes)[key]
-    fit = returns.groupBy(key).agg(F.avg("r").alias("mu"), F.stddev_samp("r").alias("sigma"), F.count("r").alias("n")).where("n >= 30")
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for k, mu, sigma in zip(pdf[key], pdf["mu"], pdf["sigma"], strict=True):
-                rng = np.random.default_rng(int.from_bytes(hashlib.sha256(str(k).encode()).digest()[:8], "big"))
-                x = rng.normal(mu, sigma, draws)
-                q = np.quantile(x, 1 - level)
-                out.append((k, -q, -x[x <= q].mean()))
-            yield pd.DataFrame(out, columns=[key, "var", "cvar"])
-
-    return fit.mapInPandas(run, f"{key} {kind}, var double, cvar double")
-
-
-def bootstrap(returns: DataFrame, key: str, resamples: int = 200) -> DataFrame:
-    """Percentile interval of the mean by Poisson weights: replicates are columns of partial sums, so groups are never gathered."""
-    kind = dict(returns.dtypes)[key]
-
-    def partial(batches):
-        for pdf in batches:
-            pdf = pdf[pdf["r"].notna()]
-            if not len(pdf):
-                continue
-            seed = np.array([int.from_bytes(hashlib.blake2b(f"{k}|{d}|{r!r}".encode(), digest_size=8).digest(), "big") for k, d, r in zip(pdf[key], pdf["date"], pdf["r"], strict=True)], np.uint64)
-            u = ((seed[:, None] ^ (np.arange(resamples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(11)
-            cdf = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(8)])
-            weight = np.searchsorted(cdf, u / 2.0**53, "right").astype(float)
-            groups, at = np.unique(pdf[key].to_numpy(), return_inverse=True)
-            n, s = np.zeros((len(groups), resamples)), np.zeros((len(groups), resamples))
-            np.add.at(n, at, weight)
-            np.add.at(s, at, weight * pdf["r"].to_numpy()[:, None])
-            yield pd.DataFrame({key: np.repeat(groups, resamples), "replicate": np.tile(np.arange(resamples), len(groups)), "n": n.ravel(), "s": s.ravel()})
-
-    sums = returns.select(key, "date", "r").mapInPandas(partial, f"{key} {kind}, replicate int, n double, s double").groupBy(key, "replicate").agg(F.try_divide(F.sum("s"), F.sum("n")).alias("m"))
-    return sums.groupBy(key).agg(F.expr("percentile(m, 0.025)").alias("low"), F.expr("percentile(m, 0.975)").alias("high"))
-
-
-def student_cdf(t: float, df: float) -> float:
-    """Student's t distribution by the continued fraction of the incomplete beta function."""
-    if df <= 0 or t != t:
-        return math.nan
-    x = df / (df + t * t)
-    a, b = df / 2, 0.5
-
-    def fraction(a: float, b: float, x: float) -> float:
-        c, d = 1.0, 1 - (a + b) * x / (a + 1)
-        d = 1 / (d if abs(d) > 1e-300 else 1e-300)
-        h = d
-        for m in range(1, 300):
-            for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
-                d = 1 + num * d
-                c = 1 + num / c
-                d, c = 1 / (d if abs(d) > 1e-300 else 1e-300), c if abs(c) > 1e-300 else 1e-300
-                h *= d * c
-            if abs(d * c - 1) < 1e-14:
-                break
-        return h
-
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) if 0 < x < 1 else 0.0
-    tail = front * fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * fraction(b, a, 1 - x) / b
-    return 1 - tail / 2 if t > 0 else tail / 2
-
-
-def _student(t: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([1 - student_cdf(x, k - 1) for x, k in zip(t, n, strict=True)])
+    fit = returns.groupBy(key).agg(F.avg("r").alias("__mu"), F.stddev_samp("r").alias("__sigma"), F.kurtosis("r").alias("__k"), F.count("r").alias("__n")).where("__n >= 30")
+    # t with f degrees of freedom has excess kurtosis 6 / (f - 4)
+    freedom = F.when(F.lit(heavy) & (F.col("__k") > 0.05), F.least(F.lit(30), F.greatest(F.lit(5), F.round(4 + 6 / F.col("__k")).cast("int"))))
+    uniform = lambda *salt: (F.shiftrightunsigned(F.xxhash64(F.col(key), F.col("__i"), *salt), 11).cast("double") + 0.5) / float(1 << 53)
+    normal = lambda *salt: F.sqrt(-2 * F.log(uniform(*salt, F.lit(1)))) * F.cos(2 * math.pi * uniform(*salt, F.lit(2)))
+    each = fit.withColumn("__f", freedom).withColumn("__i", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+    if heavy:
+        wide = F.aggregate(F.transform(F.sequence(F.lit(1), F.coalesce("__f", F.lit(1))), lambda j: F.pow(normal(F.lit(-1), j), 2)), F.lit(0.0), lambda a, x: a + x)
+        one = lambda day: F.col("__mu") + F.col("__sigma") * normal(F.lit(day)) * F.when(F.col("__f").isNotNull(), F.sqrt((F.col("__f") - 2) / wide)).otherwise(1.0)
+    else:
+        one = lambda day: F.col("__mu") + F.col("__sigma") * normal(F.lit(day))
+    losses = each.select(key, (-sum((one(day) for day in range(days)), F.lit(0.0))).alias("loss"))
+    q = losses.groupBy(key).agg(F.expr(f"percentile(loss, {level})").alias("var"))
+    return losses.join(q, key).where("loss >= var").groupBy(key).agg(F.first("var").alias("var"), F.avg("loss").alias("cvar"))
+
+
+def bootstrap(returns: DataFrame, key: str, resamples: int = 200, level: float = 0.95) -> DataFrame:
+    """Percentile intervals of annual mean, Sharpe ratio and deviation by Poisson weights: replicates are partial sums, so groups are never gathered.
+
+    A row's weight in a replicate is a Poisson(1) draw by a hash of the row and the replicate, so reruns agree.
+    """
+    cdf, total = [], 0.0
+    for i in range(8):
+        total += math.exp(-1) / math.factorial(i)
+        cdf.append(total)
+    rows = returns.where("r is not null").select(key, "date", "r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate"))
+    u = F.shiftrightunsigned(F.xxhash64(key, "date", "r", "replicate"), 11).cast("double") / float(1 << 53)
+    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cdf), F.lit(0))
+    sums = rows.withColumn("w", weight).where("w > 0").groupBy(key, "replicate").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("r")).alias("s"), F.sum(F.col("w") * F.col("r") * F.col("r")).alias("q"))
+    sd = F.sqrt(F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0)) / (F.col("n") - 1))
+    each = sums.where("n > 1").select(key, (F.col("s") / F.col("n") * YEAR).alias("mean"), (sd * YEAR**0.5).alias("std"), F.when(sd > 0, F.col("s") / F.col("n") / sd * YEAR**0.5).otherwise(0.0).alias("sharpe"))
+    low, high = (1 - level) / 2, (1 + level) / 2
+    return each.groupBy(key).agg(*[F.expr(f"percentile({c}, {q})").alias(f"{c}_{side}") for c in ("mean", "sharpe", "std") for side, q in (("low", low), ("high", high))])
+
+
+def student_tail(t: Column, freedom: Column) -> Column:
+    """Upper tail of Student's t for whole degrees of freedom, by its finite series in the angle atan(t / sqrt(freedom)); all in columns."""
+    angle, even = F.atan(t / F.sqrt(freedom)), freedom % 2 == 0
+    # even: sin * (1 + 1/2 cos^2 + 1*3/(2*4) cos^4 ...), odd: 2/pi * (angle + sin * (cos + 2/3 cos^3 + ...)), each with floor(freedom / 2) terms
+    terms = F.floor(freedom / 2).cast("int")
+    first = F.when(even, 1.0).otherwise(F.cos(angle))
+    step = F.struct(F.lit(0.0).alias("total"), first.cast("double").alias("term"))
+    odd = F.when(even, 0.0).otherwise(1.0)
+    series = F.aggregate(
+        F.when(terms >= 1, F.sequence(F.lit(1), terms)).otherwise(F.array().cast("array<int>")), step,
+        lambda a, k: F.struct((a["total"] + a["term"]).alias("total"), (a["term"] * F.pow(F.cos(angle), 2) * (2 * k - 1 + odd) / (2 * k + odd)).alias("term")),
+    )["total"]
+    within = F.when(even, F.sin(angle) * series).otherwise(2 / math.pi * (angle + F.sin(angle) * series))
+    return 0.5 - within / 2
 
 
 def significance(stats: DataFrame, trials: int) -> DataFrame:
     """Of (mean, sd, n) per key: Sharpe with its error and t, the Sharpe to expect of the best of `trials`, and the p of a positive mean."""
-    p = F.pandas_udf(_student, "double")
     s = F.col("mean") / F.col("sd")
     se = F.sqrt((1 + s * s / 2) / F.col("n"))
     best = NormalDist().inv_cdf(1 - 1 / trials)
     d = stats.where("sd > 0 and n > 2").withColumn("sharpe", s).withColumn("se", se).withColumn("t", s * F.sqrt("n"))
-    return d.withColumn("expected_best", F.col("se") * best).withColumn("deflated", F.col("sharpe") > F.col("se") * best).withColumn("p_value", p("t", "n"))
+    return d.withColumn("expected_best", F.col("se") * best).withColumn("deflated", F.col("sharpe") > F.col("se") * best).withColumn("p_value", student_tail(F.col("t"), F.col("n") - 1))
+
+
+def correlations(returns: DataFrame, halflife: float | None = None, complete: bool = False) -> DataFrame:
+    """(a, b, n, corr, cov) of all pairs of names with a common day, a < b, over the days that both have.
+
+    One equi-join on the date; the names of a day are a market's, not the data's, so its pairs are the output's own size. `complete` keeps days that every
+    name has; `halflife` weighs days by age in sessions, as a debiased exponential covariance.
+    """
+    x = returns.where("r is not null").select("symbol", "date", "r")
+    days = x.groupBy("date").agg(F.count("*").alias("names"))  # one row a date
+    if complete:
+        names = x.select("symbol").distinct().agg(F.count("*").alias("every"))
+        x = x.join(days.crossJoin(F.broadcast(names)).where("names = every").select("date"), "date")
+    if halflife is not None:
+        age = days.select("date", (F.row_number().over(Window.orderBy(F.desc("date"))) - 1).alias("age"))
+        x = x.join(age, "date").withColumn("w", F.pow(F.lit(0.5), F.col("age") / halflife)).drop("age")
+    else:
+        x = x.withColumn("w", F.lit(1.0))
+    y = x.select("date", F.col("symbol").alias("b"), F.col("r").alias("rb"))
+    j = x.withColumnRenamed("symbol", "a").join(y, "date").where("a < b")
+    if halflife is None:
+        return j.groupBy("a", "b").agg(F.count("*").alias("n"), F.corr("r", "rb").alias("corr"), F.covar_samp("r", "rb").alias("cov"))
+    s = lambda c: F.sum(F.col("w") * c)
+    g = j.groupBy("a", "b").agg(F.count("*").alias("n"), F.sum("w").alias("w"), s(F.col("w")).alias("w2"), s(F.col("r")).alias("x"), s(F.col("rb")).alias("y"), s(F.col("r") * F.col("rb")).alias("xy"), s(F.col("r") * F.col("r")).alias("xx"), s(F.col("rb") * F.col("rb")).alias("yy"))
+    spread = lambda p, u, v: F.col(p) / F.col("w") - F.col(u) / F.col("w") * F.col(v) / F.col("w")
+    free = F.try_divide(F.col("w") * F.col("w"), F.col("w") * F.col("w") - F.col("w2"))
+    return g.select("a", "b", "n", F.try_divide(spread("xy", "x", "y"), F.sqrt(spread("xx", "x", "x") * spread("yy", "y", "y"))).alias("corr"), (spread("xy", "x", "y") * free).alias("cov"))
 
 
 def drop_correlated(signals: DataFrame, edges: DataFrame, limit: float = 0.7) -> DataFrame:
-    """Names of each batch without a stronger one they correlate with beyond the limit, chosen greedily from the strongest.
+    """Names (symbol, strength, ...) without a stronger one they correlate with beyond the limit, chosen greedily from the strongest.
+
+    Rounds instead of a loop over names: a name stays when every stronger neighbour is out, goes when one of them stays; each round is a join of the
+    open names with their stronger neighbours, and a written table. The strongest open name is always decided, and mostly whole layers are.
+    """
+    close = edges.where(F.abs("corr") > limit).select("a", "b")
+    close = close.union(close.select("b", "a"))
+    rank = signals.select("symbol", "strength")
+    mine, other = rank.select(F.col("symbol").alias("a"), F.col("strength").alias("s")), rank.select(F.col("symbol").alias("b"), F.col("strength").alias("bs"))
+    stronger = written(close.join(mine, "a").join(other, "b").where("bs > s or (bs = s and b < a)").select("a", "b").distinct(), "stronger")
+    state = written(rank.select("symbol", F.lit(None).cast("boolean").alias("stay")), "kept")
+    while not state.where("stay is null").isEmpty():
+        above = stronger.join(state.select(F.col("symbol").alias("b"), F.col("stay").alias("b_stay")), "b")
+        seen = above.groupBy("a").agg(F.bool_or(F.coalesce("b_stay", F.lit(False))).alias("beaten"), F.count_if(F.col("b_stay").isNull()).alias("open"))
+        decided = F.coalesce("stay", F.when(F.coalesce("beaten", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True))
+        state = written(state.join(seen, state["symbol"] == seen["a"], "left").select("symbol", decided.alias("stay")), "kept")
+    return signals.join(state.where("stay").select("symbol"), "symbol", "left_semi")
+
+
+def top_of_sector(signals: DataFrame, positions: int = 20, share: float = 0.3) -> DataFrame:
+    """Of each sector (null is one of its own) the max(1, positions x share) strongest names."""
+    w = Window.partitionBy(F.coalesce("sector", F.lit("Unknown"))).orderBy(F.desc("strength"), "symbol")
+    return signals.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= max(1, int(positions * share))).drop("__rn")
+
+
+def inverse_volatility(names: DataFrame, old: DataFrame, most: float = 0.10, turnover: float = 0.2, dust: float = 0.001) -> DataFrame:
+    """(symbol, raw, capped, turnover, weight) of names (symbol, signal, sd) against the old weights (symbol, old), one batch of names at a time.
+
+    |signal| / sd, normalised; capped once, the excess shared among the rest up to the cap; then blended with the old weights so that the one-way
+    turnover meets its limit (turnover is linear in the blend, so the factor is limit / turnover); what is left below `dust` goes, the rest sums to 1.
+    """
+    batch = Window.partitionBy(F.lit(1))  # a portfolio's names
+    x = names.withColumn("__x", F.abs("signal") * F.when(F.col("sd") > 0, 1 / F.col("sd")).otherwise(1.0))
+    total = F.sum("__x").over(batch)
+    x = x.withColumn("raw", F.when(total > 0, F.col("__x") / total).otherwise(1.0 / F.count("*").over(batch)))
+    x = x.withColumn("__c", F.least("raw", F.lit(most)))
+    free = F.sum(F.when(F.col("__c") < most, F.col("__c"))).over(batch)
+    x = x.withColumn("__c", F.when(F.col("__c") < most, F.least(F.col("__c") + F.sum(F.col("raw") - F.col("__c")).over(batch) * F.col("__c") / free, F.lit(most))).otherwise(F.col("__c")))
+    x = x.withColumn("capped", F.col("__c") / F.sum("__c").over(batch))
+    both = x.select("symbol", "raw", "capped").join(old.select("symbol", "old"), "symbol", "full_outer").fillna(0.0, ["raw", "capped", "old"])
+    both = both.withColumn("turnover", 0.5 * F.sum(F.abs(F.col("capped") - F.col("old"))).over(batch))
+    blend = F.when(F.col("turnover") > turnover, turnover / F.col("turnover")).otherwise(1.0)
+    both = both.withColumn("__w", blend * F.col("capped") + (1 - blend) * F.col("old")).withColumn("__w", F.when(F.col("__w") > dust, F.col("__w")).otherwise(0.0))
+    return both.select("symbol", "raw", "capped", "turnover", F.try_divide("__w", F.sum("__w").over(batch)).alias("weight"))
+
+
+def solved(df: DataFrame, matrix: list[list[Column]], right: list[Column], names: list[str]) -> DataFrame:
+    """df with the solution of a small symmetric positive system for each row, by elimination in columns; null where it is singular."""
+    n = len(right)
+    cell = lambda i, j: f"__cell{i}_{j}"
+    d = df.select("*", *[matrix[i][j].alias(cell(i, j)) for i in range(n) for j in range(n)], *[right[i].alias(cell(i, n)) for i in range(n)])
+    for k in range(n):
+        rows = [i for i in range(n) if i != k]
+        keep = [c for c in d.columns if not c.startswith("__cell")]
+        pivot = [F.try_divide(F.col(cell(k, j)), F.col(cell(k, k))) for j in range(n + 1)]
+        d = d.select(*keep, *[pivot[j].alias(cell(k, j)) for j in range(n + 1)], *[(F.col(cell(i, j)) - F.col(cell(i, k)) * pivot[j]).alias(cell(i, j)) for i in rows for j in range(n + 1)])
+    keep = [c for c in d.columns if not c.startswith("__cell")]
+    return d.select(*keep, *[F.col(cell(i, n)).alias(name) for i, name in enumerate(names)])
+
+
+def factor_attribution(j: DataFrame, y: str, factors: list[str], key: str) -> DataFrame:
+    """Per key, the exposure to each factor, its contribution (exposure x mean factor), alpha as the rest of the mean, and R2.
+
+    One factor: least squares with intercept. Several: without, from sums of cross-products that one aggregation gives, solved in columns.
+    """
+    j = j.where(" and ".join(f"{c} is not null" for c in (y, *factors)))
+    if len(factors) == 1:
+        f = factors[0]
+        g = j.groupBy(key).agg(F.count("*").alias("n"), F.avg(y).alias("__y"), F.avg(f).alias(f"__mean_{f}"), F.regr_slope(y, f).alias(f"beta_{f}"), F.regr_r2(y, f).alias("r2"))
+    else:
+        m = len(factors)
+        aggs = [F.count("*").alias("n"), F.avg(y).alias("__y"), F.var_pop(y).alias("__var"), F.sum(F.col(y) * F.col(y)).alias("__yy")]
+        aggs += [F.avg(f).alias(f"__mean_{f}") for f in factors] + [F.sum(F.col(f) * F.col(y)).alias(f"__b{i}") for i, f in enumerate(factors)]
+        aggs += [F.sum(F.col(factors[a]) * F.col(factors[b])).alias(f"__a{a}_{b}") for a in range(m) for b in range(a, m)]
+        at = lambda a, b: F.col(f"__a{min(a, b)}_{max(a, b)}")
+        g = solved(j.groupBy(key).agg(*aggs), [[at(a, b) for b in range(m)] for a in range(m)], [F.col(f"__b{i}") for i in range(m)], [f"beta_{f}" for f in factors])
+        rest = F.col("__yy") - sum((F.col(f"beta_{f}") * F.col(f"__b{i}") for i, f in enumerate(factors)), F.lit(0.0))
+        g = g.withColumn("r2", 1 - F.try_divide(rest, F.col("__var") * F.col("n")))
+    parts = [(F.col(f"beta_{f}") * F.col(f"__mean_{f}")).alias(f"contribution_{f}") for f in factors]
+    alpha = F.col("__y") - sum((F.col(f"beta_{f}") * F.col(f"__mean_{f}") for f in factors), F.lit(0.0))
+    return g.select(key, "n", *[f"beta_{f}" for f in factors], *parts, alpha.alias("alpha"), "r2")
+
+
+def historical_var(returns: DataFrame, key: str, level: float = 0.95, days: int = 1) -> DataFrame:
+    """(key, n, var, cvar): quantile of losses over overlapping sums of `days` returns, and the mean of losses from there on; null keys are one key.
+
+    Keys of fewer than 30 sums are left out.
+    """
+    w = Window.partitionBy(key).orderBy("date")
+    x = returns.where("r is not null").select(key, "date", "r")
+    if days > 1:
+        frame = w.rowsBetween(-(days - 1), 0)
+        x = x.select(key, "date", F.sum("r").over(frame).alias("r"), F.count("*").over(frame).alias("__n")).where(F.col("__n") == days)
+    x = x.select(F.col(key).alias("__k"), (-F.col("r")).alias("loss"))
+    q = x.groupBy("__k").agg(F.expr(f"percentile(loss, {level})").alias("v"), F.count("*").alias("n")).where(f"n >= {30 + (1 if days > 1 else 0)}")
+    tail = x.join(q.withColumnRenamed("__k", "__q"), F.col("__k").eqNullSafe(F.col("__q"))).where("loss >= v")
+    return tail.groupBy(F.col("__k").alias(key)).agg(F.first("n").alias("n"), F.first("v").alias("var"), F.avg("loss").alias("cvar"))
+
+
+def tail_risk(returns: DataFrame, key: str, least: int = 20) -> DataFrame:
+    """Per key, quantiles and shortfalls at 5 and 1 %, population skewness and kurtosis, worst day, share of positive days; all null below `least` days."""
+    x = returns.where("r is not null").select(key, "r")
+    g = x.groupBy(key).agg(F.count("*").alias("n"), F.expr("percentile(r, 0.05)").alias("q5"), F.expr("percentile(r, 0.01)").alias("q1"), F.skewness("r").alias("skewness"), F.kurtosis("r").alias("kurtosis"), F.min("r").alias("worst"), (100 * F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0))).alias("positive_pct"))
+    low = x.join(g.select(key, "q5", "q1"), key).where("r <= q5").groupBy(key).agg(F.avg("r").alias("c5"), F.avg(F.when(F.col("r") <= F.col("q1"), F.col("r"))).alias("c1"))
+    d = g.join(low, key, "left").withColumnsRenamed({"q5": "var_95", "q1": "var_99", "c5": "cvar_95", "c1": "cvar_99"})
+    return d.select(key, "n", *[F.when(F.col("n") >= least, F.col(c)).alias(c) for c in ("var_95", "cvar_95", "var_99", "cvar_99", "skewness", "kurtosis", "worst", "positive_pct")])
+
+
+#: Fixed thresholds: name of the measure -> (bound, whether it is the least allowed).
+CRITERIA = {"sharpe": (0.5, True), "trades": (100, True), "max_drawdown": (0.25, False), "win_rate": (0.40, True), "profit_factor": (1.2, True), "oos_days": (730, True), "var": (0.05, False), "cvar": (0.08, False)}
+
+
+def validated(m: DataFrame) -> DataFrame:
+    """M (the measures of CRITERIA; var and cvar as losses of any sign) with the failed criteria in order, passed, and a confidence of 0 to 1.
 
-    Rounds instead of a loop over names: a name stays when every stronger neighbour is out, goes when one of them stays; each round is a join.
+    A missing measure fails as the worst value would, but var and cvar, which are then not held against anything. Confidence is the mean of what there is of
+    Sharpe and trades against twice their least, and of the room below the bounds of var and cvar.
     """
-    close = edges.where(F.abs("corr") > limit).select("a", "b", "corr")
-    close = close.union(close.select("b", "a", "corr"))
-    state = signals.select("symbol", "strength", F.lit(None).cast("boolean").alias("stay"))
-    while True:
-        other = state.select(F.col("symbol").alias("b"), F.col("strength").alias("bs"), F.col("stay").alias("b_stay"))
-        stronger = close.join(state.select(F.col("symbol").alias("a"), F.col("strength").alias("s")), "a").join(other, "b").where((F.col("bs") > F.col("s")) | ((F.col("bs") == F.col("s")) & (F.col("b") < F.col("a"))))
-        seen = stronger.groupBy("a").agg(F.bool_or(F.coalesce("b_stay", F.lit(False))).alias("beaten"), F.count_if(F.col("b_stay").isNull()).alias("open"))
-        state = state.join(seen, state["symbol"] == seen["a"], "left").select("symbol", "strength", F.coalesce("stay", F.when(F.coalesce("beaten", F.lit(False)), False).when(F.coalesce("open", F.lit(0)) == 0, True)).alias("stay"))
-        rows = state.collect()  # a batch of candidates, a few dozen names
-        state = signals.sparkSession.createDataFrame(rows, state.schema)
-        if all(x["stay"] is not None for x in rows):
-            return state.where("stay").drop("stay")
+    failed = []
+    for name, (bound, at_least) in CRITERIA.items():
+        v = F.abs(F.col(name)) if name in ("var", "cvar") else F.coalesce(F.col(name), F.lit(0.0 if at_least else 1.0))
+        failed.append(F.when(v < bound if at_least else v > bound, name))
+    most = lambda c, name: F.when(c != 0, F.least(F.lit(1.0), c / (2 * CRITERIA[name][0])))
+    room = lambda name: F.when(F.col(name) != 0, F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1.5 - F.abs(F.col(name)) / CRITERIA[name][0])))
+    parts = F.array_compact(F.array(most(F.col("sharpe"), "sharpe"), most(F.col("trades").cast("double"), "trades"), room("var"), room("cvar")))
+    score = F.when(F.size(parts) > 0, F.aggregate(parts, F.lit(0.0), lambda a, x: a + x) / F.size(parts)).otherwise(0.0)
+    d = m.withColumn("failed", F.array_compact(F.array(*failed)))
+    return d.withColumn("passed", F.size("failed") == 0).withColumn("confidence", score)
+
+
+def piecewise(x: Column, bad: float, target: float, good: float) -> Column:
+    """0 at bad or beyond, a half at the target, 1 at good or beyond, straight between; good may lie below bad. Null is 0."""
+    sign = 1 if good > bad else -1
+    v = x * sign
+    b, t, g = bad * sign, target * sign, good * sign
+    return F.coalesce(F.when(v <= b, 0.0).when(v >= g, 1.0).when(v <= t, 0.5 * (v - b) / (t - b)).otherwise(0.5 + 0.5 * (v - t) / (g - t)), F.lit(0.0))
+
+
+def decisions(dimensions: list[str], critical: Column) -> tuple[Column, Column]:
+    """The mean of the dimensions' scores, and what follows: PIVOT on a critical failure, else CONTINUE from 0.75, CONDITIONAL from 0.5, KILL."""
+    score = sum((F.col(c) for c in dimensions), F.lit(0.0)) / len(dimensions)
+    kept = F.round(score + 1.7e-8, 6)
+    return score, F.when(critical, "PIVOT").when(kept >= 0.75, "CONTINUE").when(kept >= 0.5, "CONDITIONAL").otherwise("KILL")

@@ -33,13 +33,12 @@ def gaps(prices: DataFrame, calendar: DataFrame, share: float = 0.8, critical: i
     """Q03: symbols with fewer than `share` of the sessions but the last; n_missing and the first five missing dates. The calendar is one row a session."""
     sessions = calendar.select("date").distinct()
     last = sessions.agg(F.max("date").alias("last"))
-    sessions = F.broadcast(sessions.join(last, F.col("date") < F.col("last")).select("date"))  # one row a session
-    every = prices.select("symbol").distinct().crossJoin(sessions)
-    missing = every.join(prices.select("symbol", "date").distinct(), ["symbol", "date"], "left_anti")
-    per = missing.groupBy("symbol").agg(F.count("*").alias("n_missing"), F.slice(F.array_sort(F.collect_list("date")), 1, 5).alias("first_missing"))
-    n = sessions.agg(F.count("*").alias("expected"))
-    flagged = per.crossJoin(F.broadcast(n)).where(F.col("expected") - F.col("n_missing") < F.floor(share * F.col("expected")))
-    return flagged.select("symbol", "expected", "n_missing", "first_missing", F.when(F.col("n_missing") > critical, "critical").otherwise("warning").alias("severity"))
+    every = sessions.join(F.broadcast(last), F.col("date") < F.col("last")).agg(F.array_sort(F.collect_list("date")).alias("sessions"))  # one row: a calendar
+    own = prices.groupBy("symbol").agg(F.collect_set("date").alias("own"))  # a symbol's days, at most the calendar's
+    missing = F.array_except("sessions", "own")
+    flagged = own.join(F.broadcast(every)).select("symbol", F.size("sessions").cast("long").alias("expected"), missing.alias("missing")).withColumn("n_missing", F.size("missing").cast("long"))
+    flagged = flagged.where((F.col("n_missing") > 0) & (F.col("expected") - F.col("n_missing") < F.floor(share * F.col("expected"))))
+    return flagged.select("symbol", "expected", "n_missing", F.slice("missing", 1, 5).alias("first_missing"), F.when(F.col("n_missing") > critical, "critical").otherwise("warning").alias("severity"))
 
 
 def stale(active: DataFrame, prices: DataFrame, day: str, days: int = 3, critical: int = 7) -> DataFrame:

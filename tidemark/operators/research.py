@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .portfolio import solved
+
+
 def by_symbol() -> Window:
     return Window.partitionBy("symbol").orderBy("date")
 
@@ -130,6 +135,13 @@ def with_folds(df: DataFrame, folds: list[tuple[int, int, int, int, int]]) -> Da
     return df.join(held, "date")
 
 
+def after_embargo(df: DataFrame, rows: int, *by: str) -> DataFrame:
+    """Test rows without the first `rows` of each group, in order of date and symbol; a group that has no more than these keeps all."""
+    w = Window.partitionBy(*by)
+    d = df.withColumn("__i", F.row_number().over(w.orderBy("date", "symbol"))).withColumn("__n", F.count("*").over(w))
+    return d.where((F.col("__i") > rows) | (F.col("__n") <= rows)).drop("__i", "__n")
+
+
 def fold_metrics(df: DataFrame, y: str, p: str, *by: str) -> DataFrame:
     """Mse, mae, r2 and rank IC of non-null pairs."""
     pairs = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
@@ -147,6 +159,39 @@ def binned_information(df: DataFrame, x: str, y: str, bins: int, *by: str) -> Da
     return cell.withColumn("term", term).groupBy(*by).agg(F.sum("term").alias("information"))
 
 
+def refit_predictions(df: DataFrame, features: list[str], y: str, lookback: int, every: int, horizon: int, ridge: float = 0.0, least: int = 50) -> DataFrame:
+    """(symbol, date, refit_date, prediction): ridge models refitted every `every` dates on the `lookback` dates before, carried forward between.
+
+    The last `horizon` training dates are left out, as their targets reach beyond the refit. Sums of cross-products are taken once per date; a refit's are
+    window sums over these, one row a date, so no row of the panel is read again for another refit. A symbol without all features on the refit date
+    has no prediction until the next; a refit of fewer than `least` rows makes none.
+    """
+    m, x = len(features), [F.col(f) for f in features]
+    ok = F.col(y).isNotNull()
+    for c in x:
+        ok = ok & c.isNotNull()
+    pick = lambda c: F.sum(F.when(ok, c).otherwise(0.0))
+    sums = {"n": F.count_if(ok).cast("double"), "y": pick(F.col(y)), **{f"x{i}": pick(x[i]) for i in range(m)}, **{f"p{i}": pick(x[i] * F.col(y)) for i in range(m)}, **{f"q{i}_{j}": pick(x[i] * x[j]) for i in range(m) for j in range(i, m)}}
+    daily = df.groupBy("date").agg(*[v.alias(k) for k, v in sums.items()])
+    w = Window.orderBy("date")  # one row a date
+    daily = daily.withColumn("day", F.row_number().over(w) - 1)
+    back = w.rowsBetween(-lookback, -1 - horizon)
+    rolled = daily.select("date", "day", *[F.sum(k).over(back).alias(k) for k in sums]).where((F.col("day") >= lookback) & ((F.col("day") - lookback) % every == 0) & (F.col("n") >= least))
+    q = lambda i, j: F.col(f"q{min(i, j)}_{max(i, j)}") - F.col(f"x{i}") * F.col(f"x{j}") / F.col("n") + (ridge if i == j else 0.0)
+    fitted = solved(rolled, [[q(i, j) for j in range(m)] for i in range(m)], [F.col(f"p{i}") - F.col(f"x{i}") * F.col("y") / F.col("n") for i in range(m)], [f"__b{i}" for i in range(m)])
+    fitted = fitted.select(F.col("date").alias("refit_date"), *[f"__b{i}" for i in range(m)], ((F.col("y") - sum((F.col(f"__b{i}") * F.col(f"x{i}") for i in range(m)), F.lit(0.0))) / F.col("n")).alias("__b"))
+    score = F.col("__b") + sum((F.col(f"__b{i}") * x[i] for i in range(m)), F.lit(0.0))
+    on_refit = df.select("symbol", "date", *features).join(fitted, F.col("date") == F.col("refit_date")).select("symbol", "refit_date", score.alias("prediction")).where("prediction is not null")
+    carried = F.last(F.when((F.col("day") >= lookback) & ((F.col("day") - lookback) % every == 0), F.col("date")), ignorenulls=True).over(w)
+    plan = daily.select("date", carried.alias("refit_date")).where("refit_date is not null")
+    return df.select("symbol", "date").join(plan, "date").join(on_refit, ["symbol", "refit_date"]).select("symbol", "date", "refit_date", "prediction")
+
+
+def sharpe_decay(train: Column, test: Column) -> Column:
+    """Share of the training Sharpe that is lost out of sample: 1 where the test's is negative, 0 where the training's isn't positive."""
+    return F.when(test < 0, 1.0).when(train <= 0, 0.0).otherwise(F.greatest(F.lit(0.0), (train - test) / train))
+
+
 def leakage(corr: Column, name: Column) -> Column:
     """Severity of a feature's correlation with the target, or of its name."""
     return F.when(F.abs(corr) >= 0.95, "critical").when(F.abs(corr) >= 0.85, "warning").when(F.lower(name).rlike(r"future|next|forward|lead|target|t\+\d"), "name").otherwise("ok")
@@ -172,11 +217,34 @@ def runs(df: DataFrame, label: str, key: str = "symbol", at: str = "date") -> Da
     return df.withColumn("island", island).groupBy(key, "island", label).agg(F.min(at).alias("start"), F.max(at).alias("end"), F.count("*").alias("length")).drop("island")
 
 
-def combinations(params: dict[str, list[float]], rules: dict[str, str], spark) -> DataFrame:
-    """The product of parameter lists, and how many rules each combination breaks. Lists are a caller's few values."""
-    out = None
-    for name, vals in params.items():
-        one = spark.createDataFrame([(float(v),) for v in vals], f"{name} double")
-        out = one if out is None else out.crossJoin(one)
-    broken = sum(F.when(F.expr(rule), 0).otherwise(1) for rule in rules.values())
-    return out.withColumn("broken", broken)
+def holds(kind: str, params: list[str], value: float = 0.0, upper: float | None = None) -> Column:
+    """Whether a row's parameters satisfy a constraint of one of the fourteen kinds; a missing parameter is 0."""
+    p = [F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in params]
+    total, product = sum(p, F.lit(0.0)), F.lit(1.0)
+    for c in p:
+        product = product * c
+    nonzero = sum((F.when(c != 0, 1).otherwise(0) for c in p), F.lit(0))
+    near = lambda a, b: F.abs(a - b) <= 1e-8 + 1e-5 * F.abs(b)
+    within = lambda c: (c >= value) if upper is None else (c >= value) & (c <= upper)
+    every = lambda cs: F.lit(True) if not cs else F.forall(F.array(*cs), lambda x: x)
+    second = p[1] if len(p) > 1 else F.lit(None).cast("double")
+    return {
+        "sum_equals": lambda: near(total, F.lit(float(value))), "max_total": lambda: total <= value, "min_total": lambda: total >= value,
+        "difference_min": lambda: F.coalesce(p[0] - second >= value, F.lit(True)), "difference_max": lambda: F.coalesce(p[0] - second <= value, F.lit(True)),
+        "ratio_bound": lambda: F.coalesce(within(F.try_divide(p[0], second)), F.lit(True)), "exclusion": lambda: nonzero <= 1, "range_bound": lambda: within(p[0]),
+        "product_max": lambda: product <= value, "product_min": lambda: product >= value,
+        "same_sign": lambda: ~(F.exists(F.array(*p), lambda x: x > 0) & F.exists(F.array(*p), lambda x: x < 0)) if len(p) > 1 else F.lit(True),
+        "step_multiple": lambda: every([near(c % value, F.lit(0.0)) | near(c % value, F.lit(float(value))) for c in p] if value else []),
+        "monotonic_increasing": lambda: every([a < b for a, b in zip(p, p[1:], strict=False)]), "at_least_n_nonzero": lambda: nonzero >= int(value),
+    }[kind]()
+
+
+def checked(combos: DataFrame, constraints: dict[str, Column]) -> DataFrame:
+    """Combinations with `broken`, the names of the constraints that they violate; valid ones have none."""
+    return combos.withColumn("broken", F.array_compact(F.array(*[F.when(~c, name) for name, c in constraints.items()])))
+
+
+def combinations(params: dict[str, list[float]], constraints: dict[str, Column], spark) -> DataFrame:
+    """The product of a caller's few parameter values, checked."""
+    rows = [tuple(float(v) for v in vals) for vals in itertools.product(*params.values())]
+    return checked(spark.createDataFrame(rows, ", ".join(f"{name} double" for name in params)), constraints)

@@ -70,7 +70,7 @@ def l01(spark, d):
 
 @_query("l02_event_chain", f"WITH RECURSIVE {LINEAGE}, chain AS (SELECT lineage_id, parent_id, 0 AS depth FROM lineage WHERE hypothesis_id = 7 UNION ALL SELECT l.lineage_id, l.parent_id, c.depth + 1 FROM chain c JOIN lineage l ON l.lineage_id = c.parent_id WHERE c.depth < 64) SELECT lineage_id, CAST(min(depth) AS INTEGER) AS depth FROM chain GROUP BY lineage_id")
 def l02(spark, d):
-    return drift.event_chain(spark, lineage(spark, d), 7)
+    return drift.event_chain(lineage(spark, d), 7)
 
 
 @_query("l03_status_summary", f"WITH {LINEAGE} SELECT hypothesis_id, count(*) AS n, count(DISTINCT actor) AS actors, first(lineage_id ORDER BY ts DESC, lineage_id DESC) FILTER (event_type = 'purchase') AS last_purchase, min(ts) AS first_ts, max(ts) AS last_ts FROM lineage GROUP BY hypothesis_id")
@@ -78,6 +78,16 @@ def l03(spark, d):
     return lineage(spark, d).groupBy("hypothesis_id").agg(F.count("*").alias("n"), F.countDistinct("actor").alias("actors"), F.max_by("lineage_id", F.when(F.col("event_type") == "purchase", F.struct("ts", "lineage_id"))).alias("last_purchase"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+@_query("l03_deployment_trace", f"WITH RECURSIVE {LINEAGE}, chain AS (SELECT lineage_id, parent_id FROM lineage WHERE hypothesis_id = 7 UNION SELECT l.lineage_id, l.parent_id FROM chain c JOIN lineage l ON l.lineage_id = c.parent_id) SELECT lineage_id, event_type, actor, ts FROM lineage JOIN chain USING (lineage_id) WHERE event_type IN ('purchase', 'signup')")
+def l03_trace(spark, d):
+    return drift.deployment_trace(lineage(spark, d), 7, ["purchase", "signup"]).select("lineage_id", "event_type", "actor", "ts")
+
+
+@_query("l03_events_between", f"WITH {LINEAGE}, b AS (SELECT min(ts) AS lo, max(ts) AS hi FROM lineage WHERE lineage_id IN (40, 700)) SELECT lineage_id, event_type, ts FROM lineage, b WHERE ts BETWEEN lo AND hi")
+def l03_between(spark, d):
+    return drift.events_between(lineage(spark, d), 700, 40).select("lineage_id", "event_type", "ts")
+
+
 _DEFS = "defs AS (SELECT p_name || '#' || p_partkey AS feature, p_brand AS input, 1 AS k FROM part UNION ALL SELECT DISTINCT p_brand, p_type, 2 FROM part)"
 
 
@@ -90,7 +100,7 @@ def _definitions(spark, d):
 
 @_query("l04_dependency_closure", f"WITH {_DEFS}, u AS (SELECT feature, input, 1 AS depth FROM defs UNION ALL SELECT a.feature, b.input, 2 FROM defs a JOIN defs b ON a.input = b.feature WHERE a.k = 1 AND b.k = 2) SELECT feature, input, CAST(min(depth) AS INTEGER) AS depth FROM u GROUP BY ALL")
 def l04(spark, d):
-    return drift.closure(spark, drift.dependency_edges(_definitions(spark, d)))
+    return drift.closure(drift.dependency_edges(_definitions(spark, d)))
 
 
 @_query("l05_impact_analysis", f"WITH {_DEFS}, u AS (SELECT feature, input FROM defs UNION SELECT a.feature, b.input FROM defs a JOIN defs b ON a.input = b.feature WHERE a.k = 1 AND b.k = 2) SELECT input, count(*) AS touched, CASE WHEN count(*) > 10 THEN 'High' WHEN count(*) > 5 THEN 'Medium' ELSE 'Low' END AS level FROM u GROUP BY input")
@@ -104,11 +114,22 @@ def l06(spark, d):
     return lineage(spark, d).groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("actor").alias("actors"), F.countDistinct(F.to_date("ts")).alias("days"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), r(F.avg(F.get_json_object("details", "$.k").cast("long"))).alias("mean_k"))
 
 
-@_query("l07_history_append", f"WITH {LINEAGE} SELECT lineage_id, '[\"created\",\"' || event_type || '\"]' AS history FROM lineage")
+@_query("l07_history_append", f"""WITH {LINEAGE}, k AS (SELECT *, json_extract_string(details, '$.k') AS v FROM lineage) SELECT lineage_id, '[{{"type":"created","params":{{}},"timestamp":"2024-01-01"}},{{"type":"' || event_type || '","params":{{"k":"' || v || '"}},"timestamp":"' || CAST(ts AS DATE) || '"}}]' AS history,
+'{{"old":"1","' || event_type || '":"' || v || '"}}' AS added, '{{"old":"' || v || '"}}' AS replaced FROM k""")
 def l07(spark, d):
-    """A JSON array read, extended and written again."""
-    x = lineage(spark, d).withColumn("history", F.lit('["created"]'))
-    return x.select("lineage_id", F.to_json(F.concat(F.from_json("history", "array<string>"), F.array("event_type"))).alias("history"))
+    """JSON documents read, extended and written again: a step appended to an array, a key of a map added, and one replaced."""
+    x = lineage(spark, d).withColumn("v", F.get_json_object("details", "$.k"))
+    history = drift.appended(F.lit('[{"type":"created","params":{},"timestamp":"2024-01-01"}]'), F.col("event_type"), F.create_map(F.lit("k"), F.col("v")), F.to_date("ts").cast("string"))
+    checks = F.lit('{"old":"1"}')
+    return x.select("lineage_id", history.alias("history"), drift.key_set(checks, F.col("event_type"), F.col("v")).alias("added"), drift.key_set(checks, F.lit("old"), F.col("v")).alias("replaced"))
+
+
+@_query("l09_conversion_by_model", f"WITH {TRADES}, t AS (SELECT *, close_price / entry_price - 1 AS r FROM trades) SELECT model, count(*) AS n, count(*) FILTER (status = 'open') AS n_open, count(*) FILTER (status = 'closed') AS n_closed, count(*) FILTER (status = 'stopped') AS n_stopped, {sql_r("count(*) FILTER (status = 'closed') / count(*)")} AS conversion, {sql_r("avg(r) FILTER (status <> 'open') / stddev_samp(r) FILTER (status <> 'open')")} AS mean_sharpe, max(entry_date) AS last_run FROM t GROUP BY model")
+def l09(spark, d):
+    """Per model: runs by status, the share that was carried through, the Sharpe ratio of those that ended, and the last run."""
+    t = trades(spark, d).withColumn("r", F.when(F.col("status") != "open", F.col("close_price") / F.col("entry_price") - 1))
+    of = lambda k: F.count_if(F.col("status") == k)
+    return t.groupBy("model").agg(F.count("*").alias("n"), of("open").alias("n_open"), of("closed").alias("n_closed"), of("stopped").alias("n_stopped"), r(of("closed") / F.count("*")).alias("conversion"), r(F.try_divide(F.avg("r"), F.stddev_samp("r"))).alias("mean_sharpe"), F.max("entry_date").alias("last_run"))
 
 
 @_query("l08_payload_filter", f"WITH {LINEAGE} SELECT DISTINCT hypothesis_id FROM lineage WHERE CAST(json_extract(details, '$.k') AS BIGINT) > 90 AND ts >= TIMESTAMP '2024-01-23'")

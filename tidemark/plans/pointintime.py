@@ -43,10 +43,13 @@ def s02(spark, sf_dir):
     return ingest.with_fallback(b.where("symbol % 3 <> 0").select("symbol", "date", "close"), b.select("symbol", "date", F.col("open").alias("close")))
 
 
-@_query("s03_upsert_prices", f"WITH {BARS} SELECT symbol, date, CASE WHEN date >= DATE '1999-01-01' THEN open ELSE close END AS close FROM bars")
+@_query("s03_upsert_prices", f"WITH {BARS} SELECT symbol, date, CASE WHEN date >= DATE '1999-01-01' THEN open ELSE close END AS close, CASE WHEN date >= DATE '1999-01-01' THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS ingested_at FROM bars")
 def s03(spark, sf_dir):
+    """Rows that stand keep the stamp of the run that brought them."""
     b = bars(spark, sf_dir)
-    return ingest.upsert(b.select("symbol", "date", "close"), b.where("date >= date'1999-01-01'").select("symbol", "date", F.col("open").alias("close")), ["symbol", "date"])
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    old = b.select("symbol", "date", "close", at("2024-01-01").alias("ingested_at"))
+    return ingest.upsert(old, b.where("date >= date'1999-01-01'").select("symbol", "date", F.col("open").alias("close")), ["symbol", "date"], at=at("2024-02-01"))
 
 
 @_query("s04_membership_csv_rules", f"WITH {CHANGES} SELECT effective_date, 'S' || symbol AS symbol, action FROM changes")
@@ -224,3 +227,8 @@ def p22(spark, sf_dir):
 def p23(spark, sf_dir):
     calendar = bars(spark, sf_dir).select("date").distinct().where(F.dayofweek("date").between(2, 6))
     return asof.snap(filings(spark, sf_dir).select("doc_id", F.col("filing_date").alias("date")), calendar)
+
+
+@_query("p23_sessions_in_range", f"WITH {BARS}, c AS (SELECT DISTINCT date FROM bars WHERE dayofweek(date) BETWEEN 1 AND 5 AND date BETWEEN DATE '1998-02-07' AND DATE '1999-02-28') SELECT min(date) AS first_session, max(date) AS last_session, count(*) AS sessions FROM c")
+def p23_range(spark, sf_dir):
+    return asof.in_range(bars(spark, sf_dir).where(F.dayofweek("date").between(2, 6)), "1998-02-07", "1999-02-28")

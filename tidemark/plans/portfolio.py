@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import ewm
 from ..operators import asof
 from ..operators import portfolio as pf
 from ..sources.views import BARS, SYMBOLS, TRADES, bars, r, read, sql_r, symbols, trades
@@ -61,16 +62,36 @@ def k04(spark, d):
     return p.select("date", r("r").alias("r"), r("equity", 3).alias("equity"))
 
 
-@_query("k05_stop_exits")
+_STOP = f"""WITH RECURSIVE {BARS}, n AS (SELECT symbol, date, close, low, high, row_number() OVER w AS i, close / lag(close) OVER w - 1 AS ret, coalesce(greatest(high - low, abs(high - lag(close) OVER w), abs(low - lag(close) OVER w)), high - low) AS tr FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+v AS (SELECT *, CASE WHEN count(ret) OVER w = 20 THEN stddev_samp(ret) OVER w END AS vol20, CASE WHEN ret > 0 THEN 1 ELSE 0 END AS sig FROM n WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)),
+e AS (SELECT symbol, i, tr AS atr FROM v WHERE i = 1 UNION ALL SELECT v.symbol, v.i, {2 / 15!r} * v.tr + (1 - {2 / 15!r}) * e.atr FROM e JOIN v ON v.symbol = e.symbol AND v.i = e.i + 1),
+lv AS (SELECT 'atr_trailing' AS kind, symbol, i, date, low, sig, close - 0.1 * atr AS lev FROM v JOIN e USING (symbol, i) UNION ALL SELECT 'fixed_pct', symbol, i, date, low, sig, close * (1 - CAST(0.05 AS DOUBLE)) FROM v UNION ALL SELECT 'volatility_scaled', symbol, i, date, low, sig, close * (1 - 0.05 * vol20) FROM v),
+st AS (SELECT kind, symbol, i, date, low, lev, sig > 0 AS pos, false AS stop, low AS ep, date AS ed, low AS th FROM lv WHERE i = 1
+ UNION ALL SELECT l.kind, l.symbol, l.i, l.date, l.low, l.lev, l.sig > 0 AND NOT (s.pos AND coalesce(l.low <= l.lev, false)), s.pos AND coalesce(l.low <= l.lev, false), CASE WHEN s.pos THEN s.ep ELSE l.low END, CASE WHEN s.pos THEN s.ed ELSE l.date END, CASE WHEN s.pos THEN greatest(s.th, l.low) ELSE l.low END FROM st s JOIN lv l ON l.kind = s.kind AND l.symbol = s.symbol AND l.i = s.i + 1)"""
+
+
+def _stops(spark, d) -> DataFrame:
+    """Bars with the three kinds of stop; on while the last return is positive."""
+    b = bars(spark, d)
+    w = Window.partitionBy("symbol").orderBy("date")
+    back = w.rowsBetween(-19, 0)
+    x = b.withColumn("ret", F.try_divide("close", F.lag("close").over(w)) - 1)
+    x = x.withColumn("vol20", F.when(F.count("ret").over(back) == 20, F.stddev_samp("ret").over(back))).withColumn("signal", F.when(F.col("ret") > 0, 1.0).otherwise(0.0))
+    x = x.join(ewm.ewm_features(b, ("atr_14d",)).withColumnRenamed("atr_14d", "atr"), ["symbol", "date"])
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), pf.stop_level(k, 0.1, 0.05, 0.05).alias("stop_level")) for k in pf.STOPS])
+    return pf.stop_scan(x.select("symbol", "date", "low", "signal", F.explode(kinds).alias("k")).select("symbol", "date", "low", "signal", "k.*"), by=("kind", "symbol"))
+
+
+@_query("k05_stop_exits", _STOP + f" SELECT kind, symbol, ed AS entry_date, date AS exit_date, {sql_r('ep', 2)} AS entry_price, {sql_r('low', 2)} AS exit_price, {sql_r('lev', 2)} AS stop_level, {sql_r('th', 2)} AS trailing_high, {sql_r('low / ep - 1')} AS pnl FROM st WHERE stop")
 def k05(spark, d):
-    """A state machine per symbol; tested against a loop written anew."""
-    s = returns(spark, d).withColumn("signal", F.when(F.col("r") > 0, 1.0).otherwise(0.0))
-    return pf.stop_exits(s.withColumn("signal", F.lit(1.0)), 0.5)
+    e = pf.stop_exits(_stops(spark, d), by=("kind", "symbol"))
+    return e.select("kind", "symbol", "entry_date", "exit_date", *[r(c, 2).alias(c) for c in ("entry_price", "exit_price", "stop_level", "trailing_high")], r("pnl").alias("pnl"))
 
 
-@_query("k06_stop_statistics")
+@_query("k06_stop_statistics", _STOP + f", x AS (SELECT *, pos AND NOT coalesce(lag(pos) OVER (PARTITION BY kind, symbol ORDER BY i), false) AS entry FROM st) SELECT kind, symbol, count(*) FILTER (stop) AS n_stops, count(*) FILTER (entry) AS n_trades, {sql_r('coalesce(count(*) FILTER (stop) / nullif(count(*) FILTER (entry), 0), 0)')} AS stop_rate, {sql_r('coalesce(avg(low / ep - 1) FILTER (stop), 0)')} AS mean_pnl, {sql_r('coalesce(sum(low / ep - 1) FILTER (stop), 0)')} AS sum_pnl, {sql_r('coalesce(avg(date - ed) FILTER (stop), 0)')} AS mean_days FROM x GROUP BY ALL")
 def k06(spark, d):
-    return k05(spark, d).groupBy("symbol").agg(F.count("*").alias("n"), r(F.avg("pnl")).alias("mean_pnl"), r(F.sum("pnl")).alias("sum_pnl"), r(F.avg(F.date_diff("exit_date", "entry_date"))).alias("mean_days"))
+    s = pf.stop_statistics(_stops(spark, d), by=("kind", "symbol"))
+    return s.select("kind", "symbol", "n_stops", "n_trades", *[r(c).alias(c) for c in ("stop_rate", "mean_pnl", "sum_pnl", "mean_days")])
 
 
 _W = BARS + f", {SYMBOLS}, wt AS (SELECT b.date, b.symbol, CASE WHEN b.symbol % 11 <> 0 THEN sector END AS sector, volume / sum(volume) OVER (PARTITION BY b.date) * 1.2 AS weight, volume * close AS value_traded FROM bars b JOIN symbols s ON s.symbol = b.symbol)"
@@ -91,10 +112,17 @@ def k07(spark, d):
     return x.select("date", "symbol", r("weight", 6).alias("weight"), r("w2", 6).alias("after_position"), r("w3", 6).alias("after_sector"), r("w5", 6).alias("final"))
 
 
-@_query("k12_limit_violations", _LIM + ", v AS (" + " UNION ALL ".join(f"SELECT date, symbol, '{k}' AS \"limit\", {a} AS a, {b} AS b FROM l5" for k, (a, b) in pf.LIMITS.items()) + f") SELECT \"limit\", count(*) AS n, {sql_r('sum(abs(a - b))')} AS moved FROM v WHERE abs(a - b) > 1e-9 GROUP BY ALL")
+_WARN = """, raw AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY round(weight, 12) DESC, symbol) AS rn, sum(weight) OVER (PARTITION BY date, coalesce(sector, 'Unknown')) AS es, sum(weight) OVER (PARTITION BY date) AS g, CASE WHEN sector IS NULL THEN CAST(0.1 AS DOUBLE) ELSE 0.25 END AS lim FROM wt),
+raw2 AS (SELECT *, sum(CASE WHEN rn <= 5 THEN weight END) OVER (PARTITION BY date) AS t5 FROM raw), wv AS (SELECT 'liquidity' AS "limit", value_traded AS actual FROM raw2 WHERE value_traded < 50000 AND weight <> 0 UNION ALL SELECT 'max_position', weight FROM raw2 WHERE weight > 0.05 UNION ALL SELECT 'min_position', weight FROM raw2 WHERE weight > 0 AND weight < 0.01 UNION ALL SELECT 'sector', es FROM raw2 WHERE es > lim UNION ALL SELECT 'concentration', t5 FROM raw2 WHERE rn <= 5 AND t5 > 0.4 UNION ALL SELECT 'gross', g FROM raw2 WHERE g > 1)"""
+
+
+@_query("k12_limit_violations", _LIM + _WARN + ", v AS (" + " UNION ALL ".join(f"SELECT date, symbol, '{k}' AS \"limit\", {a} AS a, {b} AS b FROM l5" for k, (a, b) in pf.LIMITS.items()) + f") SELECT 'clipped' AS action, \"limit\", count(*) AS n, {sql_r('sum(abs(a - b))')} AS amount FROM v WHERE abs(a - b) > 1e-9 GROUP BY ALL UNION ALL SELECT 'warned', \"limit\", count(*), {sql_r('avg(actual)', 3)} FROM wv GROUP BY ALL")
 def k12(spark, d):
-    v = pf.violations(pf.limited(_weights(spark, d), min_value=50_000))
-    return v.groupBy("limit").agg(F.count("*").alias("n"), r(F.sum(F.abs(F.col("before") - F.col("after")))).alias("moved"))
+    """Both modes: weights clipped, with what was moved, and weights left, with what exceeds a limit."""
+    w = _weights(spark, d)
+    clipped = pf.violations(pf.limited(w, min_value=50_000)).groupBy("limit").agg(F.count("*").alias("n"), r(F.sum(F.abs(F.col("before") - F.col("after")))).alias("amount"))
+    warned = pf.warned(w, min_value=50_000).groupBy("limit").agg(F.count("*").alias("n"), r(F.avg("actual"), 3).alias("amount"))
+    return clipped.select(F.lit("clipped").alias("action"), "limit", "n", "amount").unionByName(warned.select(F.lit("warned").alias("action"), "limit", "n", "amount"))
 
 
 @_query("k13_impact_cost", f"WITH {TRADES} SELECT id, {sql_r('greatest(1.0, least(quantity * 0.005, quantity * entry_price * 0.005)) + quantity * entry_price * 5 / 10000 + 0.1 * 0.02 * sqrt(CASE WHEN id % 7 > 0 THEN quantity / (id % 7 * 100.0) ELSE 1 END) * quantity * entry_price', 2)} AS cost FROM trades")
@@ -103,22 +131,31 @@ def k13(spark, d):
     return t.select("id", r(pf.impact_cost(F.col("quantity"), F.col("entry_price"), F.col("id") % 7 * 100.0, F.lit(0.02)), 2).alias("cost"))
 
 
-@_query("k15_historical_var", f"WITH {_RET}, q AS (SELECT symbol, quantile_cont(-r, 0.95) AS v, count(r) AS n FROM ret GROUP BY symbol HAVING count(r) >= 30) SELECT symbol, any_value(n) AS n, {sql_r('any_value(v)')} AS var, {sql_r('avg(-r)')} AS cvar FROM ret JOIN q USING (symbol) WHERE -r >= v GROUP BY symbol")
+_HVAR = ", h AS (SELECT symbol, 1 AS days, -r AS loss FROM ret WHERE r IS NOT NULL UNION ALL SELECT symbol, 5, -s FROM (SELECT symbol, sum(r) OVER w AS s, count(*) OVER w AS c FROM ret WHERE r IS NOT NULL WINDOW w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)) WHERE c = 5), q AS (SELECT symbol, days, quantile_cont(loss, 0.95) AS v, count(*) AS n FROM h GROUP BY ALL HAVING count(*) >= 31 OR days = 1 AND count(*) >= 30)"
+
+
+@_query("k15_historical_var", f"WITH {_RET}{_HVAR} SELECT symbol, days, any_value(n) AS n, {sql_r('any_value(v)')} AS var, {sql_r('avg(loss)')} AS cvar FROM h JOIN q USING (symbol, days) WHERE {sql_r('loss', 12)} >= {sql_r('v', 12)} GROUP BY ALL")
 def k15(spark, d):
-    x = returns(spark, d).select("symbol", (-F.col("r")).alias("loss")).where("loss is not null")
-    q = x.groupBy("symbol").agg(F.expr("percentile(loss, 0.95)").alias("v"), F.count("*").alias("n")).where("n >= 30")
-    return x.join(q, "symbol").where("loss >= v").groupBy("symbol").agg(F.first("n").alias("n"), r(F.first("v")).alias("var"), r(F.avg("loss")).alias("cvar"))
+    x = returns(spark, d).select("symbol", "date", "r")
+    each = [pf.historical_var(x, "symbol", days=h).select("symbol", F.lit(h).alias("days"), "n", r("var").alias("var"), r("cvar").alias("cvar")) for h in (1, 5)]
+    return each[0].unionByName(each[1])
 
 
 @_query("k16_simulated_var")
 def k16(spark, d):
-    return pf.simulated_var(returns(spark, d).select("symbol", "r"), "symbol")
+    """Normal and heavy-tailed draws; tested against the fitted quantiles."""
+    x = returns(spark, d).select("symbol", "r")
+    each = [pf.simulated_var(x, "symbol", heavy=h).withColumn("draws", F.lit("t" if h else "normal")) for h in (False, True)]
+    return each[0].unionByName(each[1])
 
 
-@_query("k17_tail_risk", f"WITH {_RET} SELECT symbol, {sql_r('quantile_cont(r, 0.05)')} AS var_5, {sql_r('quantile_cont(r, 0.01)')} AS var_1, {sql_r('min(r)')} AS worst, {sql_r('avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END)')} AS positive, {sql_r('kurtosis_pop(r)', 3)} AS kurtosis FROM ret WHERE r IS NOT NULL GROUP BY symbol HAVING count(*) >= 20")
+_TAIL = ("var_95", "cvar_95", "var_99", "cvar_99", "skewness", "kurtosis", "worst", "positive_pct")
+
+
+@_query("k17_tail_risk", f"WITH {_RET}, x AS (SELECT symbol, r, quantile_cont(r, 0.05) OVER (PARTITION BY symbol) AS q5, quantile_cont(r, 0.01) OVER (PARTITION BY symbol) AS q1 FROM ret WHERE r IS NOT NULL), m AS (SELECT symbol, avg(r) AS mu, stddev_pop(r) AS sd FROM ret GROUP BY symbol), g AS (SELECT symbol, count(*) AS n, any_value(q5) AS var_95, avg(r) FILTER (r <= q5) AS cvar_95, any_value(q1) AS var_99, avg(r) FILTER (r <= q1) AS cvar_99, avg(pow((r - mu) / sd, 3)) AS skewness, avg(pow((r - mu) / sd, 4)) - 3 AS kurtosis, min(r) AS worst, 100 * avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS positive_pct FROM x JOIN m USING (symbol) GROUP BY symbol) SELECT symbol, n, " + ", ".join(f"CASE WHEN n >= 520 THEN {sql_r(c, 3)} END AS {c}" for c in _TAIL) + " FROM g")
 def k17(spark, d):
-    g = returns(spark, d).where("r is not null").groupBy("symbol").agg(F.expr("percentile(r, 0.05)").alias("a"), F.expr("percentile(r, 0.01)").alias("b"), F.min("r").alias("c"), F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("e"), F.kurtosis("r").alias("k"), F.count("*").alias("n")).where("n >= 20")
-    return g.select("symbol", r("a").alias("var_5"), r("b").alias("var_1"), r("c").alias("worst"), r("e").alias("positive"), r("k", 3).alias("kurtosis"))
+    t = pf.tail_risk(returns(spark, d).select("symbol", "r"), "symbol", least=520)  # so that some symbols have too few days
+    return t.select("symbol", "n", *[r(c, 3).alias(c) for c in _TAIL])
 
 
 @_query("k18_k19_sharpe_significance", f"WITH {_RET}, s AS (SELECT symbol, avg(r) / stddev_samp(r) AS sharpe, count(r) AS n FROM ret GROUP BY symbol), e AS (SELECT *, sqrt((1 + sharpe * sharpe / 2) / n) AS se FROM s) SELECT symbol, {sql_r('sharpe')} AS sharpe, {sql_r('se')} AS se, {sql_r('sharpe * sqrt(n)')} AS t, {sql_r('se * 2.3263478740408408')} AS expected_best, sharpe > se * 2.3263478740408408 AS deflated FROM e")
@@ -127,15 +164,17 @@ def k18(spark, d):
     return pf.significance(s, 100).select("symbol", r("sharpe").alias("sharpe"), r("se").alias("se"), r("t").alias("t"), r("expected_best").alias("expected_best"), "deflated")
 
 
-@_query("k19_excess_return_test")
+@_query("k19_excess_return_test", f"""WITH {_RET}, s AS (SELECT symbol, avg(r) / stddev_samp(r) * sqrt(count(r)) AS t, count(r) AS n FROM ret GROUP BY symbol), g AS (SELECT *, atan(t / sqrt(n - 1)) AS a, exp(lgamma(n / 2.0) - lgamma((n - 1) / 2.0)) / sqrt(pi()) AS c, unnest(range(4001)) AS k FROM s),
+p AS (SELECT symbol, t, n, c * (pi() / 2 - a) / 12000 * sum((CASE WHEN k IN (0, 4000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(greatest(cos(a + (pi() / 2 - a) * k / 4000), 0), n - 2)) AS p FROM g GROUP BY symbol, t, n, a, c) SELECT symbol, {sql_r('t')} AS t, n, {sql_r('p', 6)} AS p_value FROM p""")
 def k19(spark, d):
-    """p values of a positive mean: Student's distribution, tested against its series."""
+    """One-sided p of a positive mean, by the finite series of Student's distribution; its SQL integrates the density."""
     s = returns(spark, d).groupBy("symbol").agg(F.avg("r").alias("mean"), F.stddev_samp("r").alias("sd"), F.count("r").alias("n"))
-    return pf.significance(s, 100).select("symbol", "t", "n", "p_value")
+    return pf.significance(s, 100).select("symbol", r("t").alias("t"), "n", r("p_value", 6).alias("p_value"))
 
 
 @_query("k20_bootstrap")
 def k20(spark, d):
+    """Intervals of mean, Sharpe ratio and deviation; tested against the normal intervals."""
     return pf.bootstrap(returns(spark, d).select("symbol", "date", "r"), "symbol")
 
 
@@ -146,50 +185,74 @@ def done(spark, d) -> DataFrame:
     return trades(spark, d).where("status <> 'open' and entry_price > 0").withColumn("r", F.col("close_price") / F.col("entry_price") - 1)
 
 
-@_query("k21_validation_verdict", f"WITH {_TR}, m AS (SELECT model, count(*) AS n, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS win, sum(r) FILTER (r > 0) / -sum(r) FILTER (r < 0) AS pf FROM done GROUP BY model) SELECT model, n, {sql_r('win')} AS win_rate, {sql_r('pf')} AS profit_factor, list_filter([CASE WHEN n < 100 THEN 'trades' END, CASE WHEN win < 0.5 THEN 'win_rate' END, CASE WHEN pf < 1.2 THEN 'profit_factor' END], lambda x: x IS NOT NULL) AS failed FROM m")
-def k21(spark, d):
-    m = done(spark, d).groupBy("model").agg(F.count("*").alias("n"), F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("win"), (F.sum(F.when(F.col("r") > 0, F.col("r"))) / -F.sum(F.when(F.col("r") < 0, F.col("r")))).alias("pf"))
-    failed = F.array_compact(F.array(F.when(F.col("n") < 100, "trades"), F.when(F.col("win") < 0.5, "win_rate"), F.when(F.col("pf") < 1.2, "profit_factor")))
-    return m.select("model", "n", r("win").alias("win_rate"), r("pf").alias("profit_factor"), failed.alias("failed"))
+_MEAS = f"""{_TR}, o AS (SELECT model, id, r, close_date, sum(r) OVER (PARTITION BY model ORDER BY close_date, id) AS cum FROM done), dd AS (SELECT *, greatest(max(cum) OVER (PARTITION BY model ORDER BY close_date, id), 0) - cum AS down, quantile_cont(r, 0.05) OVER (PARTITION BY model) AS q5 FROM o),
+m AS (SELECT model, count(*) AS trades, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, max(down) AS max_drawdown, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS win_rate, sum(r) FILTER (r > 0) / -sum(r) FILTER (r < 0) AS profit_factor, max(close_date) - min(close_date) AS oos_days, any_value(q5) AS var, avg(r) FILTER (round(r, 12) <= round(q5, 12)) AS cvar FROM dd GROUP BY model)"""
+
 
+def _measures(spark, d) -> DataFrame:
+    """What a verdict on each model rests on; drawdown of summed results."""
+    w = Window.partitionBy("model").orderBy("close_date", "id")
+    o = done(spark, d).withColumn("cum", F.sum("r").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    o = o.withColumn("down", F.greatest(F.max("cum").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)) - F.col("cum"))
+    g = o.groupBy("model").agg(
+        F.count("*").alias("trades"), (F.avg("r") / F.stddev_samp("r") * 252**0.5).alias("sharpe"), F.max("down").alias("max_drawdown"), F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("win_rate"),
+        F.try_divide(F.sum(F.when(F.col("r") > 0, F.col("r"))), -F.sum(F.when(F.col("r") < 0, F.col("r")))).alias("profit_factor"), F.date_diff(F.max("close_date"), F.min("close_date")).alias("oos_days"), F.expr("percentile(r, 0.05)").alias("var"),
+    )
+    low = o.join(F.broadcast(g.select("model", "var")), "model").where(F.round(F.col("r"), 12) <= F.round("var", 12)).groupBy("model").agg(F.avg("r").alias("cvar"))  # a few models
+    return g.join(low, "model", "left")
 
-_CAND = "cand AS (SELECT symbol FROM symbols WHERE market_cap IS NOT NULL ORDER BY market_cap DESC, symbol LIMIT 30)"
-_CORR = f"WITH {_RET}, {SYMBOLS}, {_CAND}, x AS (SELECT symbol, date, r FROM ret JOIN cand USING (symbol) WHERE r IS NOT NULL), e AS (SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, corr(a.r, b.r) AS corr, covar_samp(a.r, b.r) AS cov FROM x a JOIN x b ON a.date = b.date AND a.symbol < b.symbol GROUP BY ALL)"
 
+_FAILS = ", ".join(f"CASE WHEN {'abs(' + k + ')' if k in ('var', 'cvar') else k} {'<' if least else '>'} {bound!r} THEN '{k}' END" for k, (bound, least) in pf.CRITERIA.items())
+
+
+@_query("k21_validation_verdict", f"WITH {_MEAS}, f AS (SELECT *, list_filter([{_FAILS}], lambda x: x IS NOT NULL) AS failed FROM m) SELECT model, trades, {sql_r('sharpe')} AS sharpe, {sql_r('max_drawdown', 3)} AS max_drawdown, {sql_r('win_rate')} AS win_rate, {sql_r('profit_factor')} AS profit_factor, CAST(oos_days AS INTEGER) AS oos_days, {sql_r('var')} AS var, {sql_r('cvar')} AS cvar, failed, len(failed) = 0 AS passed, {sql_r('(least(1, sharpe / 1.0) + least(1, trades / 200.0) + greatest(0, least(1, 1.5 - abs(var) / CAST(0.05 AS DOUBLE))) + greatest(0, least(1, 1.5 - abs(cvar) / CAST(0.08 AS DOUBLE)))) / 4')} AS confidence FROM f")
+def k21(spark, d):
+    v = pf.validated(_measures(spark, d))
+    return v.select("model", "trades", r("sharpe").alias("sharpe"), r("max_drawdown", 3).alias("max_drawdown"), *[r(c).alias(c) for c in ("win_rate", "profit_factor")], "oos_days", r("var").alias("var"), r("cvar").alias("cvar"), "failed", "passed", r("confidence").alias("confidence"))
 
-def _correlations(spark, d):
-    """Pairs of a bounded list of candidates: the 30 largest."""
-    cand = symbols(spark, d).where("market_cap is not null").orderBy(F.desc("market_cap"), "symbol").limit(30).select("symbol")
-    x = returns(spark, d).join(F.broadcast(cand), "symbol").where("r is not null").select("symbol", "date", "r")
-    j = x.alias("x").join(x.alias("y"), (F.col("x.date") == F.col("y.date")) & (F.col("x.symbol") < F.col("y.symbol")))
-    return j.groupBy(F.col("x.symbol").alias("a"), F.col("y.symbol").alias("b")).agg(F.count("*").alias("n"), F.corr("x.r", "y.r").alias("corr"), F.covar_samp("x.r", "y.r").alias("cov"))
 
+_PAIR = f"WITH RECURSIVE {_RET}, {SYMBOLS}, x AS (SELECT symbol, date, r FROM ret WHERE r IS NOT NULL), e AS (SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, corr(a.r, b.r) AS corr, covar_samp(a.r, b.r) AS cov FROM x a JOIN x b ON a.date = b.date AND a.symbol < b.symbol GROUP BY ALL)"
+_AGED = f"""WITH {_RET}, x AS (SELECT symbol, date, r FROM ret WHERE r IS NOT NULL), g AS (SELECT date, row_number() OVER (ORDER BY date DESC) - 1 AS age FROM (SELECT DISTINCT date FROM x)), y AS (SELECT x.*, pow(CAST(0.5 AS DOUBLE), age / CAST(60 AS DOUBLE)) AS w FROM x JOIN g USING (date)),
+c AS (SELECT a.symbol AS a, b.symbol AS b, count(*) AS n, sum(a.w) AS w, sum(a.w * a.w) AS w2, sum(a.w * a.r) / sum(a.w) AS ma, sum(a.w * b.r) / sum(a.w) AS mb FROM y a JOIN y b ON a.date = b.date AND a.symbol < b.symbol GROUP BY ALL),
+k AS (SELECT c.a, c.b, any_value(c.n) AS n, any_value(c.w) AS w, any_value(c.w2) AS w2, sum(p.w * (p.r - c.ma) * (q.r - c.mb)) / any_value(c.w) AS cv, sum(p.w * pow(p.r - c.ma, 2)) / any_value(c.w) AS va, sum(p.w * pow(q.r - c.mb, 2)) / any_value(c.w) AS vb FROM c JOIN y p ON p.symbol = c.a JOIN y q ON q.symbol = c.b AND q.date = p.date GROUP BY ALL)"""
 
-@_query("k22_correlation_matrix", _CORR + f" SELECT a, b, n, {sql_r('corr')} AS corr, {sql_r('cov * 1000')} AS cov FROM e")
+
+@_query("k22_correlation_matrix", _PAIR + f" SELECT a, b, n, {sql_r('corr')} AS corr, {sql_r('cov * 1000')} AS cov FROM e")
 def k22(spark, d):
-    return _correlations(spark, d).select("a", "b", "n", r("corr").alias("corr"), r(F.col("cov") * 1000).alias("cov"))
+    """All pairs of names over the days that both have."""
+    return pf.correlations(returns(spark, d)).select("a", "b", "n", r("corr").alias("corr"), r(F.col("cov") * 1000).alias("cov"))
+
 
+@_query("k22_exponential_covariance", _AGED + f" SELECT a, b, n, {sql_r('cv / sqrt(va * vb)', 3)} AS corr, {sql_r('cv * w * w / (w * w - w2) * 1000', 3)} AS cov FROM k WHERE n >= 30")
+def k22_aged(spark, d):
+    """The same with days weighed by age, half as much every 60 sessions; of pairs with 30 common days."""
+    c = pf.correlations(returns(spark, d), halflife=60).where("n >= 30")
+    return c.select("a", "b", "n", r("corr", 3).alias("corr"), r(F.col("cov") * 1000, 3).alias("cov"))
 
-@_query("k23_correlation_filter")
+
+@_query("k23_correlation_filter", _PAIR + """, near AS (SELECT a, b FROM e WHERE abs(corr) > 0.2 UNION ALL SELECT b, a FROM e WHERE abs(corr) > 0.2), o AS (SELECT symbol, sector, market_cap, row_number() OVER (ORDER BY market_cap DESC, symbol) AS k FROM symbols WHERE market_cap IS NOT NULL), l AS (SELECT o.symbol, k, list(b) AS others FROM o LEFT JOIN near ON near.a = o.symbol GROUP BY ALL),
+g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT l.k, CASE WHEN list_has_any(g.kept, coalesce(l.others, [])) THEN g.kept ELSE list_append(g.kept, l.symbol) END FROM g JOIN l ON l.k = g.k + 1), f AS (SELECT unnest(kept) AS symbol FROM g WHERE k = (SELECT max(k) FROM g)),
+t AS (SELECT o.symbol, o.sector, row_number() OVER (PARTITION BY sector ORDER BY k) AS rn FROM f JOIN o USING (symbol)) SELECT symbol, sector FROM t WHERE rn <= 6""")
 def k23(spark, d):
-    s = symbols(spark, d).where("market_cap is not null").orderBy(F.desc("market_cap"), "symbol").limit(30).select("symbol", F.col("market_cap").alias("strength"))
-    return pf.drop_correlated(s, _correlations(spark, d), 0.05)
+    """Of all names, those without a stronger correlated one; of each sector the strongest six."""
+    s = symbols(spark, d).where("market_cap is not null").select("symbol", "sector", F.col("market_cap").alias("strength"))
+    kept = pf.drop_correlated(s, pf.correlations(returns(spark, d)), 0.2)
+    return pf.top_of_sector(kept).select("symbol", "sector")
 
 
 _IV = f"""WITH {_RET}, {SYMBOLS}, v AS (SELECT symbol, stddev_samp(r) AS sd FROM ret GROUP BY symbol), raw AS (SELECT symbol, abs(market_cap) / sd AS x FROM v JOIN symbols USING (symbol) WHERE sd > 0), n AS (SELECT symbol, x / sum(x) OVER () AS w FROM raw),
-c AS (SELECT symbol, w, least(w, 0.02) AS c FROM n), e AS (SELECT *, (1 - sum(c) OVER ()) AS left_, sum(CASE WHEN w < 0.02 THEN c END) OVER () AS free FROM c), f AS (SELECT symbol, w, CASE WHEN w < 0.02 THEN c + left_ * c / free ELSE c END AS f FROM e), g AS (SELECT symbol, w, f / sum(f) OVER () AS f FROM f)"""
+c AS (SELECT symbol, w, least(w, 0.02) AS c FROM n), e AS (SELECT *, sum(w - c) OVER () AS over_, sum(CASE WHEN c < 0.02 THEN c END) OVER () AS free FROM c), f AS (SELECT symbol, w, CASE WHEN c < 0.02 THEN least(c + over_ * c / free, 0.02) ELSE c END AS f FROM e), g AS (SELECT symbol, w, f / sum(f) OVER () AS f FROM f),
+old AS (SELECT symbol, sum(volume) / sum(sum(volume)) OVER () AS o FROM ret WHERE symbol % 2 = 0 GROUP BY symbol), j AS (SELECT coalesce(g.symbol, old.symbol) AS symbol, coalesce(w, 0) AS w, coalesce(f, 0) AS f, coalesce(o, 0) AS o FROM g FULL JOIN old ON g.symbol = old.symbol), t AS (SELECT *, 0.5 * sum(abs(f - o)) OVER () AS turnover FROM j),
+b AS (SELECT *, CASE WHEN turnover > 0.2 THEN CAST(0.2 AS DOUBLE) / turnover ELSE 1 END AS x FROM t), k AS (SELECT *, CASE WHEN x * f + (1 - x) * o > 0.001 THEN x * f + (1 - x) * o ELSE 0 END AS kept FROM b)"""
 
 
-@_query("k24_inverse_volatility_weights", _IV + f" SELECT symbol, {sql_r('w', 6)} AS raw, {sql_r('f', 6)} AS weight, {sql_r('0.5 * sum(abs(f - w)) OVER ()', 6)} AS turnover FROM g")
+@_query("k24_inverse_volatility_weights", _IV + f" SELECT symbol, {sql_r('w', 6)} AS raw, {sql_r('f', 6)} AS capped, {sql_r('turnover', 6)} AS turnover, {sql_r('kept / sum(kept) OVER ()', 6)} AS weight FROM k")
 def k24(spark, d):
-    v = returns(spark, d).groupBy("symbol").agg(F.stddev_samp("r").alias("sd")).join(symbols(spark, d), "symbol").where("sd > 0")
-    batch = Window.partitionBy("batch")  # one batch of names at a time
-    x = v.select(F.lit(1).alias("batch"), "symbol", (F.abs("market_cap") / F.col("sd")).alias("x"))
-    x = x.withColumn("w", F.col("x") / F.sum("x").over(batch)).withColumn("c", F.least("w", F.lit(0.02)))
-    free = F.sum(F.when(F.col("w") < 0.02, F.col("c"))).over(batch)
-    x = x.withColumn("f", F.when(F.col("w") < 0.02, F.col("c") + (1 - F.sum("c").over(batch)) * F.col("c") / free).otherwise(F.col("c")))
-    x = x.withColumn("f", F.col("f") / F.sum("f").over(batch))
-    return x.select("symbol", r("w", 6).alias("raw"), r("f", 6).alias("weight"), r(0.5 * F.sum(F.abs(F.col("f") - F.col("w"))).over(batch), 6).alias("turnover"))
+    x = returns(spark, d)
+    names = x.groupBy("symbol").agg(F.stddev_samp("r").alias("sd")).join(symbols(spark, d), "symbol").where("sd > 0").select("symbol", F.col("market_cap").alias("signal"), "sd")
+    old = x.where("symbol % 2 = 0").groupBy("symbol").agg(F.sum("volume").alias("v")).select("symbol", (F.col("v") / F.sum("v").over(Window.partitionBy(F.lit(1)))).alias("old"))
+    w = pf.inverse_volatility(names, old, most=0.02)
+    return w.select("symbol", *[r(c, 6).alias(c) for c in ("raw", "capped", "turnover", "weight")])
 
 
 @_query("k25_var_position_sizing", f"""WITH {_TR}, t AS (SELECT id, model, entry_price, prediction, (prediction - min(prediction) OVER (PARTITION BY model)) / nullif(max(prediction) OVER (PARTITION BY model) - min(prediction) OVER (PARTITION BY model), 0) AS s FROM done),
@@ -227,11 +290,25 @@ def k27(spark, d):
     return j.select("sector", r(1e4 * dw * (F.col("rb") - F.col("total"))).alias("allocation"), r(1e4 * F.col("wb") * dr).alias("selection"), r(1e4 * dw * dr).alias("interaction"))
 
 
-@_query("k28_factor_attribution", f"WITH {_BENCH}, j AS (SELECT symbol, r, b FROM ret JOIN bench USING (date) WHERE r IS NOT NULL) SELECT symbol, {sql_r('regr_slope(r, b)')} AS beta, {sql_r('regr_slope(r, b) * avg(b) * 1e4', 3)} AS contribution, {sql_r('regr_intercept(r, b) * 1e4', 3)} AS alpha, {sql_r('regr_r2(r, b)')} AS r2 FROM j GROUP BY symbol")
+@_query("k28_factor_attribution", f"WITH {_BENCH}, j AS (SELECT symbol, r, b FROM ret JOIN bench USING (date) WHERE r IS NOT NULL) SELECT symbol, {sql_r('regr_slope(r, b)')} AS beta, {sql_r('regr_slope(r, b) * avg(b) * 1e4', 3)} AS contribution, {sql_r('(avg(r) - regr_slope(r, b) * avg(b)) * 1e4', 3)} AS alpha, {sql_r('regr_r2(r, b)')} AS r2 FROM j GROUP BY symbol")
 def k28(spark, d):
-    j = returns(spark, d).join(bench(spark, d), "date").where("r is not null")
-    slope = F.regr_slope("r", "b")
-    return j.groupBy("symbol").agg(r(slope).alias("beta"), r(slope * F.avg("b") * 1e4, 3).alias("contribution"), r(F.regr_intercept("r", "b") * 1e4, 3).alias("alpha"), r(F.regr_r2("r", "b")).alias("r2"))
+    a = pf.factor_attribution(returns(spark, d).join(bench(spark, d), "date"), "r", ["b"], "symbol")
+    return a.select("symbol", r("beta_b").alias("beta"), r(F.col("contribution_b") * 1e4, 3).alias("contribution"), r(F.col("alpha") * 1e4, 3).alias("alpha"), r("r2").alias("r2"))
+
+
+_FACT = f"""WITH {_RET}, fac AS (SELECT date, avg(r) AS m, avg(r) FILTER (symbol % 2 = 0) - avg(r) FILTER (symbol % 2 = 1) AS s, sum(volume * r) / sum(volume) AS v FROM ret WHERE r IS NOT NULL GROUP BY date), j AS (SELECT symbol, r, m, s, v FROM ret JOIN fac USING (date) WHERE r IS NOT NULL AND s IS NOT NULL),
+g AS (SELECT symbol, avg(r) AS y, avg(m) AS mm, avg(s) AS ms, avg(v) AS mv, sum(m * m) AS a, sum(m * s) AS b, sum(m * v) AS c, sum(s * s) AS d, sum(s * v) AS e, sum(v * v) AS f, sum(m * r) AS p, sum(s * r) AS q, sum(v * r) AS t, sum(r * r) AS yy, var_pop(r) * count(*) AS tss FROM j GROUP BY symbol),
+k AS (SELECT *, a * (d * f - e * e) - b * (b * f - e * c) + c * (b * e - d * c) AS det FROM g), x AS (SELECT *, (p * (d * f - e * e) - b * (q * f - e * t) + c * (q * e - d * t)) / det AS b1, (a * (q * f - t * e) - p * (b * f - e * c) + c * (b * t - q * c)) / det AS b2, (a * (d * t - q * e) - b * (b * t - q * c) + p * (b * e - d * c)) / det AS b3 FROM k)"""
+
+
+@_query("k28_many_factors", _FACT + f" SELECT symbol, {sql_r('b1', 3)} AS market, {sql_r('b2', 3)} AS spread, {sql_r('b3', 3)} AS volume, {sql_r('(y - b1 * mm - b2 * ms - b3 * mv) * 1e4', 2)} AS alpha, {sql_r('1 - (yy - b1 * p - b2 * q - b3 * t) / tss', 3)} AS r2 FROM x")
+def k28_many(spark, d):
+    """Three factors: the market, even against odd names, and the market by volume."""
+    x = returns(spark, d).where("r is not null")
+    side = lambda k: F.avg(F.when(F.col("symbol") % 2 == k, F.col("r")))
+    f = x.groupBy("date").agg(F.avg("r").alias("m"), (side(0) - side(1)).alias("s"), (F.sum(F.col("volume") * F.col("r")) / F.sum("volume")).alias("v"))
+    a = pf.factor_attribution(x.select("symbol", "date", "r").join(f, "date"), "r", ["m", "s", "v"], "symbol")
+    return a.select("symbol", r("beta_m", 3).alias("market"), r("beta_s", 3).alias("spread"), r("beta_v", 3).alias("volume"), r(F.col("alpha") * 1e4, 2).alias("alpha"), r("r2", 3).alias("r2"))
 
 
 _AT = f"WITH {_TR}, {BARS}, a AS (SELECT t.*, b.close AS be FROM done t ASOF JOIN bars b ON t.symbol = b.symbol AND t.entry_date >= b.date), x AS (SELECT a.*, b.close AS bx FROM a ASOF JOIN bars b ON a.symbol = b.symbol AND a.close_date >= b.date)"
@@ -331,11 +408,32 @@ def k40(spark, d):
     return e.groupBy("reason").agg(F.count("*").alias("n"), F.count_if(F.col("k") > 50).alias("triggered"), F.count_if((F.col("k") > 50) & (F.col("ts") < F.col("last"))).alias("reopened"))
 
 
-@_query("k41_score_decisions", f"WITH {_TR}, m AS (SELECT symbol, least(1, greatest(0, avg(r) / CAST(0.02 AS DOUBLE))) AS a, least(1, greatest(0, avg(CASE WHEN r > 0 THEN CAST(1 AS DOUBLE) ELSE 0 END) / 0.6)) AS b, least(1, count(*) / CAST(100 AS DOUBLE)) AS c FROM done GROUP BY symbol), s AS (SELECT round((a + b + c) / 3 + 1.7e-8, 6) AS score FROM m), q AS (SELECT CASE WHEN score >= 0.75 THEN 'CONTINUE' WHEN score >= 0.5 THEN 'CONDITIONAL' WHEN score >= 0.3 THEN 'PIVOT' ELSE 'KILL' END AS decision FROM s) SELECT decision, count(*) AS n FROM q GROUP BY decision")
+def _pw(x: str, bad: float, target: float, good: float) -> str:
+    """SQL of a piecewise score."""
+    up = good > bad
+    below = lambda v: f"({x}) {'<=' if up else '>='} {v}"
+    return f"CASE WHEN ({x}) IS NULL OR {below(bad)} THEN 0.0 WHEN ({x}) {'>=' if up else '<='} {good} THEN 1.0 WHEN {below(target)} THEN 0.5 * (({x}) - {bad}) / CAST({target} - {bad} AS DOUBLE) ELSE 0.5 + 0.5 * (({x}) - {target}) / CAST({good} - {target} AS DOUBLE) END"
+
+
+#: Dimension -> (measure, bad, target, good) of its scores.
+_SCORES = {"statistical": [("sharpe", 0.5, 1.0, 1.5), ("stability", 2.0, 1.0, 0.5), ("ic", 0.01, 0.03, 0.05), ("cv", 3.0, 2.0, 1.0)], "risk": [("drawdown", 0.3, 0.2, 0.1), ("vol", 0.25, 0.15, 0.10)], "economic": [("win", 0.4, 0.5, 0.6)], "cost": [("turnover", 1.0, 0.5, 0.2), ("net", 0.0, 0.005, 0.01)]}
+_DIMS = ", ".join("(" + " + ".join(_pw(*x) for x in v) + f") / {len(v)} AS {k}" for k, v in _SCORES.items())
+
+
+@_query("k41_score_decisions", f"WITH {_TR}, y AS (SELECT symbol, year(close_date) AS yr, avg(r) AS m FROM done GROUP BY ALL), z AS (SELECT symbol, stddev_samp(m) / abs(avg(m)) AS cv FROM y GROUP BY symbol), m AS (SELECT symbol, avg(r) / stddev_samp(r) * sqrt(252) AS sharpe, stddev_samp(r) / abs(avg(r)) / 10 AS stability, corr(prediction, r) AS ic, -min(r) AS drawdown, stddev_samp(r) AS vol, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS win, count(*) / CAST(200 AS DOUBLE) AS turnover, avg(r) - 0.001 AS net FROM done GROUP BY symbol), d AS (SELECT symbol, {_DIMS}, drawdown > 0.199 AND avg_net < 0 AS critical FROM (SELECT *, net AS avg_net FROM m JOIN z USING (symbol))), s AS (SELECT *, (statistical + risk + economic + cost) / 4 AS score FROM d) SELECT symbol, {sql_r('score', 6)} AS score, CASE WHEN critical THEN 'PIVOT' WHEN {sql_r('score', 6)} >= 0.75 THEN 'CONTINUE' WHEN {sql_r('score', 6)} >= 0.5 THEN 'CONDITIONAL' ELSE 'KILL' END AS decision FROM s")
 def k41(spark, d):
-    m = done(spark, d).groupBy("symbol").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg("r") / 0.02)).alias("a"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)) / 0.6)).alias("b"), F.least(F.lit(1.0), F.count("*") / 100.0).alias("c"))
-    score = r((F.col("a") + F.col("b") + F.col("c")) / 3, 6)
-    return m.select(F.when(score >= 0.75, "CONTINUE").when(score >= 0.5, "CONDITIONAL").when(score >= 0.3, "PIVOT").otherwise("KILL").alias("decision")).groupBy("decision").agg(F.count("*").alias("n"))
+    """Four dimensions, each the mean of piecewise scores; a critical failure is a deep drawdown of what loses after costs."""
+    t = done(spark, d)
+    cv = t.groupBy("symbol", F.year("close_date").alias("yr")).agg(F.avg("r").alias("m")).groupBy("symbol").agg((F.stddev_samp("m") / F.abs(F.avg("m"))).alias("cv"))
+    m = t.groupBy("symbol").agg((F.avg("r") / F.stddev_samp("r") * 252**0.5).alias("sharpe"), (F.stddev_samp("r") / F.abs(F.avg("r")) / 10).alias("stability"), F.corr("prediction", "r").alias("ic"), (-F.min("r")).alias("drawdown"), F.stddev_samp("r").alias("vol"), F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("win"), (F.count("*") / 200.0).alias("turnover"), (F.avg("r") - 0.001).alias("net")).join(cv, "symbol")
+    dims = [(sum((pf.piecewise(F.col(c), *at) for c, *at in v), F.lit(0.0)) / len(v)).alias(k) for k, v in _SCORES.items()]
+    score, decision = pf.decisions(list(_SCORES), F.col("critical"))
+    return m.select("symbol", *dims, ((F.col("drawdown") > 0.199) & (F.col("net") < 0)).alias("critical")).select("symbol", r(score, 6).alias("score"), decision.alias("decision"))
+
+
+@_query("k41_decision_counts", ORACLE["k41_score_decisions"].replace(f" SELECT symbol, {sql_r('score', 6)} AS score, CASE WHEN critical", " SELECT CASE WHEN critical").replace("AS decision FROM s", "AS decision, count(*) AS n FROM s GROUP BY 1"))
+def k41_counts(spark, d):
+    return k41(spark, d).groupBy("decision").agg(F.count("*").alias("n"))
 
 
 @_query("k42_strategy_weights", f"WITH {_TR}, v AS (SELECT model, 0.1 / stddev_samp(r) AS w FROM done GROUP BY model) SELECT model, {sql_r('w * least(1, 0.4 / max(w) OVER ())', 6)} AS weight FROM v")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..operators import research as rs
-from ..sources.views import BARS, TRADES, bars, r, sql_r, trades
+from ..sources.views import BARS, TRADES, bars, r, read, sql_r, trades
 from .features import _SQL, _STAGES
 
 QUERIES, ORACLE = {}, {}
@@ -118,14 +118,14 @@ def r14(spark, d):
     return _folded(spark, d).groupBy("fold", "role").agg(F.count("*").alias("n"), F.min("date").alias("first_date"), F.max("date").alias("last_date"))
 
 
-_METRICS = f"""WITH {_PANEL}, {_FOLDS}, t AS (SELECT CAST(fold AS INTEGER) AS fold, f5 AS y, momentum_20d * 0.1 AS p FROM panel JOIN days USING (date) JOIN folds ON day BETWEEN test_start AND test_end WHERE f5 IS NOT NULL AND momentum_20d IS NOT NULL),
+_METRICS = f"""WITH {_PANEL}, {_FOLDS}, t AS (SELECT CAST(fold AS INTEGER) AS fold, f5 AS y, momentum_20d * 0.1 AS p FROM panel JOIN days USING (date) JOIN folds ON day BETWEEN test_start AND test_end WHERE f5 IS NOT NULL AND momentum_20d IS NOT NULL QUALIFY row_number() OVER (PARTITION BY fold ORDER BY date, symbol) > 10 OR count(*) OVER (PARTITION BY fold) <= 10),
 k AS (SELECT *, rank() OVER (PARTITION BY fold ORDER BY y) + (count(*) OVER (PARTITION BY fold, y) - 1) / 2.0 AS ry, rank() OVER (PARTITION BY fold ORDER BY p) + (count(*) OVER (PARTITION BY fold, p) - 1) / 2.0 AS rp FROM t),
 m AS (SELECT fold, avg((y - p) * (y - p)) AS mse, avg(abs(y - p)) AS mae, 1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)) AS r2, corr(ry, rp) AS ic, count(*) AS n FROM k GROUP BY fold)"""
 
 
 def _metrics(spark, d):
-    t = _folded(spark, d).where("role = 'test'").withColumn("p", F.col("momentum_20d") * 0.1)
-    return rs.fold_metrics(t, "f5", "p", "fold")
+    t = _folded(spark, d).where("role = 'test' and f5 is not null and momentum_20d is not null").withColumn("p", F.col("momentum_20d") * 0.1)
+    return rs.fold_metrics(rs.after_embargo(t, 10, "fold"), "f5", "p", "fold")
 
 
 @_query("r15_fold_metrics", _METRICS + f" SELECT fold, {sql_r('mse')} AS mse, {sql_r('mae')} AS mae, {sql_r('r2')} AS r2, {sql_r('ic')} AS ic, n FROM m")
@@ -153,6 +153,22 @@ def r18(spark, d):
     return t.groupBy("fold").agg(r(F.regr_slope("f5", "momentum_20d"), 3).alias("slope"), r(F.regr_intercept("f5", "momentum_20d"), 3).alias("intercept"))
 
 
+_REFIT = f"""WITH {_PANEL}, g AS (SELECT *, CASE WHEN f5 IS NOT NULL THEN least(greatest(f5, -1), 1) END AS y, CASE WHEN momentum_20d IS NOT NULL THEN least(greatest(momentum_20d, -1), 1) END AS a, CASE WHEN volatility_20d IS NOT NULL THEN least(volatility_20d, 100) / 100 END AS b FROM panel), dly AS (SELECT date, count(*) FILTER (ok) AS n, coalesce(sum(y) FILTER (ok), 0) AS sy, coalesce(sum(a) FILTER (ok), 0) AS sa, coalesce(sum(b) FILTER (ok), 0) AS sb, coalesce(sum(a * y) FILTER (ok), 0) AS say, coalesce(sum(b * y) FILTER (ok), 0) AS sby, coalesce(sum(a * a) FILTER (ok), 0) AS saa, coalesce(sum(a * b) FILTER (ok), 0) AS sab, coalesce(sum(b * b) FILTER (ok), 0) AS sbb FROM (SELECT *, y IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL AS ok FROM g) GROUP BY date),
+nd AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS day FROM dly), rl AS (SELECT date, day, sum(n) OVER w AS n, sum(sy) OVER w AS sy, sum(sa) OVER w AS sa, sum(sb) OVER w AS sb, sum(say) OVER w AS say, sum(sby) OVER w AS sby, sum(saa) OVER w AS saa, sum(sab) OVER w AS sab, sum(sbb) OVER w AS sbb FROM nd WINDOW w AS (ORDER BY date ROWS BETWEEN 400 PRECEDING AND 6 PRECEDING)),
+c AS (SELECT *, saa - sa * sa / n + 1 AS qa, sab - sa * sb / n AS qb, sbb - sb * sb / n + 1 AS qc, say - sa * sy / n AS pa, sby - sb * sy / n AS pb FROM rl WHERE day >= 400 AND (day - 400) % 40 = 0 AND n >= 50), f AS (SELECT date AS refit_date, sy, sa, sb, n, (pa * qc - pb * qb) / (qa * qc - qb * qb) AS ba, (qa * pb - qb * pa) / (qa * qc - qb * qb) AS bb FROM c),
+o AS (SELECT symbol, refit_date, (sy - ba * sa - bb * sb) / n + ba * a + bb * b AS prediction FROM g JOIN f ON date = refit_date WHERE a IS NOT NULL AND b IS NOT NULL),
+pl AS (SELECT date, last_value(CASE WHEN day >= 400 AND (day - 400) % 40 = 0 THEN date END IGNORE NULLS) OVER (ORDER BY date) AS refit_date FROM nd)"""
+
+
+@_query("r18_refit_and_carry", _REFIT + f" SELECT g.symbol, g.date, pl.refit_date, {sql_r('o.prediction')} AS prediction FROM g JOIN pl USING (date) JOIN o ON o.symbol = g.symbol AND o.refit_date = pl.refit_date")
+def r18_refit(spark, d):
+    """Two-feature ridge refitted every 40 dates on 400 before; predictions carried forward. Features and target are bounded first."""
+    clip = lambda c: F.least(F.greatest(F.col(c), F.lit(-1.0)), F.lit(1.0))
+    both = F.when(F.col("f5").isNotNull(), clip("f5")).alias("y"), F.when(F.col("momentum_20d").isNotNull(), clip("momentum_20d")).alias("a"), F.when(F.col("volatility_20d").isNotNull(), F.least("volatility_20d", F.lit(100.0)) / 100).alias("b")
+    p = rs.refit_predictions(panel(spark, d).select("symbol", "date", *both), ["a", "b"], "y", 400, 40, 5, ridge=1.0)
+    return p.select("symbol", "date", "refit_date", r("prediction").alias("prediction"))
+
+
 _LONGSQL = _PANEL + ", long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, symbol, date, round({f}, 9) AS x, round(f5, 9) AS y, {f} AS fx, f5 AS fy FROM panel WHERE {f} IS NOT NULL AND f5 IS NOT NULL" for f in _NAMES) + ")"
 
 
@@ -184,7 +200,7 @@ e AS (SELECT top, threshold, year(date) AS year, avg(f5) AS mean, stddev_samp(f5
 SELECT CAST(top AS DOUBLE) AS top, CAST(threshold AS DOUBLE) AS threshold, {sql_r('median(mean / nullif(sd, 0))')} AS median_sharpe, {sql_r('max(mean / nullif(sd, 0))')} AS best_sharpe, count(*) AS years FROM e GROUP BY ALL""")
 def r22(spark, d):
     """Every valid combination of two parameters, evaluated per year in one plan: the sweep is a small table joined to the ranked panel."""
-    combos = rs.combinations({"top": [5, 10, 25], "threshold": [0.0, 0.05, 0.1]}, {"size": "top * (1 + threshold) <= 27"}, spark).where("broken = 0")
+    combos = rs.combinations({"top": [5, 10, 25], "threshold": [0.0, 0.05, 0.1]}, {"size": F.col("top") * (1 + F.col("threshold")) <= 27}, spark).where(F.size("broken") == 0)
     k = panel(spark, d).withColumn("m", F.round("momentum_20d", 9)).withColumn("rn", F.row_number().over(Window.partitionBy("date").orderBy(F.desc_nulls_last("m"), "symbol"))).where("rn <= 25")
     e = k.join(F.broadcast(combos), (F.col("rn") <= F.col("top")) & (F.col("m") >= F.col("threshold"))).groupBy("top", "threshold", F.year("date").alias("year")).agg(F.avg("f5").alias("mean"), F.stddev_samp("f5").alias("sd"))
     s = F.try_divide("mean", "sd")
@@ -199,6 +215,34 @@ def r23(spark, d):
     return gap.agg(r(F.avg("gap")).alias("mean_gap"), r(F.median("gap")).alias("median_gap"), r(F.avg(F.when(F.col("gap") >= 0, 1.0).otherwise(0.0))).alias("share_not_worse"))
 
 
+_KINDS = {
+    "sum_equals": (["q", "d", "t"], 30, None), "max_total": (["q", "d"], 50, None), "min_total": (["q", "t"], 5, None), "difference_min": (["q", "d"], 3, None), "difference_max": (["q", "t"], 40, None), "ratio_bound": (["q", "d"], 2, 30), "exclusion": (["d", "t"], 0, None),
+    "range_bound": (["q"], 10, 45), "product_max": (["q", "d", "t"], 900, None), "product_min": (["q", "t"], 20, None), "same_sign": (["m", "q"], 0, None), "step_multiple": (["q"], 5, None), "monotonic_increasing": (["t", "d", "q"], 0, None), "at_least_n_nonzero": (["q", "d", "t"], 3, None),
+}
+_KSQL = {
+    "sum_equals": "abs(q + d + t - 30) <= 1e-8 + 3e-4", "max_total": "q + d <= 50", "min_total": "q + t >= 5", "difference_min": "q - d >= 3", "difference_max": "q - t <= 40", "ratio_bound": "d = 0 OR q / d BETWEEN 2 AND 30", "exclusion": "d = 0 OR t = 0",
+    "range_bound": "q BETWEEN 10 AND 45", "product_max": "q * d * t <= 900", "product_min": "q * t >= 20", "same_sign": "m >= 0", "step_multiple": "q % 5 = 0", "monotonic_increasing": "t < d AND d < q", "at_least_n_nonzero": "q <> 0 AND d <> 0 AND t <> 0",
+}
+
+
+@_query("r22_constraint_kinds", "WITH c AS (SELECT l_quantity AS q, round(l_discount * 100) AS d, round(l_tax * 100) AS t, round(l_discount * 100) - 5 AS m FROM lineitem), v AS (" + " UNION ALL ".join(f"SELECT '{k}' AS kind, {x} AS ok FROM c" for k, x in _KSQL.items()) + ") SELECT kind, count(*) AS n, count(*) FILTER (NOT ok) AS violations FROM v GROUP BY kind UNION ALL SELECT 'all', count(*), count(*) FILTER (NOT (" + " AND ".join(f"({x})" for x in _KSQL.values()) + ")) FROM c")
+def r22_kinds(spark, d):
+    """Violations of each kind of constraint, and of any, by a table of combinations: the line items' quantity, discount and tax."""
+    li = read(spark, d, "lineitem").select(F.col("l_quantity").alias("q"), F.round(F.col("l_discount") * 100).alias("d"), F.round(F.col("l_tax") * 100).alias("t"), (F.round(F.col("l_discount") * 100) - 5).alias("m"))
+    c = rs.checked(li, {k: rs.holds(k, *at) for k, at in _KINDS.items()})
+    each = c.agg(F.count("*").alias("n"), *[F.count_if(F.array_contains("broken", k)).alias(k) for k in _KINDS], F.count_if(F.size("broken") > 0).alias("all"))
+    return each.unpivot(["n"], [*_KINDS, "all"], "kind", "violations").select("kind", "n", "violations")
+
+
+@_query("r21_sharpe_decay", f"""WITH {_PANEL}, {_FOLDS}, s AS (SELECT CAST(fold AS INTEGER) AS fold, avg(r1) FILTER (day < test_start) / stddev_samp(r1) FILTER (day < test_start) AS train, avg(r1) FILTER (day >= test_start) / stddev_samp(r1) FILTER (day >= test_start) AS test FROM panel JOIN days USING (date) JOIN folds ON day BETWEEN test_start AND test_end OR day BETWEEN 1 AND test_start - 6 GROUP BY fold),
+e AS (SELECT *, CASE WHEN test < 0 THEN 1 WHEN train <= 0 THEN 0 ELSE greatest(0, (train - test) / train) END AS decay FROM s) SELECT fold, {sql_r('train')} AS train_sharpe, {sql_r('test')} AS test_sharpe, {sql_r('decay')} AS decay, CASE WHEN decay > 0.5 THEN 'critical' WHEN decay > 0.3 THEN 'warning' ELSE 'ok' END AS level FROM e""")
+def r21_decay(spark, d):
+    x = lambda role: F.avg(F.when(F.col("role") == role, F.col("r1"))) / F.stddev_samp(F.when(F.col("role") == role, F.col("r1")))
+    s = _folded(spark, d).groupBy("fold").agg(x("train").alias("train"), x("test").alias("test")).withColumn("decay", rs.sharpe_decay(F.col("train"), F.col("test")))
+    level = F.when(F.col("decay") > 0.5, "critical").when(F.col("decay") > 0.3, "warning").otherwise("ok")
+    return s.select("fold", r("train").alias("train_sharpe"), r("test").alias("test_sharpe"), r("decay").alias("decay"), level.alias("level"))
+
+
 @_query("r25_multiple_testing", f"""WITH {TRADES}, t AS (SELECT symbol, round(1 / (1 + abs(avg(prediction)) * sqrt(count(*))), 9) AS p FROM trades GROUP BY symbol), k AS (SELECT *, row_number() OVER (ORDER BY p, symbol) AS rank, count(*) OVER () AS n FROM t)
 SELECT symbol, {sql_r('p', 6)} AS p, CAST(rank AS INTEGER) AS rank, p <= 0.1 / n AS bonferroni, rank <= coalesce(max(CASE WHEN p <= rank * 0.1 / n THEN rank END) OVER (), 0) AS bh FROM k""")
 def r25(spark, d):

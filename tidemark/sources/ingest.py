@@ -28,8 +28,13 @@ def with_fallback(primary: DataFrame, fallback: DataFrame) -> DataFrame:
     return primary.withColumn("fallback_used", F.lit(False)).unionByName(fallback.join(have, "symbol", "left_anti").withColumn("fallback_used", F.lit(True)))
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str], seq: str | None = None) -> DataFrame:
-    """New rows replace old ones of the same key; of new rows of one key the last by `seq` wins. Old columns that new rows lack become null."""
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], seq: str | None = None, at: Column | None = None) -> DataFrame:
+    """New rows replace old ones of the same key; of new rows of one key the last by `seq` wins. Old columns that new rows lack become null.
+
+    `at` stamps the new rows as ingested_at; the old ones keep theirs.
+    """
+    if at is not None:
+        new = new.withColumn("ingested_at", at)
     a = old.withColumn("__new", F.lit(0)).withColumn("__seq", F.lit(0).cast("long"))
     b = new.withColumn("__new", F.lit(1)).withColumn("__seq", F.col(seq).cast("long") if seq else F.lit(0).cast("long"))
     both = a.unionByName(b, allowMissingColumns=True)

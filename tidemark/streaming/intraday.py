@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import shared_folder
-from ..sources.ingest import upsert
 
 ANNUAL = math.sqrt(252 * 390)
 FEATURES = ("intraday_vwap", "intraday_rsi_14", "intraday_momentum_20", "intraday_volatility_20", "intraday_volume_ratio", "intraday_price_to_open", "intraday_range_position")
@@ -120,7 +119,8 @@ def ingest(stream: DataFrame, keys: list[str], seq: str) -> DataFrame:
     path = new_folder(stream.sparkSession, "bars")
     drained(stream, lambda df, i: df.withColumn("batch", F.lit(i).cast("long")).write.mode("append").parquet(path))
     rows = stream.sparkSession.read.parquet(path)
-    return upsert(rows.limit(0), rows.withColumn("__order", F.col("batch") * 1_000_000_000 + F.col(seq)), keys, "__order").drop("__order", "batch")
+    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch"), F.desc(seq)))
+    return rows.withColumn("__rn", newest).where("__rn = 1").drop("__rn", "batch")
 
 
 def stateful(stream: DataFrame) -> DataFrame:
