@@ -120,7 +120,7 @@ def balanced(units: DataFrame, strata: dict[str | None, int], seed: int = 0, blo
     dealt = units.join(F.broadcast(spread), F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("unit_id", "size"), "parts"))
 
     def run(key: tuple, tab: pa.Table) -> pa.Table:
-        tab = tab.sort_by([("unit_id", "ascending"), ("size", "ascending")])
+        tab = tab.sort_by([("unit_id", "ascending"), ("size", "ascending"), ("text_hash", "ascending")])
         own = repr((seed, key[0].as_py(), key[1].as_py()))
         rng = np.random.default_rng(int.from_bytes(hashlib.sha256(own.encode()).digest()[:8], "big"))
         p = sample(tab["p"].to_numpy(), tab["size"].to_numpy().astype(float), rng)
@@ -130,12 +130,12 @@ def balanced(units: DataFrame, strata: dict[str | None, int], seed: int = 0, blo
 
 
 def mix_sources(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), most: float = 3.0, seed: int = 0, id_col: str = "doc_id", max_sources: int = 100_000) -> DataFrame:
-    """(id, source, size, source_size, target, copies, taken) of each document.
+    """(id, source, size, source_size, target, copies, taken, text_hash) of each document.
 
     Weights repeat `cycle` over the sources in code-point order. Only one row per source comes to the driver; more than `max_sources` are refused, as
     weights are set per source by a caller.
     """
-    sizes = written(docs.select(F.col(id_col).alias("unit_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "sizes")
+    sizes = written(docs.select(F.col(id_col).alias("unit_id"), "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")), "sizes")
     rows = sizes.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).limit(max_sources + 1).collect()
     if len(rows) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -152,7 +152,7 @@ def mix_sources(docs: DataFrame, cycle: tuple[float, ...] = (5, 2, 1), most: flo
     units = sizes.join(F.broadcast(spark.createDataFrame(plan, kinds)), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     flown = balanced(units, {r["source"]: r["n"] for r in rows}, seed)
     copies = F.col("whole") + F.round("p").cast("long")
-    return flown.select(F.col("unit_id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    return flown.select(F.col("unit_id").alias(id_col), "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"), "text_hash")
 
 
 def op5_cube_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
