@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontaminate, mixing, quality, simhash, tokens
@@ -17,7 +17,7 @@ from tidemark.llm.common import table, written
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier finds good and not toxic."""
-    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))).where("keep").select(*docs.columns)
+    return quality.kept(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,15 +35,22 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Documents without a benchmark passage."""
     hits = decontaminate.decontaminate(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
     bad = written(hits.select("doc_id", "text_hash").distinct(), "contaminated")
-    own = docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-    return own.join(bad, own["doc_id"].eqNullSafe(bad["doc_id"]) & (own["text_hash"] == bad["text_hash"]), "left_anti").select(*docs.columns)
+    same = docs["doc_id"].eqNullSafe(bad["doc_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == bad["text_hash"])
+    return docs.join(bad, same, "left_anti")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    plan = mixing.mix_sources(docs.select("doc_id", "text", "source")).where("copies > 0").select(F.col("doc_id").alias("id"), "copies")
-    many = docs.join(plan, docs["doc_id"].eqNullSafe(plan["id"]))
-    return many.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Each document as many times as the mix takes it.
+
+    Rows of one id are told apart by source and text, and numbered where these are equal too, so that each row meets one row of the plan.
+    """
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    plan = mixing.mix_sources(docs.select("doc_id", "text", "source"))
+    nth = lambda *order: F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
+    plan = plan.select("doc_id", nth("source", "text_hash").alias("nth"), "copies").where("copies > 0")
+    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"), nth("source", text).alias("nth"))
+    many = rows.join(plan, rows["doc_id"].eqNullSafe(plan["doc_id"]) & (rows["nth"] == plan["nth"])).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return many.select("row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
