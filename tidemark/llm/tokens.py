@@ -168,10 +168,9 @@ class Encoder:
         self.apart = '"pre_tokenizer":{"type":"ByteLevel","add_prefix_space":false' in self.tok.to_str() and self.tok.normalizer is None
         self.model = self.tok.model
         # byte-level letters: printable bytes stand for themselves, the others follow from 256 on
-        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in set(plain)]
-        self.letters = {b: 256 + i for i, b in enumerate(rest)}
-        self.words = _Memory(self._word, memory)
+        plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = [b for b in range(256) if b not in plain]
+        self.letters = [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
         self.marks = _Memory(self.whole, memory)
         self.after_space = _Memory(self._piece, memory)
 
@@ -180,13 +179,16 @@ class Encoder:
 
     def _word(self, word: str) -> bytes:
         """Of a space and letters, which are one pre-token."""
-        return array("I", [t.id for t in self.model.tokenize((" " + word).encode().decode("latin-1").translate(self.letters))]).tobytes()
+        spelt = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])  # ASCII letters stand for themselves
+        return array("I", [t.id for t in self.model.tokenize(self.letters[32] + spelt)]).tobytes()
 
     def _piece(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            return self._word(piece)
         m = _PLAIN.fullmatch(piece)
         if m is None:
             return self.whole(" " + piece)
-        return self.words[m[1]] + (self.marks[m[2]] if m[2] else b"")
+        return self.after_space[m[1]] + self.marks[m[2]] if m[2] else self._word(piece)
 
     def __call__(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
@@ -257,7 +259,7 @@ def token_files(docs: DataFrame, tokenizer: str, end_id: int | None = None, id_c
                             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int64()), *(pa.array(x) for x in list(zip(*rows, strict=True))[1:])], names=[id_col, "start", "n_tokens", *names])
                             rows = []
 
-    return before.repartition("path").mapInArrow(read, f"{id_col} long, start long, n_tokens long" + (", " + extra if extra else ""))
+    return before.repartition(max(1, files.count()), "path").mapInArrow(read, f"{id_col} long, start long, n_tokens long" + (", " + extra if extra else ""))
 
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:

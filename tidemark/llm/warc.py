@@ -136,10 +136,11 @@ def decide(records: DataFrame, least: int = 0) -> DataFrame:
     return own.select("path", "seq", "payload_bytes", again.alias("is_revisit"), F.when(again, F.col("first.page_id")).alias("refers_to"))
 
 
-def normalise(decisions: DataFrame, folder: str) -> DataFrame:
+def normalise(decisions: DataFrame, folder: str, files: int) -> DataFrame:
     """Rewrites each monolithic file so that every record is a gzip member of its own, revisits without payload, and writes a sidecar index.
 
-    (path, index, records) of each new file. A task inflates its file's stream once and holds one record at a time.
+    (path, index, records) of each new file. A task inflates its file's stream once and holds one record at a time. The work is that of the `files`, not of
+    the few bytes a decision has, so there are as many tasks.
     """
 
     def run(key: tuple, tab: pa.Table) -> pa.Table:
@@ -160,7 +161,7 @@ def normalise(decisions: DataFrame, folder: str) -> DataFrame:
                 n += 1
         return pa.table({"path": [f"{folder}/{name}.warc.gz"], "index": [f"{folder}/{name}.index"], "records": pa.array([n], pa.int64())})
 
-    return decisions.groupBy("path").applyInArrow(run, "path string, index string, records long")
+    return decisions.repartition(max(1, files), "path").groupBy("path").applyInArrow(run, "path string, index string, records long")
 
 
 def read_archives(files: DataFrame) -> DataFrame:
@@ -192,14 +193,15 @@ def read_archives(files: DataFrame) -> DataFrame:
                         if not got:
                             break
 
-    return files.repartition("path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return files.repartition(max(1, files.count()), "path").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def archive(pages: DataFrame, least: int = 0) -> DataFrame:
     """The normalised files' (path, index, records) for all rows of `pages`."""
     spark = pages.sparkSession
     records = written(write_monolithic(pages, new_path(spark, "warc-whole")), "warc-records")
-    return written(normalise(decide(records, least), new_path(spark, "warc")), "warc-files")
+    files = records.agg(F.countDistinct("path")).first()[0]
+    return written(normalise(decide(records, least), new_path(spark, "warc"), files), "warc-files")
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
