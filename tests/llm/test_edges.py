@@ -1,11 +1,12 @@
 """Nulls, empty and odd texts, repeated rows, empty tables and extra columns: each operator has a defined result."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
 
-from tidemark.llm import decontaminate, lm, minhash, mixing, pii, quality, simhash, substrings, tokens, warc
+from tidemark.llm import decontaminate, ef, lm, minhash, mixing, pii, quality, simhash, substrings, tokens, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, d string, a int, words string"
 ROWS = [(1, None, None, None, None, "x", 1, ""), (2, "", "en", "s", 0, "x", 1, ""), (3, "one", "en", "s", 3, "x", 1, ""), (3, "one", "en", "s", 3, "x", 1, ""), (None, "two words", None, None, 9, None, None, None), (4, "w " * 3000 + "x" * 50_000, "en", "t", 1, "x", 1, ""), (5, "w " * 3000 + "x" * 50_000, "en", "t", 1, "x", 1, ""), (6, " \t\n\r\x0b\x0c\x1c  é<|endoftext|>  \x85 '　s 12", "en", "t", 1, "x", 1, "")]
@@ -88,13 +89,38 @@ def test_archives_of_odd_pages(spark):
     assert warc.read_archives(warc.archive(pages.where("false"))).collect() == []
 
 
-def test_elias_fano_round_trip():
-    rng = np.random.default_rng(0)
-    for n, u in ((0, 5), (1, 1), (1000, 1 << 64), (5000, 1 << 44), (3000, 3000)):
-        x = np.sort(rng.integers(0, min(u, (1 << 64) - 1), n, dtype=np.uint64))
-        data = lm.ef_encode(x, u)
-        y, size = lm.ef_decode(memoryview(data + b"rest"))
-        assert (x == y).all() and size == len(data)
+@pytest.mark.parametrize(("n", "u"), [(0, 5), (1, 1), (1, 2), (3, (1 << 64) - 1), (1000, (1 << 64) - 1), (5000, 1 << 44), (3000, 3000), (100_000, 1 << 36)])
+def test_elias_fano_queries_on_the_coded_sequence(n, u):
+    rng = np.random.default_rng(n)
+    x = np.sort(rng.integers(0, u, n, dtype=np.uint64) // np.uint64(7 if n == 3000 else 1))
+    e = ef.EliasFano(np.frombuffer(b"before!!" + ef.encoded(x, u) + b"rest", np.uint8), 8)
+    assert (e.get(np.arange(n)) == x).all() if n else e.n == 0
+    q = np.concatenate([x[:500], rng.integers(0, u, 500, dtype=np.uint64)])
+    place, hit = e.find(q)
+    assert (place == np.searchsorted(x, q)).all() and (hit == np.isin(q, x)).all()
+
+
+def test_words_of_one_pattern_are_told_apart(spark):
+    """Sums over powers of one base modulo 2**64 can't tell a Thue-Morse word of 1,024 letters from its complement."""
+    a, b = "a", "b"
+    for _ in range(10):
+        a, b = a + b, b + a
+    train_id, held_id = (next(i for i in range(100) if (zlib.crc32(str(i).encode()) % 10 == 0) == held) for held in (False, True))
+    docs = spark.createDataFrame([(train_id, a), (held_id, f"{a} {b}")], "doc_id long, text string")
+    got = {r.doc_id: r for r in lm.language_model_scores(docs).collect()}
+    assert got[held_id].n_known == 2 and got[held_id].n_tokens == 3  # the word seen and the end
+
+
+def test_contexts_that_lie_in_several_shards(spark, monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the"] * 6 + [f"w{rng.randint(0, 400)}"] * 5) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    whole = {r.doc_id: r.score for r in lm.language_model_scores(docs).collect()}
+    monkeypatch.setattr(lm, "SHARD", 300)
+    cut = {r.doc_id: r.score for r in lm.language_model_scores(docs).collect()}
+    model = lm.train(docs.select("text"))
+    assert len(model.pairs.paths) > 20 and len(model.pairs.shared)
+    assert all(abs(whole[d] - cut[d]) < 1e-6 for d in whole)
 
 
 def test_bit_packing_round_trip():

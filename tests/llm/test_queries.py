@@ -156,24 +156,29 @@ def test_base_spans_of_random_texts(spark):
 def test_language_model(spark, data, texts):
     tokens_of = {d: [*t.encode().lower().split(), None] for d, t in texts.items()}
     held = {d: zlib.crc32(str(d).encode()) % 10 == 0 for d in texts}
-    words, pairs = Counter(), Counter()
+    words, pairs, triples = Counter(), Counter(), Counter()
     for d, k in tokens_of.items():
         if not held[d]:
             words.update(k)
             pairs.update(zip([0, *k], k))
+            triples.update(zip([0, *k], k, k[1:]))
     n, v, docs = sum(words.values()), len(words), sum(not h for h in held.values())
+    follow, after = Counter(a for a, _ in pairs), Counter((a, b) for a, b, _ in triples)
     size = lambda c: docs if c == 0 else words[c]
-    left = defaultdict(lambda: 1.0)
-    for (a, _), c in pairs.items():
-        if c >= 2:
-            left[a] -= (c - 0.75) / size(a)
     for r in QUERIES["op9_elias_fano"](spark, data).collect():
         k = tokens_of[r.doc_id]
         p = [(words[w] + 0.1) / (n + 0.1 * (v + 1)) for w in k]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(k), sum(words[w] > 0 for w in k), n)
         assert abs(r.base_score - sum(map(math.log10, p))) < 1e-6 * abs(r.base_score)
-        full = sum(math.log10(((pairs[a, w] - 0.75) / size(a) if pairs[a, w] >= 2 else 0) + (max(1e-4, left[a]) if size(a) else 1) * x) for a, w, x in zip([0, *k], k, p))
-        assert abs(r.score - full) < 0.05 * len(k)  # probabilities are quantised
+        full = 0.0
+        for i, (w, x) in enumerate(zip(k, p)):
+            a = k[i - 1] if i else 0
+            if size(a):
+                x = max(0, pairs[a, w] - 0.75) / size(a) + 0.75 * follow[a] / size(a) * x
+            if i and pairs[u := k[i - 2] if i > 1 else 0, a]:
+                x = max(0, triples[u, a, w] - 0.75) / pairs[u, a] + 0.75 * after[u, a] / pairs[u, a] * x
+            full += math.log10(x)
+        assert abs(r.score - full) < 0.04 * len(k)  # probabilities are quantised in steps of 1/32
 
 
 def test_decontamination_finds_every_planted_item(spark, data, texts):
