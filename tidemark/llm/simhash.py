@@ -71,7 +71,7 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def trie_pairs(key: np.ndarray, fp: np.ndarray, budget: int, cap: int = 400_000):
+def trie_pairs(key: np.ndarray, fp: np.ndarray, budget: int, cap: int = 1 << 15):
     """Pairs of places (a, b) of distinct (key, fp), sorted by both, that connect exactly the fingerprints of one key within `budget` bits; a piece at a time.
 
     Each key's fingerprints are a binary trie: a node is a range that shares leading bits. Pairs of nodes go down together, one bit a level,
@@ -159,12 +159,12 @@ def trie_links(key: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray
 
 def trie_neighbours(key: np.ndarray, fp: np.ndarray, budget: int, few: int = 32) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of one key within `budget` bits, by their fingerprints' first rows: all of a fingerprint that has at most `few` others near, and the
-    nearest, the first and the last of one that has more, as in large groups of copies; and each row with the first of its own fingerprint."""
+    nearest and the first of one that has more, as in large groups of copies; and each row with the first of its own fingerprint."""
     key, fp, at = _distinct(key, fp)
     first = np.full(len(fp), len(at))
     np.minimum.at(first, at, np.arange(len(at)))
     none = np.iinfo(np.int64).max
-    near, low, high = np.full(len(fp), none), np.full(len(fp), none), np.full(len(fp), -1)
+    near, low = np.full(len(fp), none), np.full(len(fp), none)
     degree = np.zeros(len(fp), np.int64)
     for a, b in trie_pairs(key, fp, budget):
         real = a != b
@@ -174,9 +174,8 @@ def trie_neighbours(key: np.ndarray, fp: np.ndarray, budget: int, few: int = 32)
         for x, y in ((a, b), (b, a)):
             np.minimum.at(near, x, d | y)
             np.minimum.at(low, x, y)
-            np.maximum.at(high, x, y)
     u, v = [np.arange(len(at))], [first[at]]
-    for best in (near & ((1 << 40) - 1), low, high):
+    for best in (near & ((1 << 40) - 1), low):
         has = np.flatnonzero(low != none)
         u.append(first[has])
         v.append(first[best[has]])
@@ -288,16 +287,17 @@ def jaccard(data: np.ndarray, offs: np.ndarray, n: int) -> np.ndarray:
     return np.where(every > 0, both / np.maximum(every, 1), 1.0)
 
 
-def candidates(own: DataFrame, budget: int, hot: int = 1500) -> DataFrame:
-    """(u, v) pairs of `own` (h, fp, keys) that share a least shingle and differ in at most `budget` bits (of what has very many: nearest, first, last).
+def candidates(own: DataFrame, budget: int, hot: int = 600) -> DataFrame:
+    """(u, v) pairs of `own` (h, fp, keys) that share a least shingle and differ in at most `budget` bits (of what has very many: the nearest and the first).
 
     Shards are documents with one least shingle in common. One of more than `hot` documents, by a shingle that many texts have, is dealt again by each of
-    the other least shingles. What is hot even so are copies of one text, mostly: these are cut by chance, and each part gets the shard's first document.
+    the later least shingles (two documents that share an earlier one meet there). What is hot even so are copies of one text, mostly: these are cut by
+    chance, alike in all shards, and each part gets the shard's first document.
     """
     rows = own.select("h", "fp", "keys", F.posexplode("keys").alias("i", "key")).select("h", "fp", "keys", "i", F.xxhash64("i", "key").alias("k"))
     sized = lambda df: df.groupBy("k").agg(F.count("*").alias("n"), F.min("h").alias("first"), F.min_by("fp", "h").alias("first_fp")).where("n > 1").select("k", "n", "first", "first_fp")
     one = written(rows.join(sized(rows).hint("merge"), "k"), "shards")
-    again = one.where(F.col("n") > hot).select("h", "fp", "k", "i", F.posexplode("keys").alias("j", "other")).where("j <> i").select("h", "fp", F.xxhash64("k", "j", "other").alias("k"))
+    again = one.where(F.col("n") > hot).select("h", "fp", "k", "i", F.posexplode("keys").alias("j", "other")).where("j > i").select("h", "fp", F.xxhash64("k", "j", "other").alias("k"))
     two = written(again.join(sized(again).hint("merge"), "k"), "shards")
     part = F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / hot))
     cut = two.where(F.col("n") > hot)
