@@ -113,7 +113,7 @@ def runs_of(flags: list[bool]) -> list[tuple[int, int]]:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", window: int = 20, hot: int = 2000) -> DataFrame:
     """(d, t, start, end): words covered by windows that start earlier in the corpus; d is the id, t a hash of the text.
 
-    In shards of more than `hot` stretches equal ones are found first, by an aggregate that combines before it shuffles and a join that can be split;
+    In shards of more than `hot` stretches equal ones (by SHA-256 of their words) are found first, by an aggregate that combines before it shuffles and a join that can be split;
     only the earliest of each goes to the automaton. A shard of more than 3 x `hot` different stretches is cut to single windows, by content: as exact, for
     a passage that any share of the documents may hold.
     """
@@ -196,7 +196,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", window: int = 20, ho
 
     cool = stretches.where(~F.col("is_hot")).select("a", "d", "t", "start", "words")
     # hot shards: equal stretches first, of which all but the earliest go whole
-    many = stretches.where("is_hot").withColumn("h", F.xxhash64("words"))
+    many = stretches.where("is_hot").withColumn("h", F.sha2("words", 256))
     first = written(many.groupBy("a", "h").agg(F.min(F.struct("d", "t", "start", "words")).alias("f")), "first-stretches")
     place = F.struct("d", "t", "start")
     copies = many.drop("words").join(first.select("a", "h", F.struct("f.d", "f.t", "f.start").alias("f")).hint("merge"), ["a", "h"]).where(~place.eqNullSafe(F.col("f"))).select("d", "t", "start", (F.col("start") + F.col("n") + window - 1).alias("end"))
@@ -213,7 +213,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", window: int = 20, ho
                     d.append(doc)
                     t.append(th)
                     start.append(at + k)
-                    w.append(hashlib.blake2b(b" ".join(own[k : k + window]), digest_size=16).digest())
+                    w.append(hashlib.blake2b(b" ".join(own[k : k + window]), digest_size=32).digest())
             yield pa.RecordBatch.from_arrays([pa.array(d, b.schema.field("d").type), pa.array(t, pa.int64()), pa.array(start, pa.int32()), pa.array(w, pa.binary())], names=["d", "t", "start", "w"])
 
     # what is hot even so: single windows, by content
