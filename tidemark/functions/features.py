@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -76,13 +77,12 @@ FEATURES: dict[str, Callable[[], Column]] = {
     **{f"returns_{n}d": (lambda n=n: change(n)) for n in (1, 5, 20, 60, 252)},
     **{f"momentum_{n}d": (lambda n=n: change(n)) for n in (20, 60, 252)},
     "roc_10d": lambda: 100 * change(10),
-    **{f"volatility_{n}d": (lambda n=n: std("log_r", n) * 252**0.5) for n in (20, 60)},
-    **{f"simple_volatility_{n}d": (lambda n=n: std("r1", n) * 252**0.5) for n in (20, 60)},
+    "volatility_20d": lambda: std("log_r", 20) * 252**0.5,
+    "simple_volatility_20d": lambda: std("r1", 20) * 252**0.5,
     "volume_20d": lambda: mean("volume", 20),
     "volume_ratio": lambda: F.try_divide("volume", mean("volume", 20)),
-    **{f"sma_{n}d": (lambda n=n: mean("p", n)) for n in (20, 50, 200)},
-    **{f"price_to_sma_{n}d": (lambda n=n: F.try_divide("p", mean("p", n))) for n in (20, 50, 200)},
-    "trend": lambda: F.signum(F.col("p") - mean("p", 200)),
+    "sma_20d": lambda: mean("p", 20),
+    "price_to_sma_20d": lambda: F.try_divide("p", mean("p", 20)),
     "bb_upper_20d": lambda: mean("p", 20) + 2 * std("p", 20),
     "bb_lower_20d": lambda: mean("p", 20) - 2 * std("p", 20),
     "bb_width_20d": lambda: F.try_divide(4 * std("p", 20), mean("p", 20)),
@@ -101,6 +101,11 @@ Z = {95: (1.6448536269514722, 0.10313564037537128), 99: (2.3263478740408408, 0.0
 
 #: Features of wide frames, from a symbol's whole series (functions/rolling.py); what they read is in SERIES.
 GROUPED: dict[str, Callable] = {
+    **{f"sma_{n}d": (lambda x, n=n: rolling.frames(x["p"], n, rolling.mean)) for n in (50, 200)},
+    **{f"price_to_sma_{n}d": (lambda x, n=n: rolling.ratio(x["p"], rolling.frames(x["p"], n, rolling.mean))) for n in (50, 200)},
+    "trend": lambda x: np.sign(x["p"] - rolling.frames(x["p"], 200, rolling.mean)),
+    "volatility_60d": lambda x: rolling.frames(x["log_r"], 60, rolling.deviation) * 252**0.5,
+    "simple_volatility_60d": lambda x: rolling.frames(x["r1"], 60, rolling.deviation) * 252**0.5,
     "skewness_60d": lambda x: rolling.frames(x["r1"], 60, rolling.skewness),
     "kurtosis_60d": lambda x: rolling.frames(x["r1"], 60, rolling.kurtosis),
     "downside_vol_60d": lambda x: rolling.frames(x["down"], 60, rolling.deviation) * 252**0.5,
@@ -110,7 +115,7 @@ GROUPED: dict[str, Callable] = {
     "var_99_1d": lambda x: rolling.value_at_risk(x["r1"], *Z[99], 99, 1),
     "var_95_10d": lambda x: rolling.value_at_risk(x["r1"], *Z[95], 95, 10),
 }
-SERIES = ["r1", "r5", "r5_before", "down"]
+SERIES = ["p", "r1", "log_r", "r5", "r5_before", "down"]
 
 
 def register(name: str, builder: Callable[[], Column]) -> None:
@@ -125,8 +130,8 @@ def window_features(prices: DataFrame, names: list[str] | None = None) -> DataFr
     for stage in (FIRST, SECOND, THIRD):
         base = base.select("*", *[b().alias(k) for k, b in stage.items()])
     grouped = {n: GROUPED[n] for n in names if n in GROUPED}
-    out = base.select("symbol", "date", "p", *[FEATURES[n]().alias(n) for n in names if n not in grouped], *(SERIES if grouped else []))
-    return rolling.by_symbol(out, grouped, SERIES).select("symbol", "date", "p", *names) if grouped else out
+    out = base.select("symbol", "date", "p", *[FEATURES[n]().alias(n) for n in names if n not in grouped], *(SERIES[1:] if grouped else []))
+    return rolling.by_symbol(out, grouped, SERIES, SERIES[1:]).select("symbol", "date", "p", *names) if grouped else out
 
 
 def run(prices: DataFrame, names: list[str], start: str, end: str, lookback_days: int = 400, least_rows: int = 60, version: str = "v1") -> tuple[DataFrame, DataFrame]:

@@ -31,6 +31,10 @@ def mean(v: np.ndarray) -> np.ndarray:
     return v.mean(axis=1)
 
 
+def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.divide(a, b, out=np.full(len(a), np.nan), where=np.isfinite(b) & (b != 0))
+
+
 def deviation(v: np.ndarray) -> np.ndarray:
     return v.std(axis=1, ddof=1)
 
@@ -69,9 +73,9 @@ def value_at_risk(r1: np.ndarray, z: float, density: float, level: int, days: in
     return -mu * days + sigma * days**0.5 * density / (1 - level / 100) if shortfall else -(mu * days - z * sigma * days**0.5)
 
 
-def by_symbol(df: DataFrame, names: dict[str, Callable[[dict[str, np.ndarray]], np.ndarray]], inputs: list[str]) -> DataFrame:
-    """df without `inputs`, with each named series, computed from a symbol's rows in order of date. A group is one symbol's days."""
-    kept = [f for f in df.schema if f.name not in inputs]
+def by_symbol(df: DataFrame, names: dict[str, Callable[[dict[str, np.ndarray]], np.ndarray]], inputs: list[str], drop: list[str]) -> DataFrame:
+    """df without `drop`, with each named series, computed from the `inputs` of a symbol's rows in order of date. A group is one symbol's days."""
+    kept = [f for f in df.schema if f.name not in drop]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{n}` double" for n in names])
 
     def run(tab: pa.Table) -> pa.Table:

@@ -61,12 +61,15 @@ def _ranks(windows: np.ndarray) -> np.ndarray:
 def rolling_rank_ic(long: DataFrame, window: int = 60) -> DataFrame:
     """(feature, horizon, symbol, date, ic) of rows (feature, horizon, symbol, date, x, y).
 
-    Ranks are taken inside each window, so this is a grouped pass per feature, horizon and symbol; windows never cross symbols, and the last row ends
-    none. Pairs with a null are left out first.
+    Ranks are taken inside each window, so this is a grouped pass over a symbol's rows, of which each feature and horizon is a series of its own; a panel
+    that is partitioned by symbol isn't shuffled again. Windows never cross symbols, and the last row ends none. Pairs with a null are left out first.
     """
     kind = dict(long.dtypes)["symbol"]
 
     def run(g: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([series(x) for _, x in g.groupby(["feature", "horizon"], sort=False)])
+
+    def series(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("date", ignore_index=True)
         n = len(g) - window  # windows end at rows window - 1 .. n - 2
         out = g[["feature", "horizon", "symbol", "date"]].iloc[window - 1 : len(g) - 1]
@@ -81,7 +84,7 @@ def rolling_rank_ic(long: DataFrame, window: int = 60) -> DataFrame:
         return out.assign(ic=np.concatenate(ics))
 
     pairs = long.where("x is not null and y is not null").select("feature", "horizon", "symbol", "date", "x", "y")
-    return pairs.groupBy("feature", "horizon", "symbol").applyInPandas(run, f"feature string, horizon int, symbol {kind}, date date, ic double").withColumn("ic", F.when(~F.isnan("ic"), F.col("ic")))
+    return pairs.groupBy("symbol").applyInPandas(run, f"feature string, horizon int, symbol {kind}, date date, ic double").withColumn("ic", F.when(~F.isnan("ic"), F.col("ic")))
 
 
 def ic_summary(ics: DataFrame) -> DataFrame:
