@@ -199,3 +199,55 @@ def test_edited_benchmark_items_in_corpora_of_several_sizes(spark, size):
         docs.append((i, " ".join(say(100) + t + say(100))))
     hits = decontaminate.decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")).collect()
     assert {(h.doc_id, h.item_id) for h in hits} == {(i, i) for i in range(30)}
+
+
+def test_masked_identifiers_come_back(spark, data):
+    """Of a whole table with identifiers in wordings that recur, half are spelt so that no base pattern finds them: the rounds find these, and no other tokens."""
+    rng = random.Random(12)
+    texts = [r.text or "" for r in spark.read.parquet(f"{data}/documents.parquet").orderBy("doc_id").collect()]
+    ways = [("write to me at {} for details", lambda i: f"user{i}@host{i % 50}.example.org", lambda i: f"user{i}(at)host{i % 50}.example.org"), ("please call the office under {} before noon", lambda i: f"+1 (555) 01{i % 90 + 10}-{1000 + i}", lambda i: f"(555) 01{i % 90 + 10}-{1000 + i}")]
+    docs, masked = [], {}
+    for i, text in enumerate(texts * 2):
+        words = text.split(" ")
+        k, hide = i % 2, i % 4 >= 2
+        say, plain, hidden = ways[k]
+        at = rng.randrange(len(words) + 1)
+        one = (hidden if hide else plain)(i)
+        line = say.format(one)
+        before = " ".join(words[:at])
+        docs.append((i, f"{before} {line} {' '.join(words[at:])} version 2.{i} of {rng.randint(1, 10**6)} pieces"))
+        if hide:
+            begin = len(before) + 1 + line.index(one)
+            masked[i] = (("email", "phone")[k], begin, begin + len(one))
+    got = {r.doc_id: {(x["kind"], x["start"], x["end"]) for x in r.added} for r in pii.detect(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    back = sum(any(kind == k and s < end and e > begin for k, s, e in got[i]) for i, (kind, begin, end) in masked.items())
+    wrong = sum(1 for i, found in got.items() for k, s, e in found if i not in masked or not (s < masked[i][2] and e > masked[i][1]))
+    assert back >= 0.95 * len(masked) and wrong <= 0.02 * len(docs)
+
+
+@pytest.mark.parametrize("name", [*DOC_OPS, "decontaminate", "similar", "quality"])
+def test_a_text_of_megabytes(spark, name):
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(3000)]
+    long = " ".join(rng.choices(words, k=600_000))
+    docs = spark.createDataFrame([(1, long, "en", "s"), (2, "x" * 3_000_000, "en", "s"), (3, "short text", "en", "t")], "doc_id long, text string, lang string, source string")
+    if name == "decontaminate":
+        item = " ".join(long.split(" ")[300_000:300_025])
+        hits = decontaminate.decontaminate(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+        assert [(h.doc_id, h.item_id) for h in hits] == [(1, 7)]
+    elif name == "similar":
+        assert len({r["class"] for r in simhash.similar_documents(docs).collect()}) == 3
+    elif name == "quality":
+        none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+        assert quality.score(docs, quality.fit(docs, none)).count() == 3
+    else:
+        assert len(DOC_OPS[name](docs).collect()) == 3
+
+
+def test_scores_replace_columns_of_their_names(spark):
+    rows = [(i, f"word{i % 5} text here", "en", "s", 5, 0.5) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, keep int, quality_p double")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    model = quality.fit(docs, labels)
+    assert dict(quality.score(docs, model).dtypes)["keep"] == "boolean"
+    assert quality.kept(docs, model).columns == docs.columns

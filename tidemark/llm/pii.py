@@ -78,12 +78,14 @@ def spans(docs: DataFrame, id_col: str = "doc_id") -> tuple[DataFrame, DataFrame
     return rows.select("rid", id_col), written(placed.select("rid", "kind", (F.col("end") - F.length("m")).alias("start"), "end", "m", *around), "pii-spans")
 
 
-def bootstrapped(found: DataFrame, rounds: int = 3, support: int = 5, precise: float = 0.7, accept: float = 0.8) -> DataFrame:
+def bootstrapped(found: DataFrame, rounds: int = 3, support: int = 5, precise: float = 0.7, accept: float = 0.8, doubt: float = 0.25) -> DataFrame:
     """Spans (rid, kind, start, end) of identifiers that no base pattern found.
 
-    A pattern (kind, words around) needs `support` distinct known tokens, which must be `precise` of all distinct tokens it surrounds. A token is
-    accepted when the chance that all of its patterns err is at most 1 - accept, and its shape (runs of digits and letters masked) is one that the
-    kind's known tokens have, or it has about as many digits as one of them. Counts are over all documents; patterns and tokens are tables, never collected.
+    A token has the form of a kind if its shape (runs of digits and letters masked) is one that the kind's known tokens have, or it has letters and as
+    many runs as one of them, one more or less, or none and about as many digits. A pattern (kind, words around) needs `support` distinct known tokens, which must be
+    `precise` of all distinct tokens it surrounds; tokens not known yet that have the kind's form speak against it only by `doubt` each, all others
+    fully. A token of the kind's form is accepted when the chance that all of its patterns err is at most 1 - accept. Counts are over all documents;
+    patterns and tokens are tables, never collected.
     """
     base = found.where("kind <> 'token'")
     tokens = found.where("kind = 'token'").select("rid", "start", "end", F.regexp_replace("m", r"^[\p{Punct}&&[^+(@]]+|[\p{Punct}&&[^)]]+$", "").alias("token"), "left2", "left", "right", F.length("m").alias("len"))
@@ -93,20 +95,25 @@ def bootstrapped(found: DataFrame, rounds: int = 3, support: int = 5, precise: f
     tokens = written(tokens.join(seed, ["rid", "start"], "left"), "pii-tokens")
     cues = F.array(F.concat(F.lit("l:"), "left"), F.concat(F.lit("ll:"), "left2", F.lit(" "), "left"), F.concat(F.lit("lr:"), "left", F.lit(" "), "right"), F.concat(F.lit("r:"), "right"))
     shape = F.regexp_replace(F.regexp_replace("token", "[0-9]+", "9"), r"\p{L}+", "a")
-    form = F.array(shape, F.concat(F.lit("#"), F.floor(F.length(_digits(F.col("token"))) / 3)))
-    graph = written(tokens.select("token", "seed", F.explode(cues).alias("cue")).where(~F.col("cue").rlike(r"^\w+: ?$")).groupBy("token", "cue").agg(F.max("seed").alias("seed")), "pii-graph")
-    fits = written(tokens.where("seed is not null").select(F.col("seed").alias("kind"), F.explode(form).alias("form")).distinct(), "pii-shapes")
+    runs = F.regexp_count("token", F.lit(r"[\p{L}0-9]+"))
+    masked = lambda *off: F.when(F.col("token").rlike(r"\p{L}"), F.array(shape, *[F.concat(F.lit("L"), runs + o) for o in off])).otherwise(F.array(shape, F.concat(F.lit("#"), F.floor(F.length(_digits(F.col("token"))) / 3))))
+    form, known_form = masked(0), masked(-1, 0, 1)
+    edges = written(tokens.select("token", "seed", F.explode(cues).alias("cue")).where(~F.col("cue").rlike(r"^\w+: ?$")).groupBy("token", "cue").agg(F.max("seed").alias("seed")), "pii-graph")
+    fits = written(tokens.where("seed is not null").select(F.col("seed").alias("kind"), F.explode(known_form).alias("form")).distinct(), "pii-shapes")
+    can = edges.select("token").distinct().withColumn("form", F.explode(form)).join(fits, "form").groupBy("token").agg(F.collect_set("kind").alias("can"))  # of four kinds
+    graph = written(edges.join(can, "token", "left").withColumn("can", F.coalesce("can", F.array().cast("array<string>"))), "pii-forms")
     known = None  # (token, kind) accepted so far
     for _ in range(rounds):
         g = graph.withColumn("kind", F.col("seed"))
         if known is not None:
             g = graph.join(known.withColumnRenamed("kind", "learned"), "token", "left").withColumn("kind", F.coalesce("seed", "learned"))
-        counts = g.groupBy("cue").agg(F.count("*").alias("n"), *[F.sum(F.when(F.col("kind") == k, 1).otherwise(0)).alias(k) for k in KINDS])
-        pairs = counts.select("cue", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("hits")) for k in KINDS])).alias("p")).select("cue", "p.kind", "p.hits", ((F.col("p.hits") + 0.5) / (F.col("n") + 1)).alias("conf"))
+        may = lambda k: F.count_if(F.col("kind").isNull() & F.array_contains("can", k))
+        counts = g.groupBy("cue").agg(F.count("*").alias("n"), *[F.count_if(F.col("kind") == k).alias(k) for k in KINDS], *[may(k).alias(f"may_{k}") for k in KINDS])
+        pairs = counts.select("cue", "n", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("hits"), F.col(f"may_{k}").alias("may")) for k in KINDS])).alias("p"))
+        pairs = pairs.select("cue", "p.kind", "p.hits", ((F.col("p.hits") + 0.5) / (F.col("n") - (1 - doubt) * F.col("p.may") + 1)).alias("conf"))
         good = pairs.where((F.col("hits") >= support) & (F.col("conf") >= precise)).withColumnRenamed("kind", "as_kind")
-        fresh = g.where("kind is null").join(good, "cue").groupBy("token", "as_kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("conf", F.lit(0.999)))))).alias("score"))
+        fresh = g.where("kind is null").join(good, "cue").where(F.array_contains("can", F.col("as_kind"))).groupBy("token", "as_kind").agg((1 - F.exp(F.sum(F.log(1 - F.least("conf", F.lit(0.999)))))).alias("score"))
         fresh = fresh.where(F.col("score") >= accept).groupBy("token").agg(F.max_by("as_kind", F.struct("score", "as_kind")).alias("kind"))
-        fresh = fresh.withColumn("form", F.explode(form)).join(fits, ["kind", "form"], "left_semi").select("token", "kind").distinct()
         fresh = written(fresh, "pii-known")
         if fresh.isEmpty():
             break
