@@ -181,12 +181,30 @@ def test_language_model(spark, data, texts):
         assert abs(r.score - full) < 0.04 * len(k)  # probabilities are quantised in steps of 1/32
 
 
-def test_decontamination_finds_every_planted_item(spark, data, texts):
-    plain = {d: " ".join(t.split()) for d, t in texts.items()}
-    want = {(d, b.item_id) for b in spark.read.parquet(f"{data}/benchmark.parquet").collect() for d, t in plain.items() if " ".join(b.text.split()) in t}
+def test_decontamination_is_that_of_brute_force(spark, data):
+    """Both ways, at 1,000 documents: every item is aligned with every stretch of every document that has half of its words."""
+    import numpy as np
+
+    from tidemark.llm.decontaminate import overlaps
+
+    data = data.replace("sf0.001", "sf0.01")
+    ids: dict = {}
+    coded = lambda t: np.array([ids.setdefault(w, len(ids)) for w in re.findall(r"[0-9A-Za-z\x80-\U0010ffff]+", (t or "").lower())], int)
+    items = {b.item_id: coded(b.text) for b in spark.read.parquet(f"{data}/benchmark.parquet").collect()}
+    own = {i: set(x.tolist()) for i, x in items.items()}
+    want = set()
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()
+    for r in docs:
+        x = coded(r.text)
+        have = set(x.tolist())
+        for i, item in items.items():
+            if own[i] and len(own[i] & have) >= 0.5 * len(own[i]):
+                n = 2 * len(item)
+                if any(len(own[i] & set(x[at : at + 2 * n].tolist())) >= 0.5 * len(own[i]) and overlaps(item, x[at : at + 2 * n], 0.6, 0.5) for at in range(0, len(x), n)):
+                    want.add((r.doc_id, i))
     rows = QUERIES["op10_latent"](spark, data).collect()
-    assert len(rows) == len(texts)
-    assert want <= {(r.doc_id, i) for r in rows for i in r["items"]}
+    assert len(rows) == len(docs)
+    assert want and {(r.doc_id, i) for r in rows for i in r["items"]} == want
     assert all(r.contaminated == bool(r.n_items) for r in rows)
 
 
