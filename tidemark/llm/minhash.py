@@ -18,6 +18,7 @@ from .common import Words, buffers, clean_text, mix, pieces, shingles, table, va
 
 BINS, KEEP = 256, 4
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+_SALT = mix(np.arange(7001, 7001 + BINS, dtype=np.uint64))
 #: For each bin, all bins in an order of its own.
 _TURNS = np.argsort(mix(np.arange(1, BINS * BINS + 1, dtype=np.uint64)).reshape(BINS, BINS), axis=1)
 
@@ -26,7 +27,8 @@ def sketch(data: np.ndarray, offs: np.ndarray, n: int = 5) -> tuple[np.ndarray,
     """Low-order KEEP bits of each bin's minimum, rows x BINS, and whether a row has any shingle.
 
     Each shingle is hashed once: its high bits name the bin, its low bits compete for the bin's minimum. An empty bin takes the value of the first
-    filled bin in an order of bins drawn for it alone, the same for all texts (optimal densification).
+    filled bin in an order of bins drawn for it alone, the same for all texts (optimal densification). The bits are those of the value mixed with the bin,
+    so that two shingles that fill many bins of short texts don't agree by chance in all of these at once.
     """
     words = Words(data, offs)
     hashes, row = shingles(words, words.hashes(), n)
@@ -47,7 +49,7 @@ def sketch(data: np.ndarray, offs: np.ndarray, n: int = 5) -> tuple[np.ndarray,
         x, y = r[at : at + (1 << 15)], b[at : at + (1 << 15)]
         to = _TURNS[y, np.argmax(filled[x[:, None], _TURNS[y]], axis=1)]
         out[x, y] = low[x, to]
-    bits = (mix(out) & np.uint64((1 << KEEP) - 1)).astype(np.uint8)
+    bits = (mix(out ^ _SALT) & np.uint64((1 << KEEP) - 1)).astype(np.uint8)
     bits[~some] = 0
     return bits, some
 
