@@ -1,5 +1,7 @@
 """Queries of this package, one for each numbered operator."""
 
+from . import negatives, prefixes
+from .bpe import op12_bpe
 from .decontaminate import op10_latent
 from .lm import op9_elias_fano
 from .minhash import op3_minhash
@@ -22,5 +24,9 @@ QUERIES = {
     "op8_cotraining": op8_cotraining,
     "op9_elias_fano": op9_elias_fano,
     "op10_latent": op10_latent,
+    "op11_hard_negatives": negatives.op11_hard_negatives,
+    "op12_bpe": op12_bpe,
+    "op13_prefix_trie": prefixes.op13_prefix_trie,
 }
-ORACLE = {}
+#: DuckDB SQL of those that SQL can express.
+ORACLE = {"op11_hard_negatives": negatives.ORACLE, "op13_prefix_trie": prefixes.ORACLE}
