@@ -26,6 +26,24 @@ def asof_join(probes: DataFrame, facts: DataFrame, keys: list[str], probe_ts: st
     return got.select("__row.*", *[F.when(ok, F.col("__last")[c]).alias(c) for c in carry])
 
 
+def next_after(probes: DataFrame, events: DataFrame, keys: list[str], probe_ts: str, event_ts: str, carry: dict[str, str]) -> DataFrame:
+    """Every probe row with columns of the key's first event strictly after it (`carry`: event column -> name), null where none follows.
+
+    The mirror of asof_join: one union per key, read backwards in time with a running last value, so neither side is multiplied by the other. An event at
+    the probe's own time doesn't follow it. Of several events at one time the least (by the carried columns, in order) counts. Null keys and times match nothing but stay.
+    """
+    found = F.struct(F.col(event_ts).alias("__at"), *[F.col(c).alias(n) for c, n in carry.items()])
+    kind = events.select(found.alias("s")).schema["s"].dataType
+    p = probes.select(F.struct(*probes.columns).alias("__row"), *keys, F.col(probe_ts).alias("__t"), F.lit(0).alias("__side"), F.lit(None).cast(kind).alias("__event"))
+    e = events.where(F.col(event_ts).isNotNull()).select(F.lit(None).cast(p.schema["__row"].dataType).alias("__row"), *keys, F.col(event_ts).alias("__t"), F.lit(1).alias("__side"), found.alias("__event"))
+    back = Window.partitionBy(*keys).orderBy(F.col("__t").desc_nulls_last(), "__side", F.desc("__event")).rowsBetween(Window.unboundedPreceding, 0)
+    got = p.unionByName(e).withColumn("__next", F.last("__event", ignorenulls=True).over(back)).where("__side = 0")
+    ok = F.col("__t").isNotNull()
+    for k in keys:
+        ok = ok & F.col(k).isNotNull()
+    return got.select("__row.*", *[F.when(ok, F.col("__next")[n]).alias(n) for n in carry.values()])
+
+
 def latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """The last row of each key."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import written
+from . import asof, scans
 
 YEAR = 252
 
@@ -16,17 +17,33 @@ YEAR = 252
 # --- metrics ------------------------------------------------------------------------------------------------------------------
 
 
-def performance(returns: DataFrame, key: str, at: str = "date", ret: str = "r") -> DataFrame:
-    """Per key, the usual measures of a return series. One window pass for the cumulative curve, then aggregates; quantiles are exact."""
-    w = Window.partitionBy(key).orderBy(at)
-    c = returns.where(F.col(ret).isNotNull()).withColumn("cum", F.sum(F.log1p(ret)).over(w)).withColumn("i", F.row_number().over(w).cast("double"))
-    c = c.withColumn("peak", F.greatest(F.max("cum").over(w), F.lit(0.0)))
+def curve(returns: DataFrame, key: str, order: list[str], growth: Column, few_keys: bool = False) -> DataFrame:
+    """Rows with i (their number), cum (the running sum of `growth`) and peak (its running maximum, 0 at least), per key.
+
+    A window a key where keys are many; with `few_keys`, scans in blocks, as a key's rows may then be more than a task should sort.
+    """
+    if few_keys:
+        c = scans.running(scans.blocks(returns.withColumn("__g", growth), [key], order), [key], order, cum=F.col("__g"), i=F.lit(1.0)).drop("__g")
+        return scans.running(c, [key], order, {"peak": F.greatest("cum", F.lit(0.0))}).drop("block")
+    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    c = returns.withColumn("cum", F.sum(growth).over(w)).withColumn("i", F.row_number().over(Window.partitionBy(key).orderBy(*order)).cast("double"))
+    return c.withColumn("peak", F.greatest(F.max("cum").over(w), F.lit(0.0)))
+
+
+def performance(returns: DataFrame, key: str, at: str | list[str] = "date", ret: str = "r", few_keys: bool = False) -> DataFrame:
+    """Per key, the usual measures of a return series in the order of `at`: the cumulative curve, then aggregates; quantiles are exact.
+
+    few_keys: as in curve(); quantiles then come from row numbers too.
+    """
+    c = curve(returns.where(F.col(ret).isNotNull()), key, [at] if isinstance(at, str) else at, F.log1p(ret), few_keys)
     tail = F.expr(f"percentile({ret}, 0.05)")
     base = c.groupBy(key).agg(
         F.count("*").alias("n"), F.exp(F.sum(F.log1p(ret))).alias("growth"), F.stddev_samp(ret).alias("sd"), F.stddev_samp(F.when(F.col(ret) < 0, F.col(ret))).alias("down_sd"), F.avg(ret).alias("mean"), F.min(F.exp(F.col("cum") - F.col("peak")) - 1).alias("max_drawdown"),
         F.avg(F.when(F.col(ret) > 0, 1.0).otherwise(0.0)).alias("win_rate"), F.avg(F.when(F.col(ret) > 0, F.col(ret))).alias("avg_win"), F.avg(F.when(F.col(ret) < 0, F.col(ret))).alias("avg_loss"), F.sum(F.when(F.col(ret) > 0, F.col(ret)).otherwise(0.0)).alias("gain"), F.sum(F.when(F.col(ret) < 0, -F.col(ret)).otherwise(0.0)).alias("loss"),
-        tail.alias("q05"), F.expr(f"percentile({ret}, 0.95)").alias("q95"), F.regr_r2("cum", "i").alias("stability"),
+        *([] if few_keys else [tail.alias("q05"), F.expr(f"percentile({ret}, 0.95)").alias("q95")]), F.regr_r2("cum", "i").alias("stability"),
     )
+    if few_keys:
+        base = base.join(scans.quantiles(returns, [key], ret, q05=0.05, q95=0.95), key)
     low = returns.join(base.select(key, "q05"), key).where(F.col(ret) <= F.col("q05")).groupBy(key).agg(F.avg(ret).alias("cvar_5"))
     m = base.join(low, key, "left")
     cagr = F.pow("growth", F.lit(float(YEAR)) / F.col("n")) - 1
@@ -396,3 +413,23 @@ def decisions(dimensions: list[str], critical: Column) -> tuple[Column, Column]:
     score = sum((F.col(c) for c in dimensions), F.lit(0.0)) / len(dimensions)
     kept = F.round(score + 1.7e-8, 6)
     return score, F.when(critical, "PIVOT").when(kept >= 0.75, "CONTINUE").when(kept >= 0.5, "CONDITIONAL").otherwise("KILL")
+
+
+def gate_calibration(kills: DataFrame, passes: DataFrame, updates: DataFrame, statuses: DataFrame, outcomes: DataFrame, loss: float = -0.02) -> DataFrame:
+    """(side, reason, n, share, wrong, rate, hours): decisions of the gates and how many look wrong afterwards.
+
+    kills (hypothesis_id, ts, reason): wrong (false positives) where the hypothesis is alive again by its status, or was updated after the kill; `hours` is
+    the mean time to that update. passes (hypothesis_id, ts): wrong (false negatives) where it was rejected, or its closed trades lose more than `loss` on
+    average. updates (hypothesis_id, ts), statuses (hypothesis_id, status), outcomes (hypothesis_id, r). share: of all kills; a null reason is 'unknown'.
+    """
+    killed = asof.next_after(kills, updates, ["hypothesis_id"], "ts", "ts", {"ts": "updated_at"}).join(statuses, "hypothesis_id", "left")
+    alive = F.coalesce(F.col("status").isin("testing", "validated", "deployed"), F.lit(False)) | F.col("updated_at").isNotNull()
+    hours = (F.unix_micros(F.col("updated_at").cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 3.6e9
+    gates = killed.groupBy(F.coalesce("reason", F.lit("unknown")).alias("reason")).agg(F.count("*").alias("n"), F.count_if(alive).alias("wrong"), F.avg(hours).alias("hours"))
+    gates = gates.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row a reason
+    lost = outcomes.groupBy("hypothesis_id").agg(F.avg("r").alias("mean"))
+    passed = passes.join(statuses, "hypothesis_id", "left").join(lost, "hypothesis_id", "left")
+    bad = F.coalesce(F.col("status") == "rejected", F.lit(False)) | F.coalesce(F.col("mean") < loss, F.lit(False))
+    through = passed.agg(F.count("*").alias("n"), F.count_if(bad).alias("wrong")).select(F.lit(None).cast("string").alias("reason"), "n", "wrong", F.lit(None).cast("double").alias("hours"), F.lit(None).cast("double").alias("share"))
+    both = gates.withColumn("side", F.lit("kill")).unionByName(through.withColumn("side", F.lit("pass")))
+    return both.select("side", "reason", "n", "share", "wrong", F.coalesce(F.try_divide("wrong", "n"), F.lit(0.0)).alias("rate"), "hours")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .portfolio import solved
+from .scans import numbered, rank_correlation, tiled
 
 
 def by_symbol() -> Window:
@@ -35,10 +36,8 @@ def percent_rank(value: Column, *partition: str) -> Column:
 
 
 def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    """Rank correlation of non-null pairs in each group, 0 where undefined."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = pairs.select(*by, average_rank(F.col(x), *by).alias("__x"), average_rank(F.col(y), *by).alias("__y"))
-    return ranked.groupBy(*by).agg(F.coalesce(F.corr("__x", "__y"), F.lit(0.0)).alias("ic"), F.count("*").alias("n"))
+    """Rank correlation of non-null pairs in each group, 0 where undefined. Ranks are counted in range blocks, so a few large groups don't lie in a few tasks."""
+    return rank_correlation(df, x, y, list(by))
 
 
 def _ranks(windows: np.ndarray) -> np.ndarray:
@@ -140,8 +139,8 @@ def with_folds(df: DataFrame, folds: list[tuple[int, int, int, int, int]]) -> Da
 
 def after_embargo(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """Test rows without the first `rows` of each group, in order of date and symbol; a group that has no more than these keeps all."""
-    w = Window.partitionBy(*by)
-    d = df.withColumn("__i", F.row_number().over(w.orderBy("date", "symbol"))).withColumn("__n", F.count("*").over(w))
+    sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    d = numbered(df, list(by), ["date", "symbol"], "__i").join(sizes, list(by))
     return d.where((F.col("__i") > rows) | (F.col("__n") <= rows)).drop("__i", "__n")
 
 
@@ -154,9 +153,12 @@ def fold_metrics(df: DataFrame, y: str, p: str, *by: str) -> DataFrame:
 
 
 def binned_information(df: DataFrame, x: str, y: str, bins: int, *by: str) -> DataFrame:
-    """Mutual information of quantile bins, from counts."""
+    """Mutual information of quantile bins, from counts; bins by row numbers in range blocks."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    cell = pairs.select(*by, *[F.ntile(bins).over(Window.partitionBy(*by).orderBy(c, "date", "symbol")).alias(b) for c, b in ((x, "bx"), (y, "by_"))]).groupBy(*by, "bx", "by_").agg(F.count("*").alias("n"))
+    cell = pairs.select(*by, "date", "symbol", x, y)
+    for c, b in ((x, "bx"), (y, "by_")):
+        cell = tiled(cell, list(by), [c, "date", "symbol"], bins, b)
+    cell = cell.groupBy(*by, "bx", "by_").agg(F.count("*").alias("n"))
     all_, wx, wy = Window.partitionBy(*by), Window.partitionBy(*by, "bx"), Window.partitionBy(*by, "by_")
     term = F.col("n") / F.sum("n").over(all_) * F.log(F.col("n") * F.sum("n").over(all_) / (F.sum("n").over(wx) * F.sum("n").over(wy)))
     return cell.withColumn("term", term).groupBy(*by).agg(F.sum("term").alias("information"))

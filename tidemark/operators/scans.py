@@ -21,18 +21,19 @@ def blocks(df: DataFrame, by: list[str], order: list[Column | str]) -> DataFrame
     return written(salted.repartitionByRange(*by, *order, "__salt").drop("__salt").withColumn("block", F.spark_partition_id()), "blocks")
 
 
-def before(df: DataFrame, by: list[str], **sums: Column) -> DataFrame:
-    """(by, block) with the sums over the key's earlier blocks, 0 for the first."""
-    totals = df.groupBy(*by, "block").agg(*[F.sum(x).alias(n) for n, x in sums.items()])
+def before(df: DataFrame, by: list[str], maxes: dict[str, Column] | None = None, **sums: Column) -> DataFrame:
+    """(by, block) with the sums and the maxima over the key's earlier blocks: 0 and null for the first."""
+    totals = df.groupBy(*by, "block").agg(*[F.sum(x).alias(n) for n, x in sums.items()], *[F.max(x).alias(n) for n, x in (maxes or {}).items()])
     w = Window.partitionBy(*by).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return totals.select(*by, "block", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in sums])
+    return totals.select(*by, "block", *[F.coalesce(F.sum(n).over(w), F.lit(0)).alias(n) for n in sums], *[F.max(n).over(w).alias(n) for n in maxes or {}])
 
 
-def running(df: DataFrame, by: list[str], order: list[Column | str], **sums: Column) -> DataFrame:
-    """Running sums (this row included) in order within `by`, of a table with blocks. Keys are not null; ties in the order stand in any order."""
+def running(df: DataFrame, by: list[str], order: list[Column | str], maxes: dict[str, Column] | None = None, **sums: Column) -> DataFrame:
+    """Running sums and maxima (this row included) in order within `by`, of a table with blocks. Keys are not null; ties in the order stand in any order."""
     w = Window.partitionBy(*by, "block").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    carried = before(df, by, **sums).select(*by, "block", *[F.col(n).alias(f"__{n}") for n in sums])
-    return df.join(carried, [*by, "block"]).withColumns({n: F.col(f"__{n}") + F.coalesce(F.sum(x).over(w), F.lit(0)) for n, x in sums.items()}).drop(*[f"__{n}" for n in sums])
+    carried = before(df, by, maxes, **sums).select(*by, "block", *[F.col(n).alias(f"__{n}") for n in [*sums, *(maxes or {})]])
+    found = {n: F.col(f"__{n}") + F.coalesce(F.sum(x).over(w), F.lit(0)) for n, x in sums.items()} | {n: F.greatest(F.col(f"__{n}"), F.max(x).over(w)) for n, x in (maxes or {}).items()}
+    return df.join(carried, [*by, "block"]).withColumns(found).drop(*[f"__{n}" for n in found])
 
 
 def numbered(df: DataFrame, by: list[str], order: list[Column | str], to: str = "n") -> DataFrame:
@@ -40,6 +41,36 @@ def numbered(df: DataFrame, by: list[str], order: list[Column | str], to: str =
     return running(blocks(df, by, order), by, order, **{to: F.lit(1)}).drop("block")
 
 
+def tiled(df: DataFrame, by: list[str], order: list[Column | str], tiles: int, to: str) -> DataFrame:
+    """ntile: the rows of each `by` in order, dealt into tiles of sizes that differ by one at most, the larger first."""
+    n, k, b = F.col("__n"), F.col("__k"), F.lit(tiles)
+    size, large = F.floor(n / b), n % b
+    tile = F.when(k <= large * (size + 1), F.floor((k - 1) / (size + 1)) + 1).otherwise(large + F.floor(F.try_divide(k - 1 - large * (size + 1), size)) + 1)
+    totals = df.groupBy(*by).agg(F.count("*").alias("__n"))
+    return numbered(df, by, order, "__k").join(totals, by).withColumn(to, tile.cast("int")).drop("__n", "__k")
+
+
+def quantiles(df: DataFrame, by: list[str], value: str, **at: float) -> DataFrame:
+    """(by, names of `at`): exact quantiles of the non-null values, interpolated between neighbours, by row numbers: no task holds a group's values."""
+    rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
+    rows = numbered(rows, by, ["__v"], "__k").join(rows.groupBy(*by).agg(F.count("*").alias("__n")), by)
+    place = {name: (F.col("__n") - 1) * q for name, q in at.items()}
+    near = lambda p: F.greatest(1 - F.abs(F.col("__k") - 1 - p), F.lit(0.0))  # noqa: E731  weight of a row: both neighbours of the place share 1
+    wanted = F.lit(False)
+    for p in place.values():
+        wanted = wanted | (near(p) > 0)
+    return rows.where(wanted).groupBy(*by).agg(*[F.sum(F.when(near(p) > 0, near(p) * F.col("__v"))).alias(name) for name, p in place.items()])
+
+
+def trailing(df: DataFrame, by: list[str], at: Column, span: int, **sums: Column) -> DataFrame:
+    """df with sums over (at - span, at] within `by`, `at` being whole numbers such as days. A window a key and stretch of time, not a key: each row is dealt
+    to its stretch of `span` and to the next, where it only counts."""
+    own = F.floor(at / span)
+    both = df.withColumn("__at", at).withColumn("__block", F.explode(F.array(own, own + 1)))
+    w = Window.partitionBy(*by, "__block").orderBy("__at").rangeBetween(-(span - 1), 0)
+    return both.withColumns({n: F.sum(x).over(w) for n, x in sums.items()}).where(F.floor(F.col("__at") / span) == F.col("__block")).drop("__at", "__block")
+
+
 def ranks(df: DataFrame, by: list[str], value: str, to: str = "rank") -> DataFrame:
     """Average ranks of a non-null column within `by`: 1 + the number of smaller values + half the number of other equal ones.
 
@@ -67,4 +98,5 @@ def rank_correlation(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by, ic, n): Spearman's correlation of the non-null pairs of each group, 0 where undefined, by ranks() of both columns."""
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("__x"), F.col(y).alias("__y"))
     both = ranks(ranks(pairs, by, "__x", "__rx").drop("__x"), by, "__y", "__ry")
-    return both.groupBy(*by).agg(F.coalesce(F.corr("__rx", "__ry"), F.lit(0.0)).alias("ic"), F.count("*").alias("n"))
+    ic = F.try_divide(F.covar_pop("__rx", "__ry"), F.sqrt(F.var_pop("__rx") * F.var_pop("__ry")))  # corr() fails on a constant
+    return both.groupBy(*by).agg(F.coalesce(ic, F.lit(0.0)).alias("ic"), F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ewm
-from ..operators import asof
+from ..operators import asof, scans
 from ..operators import portfolio as pf
 from ..sources.views import BARS, SYMBOLS, TRADES, bars, r, read, sql_r, symbols, trades
 
@@ -49,6 +49,20 @@ def k01(spark, d):
     return m.select("symbol", "n", *[r(c).alias(c) for c in _COLS])
 
 
+_MODELS = ORACLE["k01_performance"].split("SELECT symbol, n, ")[1].replace("FROM b JOIN l USING (symbol)", "FROM b JOIN l USING (model)")
+
+
+@_query("k01_model_performance", f"""WITH {TRADES}, ret AS (SELECT model, id, close_date, close_price / entry_price - 1 AS r FROM trades WHERE status <> 'open' AND entry_price > 0), c AS (SELECT *, sum(ln(1 + r)) OVER w AS cum, CAST(row_number() OVER w AS DOUBLE) AS i FROM ret WINDOW w AS (PARTITION BY model ORDER BY close_date, id)), c2 AS (SELECT *, greatest(max(cum) OVER (PARTITION BY model ORDER BY close_date, id), 0) AS peak FROM c),
+b AS (SELECT model, count(*) AS n, exp(sum(ln(1 + r))) AS growth, stddev_samp(r) AS sd, stddev_samp(r) FILTER (r < 0) AS dsd, avg(r) AS mean, min(exp(cum - peak) - 1) AS dd, avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) AS win, avg(r) FILTER (r > 0) AS aw, avg(r) FILTER (r < 0) AS al, sum(r) FILTER (r > 0) AS gain, -sum(r) FILTER (r < 0) AS loss, quantile_cont(r, 0.05) AS q05, quantile_cont(r, 0.95) AS q95, regr_r2(cum, i) AS st FROM c2 GROUP BY model),
+l AS (SELECT model, avg(r) AS cv FROM ret JOIN b USING (model) WHERE round(r, 12) <= round(q05, 12) GROUP BY model)
+SELECT model, n, {_MODELS}""")
+def k01_models(spark, d):
+    """The same for each model's trades in order of closing: few keys of many rows, so the curve is scanned in blocks."""
+    t = done(spark, d).select("model", "id", "close_date", F.round("r", 12).alias("r"))
+    m = pf.performance(t, "model", ["close_date", "id"], few_keys=True)
+    return m.select("model", "n", *[r(c).alias(c) for c in _COLS])
+
+
 @_query("k02_k03_benchmark_relative", f"WITH {_BENCH}, j AS (SELECT symbol, r, b FROM ret JOIN bench USING (date) WHERE r IS NOT NULL), g AS (SELECT symbol, count(*) AS n, covar_samp(r, b) / var_samp(b) AS beta, avg(r) AS mr, avg(b) AS mb, stddev_samp(r - b) AS te, avg(r - b) AS mx FROM j GROUP BY symbol HAVING count(*) > 10) SELECT symbol, n, {sql_r('beta')} AS beta, {sql_r('(mr - beta * mb) * 252')} AS alpha, {sql_r('te * sqrt(252)')} AS tracking_error, {sql_r('mx / te * sqrt(252)')} AS information_ratio FROM g")
 def k02(spark, d):
     m = pf.relative(returns(spark, d).select("symbol", "date", "r"), bench(spark, d), "symbol")
@@ -191,14 +205,13 @@ m AS (SELECT model, count(*) AS trades, avg(r) / stddev_samp(r) * sqrt(252) AS s
 
 def _measures(spark, d) -> DataFrame:
     """What a verdict on each model rests on; drawdown of summed results."""
-    w = Window.partitionBy("model").orderBy("close_date", "id")
-    o = done(spark, d).withColumn("cum", F.sum("r").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    o = o.withColumn("down", F.greatest(F.max("cum").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)) - F.col("cum"))
+    o = pf.curve(done(spark, d), "model", ["close_date", "id"], F.col("r"), few_keys=True).withColumn("down", F.col("peak") - F.col("cum"))
     g = o.groupBy("model").agg(
         F.count("*").alias("trades"), (F.avg("r") / F.stddev_samp("r") * 252**0.5).alias("sharpe"), F.max("down").alias("max_drawdown"), F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("win_rate"),
-        F.try_divide(F.sum(F.when(F.col("r") > 0, F.col("r"))), -F.sum(F.when(F.col("r") < 0, F.col("r")))).alias("profit_factor"), F.date_diff(F.max("close_date"), F.min("close_date")).alias("oos_days"), F.expr("percentile(r, 0.05)").alias("var"),
+        F.try_divide(F.sum(F.when(F.col("r") > 0, F.col("r"))), -F.sum(F.when(F.col("r") < 0, F.col("r")))).alias("profit_factor"), F.date_diff(F.max("close_date"), F.min("close_date")).alias("oos_days"),
     )
-    low = o.join(F.broadcast(g.select("model", "var")), "model").where(F.round(F.col("r"), 12) <= F.round("var", 12)).groupBy("model").agg(F.avg("r").alias("cvar"))  # a few models
+    g = g.join(scans.quantiles(done(spark, d), ["model"], "r", var=0.05), "model")
+    low = done(spark, d).join(g.select("model", "var"), "model").where(F.round(F.col("r"), 12) <= F.round("var", 12)).groupBy("model").agg(F.avg("r").alias("cvar"))
     return g.join(low, "model", "left")
 
 
@@ -258,11 +271,14 @@ def k24(spark, d):
 @_query("k25_var_position_sizing", f"""WITH {_TR}, t AS (SELECT id, model, entry_price, prediction, (prediction - min(prediction) OVER (PARTITION BY model)) / nullif(max(prediction) OVER (PARTITION BY model) - min(prediction) OVER (PARTITION BY model), 0) AS s FROM done),
 z AS (SELECT *, least(0.02 / 0.05, 0.1) * s AS pct, CAST(floor(least(0.02 / 0.05, 0.1) * s * 1e8 / entry_price) AS BIGINT) AS q FROM t), c AS (SELECT *, sum(pct * 0.05) OVER (PARTITION BY model ORDER BY prediction DESC, id ROWS UNBOUNDED PRECEDING) AS used FROM z) SELECT id, model, {sql_r('pct', 6)} AS pct, q AS quantity FROM c WHERE used <= 5.0 + 1e-9""")
 def k25(spark, d):
-    m = Window.partitionBy("model")
-    s = F.try_divide(F.col("prediction") - F.min("prediction").over(m), F.max("prediction").over(m) - F.min("prediction").over(m))
-    t = done(spark, d).withColumn("pct", F.least(F.lit(0.02 / 0.05), F.lit(0.1)) * s).withColumn("quantity", F.floor(F.col("pct") * 1e8 / F.col("entry_price")).cast("long"))
-    used = F.sum(F.col("pct") * 0.05).over(m.orderBy(F.desc("prediction"), "id").rowsBetween(Window.unboundedPreceding, 0))
-    return t.withColumn("used", used).where("used <= 5.0 + 1e-9").select("id", "model", r("pct", 6).alias("pct"), "quantity")
+    """Strengths between each model's extremes, one aggregate; the budget's running sum is scanned in blocks of (model, prediction)."""
+    t = done(spark, d)
+    t = t.join(t.groupBy("model").agg(F.min("prediction").alias("lo"), F.max("prediction").alias("hi")), "model")
+    s = F.try_divide(F.col("prediction") - F.col("lo"), F.col("hi") - F.col("lo"))
+    t = t.withColumn("pct", F.least(F.lit(0.02 / 0.05), F.lit(0.1)) * s).withColumn("quantity", F.floor(F.col("pct") * 1e8 / F.col("entry_price")).cast("long"))
+    order = [F.desc("prediction"), "id"]
+    t = scans.running(scans.blocks(t.select("id", "model", "prediction", "pct", "quantity"), ["model"], order), ["model"], order, used=F.col("pct") * 0.05)
+    return t.where("used <= 5.0 + 1e-9").select("id", "model", r("pct", 6).alias("pct"), "quantity")
 
 
 @_query("k26_orders_from_signals", f"""WITH {_TR}, h AS (SELECT symbol, sum(quantity) AS q FROM done WHERE status = 'stopped' GROUP BY symbol), w AS (SELECT symbol, CAST(floor(1e6 / avg(entry_price)) AS BIGINT) AS q FROM done WHERE status = 'closed' AND prediction > 0 GROUP BY symbol QUALIFY row_number() OVER (ORDER BY sum(prediction) DESC, symbol) <= 40)
@@ -356,10 +372,12 @@ def k32(spark, d):
 
 @_query("k33_rolling_90_days", f"WITH {_TR} SELECT id, model, close_date, CASE WHEN count(*) OVER w >= 5 THEN {sql_r('avg(r) OVER w')} END AS mean, CASE WHEN count(*) OVER w >= 5 THEN {sql_r('avg(CASE WHEN r > 0 THEN 1.0 ELSE 0 END) OVER w')} END AS win_rate, count(*) OVER w AS n FROM done WINDOW w AS (PARTITION BY model ORDER BY close_date RANGE BETWEEN INTERVAL 89 DAY PRECEDING AND CURRENT ROW)")
 def k33(spark, d):
-    """The window is (t - 90 days, t]: its start is exclusive."""
-    w = Window.partitionBy("model").orderBy(F.unix_date("close_date")).rangeBetween(-89, 0)
-    n = F.count("*").over(w)
-    return done(spark, d).select("id", "model", "close_date", F.when(n >= 5, r(F.avg("r").over(w))).alias("mean"), F.when(n >= 5, r(F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).over(w))).alias("win_rate"), n.alias("n"))
+    """The window is (t - 90 days, t]: its start is exclusive. Sums per model and day first, then over days; each trade takes its day's."""
+    t = done(spark, d)
+    daily = t.groupBy("model", "close_date").agg(F.count("*").alias("dn"), F.sum("r").alias("ds"), F.count_if(F.col("r") > 0).alias("dw"))
+    daily = scans.trailing(daily, ["model"], F.unix_date("close_date"), 90, n=F.col("dn"), s=F.col("ds"), wins=F.col("dw")).select("model", "close_date", "n", "s", "wins")
+    share = lambda c: F.when(F.col("n") >= 5, r(F.col(c) / F.col("n")))
+    return t.join(daily, ["model", "close_date"]).select("id", "model", "close_date", share("s").alias("mean"), share("wins").alias("win_rate"), "n")
 
 
 @_query("k34_weekly_report", f"WITH {TRADES} SELECT 'new' AS section, id FROM trades WHERE entry_date BETWEEN DATE '1998-06-01' AND DATE '1998-06-08' UNION ALL SELECT 'open', id FROM trades WHERE status = 'open' AND entry_date <= DATE '1998-06-08' UNION ALL SELECT 'closed', id FROM trades WHERE status <> 'open' AND close_date BETWEEN DATE '1998-06-01' AND DATE '1998-06-08'")
@@ -402,10 +420,28 @@ def k39(spark, d):
     return done(spark, d).groupBy("model").agg(F.count("*").alias("n"), r(hit).alias("directional"), r(F.avg(F.abs(F.col("prediction") / 100 - F.col("r")))).alias("mean_error"), r(F.corr("prediction", "r")).alias("corr"), (hit < 0.5).alias("degraded")).where("n >= 5")
 
 
-@_query("k40_gate_calibration", "WITH e AS (SELECT event_type AS reason, event_id, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, ts FROM events), f AS (SELECT reason, user_id, max(ts) AS last FROM e GROUP BY ALL) SELECT e.reason, count(*) AS n, count(*) FILTER (k > 50) AS triggered, count(*) FILTER (k > 50 AND e.ts < f.last) AS reopened FROM e JOIN f ON f.reason = e.reason AND f.user_id = e.user_id GROUP BY e.reason")
+#: Kinds of events in the order of the event stream's names; a hypothesis is a user's event number modulo 7.
+_GATES = f"""WITH {_TR}, kinds AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS kind FROM (SELECT DISTINCT event_type FROM events)), e AS (SELECT user_id * 7 + event_id % 7 AS h, kind, CAST(json_extract(props, '$.k') AS BIGINT) AS k, ts FROM events JOIN kinds USING (event_type)),
+kills AS (SELECT h, ts, 'gate_' || CAST(k % 5 AS VARCHAR) AS reason FROM e WHERE kind = 1), passes AS (SELECT h, ts FROM e WHERE kind = 2), updates AS (SELECT h, ts FROM e WHERE kind = 3 AND k < 30),
+st AS (SELECT h, CASE h % 11 WHEN 0 THEN 'testing' WHEN 1 THEN 'validated' WHEN 2 THEN 'rejected' WHEN 3 THEN 'deployed' ELSE 'draft' END AS status FROM (SELECT DISTINCT h FROM e)), n AS (SELECT max(h) + 1 AS n FROM e), o AS (SELECT id % (SELECT n FROM n) AS h, avg(r) AS mean FROM done GROUP BY 1),
+kk AS (SELECT k.*, st.status, (SELECT min(u.ts) FROM updates u WHERE u.h = k.h AND u.ts > k.ts) AS up FROM kills k JOIN st ON st.h = k.h),
+g AS (SELECT reason, count(*) AS n, count(*) FILTER (status IN ('testing', 'validated', 'deployed') OR up IS NOT NULL) AS wrong, avg((epoch_us(up) - epoch_us(ts)) / CAST(3.6e9 AS DOUBLE)) AS hours FROM kk GROUP BY reason),
+p AS (SELECT count(*) AS n, count(*) FILTER (status = 'rejected' OR coalesce(mean, 0) < -0.02) AS wrong FROM passes JOIN st ON st.h = passes.h LEFT JOIN o ON o.h = passes.h)"""
+
+
+@_query("k40_gate_calibration", f"{_GATES} SELECT 'kill' AS side, reason, n, {sql_r('n / sum(n) OVER ()')} AS share, wrong, {sql_r('wrong / n')} AS rate, {sql_r('hours', 3)} AS hours FROM g UNION ALL SELECT 'pass', NULL, n, NULL, wrong, {sql_r('wrong / n')}, NULL FROM p")
 def k40(spark, d):
-    e = read(spark, d, "events").select(F.col("event_type").alias("reason"), F.get_json_object("props", "$.k").cast("long").alias("k"), "ts", F.max("ts").over(Window.partitionBy("event_type", "user_id")).alias("last"))
-    return e.groupBy("reason").agg(F.count("*").alias("n"), F.count_if(F.col("k") > 50).alias("triggered"), F.count_if((F.col("k") > 50) & (F.col("ts") < F.col("last"))).alias("reopened"))
+    """Kills by reason with false positives and the time to the next update; passes with false negatives by status or by the trades that followed."""
+    e = read(spark, d, "events")
+    kinds = e.select("event_type").distinct().withColumn("kind", F.row_number().over(Window.orderBy("event_type")))  # a few kinds
+    e = e.join(F.broadcast(kinds), "event_type").select((F.col("user_id") * 7 + F.col("event_id") % 7).alias("hypothesis_id"), "kind", F.get_json_object("props", "$.k").cast("long").alias("k"), "ts")
+    state = F.element_at(F.array(*[F.lit(x) for x in ("testing", "validated", "rejected", "deployed")]), F.least(F.col("hypothesis_id") % 11 + 1, F.lit(4)).cast("int"))
+    statuses = e.select("hypothesis_id").distinct().select("hypothesis_id", F.when(F.col("hypothesis_id") % 11 < 4, state).otherwise("draft").alias("status"))
+    n = e.agg((F.max("hypothesis_id") + 1).alias("n"))  # one row
+    outcomes = done(spark, d).crossJoin(F.broadcast(n)).select((F.col("id") % F.col("n")).alias("hypothesis_id"), "r")
+    of = lambda kind: e.where(F.col("kind") == kind)
+    g = pf.gate_calibration(of(1).select("hypothesis_id", "ts", F.concat(F.lit("gate_"), (F.col("k") % 5).cast("string")).alias("reason")), of(2).select("hypothesis_id", "ts"), of(3).where("k < 30").select("hypothesis_id", "ts"), statuses, outcomes)
+    return g.select("side", "reason", "n", r("share").alias("share"), "wrong", r("rate").alias("rate"), r("hours", 3).alias("hours"))
 
 
 def _pw(x: str, bad: float, target: float, good: float) -> str:
