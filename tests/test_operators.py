@@ -248,3 +248,21 @@ def test_dependencies_of_any_depth(spark):
     assert {r.depth for r in drift.closure(diamonds).where("feature = 'n0' and input = 'n4'").collect()} == {8}
     log = spark.createDataFrame([(i, i - 1 if i else None, i) for i in range(60)], "lineage_id long, parent_id long, hypothesis_id long")
     assert drift.event_chain(log, 17).count() == 18
+
+
+def test_next_event_after(spark):
+    probes = spark.createDataFrame([("a", 1, "x"), ("a", 5, "y"), ("a", 9, "z"), ("b", 1, "x"), (None, 1, "n"), ("a", None, "t")], "k string, ts int, tag string")
+    events = spark.createDataFrame([("a", 5, "p"), ("a", 7, "s"), ("a", 7, "q"), (None, 3, "r"), ("a", None, "u")], "k string, ts int, name string")
+    got = {(r.k, r.tag): (r.at, r.name) for r in asof.next_after(probes, events, ["k"], "ts", "ts", {"ts": "at", "name": "name"}).collect()}
+    assert got == {("a", "x"): (5, "p"), ("a", "y"): (7, "q"), ("a", "z"): (None, None), ("b", "x"): (None, None), (None, "n"): (None, None), ("a", "t"): (None, None)}
+    assert asof.next_after(probes, events.where("false"), ["k"], "ts", "ts", {"ts": "at"}).where("at is null").count() == 6
+
+
+def test_gate_calibration_has_both_rates(spark):
+    kills = spark.createDataFrame([(1, "2024-01-01 00:00:00", "a"), (2, "2024-01-01 00:00:00", "a"), (3, "2024-01-02 00:00:00", None), (4, "2024-01-01 00:00:00", "a")], "hypothesis_id long, ts string, reason string").withColumn("ts", F.to_timestamp("ts"))
+    updates = spark.createDataFrame([(1, "2024-01-01 06:00:00"), (3, "2024-01-02 00:00:00")], "hypothesis_id long, ts string").withColumn("ts", F.to_timestamp("ts"))
+    passes = spark.createDataFrame([(i, "2024-01-01") for i in (5, 6, 7, 8)], "hypothesis_id long, ts string")
+    statuses = spark.createDataFrame([(2, "deployed"), (5, "rejected"), (6, "draft"), (7, "draft")], "hypothesis_id long, status string")
+    outcomes = spark.createDataFrame([(6, -0.10), (6, 0.05), (7, -0.01)], "hypothesis_id long, r double")
+    got = {(r.side, r.reason): (r.n, r.wrong, r.rate, r.hours) for r in portfolio.gate_calibration(kills, passes, updates, statuses, outcomes).collect()}
+    assert got == {("kill", "a"): (3, 2, pytest.approx(2 / 3), 6.0), ("kill", "unknown"): (1, 0, 0.0, None), ("pass", None): (4, 2, 0.5, None)}

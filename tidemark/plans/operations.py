@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators import drift
@@ -143,10 +143,22 @@ def _stream_source(spark, d):
     return e.select(F.concat("event_type", F.lit("-"), F.pmod("user_id", F.lit(10)).cast("string")).alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.col("value").alias("close"), (F.pmod("event_id", F.lit(97)) * 10).alias("volume"))
 
 
-@_query("t01_t12_stream_upsert", f"WITH {INTRADAY} SELECT symbol, date_trunc('minute', ts) AS ts, last(event_id ORDER BY event_id) AS event_id, last(close ORDER BY event_id) AS close FROM intraday GROUP BY ALL")
+def _messages(spark, d) -> DataFrame:
+    """Events as JSON messages of minute bars in four arrivals, by number modulo 4, so that later ones correct minutes of earlier ones; some are of no use."""
+    e = read(spark, d, "events")
+    n, useless = F.col("event_id"), F.col("event_id") % 13 == 0
+    symbol = F.concat("event_type", F.lit("-"), F.pmod("user_id", F.lit(10)).cast("string"))
+    start = F.unix_millis(F.date_trunc("minute", F.col("ts").cast("timestamp")))
+    m = F.to_json(F.struct(F.when(useless, "A").otherwise("AM").alias("ev"), F.when(n % 17 > 0, symbol).alias("sym"), start.alias("s"), F.col("value").alias("c"), F.when(n % 3 > 0, n % 97 * 10).alias("v"), n.alias("n")))
+    return e.select((n % 4).alias("part"), F.when(n % 19 == 0, F.lit("not a message")).otherwise(m).alias("value"))
+
+
+@_query("t01_t12_stream_upsert", f"""WITH m AS (SELECT event_type || '-' || CAST(user_id % 10 AS VARCHAR) AS symbol, date_trunc('minute', ts) AS ts, event_id, value, CASE WHEN event_id % 3 > 0 THEN event_id % 97 * 10 ELSE 0 END AS volume FROM events WHERE event_id % 13 > 0 AND event_id % 17 > 0 AND event_id % 19 > 0)
+SELECT symbol, ts, last(event_id ORDER BY event_id % 4, event_id) AS event_id, last(value ORDER BY event_id % 4, event_id) AS close, last(volume ORDER BY event_id % 4, event_id) AS volume, min(event_id % 4) AS first_batch, max(event_id % 4) AS batch FROM m GROUP BY symbol, ts""")
 def t01(spark, d):
-    s = _stream_source(spark, d).withColumn("ts", F.date_trunc("minute", "ts"))
-    return stream.ingest(s, ["symbol", "ts"], "event_id").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "event_id", "close")
+    """Four files of messages, one a batch, parsed and merged in the stream; the arrival tells which write is the last, not the minute."""
+    got = stream.ingest(stream.message_stream(spark, stream.landed(_messages(spark, d), "part", 4)), ["symbol", "ts"], "trades")
+    return got.select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), F.col("trades").alias("event_id"), "close", "volume", "first_batch", "batch")
 
 
 _O = "(PARTITION BY symbol ORDER BY ts, event_id ROWS BETWEEN {a} PRECEDING AND {b})"
@@ -174,7 +186,7 @@ def t09(spark, d):
     return out.select("symbol", "event_id", "feature_name", value.alias("value"))
 
 
-@_query("t10_reconnect_gaps", f"WITH {INTRADAY}, l AS (SELECT symbol, CAST(floor((epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(ts)))) / 60) AS BIGINT) AS minutes FROM intraday GROUP BY symbol) SELECT symbol, minutes, CASE WHEN minutes < 2 THEN 'none' WHEN minutes <= 120 THEN 'refill' ELSE 'skip' END AS action FROM l")
+@_query("t10_reconnect_gaps", f"WITH {INTRADAY}, l AS (SELECT symbol, CAST(floor((epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(ts)))) / 60) AS BIGINT) AS minutes, epoch(TIMESTAMP '2024-01-31') - floor(epoch(max(ts))) AS seconds FROM intraday GROUP BY symbol) SELECT symbol, minutes, CASE WHEN seconds < 120 THEN 'none' WHEN seconds <= 7200 THEN 'refill' ELSE 'skip' END AS action FROM l")
 def t10(spark, d):
     return stream.reconnect_plan(intraday(spark, d), "2024-01-31")
 
@@ -186,3 +198,56 @@ def t11(spark, d):
     stream.drained(rolled, lambda df, i: df.withColumn("batch", F.lit(i).cast("long")).write.mode("append").parquet(path), "update")
     newest = F.row_number().over(Window.partitionBy("symbol", "ts").orderBy(F.desc("batch")))
     return spark.read.parquet(path).withColumn("rn", newest).where("rn = 1").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume")
+
+
+def _bar_files(spark, d, part, parts: int) -> DataFrame:
+    """Bars of the event stream landed in `parts` files, one a batch, by the arrival number `part`; the last file only carries the time on."""
+    b = intraday(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+    end = b.agg(F.max("ts").alias("ts")).select(F.lit("~").alias("symbol"), F.col("ts") + F.expr("interval 40 days"), F.lit(-1).cast("long").alias("event_id"), F.lit(0.0).alias("close"), F.lit(0).cast("long").alias("volume"))
+    folder = stream.new_folder(spark, "bars")
+    for k in range(parts):
+        b.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+    end.toDF("symbol", "ts", "event_id", "close", "volume").coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(b.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+_LATE = f"""WITH {INTRADAY}, m AS (SELECT *, event_id % 20 = 0 AS second FROM intraday), wm AS (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 10 DAY AS wm FROM m WHERE NOT second AND event_id < (SELECT max(event_id) FROM m)), k AS (SELECT m.*, second AND ts <= wm AS late FROM m, wm)"""
+
+
+@_query("t11_t12_chained_roll_up", f"""{_LATE} SELECT symbol, date_trunc('day', ts)::TIMESTAMP AS ts, first(close ORDER BY ts, event_id) AS open, max(close) AS high, min(close) AS low, last(close ORDER BY ts, event_id) AS close, CAST(sum(volume) AS BIGINT) AS volume, count(*) AS n FROM k WHERE NOT late GROUP BY symbol, date_trunc('day', ts)
+UNION ALL SELECT '(late)', NULL, NULL, NULL, NULL, NULL, NULL, count(*) FROM k WHERE late""")
+def t11_chained(spark, d):
+    """Days by way of minutes and hours in one stream. One event in twenty comes in a last file, after a watermark of ten days: older ones are counted.
+
+    The last event comes by itself between the two: rows are late by the watermark that was in force a batch before, at which windows were closed.
+    """
+    path = stream.new_folder(spark, "days")
+    newest = read(spark, d, "events").agg(F.max("event_id")).first()[0]
+    part = F.when(F.col("event_id") % 20 == 0, 2).when(F.col("event_id") == newest, 1).otherwise(0)
+    late = stream.drained_counting(stream.chained(_bar_files(spark, d, part, 3), "10 days"), path)
+    days = spark.read.parquet(path).where("symbol <> '~'").select("symbol", F.col("ts").cast("timestamp_ntz").alias("ts"), "open", "high", "low", "close", "volume", "n")
+    none = [F.lit(None).cast(days.schema[c].dataType).alias(c) for c in ("ts", "open", "high", "low", "close", "volume")]
+    return days.unionByName(spark.range(1).select(F.lit("(late)").alias("symbol"), *none, F.lit(late).cast("long").alias("n")))
+
+
+@_query("t10_stream_silences", f"""WITH {INTRADAY}, b AS (SELECT symbol, epoch_us(ts) // 1000 AS ms, ntile(6) OVER (ORDER BY event_id) - 1 AS part FROM intraday), p AS (SELECT symbol, part, max(ms) AS newest FROM b GROUP BY ALL), wm AS (SELECT part, max(max(newest)) OVER (ORDER BY part) AS wm FROM p GROUP BY part),
+l AS (SELECT symbol, part, newest, lead(newest) OVER w AS after, lead(part) OVER w AS next_part FROM p WINDOW w AS (PARTITION BY symbol ORDER BY part)),
+s AS (SELECT l.*, (SELECT max(wm) FROM wm WHERE next_part IS NULL OR wm.part < next_part - 1) AS seen FROM l),
+o AS (SELECT symbol, newest AS "last", newest + 120000 AS told, 'refill' AS kind FROM s WHERE next_part IS NULL OR seen >= newest + 120000 UNION ALL SELECT symbol, newest, newest + 7200001, 'skip' FROM s WHERE next_part IS NULL OR seen >= newest + 7200001
+ UNION ALL SELECT symbol, was, ms, 'reconnect' FROM (SELECT symbol, ms, lag(ms) OVER (PARTITION BY symbol ORDER BY ms) AS was FROM b) WHERE ms - was >= 120000)
+SELECT symbol, make_timestamp("last" * 1000) AS "last", make_timestamp(told * 1000) AS "at", kind, CAST(floor((told - "last") / 60000) AS BIGINT) AS minutes FROM o""")
+def t10_stream(spark, d):
+    """Silences told by timers as the stream's time goes on: six files in order of time."""
+    n = read(spark, d, "events").count()
+    size, large = divmod(n, 6)
+    place = F.row_number().over(Window.orderBy("event_id")) - 1  # tests of a stream: arrival numbers of landed files
+    numbered = read(spark, d, "events").select("event_id", place.alias("i")).select("event_id", F.when(F.col("i") < large * (size + 1), F.floor(F.col("i") / (size + 1))).otherwise(large + F.floor((F.col("i") - large * (size + 1)) / size)).alias("part"))
+    parts = intraday(spark, d).join(numbered, "event_id").withColumn("ts", F.col("ts").cast("timestamp")).select("symbol", "ts", "event_id", "close", "volume", "part")
+    folder = stream.new_folder(spark, "bars")
+    for k in range(6):
+        parts.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
+    end = parts.agg(F.max("ts").alias("ts")).select(F.lit("~").alias("symbol"), (F.col("ts") + F.expr("interval 40 days")).alias("ts"), F.lit(-1).cast("long").alias("event_id"), F.lit(0.0).alias("close"), F.lit(0).cast("long").alias("volume"))
+    end.coalesce(1).write.mode("append").parquet(folder)
+    bars_ = spark.readStream.schema(parts.drop("part").schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    at = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return stream.silences(bars_).where("symbol <> '~'").select("symbol", at("last"), at("at"), "kind", "minutes")

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..session import shared_folder
+from ..sources.ingest import parse_messages
+from .merge import KeyedStore
 
 ANNUAL = math.sqrt(252 * 390)
 FEATURES = ("intraday_vwap", "intraday_rsi_14", "intraday_momentum_20", "intraday_volatility_20", "intraday_volume_ratio", "intraday_price_to_open", "intraday_range_position")
@@ -114,29 +117,36 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def ingest(stream: DataFrame, keys: list[str], seq: str) -> DataFrame:
-    """Batches appended with their number; the store is the last write of each key, so late corrections win by arrival."""
-    path = new_folder(stream.sparkSession, "bars")
-    drained(stream, lambda df, i: df.withColumn("batch", F.lit(i).cast("long")).write.mode("append").parquet(path))
-    rows = stream.sparkSession.read.parquet(path)
-    newest = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch"), F.desc(seq)))
-    return rows.withColumn("__rn", newest).where("__rn = 1").drop("__rn", "batch")
+def ingest(stream: DataFrame, keys: list[str], seq: str, buckets: int = 16) -> DataFrame:
+    """Every batch merged into a keyed store as it comes: the last write of each key wins by arrival, whatever its event time.
+
+    A batch that is run again, as after a failure between its merge and the stream's own commit, changes nothing.
+    """
+    store = KeyedStore(stream.sparkSession, new_folder(stream.sparkSession, "bars"), keys, seq, buckets)
+    drained(stream, store.merge)
+    return store.read(stream.schema.add("first_batch", "long").add("batch", "long"))
+
+
+def landed(messages: DataFrame, part: str, parts: int) -> str:
+    """Message texts in as many files as arrivals, one after another, as a feed would land them; `part` numbers them from 0. A folder for message_stream()."""
+    folder = new_folder(messages.sparkSession, "messages")
+    for k in range(parts):
+        messages.where(F.col(part) == k).select("value").coalesce(1).write.mode("append").text(folder)
+    return folder
+
+
+def message_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Minute bars of landed message files, one file a batch, parsed within the stream."""
+    return parse_messages(spark.readStream.option("maxFilesPerTrigger", 1).text(folder))
 
 
 def stateful(stream: DataFrame) -> DataFrame:
     """T09 over a stream of (symbol, ts, event_id, close, volume): needs the RocksDB state store."""
     spark = stream.sparkSession
-    old = spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     path = new_folder(spark, "features")
     out = stream.groupBy("symbol").transformWithStateInPandas(RollingFeatures(), "symbol string, ts timestamp, event_id long, feature_name string, value double, version string", "Append", "None")
-    try:
+    with rocksdb(spark):
         drained(out, lambda df, i: df.write.mode("append").parquet(path))
-    finally:
-        if old is None:
-            spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
-        else:
-            spark.conf.set("spark.sql.streaming.stateStore.providerClass", old)
     return spark.read.parquet(path)
 
 
@@ -149,8 +159,118 @@ def roll_up(bars: DataFrame, width: str, late: str | None = None) -> DataFrame:
     return out.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume")
 
 
+def chained(stream: DataFrame, late: str, ident: str = "event_id") -> DataFrame:
+    """Minutes rolled up to hours and these to days in one stream, in append mode: (symbol, ts, open, high, low, close, volume, n) of closed days.
+
+    stream: symbol, ts, event_id, close, volume. The watermark goes through all three windows. Rows that come after it are dropped by the first operator, which
+    also drops repeats of an event, and whose progress counts them row by row (see drained_counting()).
+    """
+    once = stream.withWatermark("ts", late).dropDuplicatesWithinWatermark([ident])
+    at = F.struct("ts", ident)
+    minute = once.groupBy("symbol", F.window("ts", "1 minute").alias("w")).agg(
+        F.min(at).alias("first"), F.max(at).alias("last"), F.min_by("close", at).alias("open"), F.max("close").alias("high"), F.min("close").alias("low"), F.max_by("close", at).alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("n")
+    )
+    for width in ("1 hour", "1 day"):
+        minute = minute.groupBy("symbol", F.window(F.window_time("w"), width).alias("w")).agg(
+            F.min("first").alias("first"), F.max("last").alias("last"), F.min_by("open", "first").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "last").alias("close"), F.sum("volume").alias("volume"), F.sum("n").alias("n")
+        )
+    return minute.select("symbol", F.col("w.start").alias("ts"), "open", "high", "low", "close", "volume", "n")
+
+
+def drained_counting(stream: DataFrame, path: str) -> int:
+    """Runs an append stream into a folder; returns how many rows came too late for the watermark, by the progress of its first stateful operator."""
+    spark = stream.sparkSession
+    query = stream.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", new_folder(spark, "stream")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    # operators are listed from the sink back
+    return sum(p["stateOperators"][-1]["numRowsDroppedByWatermark"] for p in query.recentProgress if p["stateOperators"])
+
+
+class Silence(StatefulProcessor):
+    """T10 in the stream: per symbol, event-time timers at 2 minutes and beyond 120 minutes after its last bar; rows (symbol, last, at, kind, minutes).
+
+    kind `refill` when the first timer goes off and `skip` when the second does; `reconnect` at the first bar after 2 minutes or more without one, with the
+    minutes that were missed, whether a timer has told of them or not (a batch's rows are seen before the timers that it sets off). Bars that come out of
+    order, before the last one, neither end a silence nor begin one.
+    """
+
+    REFILL, SKIP = 2 * 60_000, 120 * 60_000 + 1
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("last", "last long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        times = sorted(int(ts.value // 1_000_000) for r in rows for ts in r["ts"])
+        last = newest = self.state.get()[0] if self.state.exists() else None
+        out = []
+        for at in times:
+            if newest is not None and at - newest >= self.REFILL:
+                out.append((key[0], newest, at, "reconnect", (at - newest) // 60_000))
+            newest = at if newest is None else max(newest, at)
+        if newest != last:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.state.update((newest,))
+            self.handle.registerTimer(newest + self.REFILL)
+        yield self._frame(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        (last,) = self.state.get()
+        now, at, out = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs(), []
+        if at - last < self.SKIP:
+            out.append((key[0], last, at, "refill", (at - last) // 60_000))
+            at = last + self.SKIP
+        if at <= now:  # a timer that is set here would only go off a batch later
+            out.append((key[0], last, at, "skip", (at - last) // 60_000))
+        else:
+            self.handle.registerTimer(at)
+        yield self._frame(out)
+
+    def _frame(self, rows: list[tuple]) -> pd.DataFrame:
+        d = pd.DataFrame(rows, columns=["symbol", "last", "at", "kind", "minutes"])
+        return d.assign(last=pd.to_datetime(d["last"].astype("int64"), unit="ms"), at=pd.to_datetime(d["at"].astype("int64"), unit="ms"), minutes=d["minutes"].astype("int64"))
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def rocksdb(spark: SparkSession):
+    """The state store that transformWithState needs."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    old = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, old)
+
+
+def silences(stream: DataFrame, late: str = "0 seconds") -> DataFrame:
+    """T10 over a stream of (symbol, ts, ...): every silence and reconnection, with the number of the batch that told it, as far as the watermark came."""
+    path = new_folder(stream.sparkSession, "silences")
+    out = stream.withWatermark("ts", late).groupBy("symbol").transformWithStateInPandas(Silence(), "symbol string, last timestamp, at timestamp, kind string, minutes long", "Append", "EventTime")
+    with rocksdb(stream.sparkSession):
+        drained(out, lambda df, i: df.withColumn("batch", F.lit(i).cast("long")).write.mode("append").parquet(path))
+    return stream.sparkSession.read.parquet(path)
+
+
+def refill_after(silent: DataFrame, source: DataFrame) -> DataFrame:
+    """Bars of `source` (symbol, ts, ...) that fall into a silence which ended in a reconnection and may be refilled (2 to 120 minutes).
+
+    One equi-join on symbol and hour: a silence of at most two hours touches three, so no symbol's bars meet all of its silences.
+    """
+    gaps = silent.where("kind = 'reconnect' and unix_millis(at) - unix_millis(last) between 120000 and 7200000").select("symbol", "last", "at")
+    gaps = gaps.withColumn("hour", F.explode(F.sequence(F.date_trunc("hour", "last"), F.date_trunc("hour", "at"), F.expr("interval 1 hour"))))
+    return source.withColumn("hour", F.date_trunc("hour", "ts")).join(gaps, ["symbol", "hour"]).where("ts > last and ts < at").drop("hour", "last", "at")
+
+
 def reconnect_plan(bars: DataFrame, now: str) -> DataFrame:
     """Per symbol the minutes since its last bar: under 2 nothing, up to 120 a refill, beyond that skipped."""
     last = bars.groupBy("symbol").agg(F.max("ts").alias("last"))
-    minutes = F.floor((F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp"))) / 60)
-    return last.select("symbol", minutes.alias("minutes"), F.when(minutes < 2, "none").when(minutes <= 120, "refill").otherwise("skip").alias("action"))
+    seconds = F.unix_seconds(F.lit(now).cast("timestamp")) - F.unix_seconds(F.col("last").cast("timestamp"))
+    return last.select("symbol", F.floor(seconds / 60).alias("minutes"), F.when(seconds < 120, "none").when(seconds <= 7200, "refill").otherwise("skip").alias("action"))
