@@ -6,8 +6,8 @@ refined to 4 and to 2 for the pairs that the coarser bound can't settle, and onl
 
 Rows with a null label, a null vector or a component that is null or not finite take no part, nor does a row whose scaled component leaves the range of
 doubles. A row is one row, whatever repeats it: a copy of an anchor is one of its other rows. Vectors are compared with those of their own length; empty
-ones score 0. Null ids come last among ties and are never anchors. Scores are exact integers; those outside a long are held at its ends. Extra columns are
-ignored, and an empty table gives no rows.
+ones score 0. Null ids come last among ties and are never anchors. Scores are exact integers; those outside a long are held at its ends, before anything is
+compared. Extra columns are ignored, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -100,15 +100,15 @@ def bounds(a: Vectors, i: np.ndarray, b: Vectors, j: np.ndarray, level: int) ->
     mid = a.levels[level][0][i] @ b.levels[level][0][j].T
     off = a.levels[level][1][i] @ b.levels[level][1][j].T + 1e-6 + 1e-9 * np.outer(a.norm[i], b.norm[j])
     low, high = mid - off, mid + off
-    return np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
+    return np.clip(np.where(np.isnan(low), -np.inf, low), *_LONG), np.clip(np.where(np.isnan(high), np.inf, high), *_LONG)
 
 
 def exact(a: Vectors, i: np.ndarray, b: Vectors, j: np.ndarray) -> np.ndarray:
-    """Scores as int64, or as Python integers where a sum could leave the integers that a double holds."""
+    """Scores as int64, or as Python integers within a long where a sum could leave the integers that a double holds."""
     if a.v.shape[1] * a.most * b.most < 1 << 53:
         return (a.v[i] @ b.v[j].T).astype(np.int64)
     left, right = (np.array([[int(x) for x in row] for row in v], object).reshape(len(v), a.v.shape[1]) for v in (a.v[i], b.v[j]))
-    return left @ right.T if a.v.shape[1] else np.zeros((len(i), len(j)), object)
+    return np.clip(left @ right.T if a.v.shape[1] else np.zeros((len(i), len(j)), object), *_LONG)
 
 
 def paired(a: Vectors, i: np.ndarray, b: Vectors, j: np.ndarray) -> np.ndarray:
@@ -198,7 +198,7 @@ def _tile(searches):
                         found["search"] += q.tolist()
                         found["row"] += b_row[kb[j]].tolist()
                         found["row_id"] += rows["id"].take(kb[j]).to_pylist()
-                        found["score"] += [min(max(int(s), _LONG[0]), _LONG[1]) for s in score]
+                        found["score"] += [int(s) for s in score]
         return pa.table({"anchor": pa.array(found["anchor"], pa.int64()), "search": pa.array(found["search"], pa.int32()), "row": pa.array(found["row"], pa.int64()), "row_id": pa.array(found["row_id"], rows["id"].type), "score": pa.array(found["score"], pa.int64())})
 
     return run
