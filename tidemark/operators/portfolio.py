@@ -125,10 +125,11 @@ def violations(limited_: DataFrame) -> DataFrame:
 
 
 def impact_cost(shares: Column, price: Column, adv: Column, sigma: Column, per_share: float = 0.005, least: float = 1.0, cap: float = 0.005, spread_bps: float = 5.0, eta: float = 0.1) -> Column:
-    """Commission with floor and cap, spread, and a square-root impact; without volume the impact is that of a whole day's volume."""
+    """Commission with floor and cap, spread, and a square-root impact; without volume the impact is that of a whole day's volume, at most 5 % of the value."""
     value = shares * price
     fee = F.greatest(F.lit(least), F.least(shares * per_share, value * cap))
-    return fee + value * spread_bps / 1e4 + eta * sigma * F.sqrt(F.when(adv > 0, shares / adv).otherwise(1.0)) * value
+    impact = F.when(adv > 0, eta * sigma * F.sqrt(shares / adv) * value).otherwise(F.least(0.05 * value, eta * sigma * value))
+    return fee + value * spread_bps / 1e4 + impact
 
 
 # --- helpers that keep state ----------------------------------------------------------------------------------------------------
@@ -433,3 +434,61 @@ def gate_calibration(kills: DataFrame, passes: DataFrame, updates: DataFrame, st
     through = passed.agg(F.count("*").alias("n"), F.count_if(bad).alias("wrong")).select(F.lit(None).cast("string").alias("reason"), "n", "wrong", F.lit(None).cast("double").alias("hours"), F.lit(None).cast("double").alias("share"))
     both = gates.withColumn("side", F.lit("kill")).unionByName(through.withColumn("side", F.lit("pass")))
     return both.select("side", "reason", "n", "share", "wrong", F.coalesce(F.try_divide("wrong", "n"), F.lit(0.0)).alias("rate"), "hours")
+
+
+def attributed(trades: DataFrame, positions: int = 20) -> DataFrame:
+    """Trades (r, entry_price, close_price, prediction, weight, avg_price, benchmark) with the parts of their return: timing by the average price of the
+    holding window, sizing against an equal weight, signal as the rest; and whether the direction was right."""
+    timing = F.when((F.col("avg_price") > 0) & (F.col("entry_price") > 0), (F.col("avg_price") - F.col("entry_price")) / F.col("entry_price")).otherwise(0.0)
+    sizing = F.col("r") * (F.col("weight") - 1.0 / positions)
+    right = F.when(F.col("prediction") > 0, F.col("close_price") > F.col("entry_price")).otherwise(F.col("close_price") < F.col("entry_price"))
+    return trades.withColumns({"timing": timing, "sizing": sizing, "correct": right}).withColumn("signal", F.col("r") - F.col("timing") - F.col("sizing"))
+
+
+def attribution_summary(attributed_: DataFrame, *by: str) -> DataFrame:
+    """Of attributed() trades: hit rate, mean parts and benchmark, and the information ratio of excess returns (population deviation; null where it is 0)."""
+    excess = F.col("r") - F.col("benchmark")
+    ratio = F.when((F.count("*") > 1) & (F.stddev_pop(excess) > 1e-12), F.avg(excess) / F.stddev_pop(excess))
+    return attributed_.groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.when(F.col("correct"), 1.0).otherwise(0.0)).alias("hit_rate"), *[F.avg(c).alias(c) for c in ("signal", "timing", "sizing", "benchmark")], ratio.alias("information_ratio"))
+
+
+#: Fixed values by risk tolerance from 1 to 5: loss at which to stop, and base size.
+STOP_LOSS = {1: 0.03, 2: 0.05, 3: 0.07, 4: 0.10, 5: 0.15}
+BASE_SIZE = {1: 0.03, 2: 0.05, 3: 0.07, 4: 0.08, 5: 0.10}
+
+
+def recommended(predictions: DataFrame, strength: str, price: str, tolerance: str, top: int, least: str = "LOW", by: tuple[str, ...] = (), order: tuple[str, ...] = ("symbol",)) -> DataFrame:
+    """The `top` strongest positive predictions of each batch with confidence, target, stop, size and horizon; then those without a positive price and
+    those below the least confidence go. A tolerance outside 1 to 5 counts as 3."""
+    s, p = F.col(strength), F.col(price)
+    of = lambda values: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in values.items() for x in kv]), F.col(tolerance)), F.lit(values[3]))
+    rank = lambda c: F.when(c == "HIGH", 3).when(c == "MEDIUM", 2).otherwise(1)
+    best = predictions.where(s > 0)
+    w = Window.partitionBy(*by).orderBy(s.desc(), *order)
+    best = best.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= top).drop("__rn") if by else best.orderBy(s.desc(), *order).limit(top)
+    confidence = F.when(s >= 0.7, "HIGH").when(s >= 0.4, "MEDIUM").otherwise("LOW")
+    out = best.where(p > 0).withColumn("confidence", confidence).where(rank(F.col("confidence")) >= rank(F.lit(least)))
+    return out.withColumns({"target": p * (1 + s * 0.5), "stop": p * (1 - of(STOP_LOSS)), "size": F.least(of(BASE_SIZE) * (1 + s), F.lit(0.10)), "horizon": F.when(s > 0.5, 20).otherwise(60)})
+
+
+def held_returns(active: DataFrame, bars: DataFrame, days: DataFrame) -> DataFrame:
+    """(day, day_return, week_return) of a portfolio (symbol, weight) on each of `days` (day): the weighted last over first close of the bars of the two days
+    and of the eight days that end there; symbols with fewer than two bars in them count 0, a portfolio without holdings gives no rows.
+
+    Days are spread over the dates they look back on and joined on the date: a bar meets as many rows as days look back on it.
+    """
+    looked = days.select("day", F.explode(F.sequence(F.date_sub("day", 7), "day")).alias("date"))
+    rows = bars.join(active, "symbol").join(looked, "date")
+    at = lambda agg, c: agg(F.when(c, F.col("close")), F.when(c, F.col("date")))
+    near, any_ = F.col("date") >= F.date_sub("day", 1), F.lit(True)
+    per = rows.groupBy("day", "symbol", "weight").agg(*[x.alias(n) for k, c in (("d", near), ("w", any_)) for n, x in ((f"{k}n", F.count_if(c)), (f"{k}0", at(F.min_by, c)), (f"{k}1", at(F.max_by, c)))])
+    move = lambda k: F.sum(F.when((F.col(f"{k}n") >= 2) & (F.col(f"{k}0") > 0), F.col("weight") * (F.col(f"{k}1") / F.col(f"{k}0") - 1)).otherwise(0.0))
+    some = active.limit(1).select(F.lit(1).alias("__any"))
+    found = per.groupBy("day").agg(move("d").alias("day_return"), move("w").alias("week_return"))
+    return days.select("day").join(F.broadcast(some)).join(found, "day", "left").select("day", F.coalesce("day_return", F.lit(0.0)).alias("day_return"), F.coalesce("week_return", F.lit(0.0)).alias("week_return"))  # one row
+
+
+def breaker(day: Column, week: Column, day_limit: float = -0.03, week_limit: float = -0.05) -> tuple[Column, Column]:
+    """Why to halt (null if not), and the size multiplier: from 1 at the day's limit down to a half at the week's."""
+    share = (week - day_limit) / (week_limit - day_limit)
+    return F.when(day < day_limit, "daily_loss").when(week < week_limit, "weekly_loss"), F.when((week > week_limit) & (week < day_limit), F.greatest(F.lit(0.5), 1 - 0.5 * share)).otherwise(1.0)

@@ -124,6 +124,17 @@ def retention(df: DataFrame, date: str, cutoff: str) -> DataFrame:
     return df.agg(F.count_if(keep).alias("kept"), F.count_if(~keep).alias("dropped"))
 
 
+def first_of_minute(events: DataFrame) -> DataFrame:
+    """Q16: of events of one type, hypothesis, experiment, actor and minute (null equals null) the least lineage_id, and how many there were."""
+    return events.groupBy("event_type", "hypothesis_id", "experiment_id", "actor", F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("at")).agg(F.min("lineage_id").alias("lineage_id"), F.count("*").alias("n"))
+
+
+def run_summary(log: DataFrame, *by: str) -> DataFrame:
+    """Q18: of ingestion runs (status, completed_at): how many, the percentage that completed, in any case of letters, and when one did last."""
+    ok = F.lower("status") == "completed"
+    return log.groupBy(*by).agg(F.count("*").alias("runs"), (F.count_if(ok) * 100.0 / F.count("*")).alias("success_rate"), F.max(F.when(ok, F.col("completed_at"))).alias("last_success"))
+
+
 def provenance_hash(df: DataFrame, columns: list[str]) -> DataFrame:
     """Q19: sha256 of the row's canonical text: sorted columns, as name=value pairs."""
     text = F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(columns)])

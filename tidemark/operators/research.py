@@ -137,6 +137,29 @@ def with_folds(df: DataFrame, folds: list[tuple[int, int, int, int, int]]) -> Da
     return df.join(held, "date")
 
 
+#: Screen -> (feature, descending, only positive values, only names that were priced in the week before).
+SCREENS = {
+    "momentum": ("momentum_20d", True, False, True), "unusual-volume": ("volume_ratio", True, False, True), "oversold": ("rsi_14d", False, False, True), "strong-trend": ("adx_14d", True, False, True),
+    "above-trend": ("price_to_sma_200d", True, True, True), "low-volatility": ("volatility_20d", False, True, True), "value": ("pe_ratio", False, True, False), "dividends": ("dividend_yield", True, True, False),
+}
+
+
+def screened(newest: DataFrame, continuous: Column, top: int = 25, screens: dict[str, tuple[str, bool, bool, bool]] = SCREENS) -> DataFrame:
+    """(screen, rank, symbol, value) of all screens in one pass over a row a symbol with all features; ties go to the smaller symbol.
+
+    Each row gives one entry for every screen it qualifies for, with the value's sign turned where the largest come first. Of these each task keeps the
+    `top` of each screen before anything is shuffled (a group limit below the exchange), so what meets at the end is screens x top x tasks.
+    """
+    entries = []
+    for name, (feature, down, positive, held) in screens.items():
+        v = F.col(feature)
+        fits = v.isNotNull() & (v > 0 if positive else F.lit(True)) & (continuous if held else F.lit(True))
+        entries.append(F.when(fits, F.struct(F.lit(name).alias("screen"), v.cast("double").alias("value"), (-v if down else v).cast("double").alias("__key"))))
+    each = newest.select("symbol", F.explode(F.array_compact(F.array(*entries))).alias("e")).select("symbol", "e.*")
+    rank = F.row_number().over(Window.partitionBy("screen").orderBy("__key", "symbol"))
+    return each.withColumn("rank", rank).where(F.col("rank") <= top).select("screen", "rank", "symbol", "value")
+
+
 def after_embargo(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """Test rows without the first `rows` of each group, in order of date and symbol; a group that has no more than these keeps all."""
     sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import ewm, features
-from ..sources.views import BARS, SYMBOLS, bars, r, sql_r, symbols
+from ..operators import research
+from ..session import written
+from ..sources.views import ACTIONS, BARS, STATEMENTS, SYMBOLS, actions, bars, r, sql_r, statements, symbols
 
 _PRICE_SCALE = {"volume_20d", "sma_20d", "sma_50d", "sma_200d", "bb_upper_20d", "bb_lower_20d", "obv", "vwap_20d", "ema_12d", "ema_26d", "macd_line", "macd_signal", "macd_histogram", "atr_14d"}
 
@@ -184,3 +186,33 @@ ORACLE["r13_momentum_screen"] = f"""WITH {_STAGES}, {SYMBOLS}, f AS (SELECT symb
 newest AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1)
 SELECT symbol, name, sector, date, {sql_r('m', 6)} AS momentum_20d, {sql_r('s', 2)} AS sma_20d, {sql_r('v')} AS volatility_20d FROM newest JOIN symbols USING (symbol)
 WHERE date >= (SELECT max(date) FROM bars) - 30 AND date - before <= 7 AND m IS NOT NULL ORDER BY {sql_r('m', 6)} DESC, symbol LIMIT 25"""
+
+
+def preset_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The eight preset screens at once, over each symbol's newest row of the last 30 days; earnings are units sold in the last quarter, dividends the last cash action."""
+    b = written(bars(spark, sf_dir), "bars")
+    names = ["momentum_20d", "volume_ratio", "price_to_sma_200d", "volatility_20d"]
+    f = features.window_features(b, names).withColumn("before", F.lag("date").over(features.w()))
+    newest = f.groupBy("symbol").agg(F.max("date").alias("date"), F.max_by(F.struct("before", *names), "date").alias("f")).select("symbol", "date", "f.*")
+    slow = ewm.ewm_features(b, ("rsi_14d", "adx_14d")).groupBy("symbol").agg(F.max_by(F.struct("rsi_14d", "adx_14d"), "date").alias("f")).select("symbol", "f.*")
+    last = b.agg(F.max("date").alias("last"))  # one row
+    priced = b.groupBy("symbol").agg(F.max_by("close", "date").alias("close"))
+    earned = statements(spark, sf_dir).groupBy("symbol").agg(F.max_by("units", "period_end").alias("units"))
+    paid = actions(spark, sf_dir).groupBy("symbol").agg(F.max_by("cash", "date").alias("cash"))
+    wide = newest.join(F.broadcast(last)).where("date >= date_sub(last, 30)").join(slow, "symbol", "left").join(priced, "symbol").join(symbols(spark, sf_dir), "symbol").join(earned, "symbol", "left").join(paid, "symbol", "left")
+    wide = wide.withColumn("pe_ratio", F.try_divide("market_cap", "units")).withColumn("dividend_yield", F.try_divide("cash", "close") * 1e4)
+    kept = [F.round(F.col(c) + 1.7e-8, 4).alias(c) for c in (*names, "rsi_14d", "adx_14d", "pe_ratio", "dividend_yield")]
+    top = research.screened(wide.select("symbol", "date", "before", *kept), F.date_diff("date", "before") <= 7)
+    return top.join(symbols(spark, sf_dir), "symbol").select("screen", "rank", "symbol", "name", "sector", "value")
+
+
+QUERIES["r13_preset_screens"] = preset_screens
+_PRE = {"momentum_20d": _SQL["momentum_20d"], "volume_ratio": _SQL["volume_ratio"], "price_to_sma_200d": _SQL["price_to_sma_200d"], "volatility_20d": _SQL["volatility_20d"]}
+_EWM = ORACLE["f20_f25_exponential"]
+ORACLE["r13_preset_screens"] = f"""{_EWM[: _EWM.rindex("SELECT symbol, date, round")].rstrip()}, {_STAGES.replace(BARS + ", ", "")}, {SYMBOLS}, {STATEMENTS}, {ACTIONS},
+es AS (SELECT symbol, last({sql_r('CASE WHEN el > 0 THEN 100 - 100 / (1 + eg / el) WHEN eg > 0 THEN 100.0 END')} ORDER BY date) AS rsi_14d, last({sql_r('adx')} ORDER BY date) AS adx_14d FROM e GROUP BY symbol),
+fs AS (SELECT symbol, date, lag(date) {_L} AS before, close, {", ".join(f"{sql_r(v)} AS {k}" for k, v in _PRE.items())} FROM s3), ns AS (SELECT * FROM fs QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY date DESC) = 1),
+ea AS (SELECT symbol, last(units ORDER BY period_end) AS units FROM statements GROUP BY symbol), pd AS (SELECT symbol, last(cash ORDER BY date) AS cash FROM actions GROUP BY symbol),
+al AS (SELECT ns.*, es.rsi_14d, es.adx_14d, symbols.name, symbols.sector, {sql_r('market_cap / nullif(units, 0)')} AS pe_ratio, {sql_r('cash / nullif(close, 0) * 10000')} AS dividend_yield FROM ns JOIN symbols USING (symbol) LEFT JOIN es USING (symbol) LEFT JOIN ea USING (symbol) LEFT JOIN pd USING (symbol) WHERE date >= (SELECT max(date) FROM bars) - 30),
+un AS ({" UNION ALL ".join(f"SELECT '{k}' AS screen, symbol, name, sector, {v} AS value, {'-' if down else ''}{v} AS k FROM al WHERE {v} IS NOT NULL{f' AND {v} > 0' if pos else ''}{' AND date - before <= 7' if held else ''}" for k, (v, down, pos, held) in research.SCREENS.items())})
+SELECT screen, CAST(row_number() OVER (PARTITION BY screen ORDER BY k, symbol) AS INTEGER) AS rank, symbol, name, sector, CAST(value AS DOUBLE) AS value FROM un QUALIFY row_number() OVER (PARTITION BY screen ORDER BY k, symbol) <= 25"""

@@ -101,9 +101,11 @@ def s15(spark, sf_dir):
     return li.select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
 
 
-@_query("s16_backfill_pending", f"WITH {BARS} SELECT s_suppkey AS symbol FROM supplier WHERE s_suppkey NOT IN (SELECT symbol FROM bars WHERE date >= DATE '2001-06-01')")
+@_query("s16_backfill_pending", f"WITH {BARS} SELECT s_suppkey AS symbol FROM supplier WHERE s_suppkey NOT IN (SELECT symbol FROM bars WHERE date >= DATE '2001-10-01') UNION SELECT CAST(c_custkey AS BIGINT) FROM customer WHERE c_custkey % 50 = 0 AND c_custkey NOT IN (SELECT symbol FROM bars WHERE date >= DATE '2001-10-01')")
 def s16(spark, sf_dir):
-    return ingest.pending(read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("symbol")), bars(spark, sf_dir).where("date >= date'2001-06-01'"))
+    """Requested: all suppliers and a few symbols that were never priced; completed: what has a bar of the last weeks."""
+    asked = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("symbol")).union(read(spark, sf_dir, "customer").where("c_custkey % 50 = 0").select(F.col("c_custkey").cast("long")))
+    return ingest.pending(asked, bars(spark, sf_dir).where("date >= date'2001-10-01'"))
 
 
 @_query("p01_facts_as_of", f"WITH {FACTS} SELECT symbol, metric, value, report_date FROM facts WHERE report_date <= DATE '{DAY}' QUALIFY row_number() OVER (PARTITION BY symbol, metric ORDER BY report_date DESC, period_end DESC) = 1")

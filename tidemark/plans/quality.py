@@ -132,9 +132,16 @@ def q15(spark, d):
     return a.union(q.retention(read(spark, d, "events"), "ts", "2024-01-10").select(F.lit("intraday").alias("tab"), "*"))
 
 
-@_query("q16_lineage_dedup", f"WITH {LINEAGE} SELECT min(lineage_id) AS lineage_id, event_type, hypothesis_id, date_trunc('hour', ts) AS at FROM lineage GROUP BY ALL")
+_TWICE = f"""WITH {LINEAGE}, x AS (SELECT lineage_id, event_type, hypothesis_id, nullif(lineage_id % 3, 0) AS experiment_id, actor, ts FROM lineage),
+y AS (SELECT * FROM x UNION ALL SELECT lineage_id + 100000000, event_type, hypothesis_id, experiment_id, CASE WHEN lineage_id % 10 = 0 THEN 'agent' ELSE actor END, date_trunc('minute', ts) + INTERVAL 59 SECOND FROM x WHERE lineage_id % 5 = 0)"""
+
+
+@_query("q16_lineage_dedup", f"{_TWICE} SELECT min(lineage_id) AS lineage_id, event_type, hypothesis_id, experiment_id, actor, date_trunc('minute', ts) AS at, count(*) AS n FROM y GROUP BY event_type, hypothesis_id, experiment_id, actor, date_trunc('minute', ts)")
 def q16(spark, d):
-    return lineage(spark, d).groupBy("event_type", "hypothesis_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("at")).agg(F.min("lineage_id").alias("lineage_id"))
+    """One event in five was logged again within its minute, half of these by another actor, which is another event; null experiments are equal."""
+    x = lineage(spark, d).select("lineage_id", "event_type", "hypothesis_id", F.expr("nullif(lineage_id % 3, 0)").alias("experiment_id"), "actor", "ts")
+    again = x.where("lineage_id % 5 = 0").select((F.col("lineage_id") + 100000000).alias("lineage_id"), "event_type", "hypothesis_id", "experiment_id", F.when(F.col("lineage_id") % 10 == 0, "agent").otherwise(F.col("actor")).alias("actor"), (F.date_trunc("minute", "ts").cast("timestamp_ntz") + F.expr("interval 59 seconds")).alias("ts"))
+    return q.first_of_minute(x.unionByName(again))
 
 
 @_query("q17_title_duplicates", "WITH t AS (SELECT o_orderkey AS id, o_custkey AS title, o_orderstatus AS status, o_orderdate AS placed FROM orders), f AS (SELECT title, min(placed) AS first_at FROM t WHERE status = 'F' GROUP BY title) SELECT id, t.title FROM t JOIN f ON t.title = f.title WHERE status = 'O' AND placed > first_at")
@@ -144,14 +151,25 @@ def q17(spark, d):
     return t.withColumn("first_at", first).where("status = 'O' and at > first_at").select("id", "title")
 
 
-@_query("q18_freshness", f"WITH {BARS}, x AS (SELECT 'prices' AS tab, count(*) AS n, max(date) AS newest FROM bars UNION ALL SELECT 'orders', count(*), CAST(max(o_orderdate) AS DATE) FROM orders UNION ALL SELECT 'events', count(*), CAST(max(ts) AS DATE) FROM events) SELECT tab, n, newest, CAST(DATE '2024-01-31' - newest AS INTEGER) AS age, DATE '2024-01-31' - newest <= 3 AS is_fresh FROM x")
+_LOG = "lg AS (SELECT ['prices', 'orders', 'events'][CAST(event_id % 3 + 1 AS INTEGER)] AS tab, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) % 10 < 2 THEN 'failed' WHEN event_id % 2 = 0 THEN 'Completed' ELSE 'completed' END AS status, ts AS completed_at FROM events)"
+
+
+@_query("q18_freshness", f"""WITH {BARS}, {_LOG}, x AS (SELECT 'prices' AS tab, count(*) AS n, max(date) AS newest FROM bars UNION ALL SELECT 'orders', count(*), CAST(max(o_orderdate) AS DATE) FROM orders UNION ALL SELECT 'events', count(*), CAST(max(ts) AS DATE) FROM events),
+g AS (SELECT tab, count(*) AS runs, count(*) FILTER (lower(status) = 'completed') * 100.0 / count(*) AS rate, max(completed_at) FILTER (lower(status) = 'completed') AS last_success FROM lg GROUP BY tab)
+SELECT tab, n, newest, CAST(DATE '2024-01-31' - newest AS INTEGER) AS age, DATE '2024-01-31' - newest <= 3 AS is_fresh, runs, {sql_r('rate', 1)} AS success_rate, last_success FROM x JOIN g USING (tab)""")
 def q18(spark, d):
+    """Age of each table, and of its ingestion runs (events as a log) how many succeeded and when one did last."""
     x = None
     for name, df, c in (("prices", bars(spark, d), "date"), ("orders", read(spark, d, "orders"), "o_orderdate"), ("events", read(spark, d, "events"), "ts")):
         one = df.agg(F.lit(name).alias("tab"), F.count("*").alias("n"), F.to_date(F.max(c)).alias("newest"))
         x = one if x is None else x.union(one)
+    e = read(spark, d, "events")
+    tab = F.element_at(F.array(F.lit("prices"), F.lit("orders"), F.lit("events")), (F.col("event_id") % 3 + 1).cast("int"))
+    failed = F.get_json_object("props", "$.k").cast("long") % 10 < 2
+    log = e.select(tab.alias("tab"), F.when(failed, "failed").when(F.col("event_id") % 2 == 0, "Completed").otherwise("completed").alias("status"), F.col("ts").alias("completed_at"))
     age = F.date_diff(F.lit("2024-01-31").cast("date"), "newest")
-    return x.withColumn("age", age).withColumn("is_fresh", F.col("age") <= 3)
+    out = x.withColumn("age", age).withColumn("is_fresh", F.col("age") <= 3).join(q.run_summary(log, "tab"), "tab")
+    return out.withColumn("success_rate", r("success_rate", 1))
 
 
 @_query("q19_provenance_hash", "SELECT event_id, sha256('event_id=' || event_id || '|event_type=' || coalesce(event_type, 'null') || '|user_id=' || coalesce(CAST(user_id AS VARCHAR), 'null')) AS hash FROM events")
