@@ -266,3 +266,34 @@ def test_gate_calibration_has_both_rates(spark):
     outcomes = spark.createDataFrame([(6, -0.10), (6, 0.05), (7, -0.01)], "hypothesis_id long, r double")
     got = {(r.side, r.reason): (r.n, r.wrong, r.rate, r.hours) for r in portfolio.gate_calibration(kills, passes, updates, statuses, outcomes).collect()}
     assert got == {("kill", "a"): (3, 2, pytest.approx(2 / 3), 6.0), ("kill", "unknown"): (1, 0, 0.0, None), ("pass", None): (4, 2, 0.5, None)}
+
+
+def descended(x, y, alpha, ratio, sweeps=200):
+    """Coordinate descent on the rows themselves."""
+    x, y = x - x.mean(axis=0), y - y.mean()
+    b = np.zeros(x.shape[1])
+    for _ in range(sweeps):
+        for j in range(len(b)):
+            rest = y - x @ b + x[:, j] * b[j]
+            pull = x[:, j] @ rest / len(y)
+            size = x[:, j] @ x[:, j] / len(y) + alpha * (1 - ratio)
+            b[j] = np.sign(pull) * max(abs(pull) - alpha * ratio, 0) / size if size else 0
+    return b
+
+
+def test_lasso_and_elastic_net_against_a_loop_over_rows(spark):
+    rng = np.random.default_rng(5)
+    frames = []
+    for fold in (1, 2, 3):
+        x = rng.normal(size=(200, 5)) @ rng.normal(size=(5, 5))
+        x[:, 4] = 3.0 if fold == 3 else x[:, 4]  # doesn't vary
+        frames.append(pd.DataFrame(x, columns=list("abcde")).assign(y=x @ [1.0, 0, -0.5, 0, 0.2] + rng.normal(0, 0.3, 200), fold=fold))
+    all_ = pd.concat(frames)
+    sums = research.cross_products(spark.createDataFrame(all_), list("abcde"), "y", "fold")
+    for alpha, ratio in ((0.05, 1.0), (0.3, 1.0), (0.1, 0.5), (0.1, 0.0)):
+        for r in research.penalised(sums, alpha, ratio, 300).collect():
+            f = all_[all_["fold"] == r.fold]
+            want = descended(f[list("abcde")].to_numpy(), f["y"].to_numpy(), alpha, ratio, 300)
+            assert np.allclose(r.beta, want, atol=1e-6)
+            assert r.intercept == pytest.approx(f["y"].mean() - want @ f[list("abcde")].mean().to_numpy(), abs=1e-6)
+    assert sum(b == 0 for r in research.penalised(sums, 0.3, 1.0).collect() for b in r.beta) >= 3

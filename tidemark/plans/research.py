@@ -169,6 +169,25 @@ def r18_refit(spark, d):
     return p.select("symbol", "date", "refit_date", r("prediction").alias("prediction"))
 
 
+_PENALTIES = [("lasso", 0.001, 1.0), ("lasso", 0.02, 1.0), ("elastic_net", 0.001, 0.5), ("elastic_net", 0.02, 0.5), ("ridge", 0.02, 0.0)]
+_SOFT = lambda pull, q: f"CASE WHEN ({q}) / n + alpha * (1 - ratio) = 0 THEN 0 ELSE sign({pull}) * greatest(abs({pull}) - alpha * ratio, 0) / (({q}) / n + alpha * (1 - ratio)) END"
+_NET = f"""WITH RECURSIVE {_PANEL}, {_FOLDS}, g AS (SELECT CAST(fold AS INTEGER) AS fold, least(greatest(f5, -1), 1) AS y, least(greatest(momentum_20d, -1), 1) AS a, least(volatility_20d, 100) / 100 AS b FROM panel JOIN days USING (date) JOIN folds ON day BETWEEN 1 AND test_start - 6 WHERE f5 IS NOT NULL AND momentum_20d IS NOT NULL AND volatility_20d IS NOT NULL),
+s AS (SELECT fold, CAST(count(*) AS DOUBLE) AS n, avg(y) AS my, avg(a) AS ma, avg(b) AS mb, covar_pop(a, a) * count(*) AS qa, covar_pop(a, b) * count(*) AS qab, covar_pop(b, b) * count(*) AS qb, covar_pop(a, y) * count(*) AS pa, covar_pop(b, y) * count(*) AS pb FROM g GROUP BY fold),
+p AS (SELECT s.*, v.* FROM s, (VALUES {", ".join(f"('{k}', CAST({a} AS DOUBLE), CAST({q} AS DOUBLE))" for k, a, q in _PENALTIES)}) v(family, alpha, ratio)),
+c AS (SELECT *, 0 AS i, CAST(0 AS DOUBLE) AS ba, CAST(0 AS DOUBLE) AS bb FROM p UNION ALL SELECT * EXCLUDE (i, ba, bb, na), i + 1, na, {_SOFT("(pb - qab * na) / n", "qb")} FROM (SELECT *, {_SOFT("(pa - qab * bb) / n", "qa")} AS na FROM c WHERE i < 200))"""
+
+
+@_query("r18_lasso_elastic_net", f"{_NET} SELECT fold, family, alpha, {sql_r('ba', 6)} AS momentum, {sql_r('bb', 6)} AS volatility, {sql_r('my - ba * ma - bb * mb', 6)} AS intercept FROM c WHERE i = 200")
+def r18_penalised(spark, d):
+    """Five penalties on every fold's training rows, from one aggregation of cross-products."""
+    clip = lambda c: F.least(F.greatest(F.col(c), F.lit(-1.0)), F.lit(1.0))
+    t = _folded(spark, d).where("role = 'train' and f5 is not null and momentum_20d is not null and volatility_20d is not null").select("fold", clip("f5").alias("y"), clip("momentum_20d").alias("a"), (F.least("volatility_20d", F.lit(100.0)) / 100).alias("b"))
+    kinds = spark.createDataFrame(_PENALTIES, "family string, alpha double, ratio double")
+    each = rs.cross_products(t, ["a", "b"], "y", "fold").join(F.broadcast(kinds))  # five rows
+    fit = rs.penalised(each, "alpha", "ratio")
+    return fit.select("fold", "family", "alpha", r(F.get("beta", F.lit(0)), 6).alias("momentum"), r(F.get("beta", F.lit(1)), 6).alias("volatility"), r("intercept", 6).alias("intercept"))
+
+
 _LONGSQL = _PANEL + ", long AS (" + " UNION ALL ".join(f"SELECT '{f}' AS feature, symbol, date, round({f}, 9) AS x, round(f5, 9) AS y, {f} AS fx, f5 AS fy FROM panel WHERE {f} IS NOT NULL AND f5 IS NOT NULL" for f in _NAMES) + ")"
 
 
