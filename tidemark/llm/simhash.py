@@ -1,7 +1,8 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked within a Hamming budget by a binary-trie self-join.
 
 Nulls are empty texts; an empty text has fingerprint zero and links like any other; equal texts have equal fingerprints; extra columns are ignored.
-Null ids take part, and are never a component's smallest id while it has another.
+Null ids take part, and are never a component's smallest id while it has another. Texts of any length are read whole, bits of very many shingles a part at
+a time; a bit that half of the shingles have is 0; repeated rows give repeated results; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -157,9 +158,10 @@ def trie_links(key: np.ndarray, fp: np.ndarray, budget: int) -> tuple[np.ndarray
     return own[moved], own[label[moved]]
 
 
-def trie_neighbours(key: np.ndarray, fp: np.ndarray, budget: int, few: int = 32) -> tuple[np.ndarray, np.ndarray]:
+def trie_neighbours(key: np.ndarray, fp: np.ndarray, budget: int, few: int = 32) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs of rows of one key within `budget` bits, by their fingerprints' first rows: all of a fingerprint that has at most `few` others near, and the
-    nearest and the first of one that has more, as in large groups of copies; and each row with the first of its own fingerprint."""
+    nearest and the first of one that has more, as in large groups of copies; and each row with the first of its own fingerprint. Third: the keys some of
+    whose pairs are not among these."""
     key, fp, at = _distinct(key, fp)
     first = np.full(len(fp), len(at))
     np.minimum.at(first, at, np.arange(len(at)))
@@ -174,17 +176,20 @@ def trie_neighbours(key: np.ndarray, fp: np.ndarray, budget: int, few: int = 32)
         for x, y in ((a, b), (b, a)):
             np.minimum.at(near, x, d | y)
             np.minimum.at(low, x, y)
-    u, v = [np.arange(len(at))], [first[at]]
+    u, v, capped = [np.arange(len(at))], [first[at]], [np.zeros(0, key.dtype)]
+    if len(at) > len(fp):  # rows of one fingerprint meet its first only
+        capped.append(np.unique(key[np.bincount(at, minlength=len(fp)) > 2]))
     for best in (near & ((1 << 40) - 1), low):
         has = np.flatnonzero(low != none)
         u.append(first[has])
         v.append(first[best[has]])
     for a, b in trie_pairs(key, fp, budget):
-        real = (a != b) & (np.minimum(degree[a], degree[b]) <= few)
-        u.append(first[a[real]])
-        v.append(first[b[real]])
+        real, within = a != b, np.minimum(degree[a], degree[b]) <= few
+        u.append(first[a[real & within]])
+        v.append(first[b[real & within]])
+        capped.append(np.unique(key[a[real & ~within]]))
     u, v = np.concatenate(u), np.concatenate(v)
-    return u[u != v], v[u != v]
+    return u[u != v], v[u != v], np.unique(np.concatenate(capped))
 
 
 def _block(bits: int, parts: int) -> list[tuple[int, int]]:
@@ -241,7 +246,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", shingle: int = 4, b
 
 # --- documents of like shingle sets ---------------------------------------------------------------------------------------------
 
-_KEYS = 6
+_KEYS = 8
+#: Bins of the signature that estimates a pair's similarity, a byte each; 0 is an empty bin.
+_BINS = 256
 _SEEDS = mix(np.arange(101, 101 + _KEYS, dtype=np.uint64))
 
 
@@ -256,8 +263,9 @@ def shingle_sets(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray
     return h[keep], row[keep]
 
 
-def sketched(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """SimHash of each row's set of shingles, and the least shingle under each of six orders; rows without words have zeroes."""
+def sketched(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """SimHash of each row's set of shingles, the least shingle under each of eight orders, and a signature: of each of 256 bins of shingles a byte of the
+    least. Rows without words have zeroes."""
     h, row = shingle_sets(data, offs, n)
     rows = len(offs) - 1
     count = np.bincount(row, minlength=rows)
@@ -274,7 +282,19 @@ def sketched(data: np.ndarray, offs: np.ndarray, n: int) -> tuple[np.ndarray, np
     for k, seed in enumerate(_SEEDS):
         if len(have):
             keys[have, k] = np.minimum.reduceat(mix(h ^ seed), begin)
-    return fp, keys
+    dealt = mix(h ^ np.uint64(0x5EED))
+    none = np.iinfo(np.uint64).max
+    least = np.full(rows * _BINS, none, np.uint64)
+    np.minimum.at(least, row * _BINS + (dealt >> np.uint64(56)).astype(np.int64), dealt & np.uint64((1 << 56) - 1))
+    signature = np.where(least == none, 0, 1 + least % np.uint64(255)).astype(np.uint8).reshape(rows, _BINS)
+    return fp, keys, signature
+
+
+def alike(a: np.ndarray, b: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of two arrays of signatures: the estimated share of shingles in common, and whether it lies within four deviations of the similarity or above."""
+    some = np.maximum(((a | b) > 0).sum(axis=1), 1)
+    share = ((a == b) & (a > 0)).sum(axis=1) / some
+    return share, share >= similarity - 4 * np.sqrt(similarity * (1 - similarity) / some)
 
 
 def jaccard(data: np.ndarray, offs: np.ndarray, n: int) -> np.ndarray:
@@ -287,58 +307,119 @@ def jaccard(data: np.ndarray, offs: np.ndarray, n: int) -> np.ndarray:
     return np.where(every > 0, both / np.maximum(every, 1), 1.0)
 
 
-def candidates(own: DataFrame, budget: int, hot: int = 600) -> DataFrame:
-    """(u, v) pairs of `own` (h, fp, keys) that share a least shingle and differ in at most `budget` bits (of what has very many: the nearest and the first).
+def candidates(own: DataFrame, budget: int, hot: int = 600) -> tuple[DataFrame, DataFrame]:
+    """Of `own` (h, fp, keys): (u, v) pairs that share a least shingle and differ in at most `budget` bits, but of what has very many in a shard only the nearest
+    and the first; and (h, k), the members of all shards that have further such pairs.
 
     Shards are documents with one least shingle in common. One of more than `hot` documents, by a shingle that many texts have, is dealt again by each of
     the later least shingles (two documents that share an earlier one meet there). What is hot even so are copies of one text, mostly: these are cut by
     chance, alike in all shards, and each part gets the shard's first document.
     """
-    rows = own.select("h", "fp", "keys", F.posexplode("keys").alias("i", "key")).select("h", "fp", "keys", "i", F.xxhash64("i", "key").alias("k"))
+    rows = own.select("h", "fp", F.posexplode("keys").alias("i", "key")).select("h", "fp", "i", F.xxhash64("i", "key").alias("k"))
     sized = lambda df: df.groupBy("k").agg(F.count("*").alias("n"), F.min("h").alias("first"), F.min_by("fp", "h").alias("first_fp")).where("n > 1").select("k", "n", "first", "first_fp")
     one = written(rows.join(sized(rows).hint("merge"), "k"), "shards")
-    again = one.where(F.col("n") > hot).select("h", "fp", "k", "i", F.posexplode("keys").alias("j", "other")).where("j > i").select("h", "fp", F.xxhash64("k", "j", "other").alias("k"))
+    again = one.where(F.col("n") > hot).select("h", "fp", "k", "i").join(own.select("h", "keys"), "h")
+    again = again.select("h", "fp", "k", "i", F.posexplode("keys").alias("j", "other")).where("j > i").select("h", "fp", F.xxhash64("k", "j", "other").alias("k"))
     two = written(again.join(sized(again).hint("merge"), "k"), "shards")
     part = F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / hot))
     cut = two.where(F.col("n") > hot)
     firsts = cut.where("h = first").groupBy("k", "first", "first_fp").agg(F.max("n").alias("n")).select(F.col("first").alias("h"), F.col("first_fp").alias("fp"), "k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / hot) - 1)).alias("part"))
     pieces_ = cut.select("h", "fp", "k", part.alias("part")).unionByName(firsts).select("h", "fp", F.xxhash64("k", "part").alias("k"))
-    shards = one.where(F.col("n") <= hot).select("h", "fp", "k").unionByName(two.where(F.col("n") <= hot).select("h", "fp", "k")).unionByName(pieces_)
+    whole = one.where(F.col("n") <= hot).select("h", "fp", "k").unionByName(two.where(F.col("n") <= hot).select("h", "fp", "k"))
 
     def run(batches):
         for tab in key_runs(batches, ["k"]):
             h = tab["h"].to_numpy()
-            u, v = trie_neighbours(tab["k"].to_numpy(), tab["fp"].to_numpy().view(np.uint64), budget)
-            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(h[u], h[v])), pa.array(np.maximum(h[u], h[v]))], names=["u", "v"])
+            u, v, capped = trie_neighbours(tab["k"].to_numpy(), tab["fp"].to_numpy().view(np.uint64), budget)
+            none = pa.nulls(len(capped), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(h[u], h[v])), pa.array(np.maximum(h[u], h[v])), pa.nulls(len(u), pa.int64())], names=["u", "v", "k"])
+            yield pa.RecordBatch.from_arrays([none, none, pa.array(capped)], names=["u", "v", "k"])
+
+    found = written(whole.unionByName(pieces_).repartition("k").sortWithinPartitions("k").mapInArrow(run, "u long, v long, k long").distinct(), "neighbours")
+    open_ = found.where("k is not null").select("k")
+    members = whole.select("h", "k").join(open_, "k", "left_semi").unionByName(cut.select("h", "k"))
+    return found.where("u <> v").select("u", "v"), members
+
+
+def remaining(members: DataFrame, own: DataFrame, classes: DataFrame, budget: int, similarity: float, each: int | None = None, tile: int = 2048) -> DataFrame:
+    """(u, v): pairs of members (h, k) of one shard that are of different classes so far (h, class; none: a class of its own), differ in at most `budget` bits and
+    whose signatures allow the similarity; with `each`, only so many a document and other class, the likeliest first.
+
+    Shards of one class are done. Others are compared in tiles of bounded size, every part of a shard with every other, in place: pairs are never rows
+    before they have passed. A document is sent to as many tiles as its shard has parts.
+    """
+    known = members.join(classes, "h", "left").withColumn("class", F.coalesce("class", "h"))
+    size = known.groupBy("k").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("k", F.ceil(F.col("n") / tile).alias("parts"))
+    split = known.join(size, "k").withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")))
+    tiles = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    tiles = tiles.select("h", "class", F.xxhash64("k", F.least("part", "other"), F.greatest("part", "other")).alias("t"), (F.col("part") > F.col("other")).cast("int").alias("side"), (F.col("part") != F.col("other")).alias("two"))
+    tiles = tiles.join(own.select("h", "fp", "signature"), "h")
+
+    def compared(tab: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        h, fp, cls = (tab[c].to_numpy() for c in ("h", "fp", "class"))
+        fp, side, two = fp.view(np.uint64), tab["side"].to_numpy(), tab["two"][0].as_py()
+        signature = np.frombuffer(b"".join(tab["signature"].to_pylist()), np.uint8).reshape(len(h), _BINS)
+        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(h)),) * 2
+        us, vs = [], []
+        for at in range(0, len(left), 256):
+            i = left[at : at + 256]
+            near = (np.bitwise_count(fp[i][:, None] ^ fp[right]) <= budget) & (cls[i][:, None] != cls[right])
+            if not two:
+                near &= i[:, None] < right
+            a, b = np.nonzero(near)
+            a, b = i[a], right[b]
+            for lo in range(0, len(a), 1 << 14):
+                x, y = a[lo : lo + (1 << 14)], b[lo : lo + (1 << 14)]
+                share, ok = alike(signature[x], signature[y], similarity)
+                x, y, share = x[ok], y[ok], share[ok]
+                if each is not None and len(x):
+                    order = np.lexsort((-share, cls[y], x))
+                    x, y = x[order], y[order]
+                    new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (cls[y][1:] != cls[y][:-1]))))
+                    nth = np.arange(len(x)) - np.repeat(new, np.diff(np.append(new, len(x))))
+                    x, y = x[nth < each], y[nth < each]
+                us.append(h[x])
+                vs.append(h[y])
+        u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
+        return np.minimum(u, v), np.maximum(u, v)
+
+    def run(batches):
+        for tab in key_runs(batches, ["t"], 4 * tile):
+            t = tab["t"].to_numpy()
+            edge = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True])))
+            for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                u, v = compared(tab.slice(lo, hi - lo))
+                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    return shards.repartition("k").sortWithinPartitions("k").mapInArrow(run, "u long, v long").where("u <> v").distinct()
+    return tiles.repartition("t").sortWithinPartitions("t").mapInArrow(run, "u long, v long").distinct()
 
 
-def similar_documents(docs: DataFrame, id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, budget: int = 18) -> DataFrame:
+def similar_documents(docs: DataFrame, id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, budget: int = 21) -> DataFrame:
     """(id, text_hash, class) of each document: class is a hash that documents share which links of `similarity` or more join.
 
-    1. Each distinct text's SimHash over its set of word shingles, and six least shingles.
+    1. Each distinct text's SimHash over its set of word shingles, eight least shingles and a signature.
     2. Candidates by the trie within `budget` bits: at a similarity of 0.8 two SimHashes differ in some ten bits of 64, with a deviation of three.
     3. The shingle sets of each candidate pair are compared as they are; only pairs of the similarity link.
     4. Components of the links.
+    5. Shards in which documents had more candidates than were compared, and hot ones that were cut: what is in different classes there is compared after
+       all, first the likeliest pairs of each document and class, then all that are left between the classes that these leave. Copies of one text are one
+       class by then, so little is left but where different texts share most of their words.
 
-    A pair at 0.8 has no least shingle in common once in 16,000 times, and not two once in 600, which hot shards ask for; its SimHashes differ in more
-    than 18 bits once in some hundred times.
+    A pair at 0.8 has no least shingle in common once in 400,000 times, and not two once in 12,000, which hot shards ask for; its SimHashes differ in more
+    than 21 bits, or its signatures by more than four deviations, once in some ten thousand times. Texts may be of any length and are compared whole; texts
+    without words are alike; equal texts are one, and an empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
 
     def sketch(batches):
         for b in pieces(batches):
-            fp, keys = sketched(*buffers(values(b, "text")), shingle)
-            yield pa.RecordBatch.from_arrays([values(b, id_col), values(b, "h"), pa.array(fp.view(np.int64)), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64()))], names=[id_col, "h", "fp", "keys"])
+            fp, keys, signature = sketched(*buffers(values(b, "text")), shingle)
+            raw = signature.tobytes()
+            yield pa.RecordBatch.from_arrays([values(b, id_col), values(b, "h"), pa.array(fp.view(np.int64)), pa.array(list(keys.view(np.int64)), pa.list_(pa.int64())), pa.array([raw[k : k + _BINS] for k in range(0, len(raw), _BINS)], pa.binary())], names=[id_col, "h", "fp", "keys", "signature"])
 
     plain = clean_text(docs, id_col).withColumn("h", F.xxhash64("text"))
-    own = written(plain.select(id_col, "h", "text").mapInArrow(sketch, f"{id_col} {kind}, h long, fp long, keys array<long>"), "sketches")
-    reps = written(own.groupBy("h").agg(F.min(id_col).alias("rep"), F.first("fp").alias("fp"), F.first("keys").alias("keys")), "texts")
-    pairs = written(candidates(reps, budget), "candidates")
-    asked = pairs.select(F.col("u").alias("h")).union(pairs.select(F.col("v").alias("h"))).distinct().join(reps.select("h", "rep"), "h").select("h", "rep")
-    texts = plain.join(asked.withColumnRenamed("h", "rep_h").hint("merge"), (F.col("h") == F.col("rep_h")) & F.col(id_col).eqNullSafe(F.col("rep")), "left_semi").select("h", "text").dropDuplicates(["h"])
-    texts = written(texts, "texts-asked")
+    own = written(plain.select(id_col, "h", "text").mapInArrow(sketch, f"{id_col} {kind}, h long, fp long, keys array<long>, signature binary"), "sketches")
+    reps = written(own.groupBy("h").agg(F.min(id_col).alias("rep"), *[F.first(c).alias(c) for c in ("fp", "keys", "signature")]), "texts")
 
     def compared(batches):
         for b in pieces(batches, "a"):
@@ -346,10 +427,26 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", shingle: int = 5,
             near = pa.array(jaccard(*buffers(both), shingle) >= similarity)
             yield b.select(["u", "v"]).filter(near)
 
-    with_a = pairs.join(texts.select(F.col("h").alias("u"), F.col("text").alias("a")).hint("merge"), "u")
-    with_both = with_a.join(texts.select(F.col("h").alias("v"), F.col("text").alias("b")).hint("merge"), "v").select("u", "v", "a", "b")
-    roots = components(with_both.mapInArrow(compared, "u long, v long")).select(F.col("node").alias("h"), "root")
-    return own.select(id_col, "h").join(roots, "h", "left").select(id_col, F.col("h").alias("text_hash"), F.coalesce("root", "h").alias("class"))
+    def links(pairs: DataFrame) -> DataFrame:
+        """The pairs whose texts are of the similarity."""
+        asked = pairs.select(F.col("u").alias("h")).union(pairs.select(F.col("v").alias("h"))).distinct().join(reps.select("h", "rep"), "h").select("h", "rep")
+        texts = plain.join(asked.withColumnRenamed("h", "rep_h").hint("merge"), (F.col("h") == F.col("rep_h")) & F.col(id_col).eqNullSafe(F.col("rep")), "left_semi").select("h", "text").dropDuplicates(["h"])
+        texts = written(texts, "texts-asked")
+        with_a = pairs.join(texts.select(F.col("h").alias("u"), F.col("text").alias("a")).hint("merge"), "u")
+        with_both = with_a.join(texts.select(F.col("h").alias("v"), F.col("text").alias("b")).hint("merge"), "v").select("u", "v", "a", "b")
+        return written(with_both.mapInArrow(compared, "u long, v long"), "links")
+
+    classes = lambda edges: written(components(edges).select(F.col("node").alias("h"), F.col("root").alias("class")), "roots")
+    pairs, members = candidates(reps, budget)
+    found = links(pairs)
+    roots = classes(found)
+    for each in (2, None):
+        more = written(remaining(members, reps, roots, budget, similarity, each), "remaining")
+        if more.isEmpty():
+            break
+        found = found.unionByName(links(more))
+        roots = classes(found)
+    return own.select(id_col, "h").join(roots, "h", "left").select(id_col, F.col("h").alias("text_hash"), F.coalesce("class", "h").alias("class"))
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
