@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 from statistics import NormalDist
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,16 +204,34 @@ def simulated_var(returns: DataFrame, key: str, draws: int = 10_000, level: floa
 def bootstrap(returns: DataFrame, key: str, resamples: int = 200, level: float = 0.95) -> DataFrame:
     """Percentile intervals of annual mean, Sharpe ratio and deviation by Poisson weights: replicates are partial sums, so groups are never gathered.
 
-    A row's weight in a replicate is a Poisson(1) draw by a hash of the row and the replicate, so reruns agree.
+    A row's weight in a replicate is a Poisson(1) draw by a hash of the row and the replicate, so reruns agree. Rows aren't multiplied: each batch of rows
+    gives its keys' sums for all replicates at once, as arrays, and only these are shuffled.
     """
-    cdf, total = [], 0.0
-    for i in range(8):
-        total += math.exp(-1) / math.factorial(i)
-        cdf.append(total)
-    rows = returns.where("r is not null").select(key, "date", "r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("replicate"))
-    u = F.shiftrightunsigned(F.xxhash64(key, "date", "r", "replicate"), 11).cast("double") / float(1 << 53)
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cdf), F.lit(0))
-    sums = rows.withColumn("w", weight).where("w > 0").groupBy(key, "replicate").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("r")).alias("s"), F.sum(F.col("w") * F.col("r") * F.col("r")).alias("q"))
+    cdf = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
+    rows = returns.where("r is not null").select(F.col(key).alias("k"), F.col("r").cast("double").alias("r"), F.xxhash64(key, "date", "r").alias("h"))
+    salt = (np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+
+    def partial(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                t = b.slice(at, 4096)
+                codes = t.column("k").dictionary_encode()
+                code, r_ = np.asarray(codes.indices.fill_null(len(codes.dictionary))), np.asarray(t.column("r"))
+                x = np.asarray(t.column("h")).view(np.uint64)[:, None] ^ salt
+                for shift, odd in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(odd)
+                w = np.searchsorted(cdf, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), "right").astype(float)
+                names, place = np.unique(code, return_inverse=True)
+                sums = []
+                for v in (np.ones(len(r_)), r_, r_ * r_):
+                    s_ = np.zeros((len(names), resamples))
+                    np.add.at(s_, place, w * v[:, None])
+                    sums.append(pa.array(list(s_), pa.list_(pa.float64())))
+                yield pa.RecordBatch.from_arrays([codes.dictionary.take(pa.array(names, mask=names == len(codes.dictionary))), *sums], names=["k", "n", "s", "q"])
+
+    kind = rows.schema["k"].dataType.simpleString()
+    each = rows.mapInArrow(partial, f"k {kind}, n array<double>, s array<double>, q array<double>")
+    sums = each.select(F.col("k").alias(key), F.posexplode(F.arrays_zip("n", "s", "q")).alias("replicate", "x")).groupBy(key, "replicate").agg(*[F.sum(F.col("x")[c]).alias(c) for c in ("n", "s", "q")])
     sd = F.sqrt(F.greatest(F.col("q") - F.col("s") * F.col("s") / F.col("n"), F.lit(0.0)) / (F.col("n") - 1))
     each = sums.where("n > 1").select(key, (F.col("s") / F.col("n") * YEAR).alias("mean"), (sd * YEAR**0.5).alias("std"), F.when(sd > 0, F.col("s") / F.col("n") / sd * YEAR**0.5).otherwise(0.0).alias("sharpe"))
     low, high = (1 - level) / 2, (1 + level) / 2

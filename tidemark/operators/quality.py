@@ -135,6 +135,26 @@ def run_summary(log: DataFrame, *by: str) -> DataFrame:
     return log.groupBy(*by).agg(F.count("*").alias("runs"), (F.count_if(ok) * 100.0 / F.count("*")).alias("success_rate"), F.max(F.when(ok, F.col("completed_at"))).alias("last_success"))
 
 
+def partition_digests(rows: DataFrame, part: str) -> DataFrame:
+    """Q19: (part, n, d1 to d4) of rows with a SHA-256 `hash`: sums of its four leading words, the same in whatever order or file the rows stand."""
+    word = lambda k: F.sum(F.conv(F.substring("hash", 8 * k + 1, 8), 16, 10).cast("long")).alias(f"d{k + 1}")
+    return rows.groupBy(part).agg(F.count("*").alias("n"), *[word(k) for k in range(4)])
+
+
+def differing(left: DataFrame, right: DataFrame, left_digests: DataFrame, right_digests: DataFrame, part: str, key: str) -> DataFrame:
+    """Q19: (part, key, kind): rows (part, key, hash) of two stores that are not the same: `changed`, or `left` or `right` where only that one has it.
+
+    Digests of partitions, a row each, are compared first; rows are read of those partitions only whose digests differ: a literal list, so the files of the
+    others are pruned. Parts and keys are not null.
+    """
+    sums = ["n", "d1", "d2", "d3", "d4"]
+    one, two = (d.select(F.col(part).alias("__p"), F.struct(*sums).alias(name)) for d, name in ((left_digests, "__l"), (right_digests, "__r")))
+    parts = [r[0] for r in one.join(two, "__p", "full_outer").where(~F.col("__l").eqNullSafe(F.col("__r"))).select("__p").collect()]  # partitions, not rows
+    a, b = (d.where(F.col(part).isin(parts)).select(part, key, F.col("hash").alias(h)).toDF(part, key, h) for d, h in ((left, "__a"), (right, "__b")))
+    kind = F.when(F.col("__b").isNull(), "left").when(F.col("__a").isNull(), "right").otherwise("changed")
+    return a.join(b, [part, key], "full_outer").where(~F.col("__a").eqNullSafe(F.col("__b"))).select(part, key, kind.alias("kind"))
+
+
 def provenance_hash(df: DataFrame, columns: list[str]) -> DataFrame:
     """Q19: sha256 of the row's canonical text: sorted columns, as name=value pairs."""
     text = F.concat_ws("|", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in sorted(columns)])

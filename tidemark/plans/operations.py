@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import drift
+from ..operators import drift, sketches
 from ..operators.research import spearman
+from ..session import written
 from ..sources.views import INTRADAY, LINEAGE, TRADES, intraday, lineage, r, read, sql_r, trades
 from ..streaming import intraday as stream
 from .research import _LONGSQL, _long
@@ -47,6 +48,18 @@ def d02(spark, d):
     return drift.histogram_drift(_sides(spark, d), 10).select("feature", "n_ref", "n_new", r("psi").alias("psi"))
 
 
+@_query("d02_sketched_drift", _drift_sql(10) + " SELECT feature, n_ref, n_new, true AS within FROM o")
+def d02_sketched(spark, d):
+    """The same from monthly sketches, of which the reference's are kept: within 0.05 of what the values give."""
+    x = _sides(spark, d).where("x is not null")
+    month = F.when(F.col("side") == "reference", "1998-01-01").otherwise("1999-01-01").cast("date")
+    kept = written(sketches.monthly(x.withColumn("date", month), ["feature"], "date", "x", 800), "sketches")
+    side = lambda m: sketches.merged(kept, ["feature"], m, m, 800)
+    found = sketches.drift(side("1998-01-01"), side("1999-01-01"), ["feature"]).withColumnRenamed("psi", "estimate")
+    true = drift.histogram_drift(x, 10).select("feature", F.col("n_ref").alias("ref"), F.col("n_new").alias("new"), "psi")
+    return found.join(true, "feature").select("feature", F.col("ref").alias("n_ref"), F.col("new").alias("n_new"), (F.abs(F.col("psi") - F.col("estimate")) < 0.05).alias("within"))
+
+
 _RK = "rank() OVER (PARTITION BY side, model ORDER BY {c}) + (count(*) OVER (PARTITION BY side, model, {c}) - 1) / 2.0"
 
 

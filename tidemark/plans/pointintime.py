@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import asof
+from ..session import shared_folder
 from ..sources import ingest
 from ..sources.views import ACTIONS, BARS, CHANGES, FILINGS, STATEMENTS, SYMBOLS, UNIVERSE, actions, bars, change_log, filings, r, read, sql_r, statements, symbols, universe
 
@@ -52,6 +55,21 @@ def s03(spark, sf_dir):
     return ingest.upsert(old, b.where("date >= date'1999-01-01'").select("symbol", "date", F.col("open").alias("close")), ["symbol", "date"], at=at("2024-02-01"))
 
 
+@_query("s01_s03_files_upserted", f"WITH {BARS} SELECT CAST(symbol AS VARCHAR) AS symbol, date, CASE WHEN date BETWEEN DATE '1999-03-01' AND DATE '2000-02-10' AND symbol % 3 = 0 THEN open ELSE close END AS close, volume, CASE WHEN date BETWEEN DATE '1999-03-01' AND DATE '2000-02-10' AND symbol % 3 = 0 THEN TIMESTAMP '2024-02-01' ELSE TIMESTAMP '2024-01-01' END AS ingested_at, CAST(year(date) AS INTEGER) AS year FROM bars")
+def s01_s03_files(spark, sf_dir):
+    """Vendor CSV files read into a store by years, then a correction of some symbols over two of the years, which alone are written again."""
+    b = bars(spark, sf_dir)
+    vendor = f"{shared_folder(spark)}/vendor-{uuid.uuid4().hex}"
+    b.select(F.col("symbol").cast("string").alias("Symbol"), F.date_format("date", "yyyy-MM-dd").alias("Date"), F.col("open").alias("Open"), F.col("high").alias("High"), F.col("low").alias("Low"), F.col("close").alias("Close"), F.col("adj_close").alias("Adj Close"), F.col("volume").alias("Volume")).write.option("header", True).csv(vendor)
+    rows = ingest.read_bars(spark, vendor).withColumn("year", F.year("date"))
+    store = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    at = lambda t: F.lit(t).cast("timestamp_ntz")
+    ingest.upsert_files(rows, store, ["symbol", "date"], "year", at=at("2024-01-01"))
+    mended = rows.where("date between date'1999-03-01' and date'2000-02-10' and cast(symbol as int) % 3 = 0").withColumn("close", F.col("open"))
+    ingest.upsert_files(mended, store, ["symbol", "date"], "year", at=at("2024-02-01"))
+    return spark.read.parquet(store).select("symbol", "date", "close", "volume", "ingested_at", "year")
+
+
 @_query("s04_membership_csv_rules", f"WITH {CHANGES} SELECT effective_date, 'S' || symbol AS symbol, action FROM changes")
 def s04(spark, sf_dir):
     c = change_log(spark, sf_dir)

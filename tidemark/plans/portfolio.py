@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import ewm
-from ..operators import asof, scans
+from ..operators import asof, scans, sketches
 from ..operators import portfolio as pf
+from ..session import written
 from ..sources.views import BARS, SYMBOLS, TRADES, bars, r, read, sql_r, symbols, trades
 
 QUERIES, ORACLE = {}, {}
@@ -156,6 +157,19 @@ def k15(spark, d):
     return each[0].unionByName(each[1])
 
 
+@_query("k15_k17_sketched_quantiles", f"WITH {_RET}, m AS (SELECT symbol, r FROM ret WHERE r IS NOT NULL AND date BETWEEN DATE '1997-03-01' AND DATE '1999-10-31') SELECT symbol, count(*) AS n, {sql_r('min(r)')} AS lo, {sql_r('max(r)')} AS hi, {sql_r('avg(r)')} AS mean, true AS q05_within, true AS q50_within, true AS q95_within FROM m GROUP BY symbol")
+def k15_sketched(spark, d):
+    """Quantiles of a range of months from monthly sketches: counts and extremes are exact, and each quantile's true rank is within the bound of its error."""
+    x = returns(spark, d).select("symbol", "date", "r")
+    months = written(sketches.monthly(x, ["symbol"], "date", "r"), "sketches")
+    at = {"q05": 0.05, "q50": 0.5, "q95": 0.95}
+    q = sketches.with_quantiles(sketches.merged(months, ["symbol"], "1997-03-01", "1999-10-01"), **at).drop("sketch")
+    rows = x.where("r is not null and date between date'1997-03-01' and date'1999-10-31'").join(q.select("symbol", "n", *at), "symbol")
+    share = lambda c, below: F.count_if(F.col("r") < F.col(c) if below else F.col("r") <= F.col(c)) / F.first("n")
+    within = rows.groupBy("symbol").agg(*[((share(c, True) <= p + sketches.ERROR) & (share(c, False) >= p - sketches.ERROR)).alias(f"{c}_within") for c, p in at.items()])
+    return q.join(within, "symbol").select("symbol", "n", r("lo").alias("lo"), r("hi").alias("hi"), r(F.col("total") / F.col("n")).alias("mean"), *[f"{c}_within" for c in at])
+
+
 @_query("k16_simulated_var")
 def k16(spark, d):
     """Normal and heavy-tailed draws; tested against the fitted quantiles."""

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import asof
 from ..operators import quality as q
+from ..session import shared_folder, written
 from ..sources import ingest
 from ..sources.views import ACTIONS, BARS, FILINGS, LINEAGE, STATEMENTS, SYMBOLS, TRADES, UNIVERSE, actions, bars, filings, lineage, r, read, sql_r, statements, symbols, trades, universe
 
@@ -175,3 +178,19 @@ def q18(spark, d):
 @_query("q19_provenance_hash", "SELECT event_id, sha256('event_id=' || event_id || '|event_type=' || coalesce(event_type, 'null') || '|user_id=' || coalesce(CAST(user_id AS VARCHAR), 'null')) AS hash FROM events")
 def q19(spark, d):
     return q.provenance_hash(read(spark, d, "events"), ["user_id", "event_type", "event_id"]).select("event_id", "hash")
+
+
+@_query("q19_verify_partitions", "SELECT CAST(ts AS DATE) AS day, event_id, CASE WHEN event_id % 1777 = 5 THEN 'changed' WHEN event_id % 2500 = 7 THEN 'left' ELSE 'right' END AS kind FROM events WHERE event_id % 1777 = 5 OR event_id % 2500 = 7 OR event_id % 3000 = 11")
+def q19_verify(spark, d):
+    """A store of events by day against a copy in which some rows were changed, lost or (in the first store) never there: days are told apart by digests."""
+    e = read(spark, d, "events").withColumn("day", F.to_date("ts"))
+    cols = ["user_id", "event_type", "event_id"]
+    n = F.col("event_id")
+    copy = e.where(n % 2500 != 7).withColumn("user_id", F.when(n % 1777 == 5, F.col("user_id") + 1).otherwise(F.col("user_id")))
+    stores = []
+    for name, rows in (("left", e.where((n % 3000 != 11) | (n % 1777 == 5) | (n % 2500 == 7))), ("right", copy)):
+        path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        q.provenance_hash(rows, cols).select("day", "event_id", "hash").write.partitionBy("day").parquet(path)
+        stores.append(spark.read.parquet(path))
+    digests = [written(q.partition_digests(x, "day"), "digests") for x in stores]
+    return q.differing(*stores, *digests, "day", "event_id")

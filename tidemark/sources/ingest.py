@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import exists, written
+
 REPORT_LAG_DAYS = 45
 MESSAGE = "ev string, sym string, s long, o double, h double, l double, c double, v long, vw double, n long"
 
@@ -47,6 +49,30 @@ def write_touched(df: DataFrame, path: str, by: str) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
 
 
+def upsert_files(new: DataFrame, path: str, keys: list[str], by: str, seq: str | None = None, at: Column | None = None) -> list:
+    """S03 on files: merges rows into the store at `path`, whose partitions `by` (a column that follows from the keys) are folders; returns the touched ones.
+
+    Only partitions that the new rows fall into are read, by partition pruning, and written again; files of all others stay as they are. Old rows whose key
+    comes anew leave by an anti-join, which needs no shuffle of the old side where the new rows are few. The merged partitions are written to the shared
+    folder first, so a failure before the last step leaves the store as it was. `at` stamps the new rows.
+    """
+    spark = new.sparkSession
+    if at is not None:
+        new = new.withColumn("ingested_at", at)
+    last = Window.partitionBy(*keys).orderBy(*([F.desc(seq)] if seq else []), *[F.desc(c) for c in new.columns if c not in keys])
+    new = written(new.withColumn("__rn", F.row_number().over(last)).where("__rn = 1").drop("__rn"), "upsert")
+    touched = [r[0] for r in new.select(by).distinct().collect()]  # partitions, not rows
+    if not touched:
+        return []
+    both = new
+    if exists(spark, path):
+        old = spark.read.parquet(path)
+        wanted = F.col(by).isin([t for t in touched if t is not None]) | (F.col(by).isNull() if None in touched else F.lit(False))
+        both = new.unionByName(old.where(wanted).join(new.select(*keys), keys, "left_anti"), allowMissingColumns=True)
+    write_touched(written(both, "upsert"), path, by)
+    return touched
+
+
 def membership_changes(raw: DataFrame) -> DataFrame:
     """Clean change-log rows; bad dates and other actions are skipped, repeats kept once."""
     clean = raw.select(F.try_to_date("effective_date", "yyyy-MM-dd").alias("effective_date"), F.upper(F.trim("symbol")).alias("symbol"), F.upper(F.trim("action")).alias("action"))

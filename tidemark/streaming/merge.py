@@ -11,6 +11,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import exists
+
 
 class KeyedStore:
     """Last write of each key, by batch, then by `seq` within it; first_batch and batch tell when a key came and when it last changed."""
@@ -18,13 +20,9 @@ class KeyedStore:
     def __init__(self, spark: SparkSession, path: str, keys: list[str], seq: str, buckets: int = 16):
         self.spark, self.path, self.keys, self.seq, self.buckets = spark, path, keys, seq, buckets
 
-    def _exists(self, path: str) -> bool:
-        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
-
     def version(self) -> int:
         """The last batch that was merged, -1 before the first."""
-        if not self._exists(f"{self.path}/manifest"):
+        if not exists(self.spark, f"{self.path}/manifest"):
             return -1
         return self.spark.read.parquet(f"{self.path}/manifest").agg(F.max("version").cast("long").alias("v")).first().v
 
@@ -68,7 +66,7 @@ class KeyedStore:
     def vacuum(self, keep: int = 1) -> int:
         """Deletes folders that none of the last `keep` versions names; returns how many."""
         fs_path, conf = self.spark._jvm.org.apache.hadoop.fs.Path, self.spark._jsc.hadoopConfiguration()
-        if not self._exists(f"{self.path}/data"):
+        if not exists(self.spark, f"{self.path}/data"):
             return 0
         last = [r.version for r in self.spark.read.parquet(f"{self.path}/manifest").select("version").distinct().orderBy(F.desc("version")).limit(keep).collect()]
         used = {f.rstrip("/").rpartition("/")[2] for v in last for f in self.folders(v).values()}
