@@ -117,25 +117,27 @@ def overlaps(item: np.ndarray, region: np.ndarray, share: float, answer: float)
     return got if got >= share and tail.mean() >= answer and (n >= 8 or n == len(item)) else 0.0
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", cosine: float = 0.25, common: float = 0.02, share: float = 0.6, answer: float = 0.5, rank: int = 256, max_items: int = 50_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", cosine: float = 0.25, common: float = 0.02, share: float = 0.6, answer: float = 0.5, dims: float = 0.5, latent_cosine: float = 0.5, block_items: int = 240, max_items: int = 50_000) -> DataFrame:
     """(id, text_hash, item_id, overlap, cosine) of each contaminated document and benchmark item.
 
     1. Document frequencies of all words over stretches of all documents; words outside the benchmark share a table of fixed size by hash, which can
        only lower their weight.
     2. TF-IDF of every passage, each word counted once; words that more than `common` of all stretches have weigh nothing (but for items that have
        hardly any others). Items are dealt by powers of two of their words, and each length has passages of its own, so that no long item hides a short
-       one. A passage that can't reach the cosine with any item of a block is let go here by a bound: products with the items summed over its halves,
-       repeats included, over the norm of words counted once at most. As a block's space holds its items whole, this loses nothing.
+       one. A passage is let go here if no item of a block can have a plain cosine of `cosine` with it, by a bound: products with the items summed
+       over its halves, repeats included, over the norm of words counted once at most. It only thins out what the search below has to look at.
     3. Randomised SVD a block of items: the passages, and the items as passages too, times a random matrix, partial sums in tasks, and once more for a
-       power step. A block's space holds each of its items whole, at any size of the benchmark; blocks are worked in rounds of bounded memory.
-    4. Cosine of passages and items in the latent space; what reaches `cosine` is aligned with the words around the passage by longest common
-       subsequence. All of it runs in tasks; what moves is one matrix a block per partition and the found rows.
+       power step. The space has `dims` dimensions for each item, fewer than items, at any size of the benchmark; blocks are worked in rounds of bounded
+       memory.
+    4. Cosine of passages and items within the latent space decides which pairs are looked at: from `latent_cosine` on, an item is aligned with the words
+       around the passage by longest common subsequence. Words that go together in the corpus stand for each other there, so reworded passages come near.
+       All of it runs in tasks; what moves is one matrix a block per partition and the found rows.
     """
     spark = docs.sparkSession
     rows = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).orderBy("item_id", "text").limit(max_items + 1).collect()
     if len(rows) > max_items:
         raise ValueError(f"the benchmark has more than {max_items} items; raise max_items if each task can hold it")
-    bench = Benchmark([(r["item_id"], r["text"]) for r in rows], most=max(1, rank - 16))
+    bench = Benchmark([(r["item_id"], r["text"]) for r in rows], most=block_items)
     kind = dict(docs.dtypes)[id_col]
     out = f"{id_col} {kind}, text_hash long, item_id long, overlap double, cosine double"
     if not bench.words:
@@ -238,6 +240,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
     close = written(plain.withColumn("text_hash", F.xxhash64("text")).mapInArrow(weighed, f"{id_col} {kind}, text_hash long, block int, terms binary, weights binary, around binary"), "passages")
 
+    unit = lambda x: x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+
     def dense(b, basis):
         """By block: the places of the batch's passages, their rows times the block's basis, and their terms and weights."""
         block = values(b, "block").to_numpy()
@@ -258,7 +262,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 own[i, np.searchsorted(block.vocab, bench.terms[item])] = 1
             own *= idf[block.vocab].astype(np.float32)
             vectors[c] = own / np.linalg.norm(own, axis=1, keepdims=True)
-            k = min(len(block.vocab), rank)
+            k = min(len(block.vocab), max(8, int(dims * len(block.items))))
             basis[c] = np.random.default_rng(c).standard_normal((len(block.vocab), k)).astype(np.float32)
 
         for _ in range(2):  # range finder, then a power step
@@ -283,13 +287,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "at": [key[1].as_py()], "part": pa.array([total.tobytes()], pa.binary())})
 
             moved = mine.select("block", "terms", "weights").mapInArrow(times, "block int, at long, part binary").groupBy("block", "at").applyInArrow(added, "block int, at long, part binary").collect()  # as many numbers as the bases have
-            acc = {c: own.T @ (own @ start[c]) * max(1.0, total / 1e4 / len(own)) for c, own in vectors.items()}  # the items as passages, so that the space spans them
+            acc = {c: own.T @ (own @ start[c]) * max(1.0, total / 1e4 / len(own)) for c, own in vectors.items()}  # the items as passages
             for r in moved:
                 part = np.frombuffer(r["part"], np.float32).reshape(-1, start[r["block"]].shape[1])
                 acc[r["block"]][r["at"] : r["at"] + len(part)] += part
             basis = {c: np.linalg.qr(x.astype(np.float64))[0].astype(np.float32) for c, x in acc.items()}
-        basis = {c: np.linalg.qr(np.hstack([vectors[c].T, x]).astype(np.float64))[0][:, : x.shape[1]].astype(np.float32) for c, x in basis.items()}  # items first, so that each is held whole
-        latent = {c: vectors[c] @ basis[c] for c in basis}
+        latent = {c: unit(vectors[c] @ basis[c]) for c in basis}
 
         def search(batches):
             for b in batches:
@@ -298,8 +301,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                 around = values(b, "around").to_pylist()
                 got = []
                 for c, at, y, _, _ in dense(b, basis):
-                    near = y @ latent[c].T
-                    for i, j in zip(*(x.tolist() for x in np.nonzero(near >= cosine)), strict=True):
+                    near = unit(y) @ latent[c].T
+                    for i, j in zip(*(x.tolist() for x in np.nonzero(near >= latent_cosine)), strict=True):
                         item = bench.blocks[c].items[j]
                         if o := overlaps(bench.words[item], np.frombuffer(around[at[i]], np.uint64), share, answer):
                             got.append((at[i], bench.ids[item], o, float(near[i, j])))
@@ -316,7 +319,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     rounds, at = [], 0
     while at < len(bench.blocks):  # bases of 64 MB at a time, or one
         to, size = at, 0
-        while to < len(bench.blocks) and (to == at or size + len(bench.blocks[to].vocab) <= (1 << 24) // rank):
+        while to < len(bench.blocks) and (to == at or size + len(bench.blocks[to].vocab) <= (1 << 25) // block_items):
             size += len(bench.blocks[to].vocab)
             to += 1
         rounds.append(range(at, to))
