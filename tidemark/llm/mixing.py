@@ -62,8 +62,9 @@ def flight(p: np.ndarray, x: np.ndarray, rng) -> np.ndarray:
     return np.array(p)
 
 
-def landing(p: np.ndarray, x: np.ndarray, carry: float = 0.0) -> np.ndarray:
-    """0 or 1 for each of a few fractional units: the choice whose totals of size (with `carry`, tokens already over target) and count move least.
+def landing(p: np.ndarray, x: np.ndarray, carry: tuple[float, float] = (0.0, 0.0), worth: float = 1.0) -> np.ndarray:
+    """0 or 1 for each of a few fractional units: the choice whose totals of size and of count (with `carry`, tokens and documents already over target) move
+    least, a document being worth so many tokens.
 
     All choices are compared; the units number at most a dozen or so.
     """
@@ -71,37 +72,53 @@ def landing(p: np.ndarray, x: np.ndarray, carry: float = 0.0) -> np.ndarray:
     if not len(open_):
         return p
     picks = (np.arange(1 << len(open_))[:, None] >> np.arange(len(open_))) & 1
-    off = np.abs((picks - p[open_]) @ x[open_] + carry) + np.abs((picks - p[open_]).sum(axis=1)) * max(1.0, float(x[open_].min()))
+    off = picks - p[open_]
+    off = np.abs(off @ x[open_] + carry[0]) + np.abs(off.sum(axis=1) + carry[1]) * worth
     out = p.copy()
     out[open_] = picks[int(np.argmin(off))]
     return out
 
 
-def sample(p: np.ndarray, x: np.ndarray, rng, small: int = 12) -> np.ndarray:
-    """Balanced sample of a block: flights from the largest half of its units to the smallest few, which land.
+def tilted(p: np.ndarray, x: np.ndarray, carry: tuple[float, float]) -> np.ndarray:
+    """Probabilities moved along a + b*size so that the totals of size and count give back `carry`, as far as bounds of 0.02 and 0.98 allow."""
+    q, size, count = p.copy(), *carry
+    for _ in range(4):
+        free = (q > 0) & (q < 1)
+        if abs(size) + abs(count) < 1e-9 or not free.any():
+            break
+        y = x[free] / max(1.0, float(x[free].max()))
+        both = np.stack([np.ones(len(y)), y])
+        move = np.linalg.lstsq(both @ both.T, -np.array([count, size / max(1.0, float(x[free].max()))]), rcond=None)[0] @ both
+        new = np.clip(q[free] + move, np.minimum(0.02, q[free]), np.maximum(0.98, q[free]))
+        size, count = size + float((new - q[free]) @ x[free]), count + float((new - q[free]).sum())
+        q[free] = new
+    return q
 
-    A flight leaves two of its units fractional. These are rounded, and the tokens this moves are given back by an equal shift of the probabilities of
-    all smaller units, so that the next flight balances them; the last `small` units, the smallest, make up what is left.
+
+def sample(p: np.ndarray, x: np.ndarray, rng, small: int = 16) -> np.ndarray:
+    """Balanced sample of a block on size and count: flights from the largest half of its units to the smallest few, which land.
+
+    A flight leaves two of its units fractional. These are rounded, and the tokens and documents that this moves are given back by tilting the probabilities
+    of all smaller units along their size, so that the next flight balances both; the last `small` units, the smallest, make up what is left.
     """
     order = np.lexsort((np.arange(len(x)), -x))
     q, y = p[order].astype(float), x[order].astype(float)
-    at, carry = 0, 0.0
+    at, aim, worth = 0, np.array([float(q @ y), float(q.sum())]), max(1.0, float(y.mean()) / 4)
+
+    def over() -> tuple[float, float]:
+        """Tokens and documents over target, with what is still fractional as it stands."""
+        return float(q @ y) - aim[0], float(q.sum()) - aim[1]
+
     while len(q) - at > small:
         to = at + (len(q) - at + 1) // 2
-        aim = float(q[at:to] @ y[at:to])
         mix = rng.permutation(to - at)
         flown = np.empty(to - at)
         flown[mix] = flight(q[at:to][mix], y[at:to][mix], rng)
-        q[at:to] = landing(flown, y[at:to], carry)
-        carry += float(q[at:to] @ y[at:to]) - aim
-        rest = y[to:]
-        free = (q[to:] > 0) & (q[to:] < 1)
-        if carry and rest[free].sum() > 0:
-            moved = np.clip(q[to:][free] - carry / rest[free].sum(), 0.02, 0.98)
-            carry += float((moved - q[to:][free]) @ rest[free])
-            q[np.flatnonzero(free) + to] = moved
+        q[at:to] = flown
+        q[at:to] = landing(flown, y[at:to], over(), worth)
+        q[to:] = tilted(q[to:], y[to:], over())
         at = to
-    q[at:] = landing(q[at:], y[at:], carry)
+    q[at:] = landing(q[at:], y[at:], over(), worth)
     out = np.empty(len(p))
     out[order] = q
     return out
@@ -117,7 +134,7 @@ def balanced(units: DataFrame, strata: dict[str | None, int], seed: int = 0, blo
     names = [f.name for f in schema]
     kinds = T.StructType([T.StructField("of", T.StringType()), T.StructField("parts", T.LongType())])
     spread = units.sparkSession.createDataFrame([(s, -(-k // block)) for s, k in strata.items()], kinds)
-    dealt = units.join(F.broadcast(spread), F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("unit_id", "size"), "parts"))
+    dealt = units.join(F.broadcast(spread), F.col("source").eqNullSafe(F.col("of"))).withColumn("block", F.pmod(F.xxhash64("unit_id", "size", "text_hash"), "parts"))
 
     def run(key: tuple, tab: pa.Table) -> pa.Table:
         tab = tab.sort_by([("unit_id", "ascending"), ("size", "ascending"), ("text_hash", "ascending")])
