@@ -42,15 +42,18 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as many times as the mix takes it.
 
-    Rows of one id are told apart by source and text, and numbered where these are equal too, so that each row meets one row of the plan.
+    Rows of one id are told apart by source and text, and numbered where these are equal too, so that each row meets one row of the plan. Nothing is grouped
+    by the id alone: rows without one are as many groups as texts.
     """
     text = F.xxhash64(F.coalesce("text", F.lit("")))
-    plan = mixing.mix_sources(docs.select("doc_id", "text", "source"))
-    nth = lambda *order: F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))
-    plan = plan.select("doc_id", nth("source", "text_hash").alias("nth"), "copies").where("copies > 0")
-    rows = docs.select("doc_id", F.struct(*docs.columns).alias("row"), nth("source", text).alias("nth"))
-    many = rows.join(plan, rows["doc_id"].eqNullSafe(plan["doc_id"]) & (rows["nth"] == plan["nth"])).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
-    return many.select("row.*")
+    nth = F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy(F.desc("copies")))
+    plan = mixing.mix_sources(docs.select("doc_id", "text", "source")).select("doc_id", "source", "text_hash", "copies", nth.alias("nth")).where("copies > 0")
+    rows = docs.select("doc_id", "source", text.alias("text_hash"), F.struct(*docs.columns).alias("row"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "text_hash").orderBy("doc_id")))
+    same = rows["nth"] == plan["nth"]
+    for c in ("doc_id", "source", "text_hash"):
+        same = same & rows[c].eqNullSafe(plan[c])
+    return rows.join(plan, same).select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("row.*")
 
 
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
