@@ -309,7 +309,7 @@ def jaccard(data: np.ndarray, offs: np.ndarray, n: int) -> np.ndarray:
 
 def candidates(own: DataFrame, budget: int, hot: int = 600) -> tuple[DataFrame, DataFrame]:
     """Of `own` (h, fp, keys): (u, v) pairs that share a least shingle and differ in at most `budget` bits, but of what has very many in a shard only the nearest
-    and the first; and (h, k), the members of all shards that have further such pairs.
+    and the first; and (h, k, i, j), the members of all shards that have further such pairs, with the numbers of the shard's least shingles (j: -1 for one).
 
     Shards are documents with one least shingle in common. One of more than `hot` documents, by a shingle that many texts have, is dealt again by each of
     the later least shingles (two documents that share an earlier one meet there). What is hot even so are copies of one text, mostly: these are cut by
@@ -319,13 +319,13 @@ def candidates(own: DataFrame, budget: int, hot: int = 600) -> tuple[DataFrame,
     sized = lambda df: df.groupBy("k").agg(F.count("*").alias("n"), F.min("h").alias("first"), F.min_by("fp", "h").alias("first_fp")).where("n > 1").select("k", "n", "first", "first_fp")
     one = written(rows.join(sized(rows).hint("merge"), "k"), "shards")
     again = one.where(F.col("n") > hot).select("h", "fp", "k", "i").join(own.select("h", "keys"), "h")
-    again = again.select("h", "fp", "k", "i", F.posexplode("keys").alias("j", "other")).where("j > i").select("h", "fp", F.xxhash64("k", "j", "other").alias("k"))
+    again = again.select("h", "fp", "k", "i", F.posexplode("keys").alias("j", "other")).where("j > i").select("h", "fp", "i", "j", F.xxhash64("k", "j", "other").alias("k"))
     two = written(again.join(sized(again).hint("merge"), "k"), "shards")
     part = F.pmod(F.xxhash64("h"), F.ceil(F.col("n") / hot))
     cut = two.where(F.col("n") > hot)
     firsts = cut.where("h = first").groupBy("k", "first", "first_fp").agg(F.max("n").alias("n")).select(F.col("first").alias("h"), F.col("first_fp").alias("fp"), "k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / hot) - 1)).alias("part"))
     pieces_ = cut.select("h", "fp", "k", part.alias("part")).unionByName(firsts).select("h", "fp", F.xxhash64("k", "part").alias("k"))
-    whole = one.where(F.col("n") <= hot).select("h", "fp", "k").unionByName(two.where(F.col("n") <= hot).select("h", "fp", "k"))
+    whole = one.where(F.col("n") <= hot).select("h", "fp", "k", "i", F.lit(-1).alias("j")).unionByName(two.where(F.col("n") <= hot).select("h", "fp", "k", "i", "j"))
 
     def run(batches):
         for tab in key_runs(batches, ["k"]):
@@ -335,63 +335,119 @@ def candidates(own: DataFrame, budget: int, hot: int = 600) -> tuple[DataFrame,
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(h[u], h[v])), pa.array(np.maximum(h[u], h[v])), pa.nulls(len(u), pa.int64())], names=["u", "v", "k"])
             yield pa.RecordBatch.from_arrays([none, none, pa.array(capped)], names=["u", "v", "k"])
 
-    found = written(whole.unionByName(pieces_).repartition("k").sortWithinPartitions("k").mapInArrow(run, "u long, v long, k long").distinct(), "neighbours")
+    found = written(whole.select("h", "fp", "k").unionByName(pieces_).repartition("k").sortWithinPartitions("k").mapInArrow(run, "u long, v long, k long").distinct(), "neighbours")
     open_ = found.where("k is not null").select("k")
-    members = whole.select("h", "k").join(open_, "k", "left_semi").unionByName(cut.select("h", "k"))
+    members = whole.select("h", "k", "i", "j").join(open_, "k", "left_semi").unionByName(cut.select("h", "k", "i", "j"))
     return found.where("u <> v").select("u", "v"), members
 
 
-def remaining(members: DataFrame, own: DataFrame, classes: DataFrame, budget: int, similarity: float, each: int | None = None, tile: int = 2048) -> DataFrame:
-    """(u, v): pairs of members (h, k) of one shard that are of different classes so far (h, class; none: a class of its own), differ in at most `budget` bits and
-    whose signatures allow the similarity; with `each`, only so many a document and other class, the likeliest first.
+def _first_two(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows of two arrays of least shingles: the numbers of the first and the second that are equal, or as many as there are."""
+    same = np.hstack([a == b, np.ones((len(a), 2), bool)])
+    first = same.argmax(axis=1)
+    same[np.arange(len(a)), first] = False
+    return first, same.argmax(axis=1)
 
-    Shards of one class are done. Others are compared in tiles of bounded size, every part of a shard with every other, in place: pairs are never rows
-    before they have passed. A document is sent to as many tiles as its shard has parts.
+
+def in_tiles(members: DataFrame, columns: DataFrame, classes: DataFrame, work, schema: str, tile: int, weight: str | None = None, most: int = 1 << 23) -> DataFrame:
+    """What `work` gives for each tile of the shards of `members` (h, k, i, j) that hold more than one class (h, class; none: a class of its own).
+
+    A shard is dealt by chance into parts of about `tile` documents (and `most` of `weight`), and each part meets each other in a tile of its own, so memory
+    is bounded and a document is sent to as many tiles as its shard has parts. Tiles are tables with `columns` (h, ...), class, i, j, k, side (0, and 1 for the
+    second part of a tile of `two`).
     """
     known = members.join(classes, "h", "left").withColumn("class", F.coalesce("class", "h"))
-    size = known.groupBy("k").agg(F.count("*").alias("n"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("k", F.ceil(F.col("n") / tile).alias("parts"))
+    known = known.join(columns.select("h", F.col(weight).alias("__weight")), "h") if weight else known
+    heavy = F.ceil(F.sum("__weight") / most) if weight else F.lit(1)
+    size = known.groupBy("k").agg(F.greatest(F.ceil(F.count("*") / tile), heavy).alias("parts"), F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("k", "parts")
     split = known.join(size, "k").withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")))
     tiles = split.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    tiles = tiles.select("h", "class", F.xxhash64("k", F.least("part", "other"), F.greatest("part", "other")).alias("t"), (F.col("part") > F.col("other")).cast("int").alias("side"), (F.col("part") != F.col("other")).alias("two"))
-    tiles = tiles.join(own.select("h", "fp", "signature"), "h")
-
-    def compared(tab: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        h, fp, cls = (tab[c].to_numpy() for c in ("h", "fp", "class"))
-        fp, side, two = fp.view(np.uint64), tab["side"].to_numpy(), tab["two"][0].as_py()
-        signature = np.frombuffer(b"".join(tab["signature"].to_pylist()), np.uint8).reshape(len(h), _BINS)
-        left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(h)),) * 2
-        us, vs = [], []
-        for at in range(0, len(left), 256):
-            i = left[at : at + 256]
-            near = (np.bitwise_count(fp[i][:, None] ^ fp[right]) <= budget) & (cls[i][:, None] != cls[right])
-            if not two:
-                near &= i[:, None] < right
-            a, b = np.nonzero(near)
-            a, b = i[a], right[b]
-            for lo in range(0, len(a), 1 << 14):
-                x, y = a[lo : lo + (1 << 14)], b[lo : lo + (1 << 14)]
-                share, ok = alike(signature[x], signature[y], similarity)
-                x, y, share = x[ok], y[ok], share[ok]
-                if each is not None and len(x):
-                    order = np.lexsort((-share, cls[y], x))
-                    x, y = x[order], y[order]
-                    new = np.flatnonzero(np.concatenate(([True], (x[1:] != x[:-1]) | (cls[y][1:] != cls[y][:-1]))))
-                    nth = np.arange(len(x)) - np.repeat(new, np.diff(np.append(new, len(x))))
-                    x, y = x[nth < each], y[nth < each]
-                us.append(h[x])
-                vs.append(h[y])
-        u, v = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (us, vs))
-        return np.minimum(u, v), np.maximum(u, v)
+    tiles = tiles.withColumns({"t": F.xxhash64("k", F.least("part", "other"), F.greatest("part", "other")), "side": (F.col("part") > F.col("other")).cast("int"), "two": F.col("part") != F.col("other")}).drop("part", "other", "parts").join(columns, "h")
 
     def run(batches):
-        for tab in key_runs(batches, ["t"], 4 * tile):
+        for tab in key_runs(batches, ["t"], 2 * tile):
             t = tab["t"].to_numpy()
             edge = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1], [True])))
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-                u, v = compared(tab.slice(lo, hi - lo))
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
+                yield from work(tab.slice(lo, hi - lo))
+
+    return tiles.repartition("t").sortWithinPartitions("t").mapInArrow(run, schema)
+
+
+def open_pairs(tab: pa.Table, budget: int, similarity: float):
+    """Places (a, b) of a tile's pairs of different classes that differ in at most `budget` bits and whose signatures allow the similarity, the likeliest of some
+    thousand first. A pair that several shards hold is looked at in one, that of its first least shingles, or where this is no open shard, has been compared."""
+    fp, cls = tab["fp"].to_numpy().view(np.uint64), tab["class"].to_numpy()
+    keys = np.array(tab["keys"].to_pylist(), np.int64).reshape(len(fp), -1)
+    signature = np.frombuffer(b"".join(tab["signature"].to_pylist()), np.uint8).reshape(len(fp), _BINS)
+    i_, j_, side, two = tab["i"][0].as_py(), tab["j"][0].as_py(), tab["side"].to_numpy(), tab["two"][0].as_py()
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if two else (np.arange(len(fp)),) * 2
+    for at in range(0, len(left), 256):
+        i = left[at : at + 256]
+        near = (np.bitwise_count(fp[i][:, None] ^ fp[right]) <= budget) & (cls[i][:, None] != cls[right])
+        if not two:
+            near &= i[:, None] < right
+        a, b = np.nonzero(near)
+        a, b = i[a], right[b]
+        for lo in range(0, len(a), 1 << 14):
+            x, y = a[lo : lo + (1 << 14)], b[lo : lo + (1 << 14)]
+            first, second = _first_two(keys[x], keys[y])
+            here = (first == i_) & ((second == j_) | (j_ < 0))
+            x, y = x[here], y[here]
+            share, ok = alike(signature[x], signature[y], similarity)
+            order = np.argsort(-share[ok], kind="stable")
+            yield x[ok][order], y[ok][order]
+
+
+def remaining(members: DataFrame, own: DataFrame, plain: DataFrame, classes: DataFrame, budget: int, similarity: float, shingle: int, tile: int = 2048) -> DataFrame:
+    """(u, v): links of `similarity` or more between different classes, from all pairs of members of one shard that open_pairs() leaves, compared as they are.
+
+    Tiles of fingerprints and signatures first tell which documents have such a pair at all; only these are sent to tiles with their texts, where pairs are
+    compared in place. Within a tile, classes that a link has joined are one, so large groups of copies cost a comparison a document or so. No pair is ever a
+    row: what comes out is at most a forest a tile. `plain`: h, text.
+    """
+    small = own.select("h", "fp", "keys", "signature")
+
+    def asked(tab: pa.Table):
+        has = np.zeros(tab.num_rows, bool)
+        for a, b in open_pairs(tab, budget, similarity):
+            has[a] = has[b] = True
+        yield pa.RecordBatch.from_arrays([pa.array(tab["h"].to_numpy()[has]), pa.array(tab["k"].to_numpy()[has])], names=["h", "k"])
 
-    return tiles.repartition("t").sortWithinPartitions("t").mapInArrow(run, "u long, v long").distinct()
+    some = written(in_tiles(members, small, classes, asked, "h long, k long", tile).distinct(), "open")
+    texts = written(plain.join(some.select("h").distinct(), "h", "left_semi").dropDuplicates(["h"]), "texts-open")
+
+    def compared(tab: pa.Table):
+        sets: dict[int, np.ndarray] = {}
+        parent: dict[int, int] = {}
+        h, cls = tab["h"].to_numpy(), tab["class"].to_pylist()
+
+        def root(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = c = parent.get(up, up)
+            return c
+
+        def of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = np.unique(shingle_sets(*buffers(pa.array([tab["text"][k].as_py()], pa.large_string())), shingle)[0])
+            return sets[k]
+
+        us, vs = [], []
+        for a, b in open_pairs(tab, budget, similarity):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                p, q = root(cls[x]), root(cls[y])
+                if p != q:
+                    m, n = of(x), of(y)
+                    both = len(np.intersect1d(m, n, assume_unique=True))
+                    if both >= similarity * (len(m) + len(n) - both):
+                        parent[p] = q
+                        us.append(min(h[x], h[y]))
+                        vs.append(max(h[x], h[y]))
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], names=["u", "v"])
+
+    kept = members.join(some, ["h", "k"], "left_semi")
+    heavy = texts.withColumn("size", F.octet_length("text")).join(small, "h")
+    return in_tiles(kept, heavy, classes, compared, "u long, v long", tile // 4, "size").distinct()
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", shingle: int = 5, similarity: float = 0.8, budget: int = 21) -> DataFrame:
@@ -402,8 +458,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", shingle: int = 5,
     3. The shingle sets of each candidate pair are compared as they are; only pairs of the similarity link.
     4. Components of the links.
     5. Shards in which documents had more candidates than were compared, and hot ones that were cut: what is in different classes there is compared after
-       all, first the likeliest pairs of each document and class, then all that are left between the classes that these leave. Copies of one text are one
-       class by then, so little is left but where different texts share most of their words.
+       all, in place. Copies of one text are one class by then, so little is left but where different texts share most of their words.
 
     A pair at 0.8 has no least shingle in common once in 400,000 times, and not two once in 12,000, which hot shards ask for; its SimHashes differ in more
     than 21 bits, or its signatures by more than four deviations, once in some ten thousand times. Texts may be of any length and are compared whole; texts
@@ -440,12 +495,9 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", shingle: int = 5,
     pairs, members = candidates(reps, budget)
     found = links(pairs)
     roots = classes(found)
-    for each in (2, None):
-        more = written(remaining(members, reps, roots, budget, similarity, each), "remaining")
-        if more.isEmpty():
-            break
-        found = found.unionByName(links(more))
-        roots = classes(found)
+    more = written(remaining(members, reps, plain.select("h", "text"), roots, budget, similarity, shingle), "links")
+    if not more.isEmpty():
+        roots = classes(found.unionByName(more))
     return own.select(id_col, "h").join(roots, "h", "left").select(id_col, F.col("h").alias("text_hash"), F.coalesce("class", "h").alias("class"))
 
 
