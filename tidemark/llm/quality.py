@@ -190,7 +190,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", max_labels:
     labelled = labels.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(*[F.min(t).cast("int").alias(t) for t in TARGETS]).orderBy(order, id_col).limit(max_labels)
     sample = written(labelled, "labels")
     plain = docs.select(id_col, F.coalesce("text", F.lit("")).alias("text"), "lang", "source")
-    rows = written(plain.join(F.broadcast(sample), id_col).dropDuplicates([id_col]), "sample-docs")  # at most max_labels rows
+    one = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "lang", "source")).alias("m")  # of several texts of an id always the same
+    rows = written(plain.join(F.broadcast(sample), id_col).groupBy(id_col, *TARGETS).agg(one).select(id_col, *TARGETS, "m.text", "m.lang", "m.source"), "sample-docs")  # at most max_labels rows
 
     def words(batches):
         for b in pieces(batches):
