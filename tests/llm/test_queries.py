@@ -54,7 +54,7 @@ def test_minhash(spark, data, texts):
     ids = sorted(texts)
     rows = {r.doc_id: r for r in QUERIES["op3_minhash"](spark, data).collect()}
     assert sorted(rows) == ids
-    off = []
+    off, away = [], []
     grams = lambda t: {tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))} if t.split() else set()
     for i, d in enumerate(ids):
         a, b = texts[d], texts[ids[(i + 1) % len(ids)]]
@@ -62,7 +62,10 @@ def test_minhash(spark, data, texts):
         assert rows[d].n_chars == len(a) and rows[d].edited_sha256 == hashlib.sha256(new.encode()).hexdigest()
         x, y = grams(a), grams(new)
         off.append(rows[d].near_edited - len(x & y) / max(1, len(x | y)))
+        z = grams(b)
+        away.append(rows[d].near_next - (len(x & z) / len(x | z) if x | z else rows[d].near_next))
     assert abs(sum(off) / len(off)) < 0.01 and max(map(abs, off)) < 0.2
+    assert abs(sum(away) / len(away)) < 0.02 and max(map(abs, away)) < 0.2
 
 
 def test_mix(spark, data, texts):
