@@ -89,10 +89,14 @@ def bootstrapped(found: DataFrame, rounds: int = 3, support: int = 5, precise: f
     """
     base = found.where("kind <> 'token'")
     tokens = found.where("kind = 'token'").select("rid", "start", "end", F.regexp_replace("m", r"^[\p{Punct}&&[^+(@]]+|[\p{Punct}&&[^)]]+$", "").alias("token"), "left2", "left", "right", F.length("m").alias("len"))
-    order = F.struct(F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).alias("k"), "kind")
-    over = tokens.alias("t").join(base.select("rid", "kind", F.col("start").alias("bs"), F.col("end").alias("be")).alias("b"), (F.col("t.rid") == F.col("b.rid")) & (F.col("bs") < F.col("end")) & (F.col("be") > F.col("start")))
-    seed = over.groupBy("t.rid", "start").agg(F.min(order)["kind"].alias("seed"))
-    tokens = written(tokens.join(seed, ["rid", "start"], "left"), "pii-tokens")
+    # a token lies over a span of a kind if of the kind's spans that begin before it ends, the last end comes after its start: one running value per document
+    token, nothing = F.struct(*tokens.columns), F.lit(None)
+    line = tokens.select("rid", F.col("end").alias("at"), F.lit(0).alias("side"), token.alias("t"), nothing.cast("string").alias("kind"), nothing.cast(base.schema["end"].dataType).alias("until"))
+    line = line.unionByName(base.select("rid", F.col("start").alias("at"), F.lit(1).alias("side"), nothing.cast(tokens.select(token.alias("t")).schema["t"].dataType).alias("t"), "kind", F.col("end").alias("until")))
+    so_far = Window.partitionBy("rid").orderBy("at", "side").rowsBetween(Window.unboundedPreceding, 0)
+    last = [F.max(F.when(F.col("kind") == k, F.col("until"))).over(so_far).alias(f"until_{k}") for k in KINDS]
+    seed = F.coalesce(*[F.when(F.col(f"until_{k}") > F.col("t")["start"], F.lit(k)) for k in KINDS])
+    tokens = written(line.select("side", "t", *last).where("side = 0").select("t.*", seed.alias("seed")), "pii-tokens")
     cues = F.array(F.concat(F.lit("l:"), "left"), F.concat(F.lit("ll:"), "left2", F.lit(" "), "left"), F.concat(F.lit("lr:"), "left", F.lit(" "), "right"), F.concat(F.lit("r:"), "right"))
     shape = F.regexp_replace(F.regexp_replace("token", "[0-9]+", "9"), r"\p{L}+", "a")
     runs = F.regexp_count("token", F.lit(r"[\p{L}0-9]+"))
