@@ -186,7 +186,8 @@ def q19_verify(spark, d):
     e = read(spark, d, "events").withColumn("day", F.to_date("ts"))
     cols = ["user_id", "event_type", "event_id"]
     n = F.col("event_id")
-    copy = e.where(n % 2500 != 7).withColumn("user_id", F.when(n % 1777 == 5, F.col("user_id") + 1).otherwise(F.col("user_id")))
+    # a changed row is never lost, as the SQL has it: event 3422507 is both; a changed null user becomes 0
+    copy = e.where((n % 2500 != 7) | (n % 1777 == 5)).withColumn("user_id", F.when(n % 1777 == 5, F.coalesce(F.col("user_id") + 1, F.lit(0))).otherwise(F.col("user_id")))
     stores = []
     for name, rows in (("left", e.where((n % 3000 != 11) | (n % 1777 == 5) | (n % 2500 == 7))), ("right", copy)):
         path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
