@@ -422,13 +422,24 @@ def validated(m: DataFrame) -> DataFrame:
 
 
 def piecewise(x: Column, bad: float, target: float, good: float) -> Column:
-    """0 at bad or beyond, a half at the target, 1 at good or beyond, straight between; good may lie below bad. Null is 0."""
+    """0 at bad or beyond, a half at the target, 1 at good or beyond, straight between; good may lie below bad. Null is 0. NaN counts as above every number."""
     sign = 1 if good > bad else -1
-    v = x * sign
+    v = F.when(F.isnan(x), float("inf")).otherwise(x) * sign
     b, t, g = bad * sign, target * sign, good * sign
     return F.coalesce(F.when(v <= b, 0.0).when(v >= g, 1.0).when(v <= t, 0.5 * (v - b) / (t - b)).otherwise(0.5 + 0.5 * (v - t) / (g - t)), F.lit(0.0))
 
 
+def ratio(a: Column, b: Column) -> Column:
+    """a / b of doubles as IEEE has it: infinite or NaN where b is 0, which Spark's own division refuses. Null stays null."""
+    over = F.when(a > 0, float("inf")).when(a < 0, float("-inf")).when(a.isNotNull(), float("nan"))
+    return F.when(b == 0, over).otherwise(F.try_divide(a, b))
+
+
+def correlation(x: str, y: str) -> Column:
+    """An aggregate: Pearson's correlation of the pairs, NaN where it is undefined (one pair, a constant side; corr() fails on these), null without a pair."""
+    return ratio(F.covar_pop(x, y), F.sqrt(F.regr_sxx(y, x) / F.regr_count(y, x) * (F.regr_syy(y, x) / F.regr_count(y, x))))
+
+
 def decisions(dimensions: list[str], critical: Column) -> tuple[Column, Column]:
     """The mean of the dimensions' scores, and what follows: PIVOT on a critical failure, else CONTINUE from 0.75, CONDITIONAL from 0.5, KILL."""
     score = sum((F.col(c) for c in dimensions), F.lit(0.0)) / len(dimensions)

@@ -535,8 +535,8 @@ _DIMS = ", ".join("(" + " + ".join(_pw(*x) for x in v) + f") / {len(v)} AS {k}"
 def k41(spark, d):
     """Four dimensions, each the mean of piecewise scores; a critical failure is a deep drawdown of what loses after costs."""
     t = done(spark, d)
-    cv = t.groupBy("symbol", F.year("close_date").alias("yr")).agg(F.avg("r").alias("m")).groupBy("symbol").agg((F.stddev_samp("m") / F.abs(F.avg("m"))).alias("cv"))
-    m = t.groupBy("symbol").agg((F.avg("r") / F.stddev_samp("r") * 252**0.5).alias("sharpe"), (F.stddev_samp("r") / F.abs(F.avg("r")) / 10).alias("stability"), F.corr("prediction", "r").alias("ic"), (-F.min("r")).alias("drawdown"), F.stddev_samp("r").alias("vol"), F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("win"), (F.count("*") / 200.0).alias("turnover"), (F.avg("r") - 0.001).alias("net")).join(cv, "symbol")
+    cv = t.groupBy("symbol", F.year("close_date").alias("yr")).agg(F.avg("r").alias("m")).groupBy("symbol").agg(pf.ratio(F.stddev_samp("m"), F.abs(F.avg("m"))).alias("cv"))
+    m = t.groupBy("symbol").agg((pf.ratio(F.avg("r"), F.stddev_samp("r")) * 252**0.5).alias("sharpe"), (pf.ratio(F.stddev_samp("r"), F.abs(F.avg("r"))) / 10).alias("stability"), pf.correlation("prediction", "r").alias("ic"), (-F.min("r")).alias("drawdown"), F.stddev_samp("r").alias("vol"), F.avg(F.when(F.col("r") > 0, 1.0).otherwise(0.0)).alias("win"), (F.count("*") / 200.0).alias("turnover"), (F.avg("r") - 0.001).alias("net")).join(cv, "symbol")
     dims = [(sum((pf.piecewise(F.col(c), *at) for c, *at in v), F.lit(0.0)) / len(v)).alias(k) for k, v in _SCORES.items()]
     score, decision = pf.decisions(list(_SCORES), F.col("critical"))
     return m.select("symbol", *dims, ((F.col("drawdown") > 0.199) & (F.col("net") < 0)).alias("critical")).select("symbol", r(score, 6).alias("score"), decision.alias("decision"))
