@@ -179,26 +179,51 @@ def stop_statistics(scanned: DataFrame, by: tuple[str, ...] = ("symbol",)) -> Da
     return trades.join(events, list(by), "left").fillna(0, ["n_stops", "mean_pnl", "sum_pnl", "mean_days"]).withColumn("stop_rate", F.coalesce(F.try_divide("n_stops", "n_trades"), F.lit(0.0)))
 
 
+def _hashed(seed: np.ndarray, value: int | np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of an int column on top of earlier columns' hash."""
+    with np.errstate(over="ignore"):
+        h = seed + np.uint64(0x27D4EB2F165667C5) + np.uint64(4)
+        h = h ^ (np.asarray(value).astype(np.int64).astype(np.uint64) & np.uint64(0xFFFFFFFF)) * np.uint64(0x9E3779B185EBCA87)
+        h = (h << np.uint64(23) | h >> np.uint64(41)) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(0x165667B19E3779F9)
+        h = (h ^ h >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h = (h ^ h >> np.uint64(29)) * np.uint64(0x165667B19E3779F9)
+        return h ^ h >> np.uint64(32)
+
+
 def simulated_var(returns: DataFrame, key: str, draws: int = 10_000, level: float = 0.95, days: int = 1, heavy: bool = False) -> DataFrame:
     """Value at risk and shortfall of simulated losses over `days`, fitted per group; normal, or `heavy`: Student's t fitted by its fourth moment.
 
-    The fit is one aggregation; draws are rows (group x draws) that Spark makes, hashes of group and number, so reruns agree and any executor can
-    make them again. t draws are a normal over the root of a mean of squared normals.
+    The fit is one aggregation, a row a group; a group's draws are one array while its row is at hand, never rows, and nothing is shuffled after the fit. Draws
+    are hashes of group and number (xxhash64), so reruns agree and any executor can make them again. t draws are a normal over the root of a mean of squared
+    normals.
     """
     fit = returns.groupBy(key).agg(F.avg("r").alias("__mu"), F.stddev_samp("r").alias("__sigma"), F.kurtosis("r").alias("__k"), F.count("r").alias("__n")).where("__n >= 30")
     # t with f degrees of freedom has excess kurtosis 6 / (f - 4)
     freedom = F.when(F.lit(heavy) & (F.col("__k") > 0.05), F.least(F.lit(30), F.greatest(F.lit(5), F.round(4 + 6 / F.col("__k")).cast("int"))))
-    uniform = lambda *salt: (F.shiftrightunsigned(F.xxhash64(F.col(key), F.col("__i"), *salt), 11).cast("double") + 0.5) / float(1 << 53)
-    normal = lambda *salt: F.sqrt(-2 * F.log(uniform(*salt, F.lit(1)))) * F.cos(2 * math.pi * uniform(*salt, F.lit(2)))
-    each = fit.withColumn("__f", freedom).withColumn("__i", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    if heavy:
-        wide = F.aggregate(F.transform(F.sequence(F.lit(1), F.coalesce("__f", F.lit(1))), lambda j: F.pow(normal(F.lit(-1), j), 2)), F.lit(0.0), lambda a, x: a + x)
-        one = lambda day: F.col("__mu") + F.col("__sigma") * normal(F.lit(day)) * F.when(F.col("__f").isNotNull(), F.sqrt((F.col("__f") - 2) / wide)).otherwise(1.0)
-    else:
-        one = lambda day: F.col("__mu") + F.col("__sigma") * normal(F.lit(day))
-    losses = each.select(key, (-sum((one(day) for day in range(days)), F.lit(0.0))).alias("loss"))
-    q = losses.groupBy(key).agg(F.expr(f"percentile(loss, {level})").alias("var"))
-    return losses.join(q, key).where("loss >= var").groupBy(key).agg(F.first("var").alias("var"), F.avg("loss").alias("cvar"))
+    rows = fit.select(F.col(key).alias("k"), "__mu", "__sigma", freedom.alias("f"), F.xxhash64(key).alias("h"))
+    kind = rows.schema["k"].dataType.simpleString()
+
+    def run(batches):
+        number = np.arange(1, draws + 1)
+        for b in batches:
+            var, cvar = np.empty(b.num_rows), np.empty(b.num_rows)
+            for at, (mu, sigma, f, h) in enumerate(zip(*(b.column(c).to_pylist() for c in ("__mu", "__sigma", "f", "h")), strict=True)):
+                own = _hashed(np.full(draws, h, np.int64).view(np.uint64), number)
+                uniform = lambda seed, salt: ((_hashed(seed, salt) >> np.uint64(11)).astype(float) + 0.5) / float(1 << 53)
+                normal = lambda seed: np.sqrt(-2 * np.log(uniform(seed, 1))) * np.cos(2 * math.pi * uniform(seed, 2))
+                wide = np.zeros(draws)
+                for j in range(1, (f or 0) + 1):
+                    wide += normal(_hashed(_hashed(own, -1), j)) ** 2
+                scale = np.sqrt((f - 2) / wide) if f else 1.0
+                loss = -sum((mu + sigma * normal(_hashed(own, day)) * scale for day in range(days)), np.zeros(draws))
+                loss.sort()
+                place = (draws - 1) * level
+                low, high = math.floor(place), math.ceil(place)
+                var[at] = loss[low] if low == high else (high - place) * loss[low] + (place - low) * loss[high]
+                cvar[at] = loss[loss >= var[at]].mean()
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(var), pa.array(cvar)], names=["k", "var", "cvar"])
+
+    return rows.mapInArrow(run, f"k {kind}, var double, cvar double").withColumnRenamed("k", key)
 
 
 def bootstrap(returns: DataFrame, key: str, resamples: int = 200, level: float = 0.95) -> DataFrame:
