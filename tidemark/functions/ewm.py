@@ -10,32 +10,35 @@ from pyspark.sql import functions as F
 OUTPUTS = ("ema_12d", "ema_26d", "ema_crossover", "macd_line", "macd_signal", "macd_histogram", "rsi_14d", "atr_14d", "adx_14d")
 
 
-def averages(g: pd.DataFrame) -> pd.DataFrame:
-    """Of one symbol's bars in order of date: seed is the first value, weight 2 / (span + 1)."""
+def averages(g: pd.DataFrame, names: tuple[str, ...] = OUTPUTS, keep: tuple[str, ...] = ()) -> pd.DataFrame:
+    """Of one symbol's bars in order of date: seed is the first value, weight 2 / (span + 1). With atr_14d alone nothing else is computed."""
     ema = lambda s, span: s.ewm(span=span, adjust=False).mean()
     p, h, low = g["p"], g["high"], g["low"]
+    before = p.shift()
+    tr = pd.concat([h - low, (h - before).abs(), (low - before).abs()], axis=1).max(axis=1)
+    atr = ema(tr, 14)
+    own = {"symbol": g["symbol"], "date": g["date"], **{c: g[c] for c in keep}}
+    if names == ("atr_14d",):
+        return pd.DataFrame({**own, "atr_14d": atr})
     d = p.diff()
     e12, e26 = ema(p, 12), ema(p, 26)
     line = e12 - e26
     signal = ema(line, 9)
     gain, loss = ema(d.clip(lower=0).fillna(0), 14), ema((-d).clip(lower=0).fillna(0), 14)
     rsi = np.where(loss > 0, 100 - 100 / (1 + gain / loss.where(loss > 0)), np.where(gain > 0, 100.0, np.nan))
-    before = p.shift()
-    tr = pd.concat([h - low, (h - before).abs(), (low - before).abs()], axis=1).max(axis=1)
-    atr = ema(tr, 14)
     up, down = h.diff(), -low.diff()
     plus = ema(up.where((up > down) & (up > 0), 0.0), 14)
     minus = ema(down.where((down > up) & (down > 0), 0.0), 14)
     pdi, mdi = 100 * plus / atr.where(atr > 0), 100 * minus / atr.where(atr > 0)
     dx = 100 * (pdi - mdi).abs() / (pdi + mdi).where(pdi + mdi > 0)
     out = {"ema_12d": e12, "ema_26d": e26, "ema_crossover": np.sign(line), "macd_line": line, "macd_signal": signal, "macd_histogram": line - signal, "rsi_14d": rsi, "atr_14d": atr, "adx_14d": ema(dx, 14)}
-    return pd.DataFrame({"symbol": g["symbol"], "date": g["date"], **out})
+    return pd.DataFrame({**own, **{c: out[c] for c in names}})
 
 
-def ewm_features(prices: DataFrame, names: tuple[str, ...] = OUTPUTS) -> DataFrame:
-    """symbol, date and the named outputs. One shuffle by symbol; a group is one symbol's days."""
+def ewm_features(prices: DataFrame, names: tuple[str, ...] = OUTPUTS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """symbol, date, the columns of `keep` and the named outputs. One shuffle by symbol; a group is one symbol's days."""
     kind = dict(prices.dtypes)["symbol"]
-    base = prices.select("symbol", "date", F.coalesce("adj_close", "close").alias("p"), "high", "low").where("p is not null")
-    schema = f"symbol {kind}, date date, " + ", ".join(f"{n} double" for n in OUTPUTS)
-    done = base.groupBy("symbol").applyInPandas(lambda g: averages(g.sort_values("date", ignore_index=True)), schema)
-    return done.select("symbol", "date", *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
+    base = prices.select("symbol", "date", F.coalesce("adj_close", "close").alias("p"), "high", "low", *[c for c in keep if c not in ("high", "low")]).where("p is not null")
+    schema = f"symbol {kind}, date date, " + "".join(f"`{c}` {dict(base.dtypes)[c]}, " for c in keep) + ", ".join(f"{n} double" for n in names)
+    done = base.groupBy("symbol").applyInPandas(lambda g: averages(g.sort_values("date", ignore_index=True), names, keep), schema)
+    return done.select("symbol", "date", *[F.when(~F.isnan(c), F.col(c)).alias(c) if dict(base.dtypes)[c] == "double" else F.col(c) for c in keep], *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])

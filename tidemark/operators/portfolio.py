@@ -174,9 +174,11 @@ def stop_exits(scanned: DataFrame, level: str = "stop_level", by: tuple[str, ...
 
 def stop_statistics(scanned: DataFrame, by: tuple[str, ...] = ("symbol",)) -> DataFrame:
     """Per series, stops, positions, their ratio, mean and summed result of stops, and mean holding time in calendar days; zeroes without a stop."""
-    events = stop_exits(scanned, by=by).groupBy(*by).agg(F.count("*").alias("n_stops"), F.avg("pnl").alias("mean_pnl"), F.sum("pnl").alias("sum_pnl"), F.avg(F.date_diff("exit_date", "entry_date")).alias("mean_days"))
-    trades = scanned.groupBy(*by).agg(F.count_if("is_entry").alias("n_trades"))
-    return trades.join(events, list(by), "left").fillna(0, ["n_stops", "mean_pnl", "sum_pnl", "mean_days"]).withColumn("stop_rate", F.coalesce(F.try_divide("n_stops", "n_trades"), F.lit(0.0)))
+    w = Window.partitionBy(*by, "trade").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    e = scanned.withColumn("__date", F.first("date").over(w)).withColumn("__pnl", F.try_divide("low", F.first("low").over(w)) - 1)
+    at = lambda c: F.when(F.col("is_exit"), c)
+    one = e.groupBy(*by).agg(F.count_if("is_entry").alias("n_trades"), F.count_if("is_exit").alias("n_stops"), F.avg(at(F.col("__pnl"))).alias("mean_pnl"), F.sum(at(F.col("__pnl"))).alias("sum_pnl"), F.avg(at(F.date_diff("date", "__date"))).alias("mean_days"))
+    return one.fillna(0, ["n_stops", "mean_pnl", "sum_pnl", "mean_days"]).withColumn("stop_rate", F.coalesce(F.try_divide("n_stops", "n_trades"), F.lit(0.0)))
 
 
 def _hashed(seed: np.ndarray, value: int | np.ndarray) -> np.ndarray:

@@ -92,7 +92,7 @@ def _stops(spark, d) -> DataFrame:
     back = w.rowsBetween(-19, 0)
     x = b.withColumn("ret", F.try_divide("close", F.lag("close").over(w)) - 1)
     x = x.withColumn("vol20", F.when(F.count("ret").over(back) == 20, F.stddev_samp("ret").over(back))).withColumn("signal", F.when(F.col("ret") > 0, 1.0).otherwise(0.0))
-    x = x.join(ewm.ewm_features(b, ("atr_14d",)).withColumnRenamed("atr_14d", "atr"), ["symbol", "date"])
+    x = ewm.ewm_features(x, ("atr_14d",), ("close", "low", "vol20", "signal")).withColumnRenamed("atr_14d", "atr").repartition("symbol")  # kinds share one exchange
     kinds = F.array(*[F.struct(F.lit(k).alias("kind"), pf.stop_level(k, 0.1, 0.05, 0.05).alias("stop_level")) for k in pf.STOPS])
     return pf.stop_scan(x.select("symbol", "date", "low", "signal", F.explode(kinds).alias("k")).select("symbol", "date", "low", "signal", "k.*"), by=("kind", "symbol"))
 
