@@ -12,11 +12,12 @@ from .research import spearman
 def histogram_drift(long: DataFrame, bins: int, least: int = 100) -> DataFrame:
     """KL divergence and PSI per feature of rows (feature, side 'reference' or 'new', x), all features in one job.
 
-    Equal-width bins span the reference; new values outside are ignored. 1e-10 is added to each bin's density before shares are taken.
+    Edges are a row a feature and broadcast: a join by the feature would send all of its values to one task. Equal-width bins span the reference; new values outside are ignored. 1e-10 is added to each bin's density before shares are taken.
     """
-    edges = long.where("side = 'reference' and x is not null").groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n_ref"))
+    long = written(long.where("x is not null").select("feature", "side", "x"), "sides")
+    edges = long.where("side = 'reference'").groupBy("feature").agg(F.min("x").alias("lo"), F.max("x").alias("hi"), F.count("*").alias("n_ref"))
     width = (F.col("hi") - F.col("lo")) / bins
-    placed = long.where("x is not null").join(edges, "feature").where("hi > lo and x between lo and hi").withColumn("width", width)
+    placed = long.join(F.broadcast(edges), "feature").where("hi > lo and x between lo and hi").withColumn("width", width)
     bin_ = F.least(F.floor((F.col("x") - F.col("lo")) / F.col("width")).cast("int"), F.lit(bins - 1))
     counts = placed.groupBy("feature", "width", bin_.alias("bin")).agg(F.count_if(F.col("side") == "reference").alias("p"), F.count_if(F.col("side") == "new").alias("q"))
     every = counts.select("feature", "width").distinct().select("feature", "width", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))

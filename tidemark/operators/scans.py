@@ -1,7 +1,8 @@
 """Ordered scans of groups of any size: running sums, row numbers and average ranks in range partitions, with what stands before each carried over.
 
 A window by a key with few values (a fold, a feature, a model) sorts all its rows in one task. Here rows are dealt by ranges of (key, order), so a group
-lies in as many blocks as it needs; sums per block are scanned, which is a row a key and block, and what remains is a window within the block.
+lies in as many blocks as it needs; sums per block are scanned, which is a row a key and block, and what remains is a window within the block. Totals are a row a key, so they are broadcast: a join by the key would send all rows of
+one to one task.
 """
 
 from __future__ import annotations
@@ -47,13 +48,13 @@ def tiled(df: DataFrame, by: list[str], order: list[Column | str], tiles: int, t
     size, large = F.floor(n / b), n % b
     tile = F.when(k <= large * (size + 1), F.floor((k - 1) / (size + 1)) + 1).otherwise(large + F.floor(F.try_divide(k - 1 - large * (size + 1), size)) + 1)
     totals = df.groupBy(*by).agg(F.count("*").alias("__n"))
-    return numbered(df, by, order, "__k").join(totals, by).withColumn(to, tile.cast("int")).drop("__n", "__k")
+    return numbered(df, by, order, "__k").join(F.broadcast(totals), by).withColumn(to, tile.cast("int")).drop("__n", "__k")
 
 
 def quantiles(df: DataFrame, by: list[str], value: str, **at: float) -> DataFrame:
     """(by, names of `at`): exact quantiles of the non-null values, interpolated between neighbours, by row numbers: no task holds a group's values."""
     rows = df.where(F.col(value).isNotNull()).select(*by, F.col(value).cast("double").alias("__v"))
-    rows = numbered(rows, by, ["__v"], "__k").join(rows.groupBy(*by).agg(F.count("*").alias("__n")), by)
+    rows = numbered(rows, by, ["__v"], "__k").join(F.broadcast(rows.groupBy(*by).agg(F.count("*").alias("__n"))), by)
     place = {name: (F.col("__n") - 1) * q for name, q in at.items()}
     near = lambda p: F.greatest(1 - F.abs(F.col("__k") - 1 - p), F.lit(0.0))  # noqa: E731  weight of a row: both neighbours of the place share 1
     wanted = F.lit(False)

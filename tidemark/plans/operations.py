@@ -51,7 +51,7 @@ def d02(spark, d):
 @_query("d02_sketched_drift", _drift_sql(10) + " SELECT feature, n_ref, n_new, true AS within FROM o")
 def d02_sketched(spark, d):
     """The same from monthly sketches, of which the reference's are kept: within 0.05 of what the values give."""
-    x = _sides(spark, d).where("x is not null")
+    x = written(_sides(spark, d).where("x is not null"), "sides")
     month = F.when(F.col("side") == "reference", "1998-01-01").otherwise("1999-01-01").cast("date")
     kept = written(sketches.monthly(x.withColumn("date", month), ["feature"], "date", "x", 800), "sketches")
     side = lambda m: sketches.merged(kept, ["feature"], m, m, 800)
