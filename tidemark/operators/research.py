@@ -5,10 +5,11 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import written
 from .portfolio import solved
 from .scans import numbered, rank_correlation, tiled
 
@@ -42,7 +43,7 @@ def spearman(df: DataFrame, x: str, y: str, *by: str) -> DataFrame:
 
 def _ranks(windows: np.ndarray) -> np.ndarray:
     """Average ranks within each row."""
-    order = np.argsort(windows, axis=1, kind="stable")
+    order = np.argsort(windows, axis=1)  # ties share a rank, in whatever order
     ordered = np.take_along_axis(windows, order, axis=1)
     n = windows.shape[1]
     new = np.ones(windows.shape, bool)
@@ -65,25 +66,34 @@ def rolling_rank_ic(long: DataFrame, window: int = 60) -> DataFrame:
     """
     kind = dict(long.dtypes)["symbol"]
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([series(x) for _, x in g.groupby(["feature", "horizon"], sort=False)])
-
-    def series(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("date", ignore_index=True)
-        n = len(g) - window  # windows end at rows window - 1 .. n - 2
-        out = g[["feature", "horizon", "symbol", "date"]].iloc[window - 1 : len(g) - 1]
-        if n <= 0:
-            return out.iloc[:0].assign(ic=pd.Series(dtype=float))
-        ics = []
-        for at in range(0, n, 4096):
-            x, y = (_ranks(np.lib.stride_tricks.sliding_window_view(g[c].to_numpy(float), window)[at : min(at + 4096, n)]) for c in ("x", "y"))
-            x, y = x - x.mean(axis=1, keepdims=True), y - y.mean(axis=1, keepdims=True)
-            size = np.sqrt((x**2).sum(axis=1) * (y**2).sum(axis=1))
-            ics.append(np.divide((x * y).sum(axis=1), size, out=np.full(len(x), np.nan), where=size > 0))
-        return out.assign(ic=np.concatenate(ics))
-
-    pairs = long.where("x is not null and y is not null").select("feature", "horizon", "symbol", "date", "x", "y")
-    return pairs.groupBy("symbol").applyInPandas(run, f"feature string, horizon int, symbol {kind}, date date, ic double").withColumn("ic", F.when(~F.isnan("ic"), F.col("ic")))
+    def centred(v: np.ndarray, known: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks within each window less their mean, and their sums of squares; those of a series that begins with this one serve again."""
+        for w, ranks, sizes in known:
+            if len(v) <= len(w) and np.array_equal(v, w[: len(v)]):
+                return ranks[: len(v) - window], sizes[: len(v) - window]
+        views = np.lib.stride_tricks.sliding_window_view(v, window)[:-1]  # windows end at rows window - 1 .. n - 2
+        ranks = np.concatenate([_ranks(views[at : at + 4096]) for at in range(0, len(views), 4096)])
+        ranks -= ranks.mean(axis=1, keepdims=True)
+        known.append((v, ranks, np.einsum("ij,ij->i", ranks, ranks)))
+        return known[-1][1:]
+
+    def run(tab: pa.Table) -> pa.Table:
+        tab = tab.sort_by([(c, "ascending") for c in ("feature", "horizon", "date")])
+        f, h = np.asarray(tab["feature"]), np.asarray(tab["horizon"])
+        ends = [*(np.flatnonzero((f[1:] != f[:-1]) | (h[1:] != h[:-1])) + 1), len(f)]
+        x, y = (np.asarray(tab[c], float) for c in ("x", "y"))
+        rows, ics, known = [], [], ([], [])
+        for at, end in zip([0, *ends[:-1]], ends, strict=True):
+            if end - at > window:
+                (a, aa), (b, bb) = centred(x[at:end], known[0]), centred(y[at:end], known[1])
+                size = np.sqrt(aa * bb)
+                ics.append(np.divide(np.einsum("ij,ij->i", a, b), size, out=np.full(len(a), np.nan), where=size > 0))
+                rows.append(np.arange(at + window - 1, end - 1))
+        out = tab.select(["feature", "horizon", "symbol", "date"]).take(pa.array(np.concatenate([*rows, np.empty(0, np.int64)]).astype(np.int64)))
+        return out.append_column("ic", pa.array(np.concatenate([*ics, np.empty(0)]), pa.float64()))
+
+    pairs = long.where("x is not null and y is not null").select("feature", "horizon", "symbol", "date", F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    return pairs.groupBy("symbol").applyInArrow(run, f"feature string, horizon int, symbol {kind}, date date, ic double").withColumn("ic", F.when(~F.isnan("ic"), F.col("ic")))
 
 
 def ic_summary(ics: DataFrame) -> DataFrame:
@@ -128,9 +138,9 @@ def fold_table(n: int, folds: int, test: int, purge: int = 0, expanding: bool =
     return out
 
 
-def with_folds(df: DataFrame, folds: list[tuple[int, int, int, int, int]]) -> DataFrame:
-    """Rows of each fold with role train or test, by the number of their date among all dates."""
-    days = df.select("date").distinct()
+def with_folds(df: DataFrame, folds: list[tuple[int, int, int, int, int]], days: DataFrame | None = None) -> DataFrame:
+    """Rows of each fold with role train or test, by the number of their date among all dates (`days`, where these are at hand)."""
+    days = df.select("date").distinct() if days is None else days
     numbered = days.withColumn("day", F.row_number().over(Window.orderBy("date")))  # one row a date
     plan = df.sparkSession.createDataFrame(folds, "fold int, train_start int, train_end int, test_start int, test_end int")
     held = F.broadcast(numbered.crossJoin(F.broadcast(plan)).where("day between train_start and train_end or day between test_start and test_end").select("date", "fold", F.when(F.expr("day between test_start and test_end"), "test").otherwise("train").alias("role")))
@@ -163,13 +173,13 @@ def screened(newest: DataFrame, continuous: Column, top: int = 25, screens: dict
 def after_embargo(df: DataFrame, rows: int, *by: str) -> DataFrame:
     """Test rows without the first `rows` of each group, in order of date and symbol; a group that has no more than these keeps all."""
     sizes = df.groupBy(*by).agg(F.count("*").alias("__n"))
-    d = numbered(df, list(by), ["date", "symbol"], "__i").join(sizes, list(by))
+    d = numbered(df, list(by), ["date", "symbol"], "__i").join(F.broadcast(sizes), list(by))  # a row a group
     return d.where((F.col("__i") > rows) | (F.col("__n") <= rows)).drop("__i", "__n")
 
 
 def fold_metrics(df: DataFrame, y: str, p: str, *by: str) -> DataFrame:
     """Mse, mae, r2 and rank IC of non-null pairs."""
-    pairs = df.where(F.col(y).isNotNull() & F.col(p).isNotNull())
+    pairs = written(df.where(F.col(y).isNotNull() & F.col(p).isNotNull()).select(*by, y, p), "pairs")
     err = F.col(y) - F.col(p)
     base = pairs.groupBy(*by).agg(F.avg(err * err).alias("mse"), F.avg(F.abs(err)).alias("mae"), (1 - F.try_divide(F.sum(err * err), F.var_pop(y) * F.count("*"))).alias("r2"), F.count("*").alias("n"))
     return base.join(spearman(pairs, y, p, *by).drop("n"), list(by))
@@ -177,8 +187,7 @@ def fold_metrics(df: DataFrame, y: str, p: str, *by: str) -> DataFrame:
 
 def binned_information(df: DataFrame, x: str, y: str, bins: int, *by: str) -> DataFrame:
     """Mutual information of quantile bins, from counts; bins by row numbers in range blocks."""
-    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    cell = pairs.select(*by, "date", "symbol", x, y)
+    cell = written(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, "date", "symbol", x, y), "pairs")
     for c, b in ((x, "bx"), (y, "by_")):
         cell = tiled(cell, list(by), [c, "date", "symbol"], bins, b)
     cell = cell.groupBy(*by, "bx", "by_").agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..operators import research as rs
+from ..session import written
 from ..sources.views import BARS, TRADES, bars, r, read, sql_r, trades
 from .features import _SQL, _STAGES
 
@@ -109,8 +110,8 @@ folds AS (SELECT k + 1 AS fold, n - 4 * 300 + k * 300 + 1 AS test_start, CASE WH
 
 def _folded(spark, d):
     p = panel(spark, d)
-    n = p.select("date").distinct().count()
-    return rs.with_folds(p, rs.fold_table(n, 4, 300, purge=5))
+    days = written(p.select("date").distinct(), "days")  # one row a date
+    return rs.with_folds(p, rs.fold_table(days.count(), 4, 300, purge=5), days)
 
 
 @_query("r14_fold_table", f"WITH {_PANEL}, {_FOLDS} SELECT CAST(fold AS INTEGER) AS fold, CASE WHEN day >= test_start THEN 'test' ELSE 'train' END AS role, count(*) AS n, min(panel.date) AS first_date, max(panel.date) AS last_date FROM panel JOIN days USING (date) JOIN folds ON day BETWEEN test_start AND test_end OR day BETWEEN 1 AND test_start - 6 GROUP BY ALL")
@@ -125,6 +126,7 @@ m AS (SELECT fold, avg((y - p) * (y - p)) AS mse, avg(abs(y - p)) AS mae, 1 - su
 
 def _metrics(spark, d):
     t = _folded(spark, d).where("role = 'test' and f5 is not null and momentum_20d is not null").withColumn("p", F.col("momentum_20d") * 0.1)
+    t = written(t.select("fold", "date", "symbol", "f5", "p"), "test_rows")  # read by range, counted and scanned
     return rs.fold_metrics(rs.after_embargo(t, 10, "fold"), "f5", "p", "fold")
 
 
