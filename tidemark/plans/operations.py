@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import drift, sketches
+from ..operators import drift, scans, sketches
 from ..operators.research import spearman
 from ..session import written
 from ..sources.views import INTRADAY, LINEAGE, TRADES, intraday, lineage, r, read, sql_r, trades
@@ -251,11 +251,8 @@ o AS (SELECT symbol, newest AS "last", newest + 120000 AS told, 'refill' AS kind
 SELECT symbol, make_timestamp("last" * 1000) AS "last", make_timestamp(told * 1000) AS "at", kind, CAST(floor((told - "last") / 60000) AS BIGINT) AS minutes FROM o""")
 def t10_stream(spark, d):
     """Silences told by timers as the stream's time goes on: six files in order of time."""
-    n = read(spark, d, "events").count()
-    size, large = divmod(n, 6)
-    place = F.row_number().over(Window.orderBy("event_id")) - 1  # tests of a stream: arrival numbers of landed files
-    numbered = read(spark, d, "events").select("event_id", place.alias("i")).select("event_id", F.when(F.col("i") < large * (size + 1), F.floor(F.col("i") / (size + 1))).otherwise(large + F.floor((F.col("i") - large * (size + 1)) / size)).alias("part"))
-    parts = intraday(spark, d).join(numbered, "event_id").withColumn("ts", F.col("ts").cast("timestamp")).select("symbol", "ts", "event_id", "close", "volume", "part")
+    landed = scans.tiled(intraday(spark, d).withColumn("__all", F.lit(0)), ["__all"], ["event_id"], 6, "part")  # arrival numbers, in blocks
+    parts = written(landed.select("symbol", F.col("ts").cast("timestamp").alias("ts"), "event_id", "close", "volume", (F.col("part") - 1).alias("part")), "landed")  # each file's task only copies rows
     folder = stream.new_folder(spark, "bars")
     for k in range(6):
         parts.where(F.col("part") == k).drop("part").coalesce(1).write.mode("append").parquet(folder)
