@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import tasks
+
 
 def asof_join(probes: DataFrame, facts: DataFrame, keys: list[str], probe_ts: str, fact_ts: str, carry: list[str], order: list[str] | None = None, tolerance_days: int | None = None) -> DataFrame:
     """Every probe row with the `carry` columns of the latest fact at or before it, null where there is none.
@@ -17,7 +19,8 @@ def asof_join(probes: DataFrame, facts: DataFrame, keys: list[str], probe_ts: st
     p = probes.select(F.struct(*probes.columns).alias("__row"), *keys, F.col(probe_ts).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(facts.select(struct.alias("s")).schema["s"].dataType).alias("__fact"), *[F.lit(None).cast(facts.schema[c].dataType).alias(f"__o{i}") for i, c in enumerate(order)])
     f = facts.select(F.lit(None).cast(p.schema["__row"].dataType).alias("__row"), *keys, F.col(fact_ts).alias("__t"), F.lit(0).alias("__side"), struct.alias("__fact"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)])
     w = Window.partitionBy(*keys).orderBy("__t", "__side", *[f"__o{i}" for i in range(len(order))]).rowsBetween(Window.unboundedPreceding, 0)
-    got = p.unionByName(f).withColumn("__last", F.last("__fact", ignorenulls=True).over(w)).where("__side = 1")
+    both = p.unionByName(f)
+    got = both.repartition(tasks(both), *keys).withColumn("__last", F.last("__fact", ignorenulls=True).over(w)).where("__side = 1")
     ok = F.lit(True)
     for k in keys:
         ok = ok & F.col(k).isNotNull()

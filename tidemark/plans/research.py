@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features
 from ..operators import research as rs
-from ..session import written
+from ..session import tasks, written
 from ..sources.views import BARS, TRADES, bars, r, read, sql_r, trades
 from .features import _SQL, _STAGES
 
@@ -71,7 +71,8 @@ _RANK = lambda c: f"CASE WHEN {c} IS NOT NULL THEN (rank() OVER (PARTITION BY da
 
 @_query("r04_r05_composite_ranks", f"WITH {_PANEL}, k AS (SELECT symbol, date, {_RANK('momentum_20d')} AS a, {_RANK('volatility_20d')} AS b, count(*) OVER (PARTITION BY date) AS names FROM panel) SELECT symbol, date, {sql_r('a', 6)} AS rank_momentum, {sql_r('a - b', 6)} AS composite FROM k WHERE names >= 5")
 def r04(spark, d):
-    p = panel(spark, d)
+    p = panel(spark, d).select("symbol", "date", "momentum_20d", "volatility_20d")
+    p = p.repartition(tasks(p, 2), "date")  # four sorts of a task's dates follow
     k = p.select("symbol", "date", rs.percent_rank(F.col("momentum_20d"), "date").alias("a"), rs.percent_rank(F.col("volatility_20d"), "date").alias("b"), F.count("*").over(Window.partitionBy("date")).alias("names"))
     return k.where("names >= 5").select("symbol", "date", r("a", 6).alias("rank_momentum"), r(F.col("a") - F.col("b"), 6).alias("composite"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,6 +44,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks(df: DataFrame, mb: float = 8) -> int:
+    """How many tasks an exchange of df's rows should have: one for every `mb` MB of the files it reads, so that a task's sort doesn't grow with the input."""
+    spark = df.sparkSession
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    size = sum(p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen() for p in paths)
+    return max(spark.sparkContext.defaultParallelism, math.ceil(size / (mb * 2**20)))
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
