@@ -8,11 +8,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import tasks
+
+
 def by_symbol() -> Window:
     return Window.partitionBy("symbol").orderBy("date")
 
 
-
 def issues(df: DataFrame, check: str, severity: Column, date: str = "date", detail: Column | None = None) -> DataFrame:
     return df.select(F.lit(check).alias("check"), "symbol", F.col(date).alias("date"), severity.alias("severity"), (F.lit(None).cast("double") if detail is None else detail.cast("double")).alias("detail"))
 
@@ -20,7 +22,7 @@ def issues(df: DataFrame, check: str, severity: Column, date: str = "date", deta
 def price_anomalies(prices: DataFrame, actions: DataFrame, threshold: float = 0.5, critical: float = 0.9) -> DataFrame:
     """Q01: day-on-day moves beyond the threshold without a corporate action that day. Actions are an anti join after the lag, so two on a day add no rows."""
     moved = prices.withColumn("pct", F.try_divide("close", F.lag("close").over(by_symbol())) - 1).where(F.abs("pct") > threshold)
-    moved = moved.join(actions.select("symbol", "date").distinct(), ["symbol", "date"], "left_anti")
+    moved = moved.repartition(tasks(prices), "symbol", "date").join(actions.select("symbol", "date").distinct(), ["symbol", "date"], "left_anti")
     return issues(moved, "price_anomaly", F.when(F.abs("pct") > critical, "critical").otherwise("warning"), detail=F.col("pct"))
 
 

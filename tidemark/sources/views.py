@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..session import tasks
+
 EPS = 1.7e-8
 
 
@@ -26,11 +28,13 @@ def sql_r(text: str, digits: int = 4) -> str:
 
 
 def bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Daily bars per symbol. Partitioned by symbol at once, so that the grouping and all windows per symbol share one shuffle."""
-    li = read(spark, sf_dir, "lineitem").select(
+    """Daily bars per symbol. Partitioned by symbol at once, so that the grouping and all windows per symbol share one shuffle, with tasks by the size of the input."""
+    li = read(spark, sf_dir, "lineitem")
+    n = tasks(li, 4)
+    li = li.select(
         F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date"), F.try_divide("l_extendedprice", "l_quantity").alias("p"), "l_quantity", F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice").alias("k")
     )
-    return li.repartition("symbol").groupBy("symbol", "date").agg(
+    return li.repartition(n, "symbol").groupBy("symbol", "date").agg(
         F.min_by("p", "k").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "k").alias("close"), F.max_by("p", "k").alias("adj_close"), F.sum("l_quantity").cast("long").alias("volume")
     )
 
@@ -70,8 +74,10 @@ STATEMENTS = """statements AS (SELECT l_suppkey AS symbol, CAST(last_day(date_tr
 
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Corporate actions: returned lines of high discount; split_from and split_to, or a cash amount."""
-    li = read(spark, sf_dir, "lineitem").where("l_returnflag = 'R' and l_discount >= 0.08")
-    return li.groupBy(F.col("l_suppkey").alias("symbol"), F.to_date("l_shipdate").alias("date")).agg(F.max("l_quantity").alias("split_to"), F.min("l_linenumber").cast("double").alias("split_from"), F.max("l_tax").alias("cash"))
+    li = read(spark, sf_dir, "lineitem")
+    n = tasks(li)
+    li = li.where("l_returnflag = 'R' and l_discount >= 0.08").withColumns({"symbol": F.col("l_suppkey"), "date": F.to_date("l_shipdate")})
+    return li.repartition(n, "symbol", "date").groupBy("symbol", "date").agg(F.max("l_quantity").alias("split_to"), F.min("l_linenumber").cast("double").alias("split_from"), F.max("l_tax").alias("cash"))
 
 
 ACTIONS = """actions AS (SELECT l_suppkey AS symbol, CAST(l_shipdate AS DATE) AS date, max(l_quantity) AS split_to, CAST(min(l_linenumber) AS DOUBLE) AS split_from, max(l_tax) AS cash
