@@ -119,9 +119,11 @@ def parse_messages(raw: DataFrame, column: str = "value") -> DataFrame:
 
 
 def store_stats(df: DataFrame, date: str, by: str) -> DataFrame:
-    """Rows, first and last date and distinct dates per value of `by`, and over all (null)."""
-    aggs = [F.count("*").alias("n_rows"), F.countDistinct(date).alias("n_dates"), F.min(date).alias("first_date"), F.max(date).alias("last_date")]
-    return df.groupBy(by).agg(*aggs).unionByName(df.agg(*aggs).withColumn(by, F.lit(None).cast(df.schema[by].dataType)))
+    """Rows, first and last date and distinct dates per value of `by`, and over all (null). Both rest on rows per value and date, so no date is kept twice."""
+    per = df.groupBy(by, date).agg(F.count("*").alias("n"))
+    days = df.groupBy(date).agg(F.count("*").alias("n"))  # a calendar
+    aggs = [F.coalesce(F.sum("n"), F.lit(0)).alias("n_rows"), F.count(date).alias("n_dates"), F.min(date).alias("first_date"), F.max(date).alias("last_date")]
+    return per.groupBy(by).agg(*aggs).unionByName(days.agg(*aggs).withColumn(by, F.lit(None).cast(df.schema[by].dataType)))
 
 
 def range_read(df: DataFrame, column: str, start: str, end: str, **equals: list) -> DataFrame:
