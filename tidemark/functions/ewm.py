@@ -2,37 +2,70 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 OUTPUTS = ("ema_12d", "ema_26d", "ema_crossover", "macd_line", "macd_signal", "macd_histogram", "rsi_14d", "atr_14d", "adx_14d")
 
 
+def ema(x: np.ndarray, span: int) -> np.ndarray:
+    """pandas' ewm(span, adjust=False).mean(), whose set-up costs more than a symbol's days; a missing value lets the old one's weight decay."""
+    a = 2 / (span + 1)
+    out, y, old = [], math.nan, 1.0
+    for v in x.tolist():
+        if y != y:
+            y = v
+        else:
+            old *= 1 - a
+            if v == v:
+                if v != y:
+                    y = (old * y + a * v) / (old + a)
+                old = 1.0
+        out.append(y)
+    return np.array(out, float)
+
+
+def series(p: np.ndarray, h: np.ndarray, low: np.ndarray, names: tuple[str, ...] = OUTPUTS) -> dict[str, np.ndarray]:
+    """The named outputs of one symbol's prices in order of date, NaN where missing: seed is the first value, weight 2 / (span + 1)."""
+    need = lambda *of: not set(of).isdisjoint(names)
+    lagged = lambda v: np.concatenate([[np.nan], v[:-1]])
+    out = {}
+    with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
+        before = lagged(p)
+        if need("ema_12d", "ema_26d", "ema_crossover", "macd_line", "macd_signal", "macd_histogram"):
+            e12, e26 = ema(p, 12), ema(p, 26)
+            line = e12 - e26
+            out |= {"ema_12d": e12, "ema_26d": e26, "ema_crossover": np.sign(line), "macd_line": line}
+            if need("macd_signal", "macd_histogram"):
+                signal = ema(line, 9)
+                out |= {"macd_signal": signal, "macd_histogram": line - signal}
+        if need("rsi_14d"):
+            d = p - before
+            gain, loss = ema(np.where(d > 0, d, 0.0), 14), ema(np.where(d < 0, -d, 0.0), 14)
+            out["rsi_14d"] = np.where(loss > 0, 100 - 100 / (1 + gain / loss), np.where(gain > 0, 100.0, np.nan))
+        if need("atr_14d", "adx_14d"):
+            atr = out["atr_14d"] = ema(np.fmax(np.fmax(h - low, np.abs(h - before)), np.abs(low - before)), 14)
+        if need("adx_14d"):
+            up, down = h - lagged(h), lagged(low) - low
+            plus, minus = ema(np.where((up > down) & (up > 0), up, 0.0), 14), ema(np.where((down > up) & (down > 0), down, 0.0), 14)
+            pdi, mdi = (np.where(atr > 0, 100 * m / atr, np.nan) for m in (plus, minus))
+            out["adx_14d"] = ema(np.where(pdi + mdi > 0, 100 * np.abs(pdi - mdi) / (pdi + mdi), np.nan), 14)
+    return {n: out[n] for n in names}
+
+
 def averages(g: pd.DataFrame, names: tuple[str, ...] = OUTPUTS, keep: tuple[str, ...] = ()) -> pd.DataFrame:
-    """Of one symbol's bars in order of date: seed is the first value, weight 2 / (span + 1). With atr_14d alone nothing else is computed."""
-    ema = lambda s, span: s.ewm(span=span, adjust=False).mean()
-    p, h, low = g["p"], g["high"], g["low"]
-    before = p.shift()
-    tr = pd.concat([h - low, (h - before).abs(), (low - before).abs()], axis=1).max(axis=1)
-    atr = ema(tr, 14)
-    own = {"symbol": g["symbol"], "date": g["date"], **{c: g[c] for c in keep}}
-    if names == ("atr_14d",):
-        return pd.DataFrame({**own, "atr_14d": atr})
-    d = p.diff()
-    e12, e26 = ema(p, 12), ema(p, 26)
-    line = e12 - e26
-    signal = ema(line, 9)
-    gain, loss = ema(d.clip(lower=0).fillna(0), 14), ema((-d).clip(lower=0).fillna(0), 14)
-    rsi = np.where(loss > 0, 100 - 100 / (1 + gain / loss.where(loss > 0)), np.where(gain > 0, 100.0, np.nan))
-    up, down = h.diff(), -low.diff()
-    plus = ema(up.where((up > down) & (up > 0), 0.0), 14)
-    minus = ema(down.where((down > up) & (down > 0), 0.0), 14)
-    pdi, mdi = 100 * plus / atr.where(atr > 0), 100 * minus / atr.where(atr > 0)
-    dx = 100 * (pdi - mdi).abs() / (pdi + mdi).where(pdi + mdi > 0)
-    out = {"ema_12d": e12, "ema_26d": e26, "ema_crossover": np.sign(line), "macd_line": line, "macd_signal": signal, "macd_histogram": line - signal, "rsi_14d": rsi, "atr_14d": atr, "adx_14d": ema(dx, 14)}
-    return pd.DataFrame({**own, **{c: out[c] for c in names}})
+    """series() of one symbol's bars in order of date, beside symbol, date and the columns of `keep`."""
+    return pd.DataFrame({"symbol": g["symbol"], "date": g["date"], **{c: g[c] for c in keep}, **series(*(g[c].to_numpy(float) for c in ("p", "high", "low")), names)})
+
+
+def numbers(tab: pa.Table, column: str) -> np.ndarray:
+    """A column as doubles, NaN where null."""
+    return np.asarray(tab[column].cast(pa.float64()).fill_null(np.nan).to_numpy(), float)
 
 
 def ewm_features(prices: DataFrame, names: tuple[str, ...] = OUTPUTS, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -40,5 +73,11 @@ def ewm_features(prices: DataFrame, names: tuple[str, ...] = OUTPUTS, keep: tupl
     kind = dict(prices.dtypes)["symbol"]
     base = prices.select("symbol", "date", F.coalesce("adj_close", "close").alias("p"), "high", "low", *[c for c in keep if c not in ("high", "low")]).where("p is not null")
     schema = f"symbol {kind}, date date, " + "".join(f"`{c}` {dict(base.dtypes)[c]}, " for c in keep) + ", ".join(f"{n} double" for n in names)
-    done = base.groupBy("symbol").applyInPandas(lambda g: averages(g.sort_values("date", ignore_index=True), names, keep), schema)
-    return done.select("symbol", "date", *[F.when(~F.isnan(c), F.col(c)).alias(c) if dict(base.dtypes)[c] == "double" else F.col(c) for c in keep], *[F.when(~F.isnan(n), F.col(n)).alias(n) for n in names])
+
+    def run(tab: pa.Table) -> pa.Table:
+        tab = tab.sort_by("date")
+        got = series(*(numbers(tab, c) for c in ("p", "high", "low")), names)
+        return pa.table({**{c: tab[c] for c in ("symbol", "date", *keep)}, **{n: pa.array(v, pa.float64(), from_pandas=True) for n, v in got.items()}})
+
+    done = base.groupBy("symbol").applyInArrow(run, schema)
+    return done.select("symbol", "date", *[F.when(~F.isnan(c), F.col(c)).alias(c) if dict(base.dtypes)[c] == "double" else F.col(c) for c in keep], *names)

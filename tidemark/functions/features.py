@@ -9,10 +9,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import rolling
+from . import ewm, rolling
 
 
 def w() -> Window:
@@ -118,6 +119,29 @@ GROUPED: dict[str, Callable] = {
 SERIES = ["p", "r1", "log_r", "r5", "r5_before", "down"]
 
 
+def last_mean(v: np.ndarray, n: int) -> float:
+    """Mean of the last n values, NaN if there are fewer or one is missing."""
+    return float(v[-n:].mean()) if len(v) >= n else np.nan
+
+
+def last_ratio(a: float, b: float) -> float:
+    return float(a / b) if b != 0 else np.nan
+
+
+def last_volatility(p: np.ndarray, n: int) -> float:
+    v = p[-n - 1 :]
+    return float(np.log(v[1:] / v[:-1]).std(ddof=1) * 252**0.5) if len(v) > n and (v > 0).all() else np.nan
+
+
+#: The same features at the newest row only, of a symbol's series (NaN: null): no frame of any other row is gone over.
+NEWEST: dict[str, Callable] = {
+    **{f"{k}_{n}d": (lambda x, n=n: last_ratio(x["p"][-1], x["p"][-1 - n]) - 1 if len(x["p"]) > n else np.nan) for n in (20, 60, 252) for k in ("returns", "momentum")},
+    "volume_ratio": lambda x: last_ratio(x["volume"][-1], last_mean(x["volume"], 20)),
+    **{f"price_to_sma_{n}d": (lambda x, n=n: last_ratio(x["p"][-1], last_mean(x["p"], n))) for n in (20, 50, 200)},
+    **{f"volatility_{n}d": (lambda x, n=n: last_volatility(x["p"], n)) for n in (20, 60)},
+}
+
+
 def register(name: str, builder: Callable[[], Column]) -> None:
     """Adds a feature to the registry; its builder may read the columns of all three selects."""
     FEATURES[name] = builder
@@ -134,6 +158,30 @@ def window_features(prices: DataFrame, names: list[str] | None = None) -> DataFr
     return rolling.by_symbol(out, grouped, SERIES, SERIES[1:]).select("symbol", "date", "p", *names) if grouped else out
 
 
+def newest(prices: DataFrame, names: list[str]) -> DataFrame:
+    """A row a symbol: its last bar's date and close, and of its newest bar with a price the date, the date before and the named features (of NEWEST or of
+    the exponential family). One pass over a symbol's days on the partitioning by symbol; only that row leaves it."""
+    kind = dict(prices.dtypes)["symbol"]
+    base = prices.select("symbol", "date", "close", F.coalesce("adj_close", "close").alias("p"), "high", "low", F.col("volume").cast("double").alias("volume")).where("date is not null")
+    slow = tuple(n for n in names if n in ewm.OUTPUTS)
+
+    def run(tab: pa.Table) -> pa.Table:
+        tab = tab.sort_by("date")
+        last = {"symbol": tab["symbol"][-1:], "last_date": tab["date"][-1:], "close": tab["close"][-1:]}
+        tab = tab.filter(tab["p"].is_valid())
+        got = dict.fromkeys(names, np.nan)
+        if tab.num_rows:
+            x = {c: ewm.numbers(tab, c) for c in ("p", "high", "low", "volume")}
+            with np.errstate(all="ignore"):
+                got |= {n: NEWEST[n](x) for n in names if n not in slow}
+            got |= {n: v[-1] for n, v in ewm.series(x["p"], x["high"], x["low"], slow).items()}
+        days = tab["date"][-2:].to_pylist()
+        at = {"date": days[-1] if days else None, "before": days[0] if len(days) > 1 else None}
+        return pa.table({**last, **{k: pa.array([v], pa.date32()) for k, v in at.items()}, **{n: pa.array([v], pa.float64(), from_pandas=True) for n, v in got.items()}})
+
+    return base.groupBy("symbol").applyInArrow(run, f"symbol {kind}, last_date date, close double, date date, before date, " + ", ".join(f"{n} double" for n in names))
+
+
 def run(prices: DataFrame, names: list[str], start: str, end: str, lookback_days: int = 400, least_rows: int = 60, version: str = "v1") -> tuple[DataFrame, DataFrame]:
     """The daily feature job: long rows (symbol, date, feature_name, value, version) within [start, end], and the symbols that failed for short history."""
     span = prices.where(F.col("date").between(F.date_sub(F.lit(start).cast("date"), lookback_days), F.lit(end).cast("date")))

@@ -190,16 +190,12 @@ WHERE date >= (SELECT max(date) FROM bars) - 30 AND date - before <= 7 AND m IS
 
 def preset_screens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eight preset screens at once, over each symbol's newest row of the last 30 days; earnings are units sold in the last quarter, dividends the last cash action."""
-    b = written(bars(spark, sf_dir), "bars")
     names = ["momentum_20d", "volume_ratio", "price_to_sma_200d", "volatility_20d"]
-    f = features.window_features(b, names).withColumn("before", F.lag("date").over(features.w()))
-    newest = f.groupBy("symbol").agg(F.max("date").alias("date"), F.max_by(F.struct("before", *names), "date").alias("f")).select("symbol", "date", "f.*")
-    slow = ewm.ewm_features(b, ("rsi_14d", "adx_14d")).groupBy("symbol").agg(F.max_by(F.struct("rsi_14d", "adx_14d"), "date").alias("f")).select("symbol", "f.*")
-    last = b.agg(F.max("date").alias("last"))  # one row
-    priced = b.groupBy("symbol").agg(F.max_by("close", "date").alias("close"))
+    newest = written(features.newest(bars(spark, sf_dir), [*names, "rsi_14d", "adx_14d"]), "newest")
+    last = newest.agg(F.max("last_date").alias("last"))  # one row
     earned = statements(spark, sf_dir).groupBy("symbol").agg(F.max_by("units", "period_end").alias("units"))
     paid = actions(spark, sf_dir).groupBy("symbol").agg(F.max_by("cash", "date").alias("cash"))
-    wide = newest.join(F.broadcast(last)).where("date >= date_sub(last, 30)").join(slow, "symbol", "left").join(priced, "symbol").join(symbols(spark, sf_dir), "symbol").join(earned, "symbol", "left").join(paid, "symbol", "left")
+    wide = newest.join(F.broadcast(last)).where("date >= date_sub(last, 30)").join(symbols(spark, sf_dir), "symbol").join(earned, "symbol", "left").join(paid, "symbol", "left")
     wide = wide.withColumn("pe_ratio", F.try_divide("market_cap", "units")).withColumn("dividend_yield", F.try_divide("cash", "close") * 1e4)
     kept = [F.round(F.col(c) + 1.7e-8, 4).alias(c) for c in (*names, "rsi_14d", "adx_14d", "pe_ratio", "dividend_yield")]
     top = research.screened(wide.select("symbol", "date", "before", *kept), F.date_diff("date", "before") <= 7)
