@@ -47,52 +47,69 @@ def features(bars: DataFrame) -> DataFrame:
     )
 
 
-def of_last(close: np.ndarray, volume: np.ndarray, first: float, high: float, low: float) -> dict[str, float | None]:
-    """The features of the last of at most 60 bars."""
-    out: dict[str, float | None] = dict.fromkeys(FEATURES)
-    traded = volume > 0
-    if traded.any():
-        out["intraday_vwap"] = float((close[traded] * volume[traded]).sum() / volume[traded].sum())
-    step = np.diff(close[-15:])
-    if len(step) == 14:
-        up, down = step.clip(min=0).sum(), (-step).clip(min=0).sum()
-        out["intraday_rsi_14"] = float(100 - 100 / (1 + up / down)) if down > 1e-12 else 100.0
-    if len(close) > 20 and close[-21] > 0:
-        out["intraday_momentum_20"] = float(close[-1] / close[-21] - 1)
-    if len(close) > 20 and (close[-21:-1] > 0).all():
-        out["intraday_volatility_20"] = float(np.std(close[-20:] / close[-21:-1] - 1, ddof=1) * ANNUAL)
-    if len(volume) > 20 and volume[-21:-1].mean() > 0:
-        out["intraday_volume_ratio"] = float(volume[-1] / volume[-21:-1].mean())
-    if first > 0:
-        out["intraday_price_to_open"] = float(close[-1] / first - 1)
-    out["intraday_range_position"] = float((close[-1] - low) / (high - low)) if high > low else 0.5
-    return out
+def of_bars(close: np.ndarray, volume: np.ndarray, back: int) -> dict[str, np.ndarray]:
+    """The features of trailing windows at the bars after the first `back` (at most 60), all at once; NaN where a feature or an input is missing."""
+    n, missing = len(close) - back, np.full(60 - back, np.nan)
+    c, v = np.concatenate([missing, close]), np.concatenate([missing, volume])  # bar k stands at 60 + k
+    last = lambda x, k, ago=0: np.lib.stride_tricks.sliding_window_view(x, k)[61 - k - ago :][:n]  # noqa: E731  the k values up to each bar, or up to the one before
+    ratio = lambda a, b, fits: np.divide(a, b, out=np.full(n, np.nan), where=fits)
+    now, past = c[60:], c[40:][:n]
+    before = np.concatenate([[np.nan], c[:-1]])
+    step, ret = c - before, np.divide(c, before, out=np.full(len(c), np.nan), where=before > 0) - 1
+    amount, traded = np.where(v > 0, c * v, np.nan), np.where(v > 0, v, 0.0)
+    known = ~np.isnan(amount)
+    units = last(traded, 60).sum(axis=1)
+    up, down = last(step.clip(min=0), 14).sum(axis=1), last((-step).clip(min=0), 14).sum(axis=1)
+    mean = last(v, 20, 1).mean(axis=1)
+    return {
+        "intraday_vwap": ratio(last(np.where(known, amount, 0.0), 60).sum(axis=1), units, last(known, 60).any(axis=1) & (units != 0)),
+        "intraday_rsi_14": np.where(np.isnan(down), np.nan, np.where(down > 1e-12, 100 - 100 / (1 + ratio(up, down, down > 1e-12)), 100.0)),
+        "intraday_momentum_20": ratio(now, past, past > 0) - 1,
+        "intraday_volatility_20": last(ret, 20).std(axis=1, ddof=1) * ANNUAL,
+        "intraday_volume_ratio": ratio(v[60:], mean, mean != 0),
+    }
+
+
+def of_days(close: np.ndarray, days: np.ndarray, day: int, first: float, high: float, low: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The running open, high and low of each bar's day; the first day goes on from those given if it is `day`."""
+    opens, highs, lows = np.empty(len(close)), np.empty(len(close)), np.empty(len(close))
+    starts = np.flatnonzero(np.diff(days, prepend=days[0] - 1))
+    for a, b in zip(starts, [*starts[1:], len(close)], strict=True):
+        own = slice(a, b)
+        goes_on = a == 0 and days[0] == day
+        opens[own] = first if goes_on else close[a]
+        highs[own], lows[own] = np.fmax.accumulate(close[own]), np.fmin.accumulate(close[own])
+        if goes_on:
+            highs[own], lows[own] = np.fmax(highs[own], high), np.fmin(lows[own], low)
+    return opens, highs, lows
 
 
 class RollingFeatures(StatefulProcessor):
-    """Per symbol, a ring of 60 bars and the day's open, high and low; emits long rows, nulls skipped."""
+    """Per symbol, a ring of 60 bars and the day's open, high and low; emits long rows, nulls skipped. A batch's bars are taken in arrays, CHUNK at a time."""
+
+    CHUNK = 8192
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("ring", "close array<double>, volume array<double>, day int, first double, high double, low double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         got = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        close, volume, day, first, high, low = ([], [], -1, 0.0, 0.0, 0.0)
-        if self.state.exists():
-            close, volume, day, first, high, low = self.state.get()
-            close, volume = list(close), list(volume)
-        out = []
-        for ts, event, c, v in zip(got["ts"], got["event_id"], got["close"], got["volume"], strict=True):
-            today = ts.toordinal()
-            if today != day:
-                day, first, high, low = today, c, c, c
-            high, low = max(high, c), min(low, c)
-            close, volume = (close + [float(c)])[-60:], (volume + [float(v)])[-60:]
-            for name, x in of_last(np.array(close), np.array(volume), first, high, low).items():
-                if x is not None:
-                    out.append((key[0], ts, event, name, x, "v1"))
-        self.state.update((close, volume, day, float(first), float(high), float(low)))
-        yield pd.DataFrame(out, columns=["symbol", "ts", "event_id", "feature_name", "value", "version"])
+        close, volume, *today = self.state.get() if self.state.exists() else ([], [], -1, 0.0, 0.0, 0.0)
+        back, now = len(close), got["close"].to_numpy(float)
+        ts, event, days = got["ts"].to_numpy(), got["event_id"].to_numpy(), got["ts"].to_numpy().astype("datetime64[D]").astype(int)
+        close, volume = np.concatenate([np.array(close, float), now]), np.concatenate([np.array(volume, float), got["volume"].to_numpy(float)])
+        first, high, low = of_days(now, days, *today)
+        self.state.update((close[-60:].tolist(), volume[-60:].tolist(), int(days[-1]), float(first[-1]), float(high[-1]), float(low[-1])))
+        for at in range(0, len(now), self.CHUNK):
+            own, begin = slice(at, at + self.CHUNK), max(0, back + at - 60)
+            x = of_bars(close[begin : back + at + self.CHUNK], volume[begin : back + at + self.CHUNK], back + at - begin)
+            c, f, h, lo = now[own], first[own], high[own], low[own]
+            x["intraday_price_to_open"] = np.divide(c, f, out=np.full(len(c), np.nan), where=f > 0) - 1
+            x["intraday_range_position"] = np.divide(c - lo, h - lo, out=np.full(len(c), 0.5), where=h > lo)
+            have = {name: np.flatnonzero(~np.isnan(x[name])) for name in FEATURES}
+            rows_ = np.concatenate(list(have.values()))
+            names = np.repeat(np.array(FEATURES, object), [len(i) for i in have.values()])
+            yield pd.DataFrame({"symbol": np.full(len(rows_), key[0], object), "ts": ts[own][rows_], "event_id": event[own][rows_], "feature_name": names, "value": np.concatenate([x[n][i] for n, i in have.items()]), "version": np.full(len(rows_), "v1", object)})
 
     def close(self) -> None:
         pass
