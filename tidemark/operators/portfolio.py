@@ -443,6 +443,68 @@ def drop_correlated(signals: DataFrame, edges: DataFrame, limit: float = 0.7) ->
     return signals.limit(0) if kept is None else signals.join(kept, "symbol", "left_semi")
 
 
+def _apart(tab: pa.Table, strong: pa.Table, days: np.ndarray, limit: float) -> np.ndarray:
+    """Row numbers of the names of `tab` that correlate beyond the limit with none of `strong`; some hundred names of either are matrices at a time."""
+    out = []
+    for at in range(0, tab.num_rows, 512):
+        one = _tile(tab.slice(at, 512), days)
+        u = np.arange(len(one.x))
+        for k in range(0, strong.num_rows, 256):
+            if len(u):
+                u = u[~(np.abs(_correlated(one, u, _tile(strong.slice(k, 256), days))[1]) > limit).any(axis=1)]
+        out.append(at + u)
+    return np.concatenate([np.zeros(0, np.int64), *out])
+
+
+def uncorrelated(signals: DataFrame, returns: DataFrame, limit: float = 0.7, batch: int = 8192) -> DataFrame:
+    """As drop_correlated with the correlations of `returns`, without a row a pair, and without most pairs: only names that stay are compared with others.
+
+    The strongest `batch` open names are settled in one task, then all weaker ones are compared with those of them that stay, and the near ones go, until none
+    is open. Where many names correlate, few stay and few rounds settle all; where none do, all pairs are compared in names / batch rounds. Disk is linear:
+    a round writes names, and the series of its stays; the other series are written again only where half of them are settled.
+    """
+    series, days = _series(returns, batch)
+    days = days["date"].to_numpy()
+    names = written(signals.select("symbol", "strength"), "names")
+    kept = names.join(series.select("symbol"), "symbol", "left_anti").select("symbol")
+    left = written(names.join(series.select("symbol"), "symbol", "left_semi"), "open")
+    n, rows, kind = left.count(), series.count(), "symbol {}, dates {}, r array<double>".format(*(series.schema[c].dataType.simpleString() for c in ("symbol", "dates")))
+
+    def settle(tab: pa.Table) -> pa.Table:
+        tab, stays = tab.sort_by("k").select(["symbol", "dates", "r"]), []
+        while tab.num_rows:
+            first = _tile(tab.slice(0, 256), days)
+            near = np.abs(_correlated(first, np.arange(len(first.x)), first)[1]) > limit
+            own = np.ones(len(near), bool)
+            for k in range(len(near)):
+                own[k + 1 :] &= ~(own[k] & near[k, k + 1 :])
+            stays.append(tab.slice(0, 256).take(pa.array(np.flatnonzero(own))))
+            tab = tab.slice(256)
+            tab = tab.take(pa.array(_apart(tab, stays[-1], days, limit)))
+        return pa.concat_tables(stays)
+
+    while n:
+        if 2 * n <= rows:
+            series, rows = written(series.join(left, "symbol", "left_semi"), "series"), n
+        head = written(left.orderBy(F.desc("strength"), "symbol").limit(batch).withColumn("k", F.row_number().over(Window.orderBy(F.desc("strength"), "symbol"))), "head")  # a batch
+        stays = written(series.join(F.broadcast(head), "symbol").groupBy(F.lit("batch")).applyInArrow(settle, kind), "stays")
+        kept, left = kept.union(stays.select("symbol")), left.join(head, "symbol", "left_anti")
+        files = list(stays.inputFiles())
+
+        def near(batches, files=files):
+            strong = _rows(files)
+            for b in batches:
+                gone = np.ones(b.num_rows, bool)
+                gone[_apart(pa.Table.from_batches([b]), strong, days, limit)] = False
+                yield pa.RecordBatch.from_arrays([b.column("symbol").filter(pa.array(gone))], names=["symbol"])
+
+        if n > batch:
+            left = left.join(written(series.mapInArrow(near, kind.split(",")[0]), "near"), "symbol", "left_anti")
+        left = written(left, "open")
+        n = left.count()
+    return signals.join(kept, "symbol", "left_semi")
+
+
 def top_of_sector(signals: DataFrame, positions: int = 20, share: float = 0.3) -> DataFrame:
     """Of each sector (null is one of its own) the max(1, positions x share) strongest names."""
     w = Window.partitionBy(F.coalesce("sector", F.lit("Unknown"))).orderBy(F.desc("strength"), "symbol")

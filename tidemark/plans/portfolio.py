@@ -264,8 +264,7 @@ t AS (SELECT o.symbol, o.sector, row_number() OVER (PARTITION BY sector ORDER BY
 def k23(spark, d):
     """Of all names, those without a stronger correlated one; of each sector the strongest six."""
     s = symbols(spark, d).where("market_cap is not null").select("symbol", "sector", F.col("market_cap").alias("strength"))
-    kept = pf.drop_correlated(s, pf.correlations(returns(spark, d)), 0.2)
-    return pf.top_of_sector(kept).select("symbol", "sector")
+    return pf.top_of_sector(pf.uncorrelated(s, returns(spark, d), 0.2)).select("symbol", "sector")
 
 
 _IV = f"""WITH {_RET}, {SYMBOLS}, v AS (SELECT symbol, stddev_samp(r) AS sd FROM ret GROUP BY symbol), raw AS (SELECT symbol, abs(market_cap) / sd AS x FROM v JOIN symbols USING (symbol) WHERE sd > 0), n AS (SELECT symbol, x / sum(x) OVER () AS w FROM raw),
